@@ -116,19 +116,35 @@ def words_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return low, starts, np.flatnonzero(last) + 1, np.searchsorted(starts, off)
 
 
+#: Base of the polynomial hash, odd and so invertible modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of BASE and of its inverse, modulo 2**64; the arrays are kept for later slices."""
+    if not _powers or len(_powers[0]) < n:
+        size = 1 << max(20, n.bit_length())
+        _powers[:] = []
+        for base in (BASE, pow(BASE, -1, 1 << 64)):
+            run = np.full(size, base, np.uint64)
+            run[0] = 1
+            _powers.append(np.multiply.accumulate(run))
+    return _powers[0][:n], _powers[1][:n]
+
+
+#: A random word per byte value.
+BYTE_WORDS = mix(np.arange(1, 257, dtype=np.uint64))
+
+
 def prefix_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums of a polynomial over bytes, modulo 2**64, and the inverse powers: see span_hashes()."""
-    base = np.uint64(0x9E3779B97F4A7C15 | 1)
-    inverse = np.uint64(pow(int(base), -1, 1 << 64))
-    powers = np.full(len(buf) + 1, base, np.uint64)
-    powers[0] = 1
-    np.multiply.accumulate(powers, out=powers)
-    inverses = np.full(len(buf) + 1, inverse, np.uint64)
-    inverses[0] = 1
-    np.multiply.accumulate(inverses, out=inverses)
-    sums_ = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((mix(np.arange(1, 257, dtype=np.uint64))[buf]) * powers[:-1], out=sums_[1:])
-    return sums_, inverses
+    up, down = powers(len(buf) + 1)
+    out = np.zeros(len(buf) + 1, np.uint64)
+    terms = BYTE_WORDS[buf]
+    terms *= up[:-1]
+    np.cumsum(terms, out=out[1:])
+    return out, down
 
 
 def span_hashes(prefix: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

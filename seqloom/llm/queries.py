@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import sentencepieces, simhash, toxicity
+from seqloom.llm import decontam, sentencepieces, simhash, toxicity
 from seqloom.llm.common import table
 
 
@@ -16,6 +16,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item found in it; clean documents have none."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", F.col("m.item").alias("item_id"), "m.start", "m.end", "m.edits")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = sentencepieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -28,7 +35,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = [op6_toxicity, op8_sentencepiece, op9_simhash]
+QUERIES = [op6_toxicity, op7_decontamination, op8_sentencepiece, op9_simhash]
 
 
 def queries() -> dict:

@@ -20,8 +20,10 @@ from seqloom.llm.common import flat, from_offsets, mix, slices, sums, whole_text
 BUCKETS = 1 << 16
 GRAMS = (3, 4, 5)
 #: Bounds of the training sample: labelled documents of each class, and characters of one (longer ones are not learnt from).
-PER_CLASS, LONGEST = 3000, 50_000
+PER_CLASS, LONGEST = 5000, 50_000
 THRESHOLD = 0.3
+#: What the mean is multiplied by, and the texts at which a subword is half trusted.
+SCALE, TRUST = 30, 15
 
 
 def subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,10 +86,12 @@ def bag(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(heads), np.concatenate(weights), np.array(ends)
 
 
-def train(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8, epochs: int = 12, rate: float = 0.03, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Fit embeddings and softmax jointly (gradient descent on mini-batches); return the number per bucket and the bias.
+def train(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8, epochs: int = 6, rate: float = 0.02, decay: float = 0.1, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Fit embeddings and softmax jointly (Adam on mini-batches); return the number per bucket and the bias.
 
-    ``prior`` is the share of class 1 among all labelled rows; the sample's own share is taken out of the bias.
+    A subword's gradient is scaled down where few of the sample's texts have it, so that texts are not
+    learnt by heart. ``prior`` is the share of class 1 among all labelled rows; the sample's own share
+    is taken out of the bias.
     """
     heads, weights, ends = [], [], [np.zeros(1, np.int64)]
     for k in range(0, len(texts), 256):
@@ -96,7 +100,13 @@ def train(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8, epoc
     heads, weights, ends = np.concatenate(heads), np.concatenate(weights), np.concatenate(ends)
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
-    top, bias = rng.normal(0, 0.1, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
+    top, bias = rng.normal(0, 0.3, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
+    common = np.bincount(heads, minlength=BUCKETS).astype(np.float32)
+    slow = (common / (common + TRUST))[:, None]
+    table *= slow
+    params = [table, top, bias]
+    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+    step = 0
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for k in range(0, len(order), 64):
@@ -106,22 +116,24 @@ def train(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8, epoc
             head, weight = heads[at], weights[at]
             owner = np.repeat(np.arange(len(rows)), many)
             # scaled up, as a text's mean moves little with a few words
-            mean = np.stack([np.bincount(owner, table[head, d] * weight, len(rows)) for d in range(dim)], 1).astype(np.float32) * 30
+            mean = np.stack([np.bincount(owner, table[head, d] * weight, len(rows)) for d in range(dim)], 1).astype(np.float32) * SCALE
             logits = mean @ top + bias
             odds = np.exp(logits - logits.max(1, keepdims=True))
             slope = odds / odds.sum(1, keepdims=True)
             slope[np.arange(len(rows)), labels[rows]] -= 1
             slope /= len(rows)
-            back = slope @ top.T * 30
-            used, inverse = np.unique(head, return_inverse=True)
-            grad = np.stack([np.bincount(inverse, back[owner, d] * weight, len(used)) for d in range(dim)], 1).astype(np.float32)
-            table[used] -= rate * grad
-            top -= rate / 30 * (mean.T @ slope)
-            bias -= rate / 30 * slope.sum(0)
+            back = slope @ top.T * SCALE
+            grad = np.stack([np.bincount(head, back[owner, d] * weight, BUCKETS) for d in range(dim)], 1).astype(np.float32)
+            step += 1
+            fix = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            for (m, v), p, g, r in zip(moments, params, (grad, mean.T @ slope, slope.sum(0)), (rate * slow, rate / 10, rate)):
+                m += 0.1 * (g - m)
+                v += 0.001 * (g * g - v)
+                p -= r * (fix * m / (np.sqrt(v) + 1e-8) + decay * p)
     share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
     prior = float(np.clip(prior, 1e-3, 1 - 1e-3))
     shift = np.log(prior / (1 - prior)) - np.log(share / (1 - share))
-    return (30 * table @ (top[:, 1] - top[:, 0])).astype(np.float64), float(bias[1] - bias[0] + shift)
+    return (SCALE * table @ (top[:, 1] - top[:, 0])).astype(np.float64), float(bias[1] - bias[0] + shift)
 
 
 def held_out(key: str = "doc_id"):
