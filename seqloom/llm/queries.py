@@ -6,8 +6,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import decontam, sentencepieces, simhash, toxicity
-from seqloom.llm.common import table
+from seqloom.llm import decontam, linededup, sentencepieces, simhash, toxicity, urlfilter, warc
+from seqloom.llm.common import new_path, table
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+#: The rules of the query, by verdict.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, [urlfilter.parse_rule(*r) for r in URL_RULES]).drop("url")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    found = warc.captures(warc.read(spark, path, content=False))
+    page = F.regexp_extract(F.col("metadata")[0]["content"], r"page-id: (-?\d+)", 1)
+    rows = found.select("capture_id", "refers_to", "digest", "payload_bytes", "type", F.when(page != "", page.cast("long")).alias("page_id"))
+    named = rows.where("type = 'response'").select(F.col("capture_id").alias("refers_to"), F.col("page_id").alias("first"))
+    joined = rows.where("type = 'revisit'").join(named, "refers_to", "left").unionByName(rows.where("type = 'response'").withColumn("first", F.lit(None).cast("long")))
+    return joined.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("first").alias("refers_to"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,12 +60,42 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = [op6_toxicity, op7_decontamination, op8_sentencepiece, op9_simhash]
+QUERIES = [op1_line_dedup, op2_url_filter, op3_warc, op6_toxicity, op7_decontamination, op8_sentencepiece, op9_simhash]
 
 
 def queries() -> dict:
     return {f.__name__: f for f in QUERIES}
 
 
+OP2_SQL = """
+WITH parts AS (
+  SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+), split AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
+), judged AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM split
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM judged
+"""
+
+OP3_SQL = """
+WITH body AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes FROM pages
+), firsts AS (
+  SELECT *, max(page_id) OVER (PARTITION BY html) AS first FROM body
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to
+FROM firsts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filter": OP2_SQL, "op3_warc": OP3_SQL}
