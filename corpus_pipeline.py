@@ -1,15 +1,40 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input.
+
+Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept and, but for the last,
+returns the columns of ``documents``. Null and empty texts pass every filter; rows without a doc_id
+are never taken for copies of others.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seqloom.llm import sentencepieces
+from seqloom.llm import decontam, linededup, sentencepieces, simhash, toxicity
 from seqloom.llm.common import table, write_table
 
-#: The columns that stages hand on.
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity: learn from the labelled documents at hand; documents that are predicted toxic go."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: multi-line chunks stay where they are first; every document stays, with what is left of its text."""
+    return linededup.dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash near-dedup: of each group of linked documents the one with the smallest doc_id stays."""
+    return simhash.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold a benchmark item go."""
+    found = decontam.find(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("matches") == 0).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +43,13 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(coded)
 
 
-STAGES = [("sentencepiece", tokenize)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", dedup_lines),
+    ("SimHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("SentencePiece encoding and decoding", tokenize),
+]
 
 #: Trained models, rolling hashes and libraries take part; the stages are tested against brute force.
 ORACLE_SQL = None
