@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import decontam, linededup, sentencepieces, simhash, toxicity, urlfilter, warc
+from seqloom.llm import decontam, linededup, pii, sentencepieces, simhash, toxicity, urlfilter, warc
 from seqloom.llm.common import new_path, table
 
 
@@ -60,7 +60,19 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = [op1_line_dedup, op2_url_filter, op3_warc, op6_toxicity, op7_decontamination, op8_sentencepiece, op9_simhash]
+def _shown(spans: str) -> Column:
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts (n_*) and base_sha256 are of the patterns' spans; spans holds those and what the model adds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_shown("base"), 256).alias("base_sha256"), _shown("spans").alias("spans"))
+
+
+QUERIES = [op1_line_dedup, op2_url_filter, op3_warc, op6_toxicity, op7_decontamination, op8_sentencepiece, op9_simhash, op10_pii]
 
 
 def queries() -> dict:
