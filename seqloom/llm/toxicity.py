@@ -20,7 +20,7 @@ from seqloom.llm.common import flat, from_offsets, mix, slices, sums, whole_text
 BUCKETS = 1 << 16
 GRAMS = (3, 4, 5)
 #: Bounds of the training sample: labelled documents of each class, and characters of one (longer ones are not learnt from).
-PER_CLASS, LONGEST = 5000, 50_000
+PER_CLASS, LONGEST = 3000, 30_000
 THRESHOLD = 0.3
 #: What the mean is multiplied by, and the texts at which a subword is half trusted.
 SCALE, TRUST = 30, 15
@@ -98,6 +98,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8, epoc
         h, w, e = bag(pa.array(texts[k : k + 256], pa.string()))
         heads.append(h), weights.append(w), ends.append(ends[-1][-1] + e[1:])
     heads, weights, ends = np.concatenate(heads), np.concatenate(weights), np.concatenate(ends)
+    texts = len(texts)
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     top, bias = rng.normal(0, 0.3, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
@@ -108,7 +109,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8, epoc
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     step = 0
     for _ in range(epochs):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(texts)
         for k in range(0, len(order), 64):
             rows = order[k : k + 64]
             many = ends[rows + 1] - ends[rows]
