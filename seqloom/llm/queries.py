@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import decontam, linededup, pii, sentencepieces, simhash, toxicity, urlfilter, warc
+from seqloom.llm import ann, decontam, linededup, pii, sentencepieces, simhash, tokencount, toxicity, urlfilter, warc
 from seqloom.llm.common import new_path, table
 
 
@@ -35,6 +35,21 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("first").alias("refers_to"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(ann.build(vectors), vectors.where("vec_id % 100 = 0"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after three edits of every text: a cut at a quarter, words put in at the half, letters replaced at three quarters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.coalesce(F.length("text"), F.lit(0))
+    places = [F.floor(n * k / 4).cast("int") for k in (1, 2, 3)]
+    edits = F.array(*(F.struct(at.alias("start"), (at + cut).alias("end"), F.lit(new).alias("new")) for at, cut, new in zip(places, (10, 0, 5), ("", " edited words ", "XXXXX"))))
+    counted = tokencount.recount(docs, edits, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return counted.select("doc_id", "n_pretokens", "n_before", "n_after", "n_recounted")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -72,7 +87,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_shown("base"), 256).alias("base_sha256"), _shown("spans").alias("spans"))
 
 
-QUERIES = [op1_line_dedup, op2_url_filter, op3_warc, op6_toxicity, op7_decontamination, op8_sentencepiece, op9_simhash, op10_pii]
+QUERIES = [op1_line_dedup, op2_url_filter, op3_warc, op4_neighbours, op5_token_counts, op6_toxicity, op7_decontamination, op8_sentencepiece, op9_simhash, op10_pii]
 
 
 def queries() -> dict:
