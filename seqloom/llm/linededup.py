@@ -68,7 +68,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     # the bytes of those chunks only meet, with others of their hash
     wanted = twins.groupBy("__key").agg(F.collect_set("__nth").alias("__want"))
-    sought = _by_key(source, wanted, "left_semi_list")
+    sought = _by_key(docs.select(key, text), key, wanted, "inner").select("__key", whole_text(text).alias("__text"), "__want")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "__text"):
@@ -87,10 +87,9 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return twins.select("__key", "__nth").distinct().join(stays, F.col("__key").eqNullSafe(F.col("k")) & (F.col("__nth") == F.col("n")), "left_anti")
 
 
-def _by_key(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """Rows of ``docs`` with the list of their key; null keys count as one key."""
-    right = lists.withColumnRenamed("__key", "__k")
-    return docs.join(right, F.col("__key").eqNullSafe(F.col("__k")), "left" if how == "left" else "inner").drop("__k")
+def _by_key(docs: DataFrame, key: str, lists: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` with the list of their key; null keys count as one key. Lists grow with the corpus, so none is broadcast."""
+    return docs.join(lists.hint("merge"), docs[key].eqNullSafe(lists["__key"]), how)
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -104,8 +103,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed", "__key", "__text", "__gone")]
     gone = repeated(docs, key, text).groupBy("__key").agg(F.collect_set("__nth").alias("__gone"))
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(key).alias("__key"), whole_text(text).alias("__text"))
-    joined = _by_key(source, gone, "left").drop("__key")
+    # the text is shuffled once per row, so its copy without nulls is made behind the join
+    joined = _by_key(docs.select(*kept), key, gone, "left").select(*kept, whole_text(text).alias("__text"), "__gone")
     schema = docs.select(*kept).withColumns({"n_lines": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
     schema[text].nullable = True
 
