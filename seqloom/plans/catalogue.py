@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from seqloom.plans import labelling, mining, models
+
+MODULES = (mining, labelling, models)
 
 
 def queries() -> dict:
-    return QUERIES
+    return {name: query for m in MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
