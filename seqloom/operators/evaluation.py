@@ -6,20 +6,25 @@ items and labels, the sequence itself does not. Macro averages divide by all lab
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def known_part(rows: DataFrame) -> DataFrame:
-    """``rows`` (seq, pos, pred, ref) with ``known`` false from the first unknown reference on."""
-    w = Window.partitionBy("seq").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """``rows`` (seq, pos, pred, ref) with ``known`` false from the first unknown reference on; rows at one place are read together."""
+    w = Window.partitionBy("seq").orderBy("pos").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("known", F.sum(F.col("ref").isNull().cast("int")).over(w) == 0)
 
 
 def by_label(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """``label, n_match, n_model, n_ref, precision, recall, f1`` for every label of ``labels`` (label)."""
     held = known_part(rows).where("known")
-    votes = held.select(F.explode(F.array(F.struct(F.col("ref").alias("label"), F.lit(1).alias("r"), F.lit(0).alias("m"), (F.col("pred") == F.col("ref")).cast("int").alias("h")), F.struct(F.col("pred"), F.lit(0), F.lit(1), F.lit(0)))).alias("v")).select("v.*")
+
+    def vote(label: str, r: int, m: int, h: Column) -> Column:
+        return F.struct(F.col(label).alias("label"), F.lit(r).alias("r"), F.lit(m).alias("m"), h.alias("h"))
+
+    hit = F.col("pred").eqNullSafe(F.col("ref")).cast("int")
+    votes = held.select(F.explode(F.array(vote("ref", 1, 0, hit), vote("pred", 0, 1, F.lit(0)))).alias("v")).select("v.*")
     sums = votes.groupBy("label").agg(F.sum("h").alias("n_match"), F.sum("m").alias("n_model"), F.sum("r").alias("n_ref"))
     full = labels.join(sums, "label", "left").fillna(0, ["n_match", "n_model", "n_ref"])
     # labels without a reference have no measures
