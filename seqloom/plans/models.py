@@ -1,4 +1,93 @@
-"""Queries that train and apply sequence models."""
+"""Queries that train and apply sequence models, and round trips through files."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seqloom.operators.crf import LinearChainCRF
+from seqloom.plans.mining import EVENTS
+from seqloom.sources import attribute_text
+from seqloom.sources.adapters import event_sequences, table
+
+
+def _path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/seqloom/{name}-{uuid.uuid4().hex}"
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with attributes: the class of the value, the quarter of the day, and both."""
+    rows = event_sequences(table(spark, sf_dir, "events"))
+    v = F.concat(F.lit("v:"), F.floor(F.log2(F.col("value") + 1)).cast("string"))
+    q = F.concat(F.lit("q:"), F.floor(F.hour("ts") / 6).cast("string"))
+    feats = F.array(*(F.struct(a.alias("attr"), w.alias("value")) for a, w in ((v, F.lit(1.0)), (q, F.lit(0.5)), (F.concat_ws("&", v, q), F.lit(1.0)))))
+    return rows.select("seq", "pos", "label", feats.alias("feats"))
+
+
+def _tagged(spark: SparkSession, sf_dir: str, **settings) -> DataFrame:
+    rows = items(spark, sf_dir)
+    model = LinearChainCRF(**settings).fit(rows)
+    return model.transform(rows).select("seq", "pos", "label", "pred", "marginal", "probability")
+
+
+def crf_train_tag_lbfgs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tagged(spark, sf_dir, algorithm="lbfgs", c2=1.0, maxIter=15)
+
+
+def crf_train_l2sgd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tagged(spark, sf_dir, algorithm="l2sgd", maxIter=5, maxTrials=4)
+
+
+def crf_train_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tagged(spark, sf_dir, algorithm="ap", maxIter=5)
+
+
+def crf_train_pa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tagged(spark, sf_dir, algorithm="pa", maxIter=5)
+
+
+def crf_train_arow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tagged(spark, sf_dir, algorithm="arow", maxIter=5)
+
+
+def marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two likeliest labels of every event."""
+    rows = items(spark, sf_dir)
+    return LinearChainCRF(maxIter=5).fit(rows).ranked(rows, 2)
+
+
+def model_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return LinearChainCRF(maxIter=5).fit(items(spark, sf_dir)).dump(spark)
+
+
+def attribute_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes by label after writing and reading the text form."""
+    path = _path(spark, "attributes")
+    attribute_text.write(items(spark, sf_dir), path)
+    held = attribute_text.read(spark, path).select("label", F.explode("feats").alias("f"))
+    return held.groupBy("label", F.col("f.attr").alias("attr")).agg(F.count(F.lit(1)).alias("n"), F.sum("f.value").alias("total"))
+
+
+def partition_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents laid out by language and source, of which one language is read back."""
+    path = _path(spark, "layout")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source")
+    docs.repartition("lang", "source").write.partitionBy("lang", "source").parquet(path)
+    back = spark.read.parquet(path).where("lang = 'en'")
+    return back.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (marginals, crf_train_tag_lbfgs, crf_train_l2sgd, crf_train_ap, crf_train_pa, crf_train_arow, model_dump, attribute_text_roundtrip, partition_layout)
+}
+SQL = {
+    "attribute_text_roundtrip": f"""
+WITH {EVENTS}, a AS (SELECT label, 'v:' || CAST(floor(log2(value + 1)) AS BIGINT) AS v, 'q:' || CAST(floor(hour(ts) / 6) AS BIGINT) AS q FROM ev),
+f AS (SELECT label, v AS attr, 1.0 AS x FROM a UNION ALL SELECT label, q, 0.5 FROM a UNION ALL SELECT label, v || '&' || q, 1.0 FROM a)
+SELECT label, attr, count(*) AS n, CAST(sum(x) AS DOUBLE) AS total FROM f GROUP BY ALL""",
+    "partition_layout": "SELECT source, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE lang = 'en' GROUP BY source",
+}
