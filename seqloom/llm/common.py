@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Used where the session names no shared folder, as in tests on one machine.
 LOCAL_SHARED = "/tmp/checkpoints"
 #: Bytes of text that one task works on at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import flat, from_offsets, slices, sums, whole_text
 
 MARK = "▁"
+#: Bytes of text that share a table: more of them repeat more chunks, and take more memory.
+SLICE_BYTES = 3 << 20
 
 
 @lru_cache(maxsize=2)
@@ -106,7 +108,7 @@ def encode(docs: DataFrame, model: str, end_id: bool = True, text: str = "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = processor(model)
-        for part in slices(batches, "__text"):
+        for part in slices(batches, "__text", SLICE_BYTES):
             k = part.schema.get_field_index("__text")
             lists, decoded = encode_slice(sp, part.column(k), end_id)
             yield pa.RecordBatch.from_arrays([*(c for j, c in enumerate(part.columns) if j != k), lists, decoded], names=[*kept, "token_ids", "decoded"])
