@@ -1,0 +1,397 @@
+"""Operators against brute force on small inputs, with nulls, empty tables, repeated rows and clashing names."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from seqloom.llm import ann, components, decontam, linededup, lstmcrf, pii, sentencepieces, simhash, tokencount, toxicity, urlfilter, warc
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string"
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def odd_docs(spark, more=""):
+    """Null and empty texts, a null key, repeated rows, a very long text, and columns named like results."""
+    rows = [(1, None), (2, ""), (None, "a b c"), (None, "a b c"), (3, "a b c"), (4, " \n\t"), (5, "wörd " * 60_000), (6, "x\ny\nz"), (6, "x\ny\nz")]
+    clash = ("score", "spans", "base", "matches", "token_ids", "n_lines", "n_removed", "verdict", "lang")
+    return spark.createDataFrame([(*r, *("old",) * len(clash)) for r in rows], DOCS + "".join(f", {c} string" for c in clash))
+
+
+# -- line dedup
+
+
+def chunks_by_hand(text):
+    """Chunks of two lines and more as the module's rule says, with the hashes of its own lines."""
+    import pyarrow as pa
+
+    who, nth, first, last, begin, end, *_ = linededup.chunks_of(pa.array([text]))
+    data = text.encode()
+    return [(int(n), data[a:b], int(q - p)) for n, p, q, a, b in zip(nth, first, last, begin, end)]
+
+
+def test_chunks_are_whole_lines_and_shift_resistant():
+    r = random.Random(1)
+    passage = [f"line {r.random()}" for _ in range(40)]
+    one = "\n".join([f"a {r.random()}" for _ in range(7)] + passage + ["end"])
+    two = "\n".join([f"b {r.random()}" for _ in range(12)] + passage + [f"c {r.random()}" for _ in range(5)])
+    common = {c for _, c, _ in chunks_by_hand(one)} & {c for _, c, _ in chunks_by_hand(two)}
+    assert sum(c.count(b"\n") + 1 for c in common) >= 28  # all but the chunks at the passage's ends
+    for t in (one, two, "x", "", "\n", "a\nb", "\n\n\n"):
+        for _, c, lines in chunks_by_hand(t):
+            assert lines >= 2 and c in t.encode() and c.count(b"\n") == lines - 1
+
+
+def test_line_dedup_against_brute_force(spark, docs, texts):
+    seen, gone = set(), {}
+    for k in sorted(texts):
+        for n, c, _ in chunks_by_hand(texts[k] or ""):
+            if c in seen:
+                gone.setdefault(k, []).append(c)
+            seen.add(c)
+    got = {r["doc_id"]: r for r in linededup.dedup(docs).collect()}
+    assert len(got) == len(texts)
+    for k, text in texts.items():
+        lost = sum(c.count(b"\n") + 1 for c in gone.get(k, []))
+        assert got[k]["n_removed"] == lost and got[k]["n_lines"] == text.count("\n") + 1
+        left = text.split("\n")
+        if not lost:
+            assert got[k]["text"] == text
+        else:
+            assert got[k]["text"] == "" or len(got[k]["text"].split("\n")) == len(left) - lost
+    assert gone
+
+
+def test_line_dedup_of_copies(spark):
+    df = spark.createDataFrame([(3, "a\nb\nc"), (1, "a\nb\nc"), (2, "one line"), (4, "one line"), (None, "a\nb\nc"), (5, None)], DOCS)
+    assert {r["doc_id"]: r["text"] for r in linededup.dedup(df).collect()} == {1: "a\nb\nc", 3: "", None: "", 2: "one line", 4: "one line", 5: None}
+
+
+# -- url filter
+
+
+def test_urls_against_plain_rules(spark):
+    r = random.Random(4)
+    rules = [urlfilter.parse_rule(*x) for x in [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"), ("block", "net"), ("allow", "a.net/x")]]
+    hosts = ["example.org", "WWW.Example.org", "org", "notexample.org", "a.com", "com", "x.net", "a.net", "", "b.a.net."]
+    paths = ["", "/", "/es/", "/es", "/en/1", "/en/12/3", "/en/2", "/fr/a?b#c", "/de/", "#x", "?q=/de/", "/x/y"]
+    urls = [f"http://{r.choice(hosts)}{r.choice(paths)}" for _ in range(300)] + [None, "", "no scheme", "://"]
+
+    def judged(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest).group()
+        path = re.match(r"[^?#]*", rest[len(host) :]).group()
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [(len(h.split(".")), len(p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)] if host else []
+        return (host, path, *(max(fits)[2:] if fits else (None, "allow")))
+
+    df = spark.createDataFrame([(k, u, "old") for k, u in enumerate(urls)], "page_id long, url string, verdict string")
+    for most in (urlfilter.MOST, 0):  # the trie, and the joins for rule sets past its bound
+        got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge(df, rules, most=most).collect()}
+        assert got == {k: judged(u) for k, u in enumerate(urls)}
+    assert urlfilter.judge(df.limit(0), rules).count() == 0
+
+
+# -- warc
+
+
+def test_warc_round_trip(spark, tmp_path):
+    long = "ä" * 600 + "\r\n\r\nWARC/1.1\r\n"
+    rows = [(1, "http://a/", long), (2, "http://b/", long), (3, None, None), (4, "http://c/", "short"), (5, "http://d/", "short"), (6, "http://e/\r\nx", "\r\n"), (7, "u", long + "x")]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    found = warc.captures(warc.read(spark, str(tmp_path / "w"))).collect()
+    by_page = {int(re.search(r"page-id: (\d+)", r["metadata"][0]["content"])[1]): r for r in found}
+    assert sorted(by_page) == [1, 2, 3, 4, 5, 6, 7]
+    for k, _, html in rows:
+        data = (html or "").encode()
+        r = by_page[k]
+        assert (r["payload_bytes"], r["digest"], r["type"]) == (len(data), hashlib.sha1(data).hexdigest(), "revisit" if k == 1 else "response")
+        assert len(r["requests"]) == 1 and (k == 1 or r["payload"] == (html or ""))
+    assert by_page[1]["refers_to"] == by_page[2]["capture_id"]
+
+
+# -- neighbours
+
+
+def test_neighbours_reach_the_recall(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, 32)).astype(np.float32)
+    x[100:110] = x[0]  # copies, and so ties
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(5000, None), (5001, [0.0] * 32), (5002, [float("nan")] + [1.0] * 31), (5003, [None] + [1.0] * 31)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(ann.build(df), df.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    x = x.astype(np.float64)
+    assert sorted(got) == list(range(0, 3000, 50))
+    hits = 0
+    for q, found in got.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        best = np.lexsort((np.arange(3000), d))[:10]
+        found.sort()
+        assert [f[0] for f in found] == list(range(1, 11))
+        assert [f[2] for f in found] == pytest.approx([d[f[1]] for f in found])
+        hits += len({f[1] for f in found} & set(best.tolist()))
+    assert hits / (10 * len(got)) >= 0.9
+    assert [f[1] for f in got[0]] == list(range(100, 110))
+
+
+def test_neighbours_of_few_and_none(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    rows = [tuple(r) for r in ann.search(ann.build(df), df.where("vec_id = 1")).orderBy("rank").collect()]
+    assert rows == [(1, 1, 3, 0.0), (1, 2, 2, pytest.approx(2**0.5))]
+    assert ann.search(ann.build(df.limit(0)), df.limit(0)).count() == 0
+
+
+# -- token counts
+
+
+def test_recounts_equal_counts_of_the_edited_text(spark, texts):
+    coder = tokencount.counter(RANKS, public_tokenizers.PATTERN)
+    r = random.Random(2)
+    for text in [*list(texts.values())[:40], "", "a", "   ", "\n\n  x"]:
+        tree = tokencount.Tree(text, coder)
+        edits = tokencount.usable([(a := r.randrange(len(text) + 1), a + r.randrange(9), r.choice(["", " ", "\n", "é9", "some words", "'s"])) for _ in range(5)], len(text))
+        for e in edits:
+            tree.apply(*e)
+        after = tokencount.apply_edits(text, edits)
+        assert "".join(p for leaf in tree.leaves for p in leaf) == after
+        assert tree.total == len(coder.coder.encode_ordinary(after))
+
+
+# -- toxicity
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    rows = toxicity.score(docs, model).withColumn("held", toxicity.held_out()).join(labels, "doc_id").where("held").collect()
+    hit = sum(r["predicted"] == r["toxic"] for r in rows) / len(rows)
+    bad, good = (np.array([r["score"] for r in rows if r["toxic"] == y]) for y in (1, 0))
+    assert hit >= 0.93 and (bad[:, None] > good[None, :]).mean() >= 0.93
+    hard = spark.createDataFrame([(1, None, 5), (2, "", 6)], "doc_id long, text string, score int")
+    scores = [r["score"] for r in toxicity.score(hard, model).collect()]
+    assert len(scores) == 2 and all(0 <= s <= 1 for s in scores)
+
+
+def test_misspellings_share_grams():
+    words = ["horrible", "lovely"]
+    rng = random.Random(1)
+    texts = [" ".join(rng.choices(["the", "of", "tree", "river"], k=12) + [words[k % 2]]) for k in range(400)]
+    weight, bias = toxicity.train(texts, np.array([1 - k % 2 for k in range(400)]), 0.5)
+    import pyarrow as pa
+
+    def score(text):
+        heads, weights, _ = toxicity.bag(pa.array([text]))
+        return 1 / (1 + np.exp(-(weight[heads] @ weights + bias)))
+
+    assert score("the river horrrible tree") > score("the river lovvely tree")
+
+
+# -- decontamination
+
+
+def edits_by_hand(item, window):
+    row = [0] * (len(window) + 1)
+    for k, w in enumerate(item, 1):
+        row, old = [k], row
+        for j, v in enumerate(window, 1):
+            row.append(min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (w != v)))
+    return min(row)
+
+
+def words(text):
+    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def test_leaks_against_brute_force(spark, docs, texts):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    held = {r["item_id"]: words(r["text"]) for r in items.collect()}
+    r = random.Random(3)
+    planted = []
+    for k, (i, w) in enumerate(held.items()):  # with up to a fifth of the words changed
+        w = list(w)
+        for at in r.sample(range(len(w)), min(len(w) // 5, k % 4)):
+            w[at] = "changed"
+        planted.append((10_000 + k, "before these " + " ".join(w) + " and after"))
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(planted, DOCS))
+    got = {(row["doc_id"], m["item"]) for row in decontam.find(both, items).collect() for m in row["matches"]}
+    want = set()
+    for k, text in [*texts.items(), *planted]:
+        there = words(text)
+        some = set(there)
+        for i, w in held.items():
+            slack = int(0.2 * len(w) + 1e-9)
+            if sum(x not in some for x in w) <= slack and edits_by_hand(w, there) <= slack:
+                want.add((k, i))
+    assert got == want and len(want) >= len(held)
+
+
+# -- sentencepiece
+
+
+def test_pieces_equal_the_library(spark, texts):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    hard = ["", None, " ", "  a  b ", "a\n\n b", "▁x ▁▁ y", "　 wide", "tab\there", "é́ ﬁ ½", "\x00\x01", "日本語 テキスト", "🙂" * 50, "x" * 30_000, "</s> <unk>", "a\r\nb"]
+    rows = [(k, t) for k, t in enumerate([*hard, *texts.values()])]
+    got = {r["doc_id"]: r for r in sentencepieces.encode(spark.createDataFrame(rows, DOCS), MODEL).collect()}
+    for k, t in rows:
+        ids = sp.encode(t or "", add_eos=True)
+        assert list(got[k]["token_ids"]) == ids, t
+        assert got[k]["decoded"] == sp.decode(ids), t
+
+
+# -- simhash
+
+
+def print_by_hand(text):
+    from xxhash import xxh64_intdigest
+
+    parts = [p for p in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if p]
+    grams = [" ".join(parts[k : k + 3]) for k in range(max(1, len(parts) - 2))] if parts else []
+    h = [xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_against_brute_force(spark, docs, texts):
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(docs).collect()}
+    prints = {k: print_by_hand(t) for k, t in texts.items()}
+    assert {k: r["fp"] % 2**64 for k, r in got.items()} == prints
+    root = {k: k for k in prints}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    keys = sorted(prints)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            if (prints[a] ^ prints[b]).bit_count() <= 3:
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+    assert {k: r["component_id"] for k, r in got.items()} == {k: top(k) for k in keys}
+
+
+def test_every_link_over_shards(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    seeds = rng.integers(0, 2**63, 150, dtype=np.int64).view(np.uint64)
+    points = np.unique(np.concatenate([seeds, *(seeds ^ (np.uint64(1) << rng.integers(0, 64, 150).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 150).astype(np.uint64)) for _ in range(3))]))
+    monkeypatch.setattr(simhash, "SHARD", 64)
+    df = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long")
+    got = {frozenset((r["a"], r["b"])) for r in simhash.links(df, every=True).collect()}
+    want = {frozenset((int(a), int(b))) for i, a in enumerate(points.view(np.int64)) for b in points.view(np.int64)[i + 1 :] if int(np.bitwise_count(np.uint64(a.view(np.uint64) ^ b.view(np.uint64)))) <= 3}
+    assert got == want and len(want) > 300
+
+
+def test_one_document_of_each_group_stays(spark):
+    df = spark.createDataFrame([(3, "a b c d"), (1, "a b c d"), (2, "other words here now"), (None, "a b c d"), (5, None), (6, "")], DOCS)
+    assert sorted((r["doc_id"] for r in simhash.one_of_each(df).collect()), key=str) == [1, 2, 5, None]
+
+
+def test_components_of_a_path_and_loops(spark):
+    edges = [(k, k + 1) for k in range(50)] + [(100, 100), (7, 7), (200, 201), (200, 201)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{k: 0 for k in range(51)}, 200: 200, 201: 200}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# -- personal data
+
+FORMS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+]
+
+
+def spans_by_hand(text):
+    out = []
+    for k, (kind, form) in enumerate(FORMS):
+        for m in re.finditer(form, text):
+            d = [int(c) for c in m.group() if c in "0123456789"]
+            if kind == "ip" and max(map(int, m.group().split("."))) > 255:
+                continue
+            if kind == "card" and not (14 <= len(d) <= 19 and sum(x if j % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for j, x in enumerate(d[::-1])) % 10 == 0):
+                continue
+            if kind == "phone" and not 10 <= len(d) <= 15:
+                continue
+            out.append((k, *m.span()))
+    return sorted(out, key=lambda s: (s[1], s[0]))
+
+
+def test_patterns_against_plain_regular_expressions(texts):
+    r = random.Random(6)
+    made = ["".join(r.choice(["1", "23", "4.", ".", "@", "a", "-", " ", "+", "(", ")", "b.c", "0", "255", "٣", "é", "%"]) for _ in range(r.randrange(60))) for _ in range(4000)]
+    cards = ["4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (724) 555-7058", "1.2.3.4.5.6.7.8", "256.1.1.1.1", "a@b.c.d@e.f", "a@b@c.d"]
+    for t in [*texts.values(), *made, *cards]:
+        assert pii.patterns(t or "") == spans_by_hand(t or ""), t
+
+
+def test_lstm_gradient_by_differences():
+    rng = np.random.default_rng(0)
+    p = {k: v.astype(np.float64) for k, v in lstmcrf.start(3).items()}
+    x, y = rng.integers(32, 120, (4, 9)).astype(np.int16), rng.integers(0, 3, (4, 9)).astype(np.int8)
+    _, grad = lstmcrf.loss_and_gradient(p, x, y)
+    for name, g in grad.items():
+        flat = int(np.abs(g).argmax())
+        at = np.unravel_index(flat, g.shape)
+        old = p[name][at]
+        p[name][at] = old + 1e-4
+        high, _ = lstmcrf.loss_and_gradient(p, x, y)
+        p[name][at] = old - 1e-4
+        low, _ = lstmcrf.loss_and_gradient(p, x, y)
+        p[name][at] = old
+        assert g[at] == pytest.approx((high - low) / 2e-4, rel=2e-2), name
+
+
+def test_model_adds_what_patterns_miss(spark, docs):
+    model = pii.fit(docs)
+    x, y = pii.training_windows(["these", "are", "other", "words"], 300, seed=99)
+    assert (lstmcrf.decode(model, x) == y).mean() >= 0.95
+    df = spark.createDataFrame([(1, "please call (614) 555-1234 or mail jo.smith7 [at] corp9.example.com soon"), (2, None), (3, "nothing here"), (4, "call +1 (614) 555-1234")], DOCS)
+    rows = {r["doc_id"]: r for r in pii.find(df, model).collect()}
+    assert rows[1]["base"] == [] and len(rows[1]["spans"]) >= 1
+    assert rows[2]["spans"] == rows[3]["spans"] == [] and [s["kind"] for s in rows[4]["base"]] == ["phone"]
+
+
+# -- all: odd rows and empty tables
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_odd_rows(spark, docs, empty):
+    df = odd_docs(spark)
+    df = df.limit(0) if empty else df
+    many = 0 if empty else 9
+    items = spark.createDataFrame([(1, "wörd wörd wörd"), (1, "a b c"), (2, None), (None, "a b c")], "item_id long, text string")
+    labels = spark.createDataFrame([(3, 1), (1, 0), (None, 1), (6, None)], "doc_id long, toxic int")
+    assert linededup.dedup(df).count() == many
+    assert toxicity.score(df, toxicity.fit(df, labels)).where("score between 0 and 1").count() == many
+    found = decontam.find(df, items)
+    assert found.count() == many and found.where(F.size("matches") > 0).count() == (4 if many else 0)
+    assert decontam.find(df, items.limit(0)).where(F.size("matches") > 0).count() == 0
+    assert sentencepieces.digests(sentencepieces.encode(df, MODEL)).count() == many
+    assert simhash.near_duplicates(df).count() == many
+    assert pii.find(df, lstmcrf.start(9)).count() == many
+    assert tokencount.recount(df, F.lit(None), RANKS, public_tokenizers.PATTERN).where("n_before = n_after").count() == many

@@ -1,0 +1,41 @@
+"""Queries with SQL give DuckDB's rows; the pipeline's stages keep what they should."""
+
+import pathlib
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from seqloom.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_as_sql(spark, name):
+    con = duckdb.connect()
+    for p in pathlib.Path(SF).glob("*.parquet"):
+        con.sql(f"create view {p.stem} as select * from read_parquet('{p}')")
+    df = queries.queries()[name](spark, SF)
+    rel = con.sql(queries.oracle_sql()[name])
+    columns, names = sorted(df.columns), list(rel.columns)
+    rows = [dict(zip(names, r)) for r in rel.fetchall()]
+    assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == sorted((tuple(r[c] for c in columns) for r in rows), key=repr)
+
+
+def test_pipeline_stage_by_stage(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").cache()
+    ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
+    scored = queries.op6_toxicity(spark, SF).collect()
+    stages = dict(corpus_pipeline.STAGES)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "SimHash near-dedup", "benchmark decontamination", "SentencePiece encoding and decoding"]
+    for name, stage in list(stages.items())[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        left = {r["doc_id"] for r in out.select("doc_id").collect()}
+        assert left <= ids and len(left) > 0.5 * len(ids)
+        if name == "toxicity":
+            assert left == {r["doc_id"] for r in scored if r["score"] < 0.3}
+        if name == "line dedup":
+            assert left == ids
+    assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
