@@ -3,7 +3,7 @@
 A capture is a response (or a revisit of one with an equal payload) with the request and metadata
 records that name it, or are named by it, as concurrent. Archives are Spark text files whose record
 ends are line separators, so any file system that Spark can write holds them; reading goes by the
-records' own lengths, whatever the payloads hold, and also takes archives of gzip members.
+records' own lengths, whatever the payloads hold, and takes plain archives and those of gzip members.
 """
 
 from __future__ import annotations
@@ -56,17 +56,19 @@ def payload_plan(pages: DataFrame, key: str = "page_id", body: str = "html") ->
     """
     text = F.coalesce(F.col(body).cast("string"), F.lit(""))
     source = pages.withColumns({"__body": text, "__sha1": F.sha1(text)})
+    # one name for key and payload, null keys too, so that payloads are shuffled once: for the join and the window
+    source = source.withColumn("__row", F.md5(F.concat_ws("\n", F.col(key).isNull().cast("string"), F.col(key).cast("string"), "__sha1")))
     # only keys and digests are shuffled to find the copies
-    slim = source.where(F.octet_length("__body") >= REVISIT_BYTES).select(F.col(key).alias("__k"), F.col("__sha1").alias("__s"))
+    slim = source.where(F.octet_length("__body") >= REVISIT_BYTES).select(F.col(key).alias("__k"), F.col("__sha1").alias("__s"), F.col("__row").alias("__r"))
     most = slim.groupBy("__s").agg(F.max("__k").alias("__first"), F.min("__k").alias("low"), F.count(F.lit(1)).alias("n"), F.count("__k").alias("known"))
     most = most.where("__first is not null and (low <> __first or known < n)").select("__s", "__first")
-    later = slim.distinct().join(most, "__s").where(~F.col("__k").eqNullSafe(F.col("__first")))
-    joined = source.join(later, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__sha1") == F.col("__s")), "left").drop("__k", "__s")
-    return joined.withColumn("__nth", F.row_number().over(Window.partitionBy(key, "__sha1").orderBy(key)))
+    later = slim.distinct().join(most, "__s").where(~F.col("__k").eqNullSafe(F.col("__first"))).select("__r", "__first")
+    joined = source.join(later, F.col("__row") == F.col("__r"), "left").drop("__r")
+    return joined.withColumn("__nth", F.row_number().over(Window.partitionBy("__row").orderBy("__row"))).drop("__row")
 
 
 def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", body: str = "html") -> None:
-    """Write request, response (or revisit) and metadata records of every row as archive files under ``path``."""
+    """Write request, response (or revisit) and metadata records of every row as gzipped archive files under ``path``."""
     rows = payload_plan(pages, key, body)
     me, sha1, nth = F.col(key), F.col("__sha1"), F.col("__nth")
     ids = {kind: uuid_of(F.lit(kind), me, sha1, nth) for kind in ("request", "capture", "metadata")}
@@ -84,7 +86,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", b
     note = F.concat(F.lit("page-id: "), F.coalesce(me.cast("string"), F.lit("")), F.lit(END))
     metadata = _record("metadata", ids["metadata"], [("WARC-Concurrent-To", ids["request"]), ("Content-Type", F.lit("application/warc-fields"))], note)
     records = F.array(request, F.when(F.col("__first").isNull(), response).otherwise(revisit), metadata)
-    rows.select(F.explode(records).alias("value")).write.option("lineSep", END + END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    rows.select(F.explode(records).alias("value")).write.option("lineSep", END + END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 def records_in(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
