@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import ann, decontam, linededup, pii, sentencepieces, simhash, tokencount, toxicity, urlfilter, warc
-from seqloom.llm.common import new_path, table
+from seqloom.llm.common import new_path, table, write_table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    found = warc.captures(warc.read(spark, path, content=False))
+    found = warc.captures(write_table(warc.read(spark, path, content=False), "warc_records"))  # archives are parsed once
     page = F.regexp_extract(F.col("metadata")[0]["content"], r"page-id: (-?\d+)", 1)
     rows = found.select("capture_id", "refers_to", "digest", "payload_bytes", "type", F.when(page != "", page.cast("long")).alias("page_id"))
     named = rows.where("type = 'response'").select(F.col("capture_id").alias("refers_to"), F.col("page_id").alias("first"))
