@@ -7,6 +7,10 @@ their outputs differ in few places, and a hash of sampled output places is equal
 Every word of every document starts a window. An item is entered into the tables at each of its
 words, so that an edit spoils only the windows whose walk runs over it; a hit at word a of an item
 lines the whole item up with the document, and the edit distance of the item-sized window decides.
+
+Walks alone miss items that are short or edited as much as the similarity allows. So each item is
+also cut into one piece more than it may have edits: one of them stands unedited in every match, and
+a lookup of exact pieces proposes that match whatever the item's length and wherever the edits are.
 """
 
 from __future__ import annotations
@@ -25,14 +29,17 @@ from seqloom.llm.common import flat, mix, prefix_hashes, slices, span_hashes, wh
 SIMILARITY = 0.8
 #: Output places of a walk, places sampled by one hash, and walks.
 STEPS, SAMPLED, WALKS = 14, 9, 2
-#: Chance of a hit in one table at the least similarity, over all entries of an item (measured 0.944), and the recall aimed at.
+#: Chance of a hit in one table at the least similarity, over all entries of an item (measured 0.944), and the recall aimed at;
+#: the walks come near it for long items only, what they miss is found by its pieces.
 HIT, RECALL = 0.9, 0.9999
+#: Most words of a piece that are looked up; the rest of a longer piece is left to the edit distance.
+PIECE = 8
 #: Items of the broadcast index; more are worked through in blocks of so many.
 BLOCK = 20_000
 
 
 def tables_for(recall: float = RECALL, hit: float = HIT) -> int:
-    """Hash tables that reach the recall, if each hits with the given chance by itself."""
+    """Hash tables that reach the recall for long items with edits at random, if each hits with the given chance by itself."""
     return max(1, ceil(log(1 - recall) / log(1 - hit)))
 
 
@@ -72,11 +79,54 @@ def walk_keys(words: np.ndarray, walks: int, tables: int, stops: np.ndarray | No
             yield mix(keys[t]), at
 
 
+def slack_of(size: int, similarity: float) -> int:
+    """Most edits of an item of so many words."""
+    return int((1 - similarity) * size + 1e-9)
+
+
+def pieces_of(bounds: np.ndarray, similarity: float) -> dict[int, np.ndarray]:
+    """By length, the first words of the items' pieces: one piece more than an item may have edits."""
+    out: dict[int, list[int]] = {}
+    for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        n = end - begin
+        many = min(n, slack_of(n, similarity) + 1)
+        for k in range(many):
+            a, b = begin + n * k // many, begin + n * (k + 1) // many
+            out.setdefault(min(b - a, PIECE), []).append(a)
+    return {n: np.array(a, np.int64) for n, a in out.items()}
+
+
+def piece_keys(words: np.ndarray, lengths: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of the lengths, a key per starting word that has so many words from it on; they may run on to the next text."""
+    keys = np.zeros(len(words), np.uint64)
+    for n in range(1, max(lengths, default=0) + 1):
+        keys = keys[: max(0, len(words) - n + 1)] * np.uint64(0x9E3779B97F4A7C15) + words[n - 1 :]
+        if n in lengths:
+            yield n, mix(keys)
+
+
+class Table:
+    """Sorted keys of item words, with a filter before them."""
+
+    def __init__(self, keys: np.ndarray, rows: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.rows = keys[order], rows[order]
+        self.filter = np.zeros(1 << 20, bool)
+        self.filter[keys >> np.uint64(44)] = True
+
+    def hits(self, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``mine`` and the item words of the same key."""
+        maybe = np.flatnonzero(self.filter[mine >> np.uint64(44)])
+        left, right = np.searchsorted(self.keys, mine[maybe], "left"), np.searchsorted(self.keys, mine[maybe], "right")
+        many = right - left
+        return np.repeat(maybe, many), self.rows[np.repeat(left - np.cumsum(many) + many, many) + np.arange(many.sum())]
+
+
 class Index:
     """The items' words and, by window size, sorted keys with item and word for every table.
 
     Items of STEPS words and more share the windows without an end; shorter ones have windows of
-    their own size, padded behind it.
+    their own size, padded behind it. Pieces have a table per length.
     """
 
     def __init__(self, items: list[tuple], recall: float = RECALL, similarity: float = SIMILARITY):
@@ -88,31 +138,31 @@ class Index:
         self.owner = np.repeat(np.arange(len(items)), np.diff(bounds))
         self.nth = np.arange(len(words)) - bounds[self.owner]
         size = np.diff(bounds)[self.owner]
-        self.tables: list[tuple[int, list]] = []
+        self.tables: list[tuple[int, list[Table]]] = []
         for n in sorted({min(STEPS, k) for k in size.tolist()}, reverse=True):
             own = size >= n if n == STEPS else (size == n) & (self.nth == 0)
             made = []
             for keys, past in walk_keys(words, WALKS, tables_for(recall), None if n == STEPS else np.arange(len(words)) + n):
                 rows = np.flatnonzero(own & (past < bounds[1:][self.owner]) if n == STEPS else own)
-                order = rows[np.argsort(keys[rows])]
-                filter_ = np.zeros(1 << 20, bool)
-                filter_[keys[rows] >> np.uint64(44)] = True
-                made.append((keys[order], order, filter_))
+                made.append(Table(keys[rows], rows))
             self.tables.append((n, made))
+        starts = pieces_of(bounds, similarity)
+        self.pieces = {n: Table(keys[starts[n]], starts[n]) for n, keys in piece_keys(words, set(starts))}
 
 
 def candidates(index: Index, words: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int, int]]:
     """(text, item, word of the text where the item would begin) of all hits in any table."""
     out: set[tuple[int, int, int]] = set()
+
+    def propose(place: np.ndarray, row: np.ndarray) -> None:
+        text = np.searchsorted(bounds, place, side="right") - 1
+        out.update(zip(text.tolist(), index.owner[row].tolist(), (place - index.nth[row] - bounds[text]).tolist()))
+
     for n, made in index.tables:
-        for (keys, rows, filter_), (mine, _) in zip(made, walk_keys(words, WALKS, len(made), None if n == STEPS else np.arange(len(words)) + n)):
-            maybe = np.flatnonzero(filter_[mine >> np.uint64(44)])
-            left, right = np.searchsorted(keys, mine[maybe], "left"), np.searchsorted(keys, mine[maybe], "right")
-            many = right - left
-            place = np.repeat(maybe, many)
-            row = rows[np.repeat(left - np.cumsum(many) + many, many) + np.arange(many.sum())]
-            text = np.searchsorted(bounds, place, side="right") - 1
-            out.update(zip(text.tolist(), index.owner[row].tolist(), (place - index.nth[row] - bounds[text]).tolist()))
+        for table, (mine, _) in zip(made, walk_keys(words, WALKS, len(made), None if n == STEPS else np.arange(len(words)) + n)):
+            propose(*table.hits(mine))
+    for n, mine in piece_keys(words, set(index.pieces)):
+        propose(*index.pieces[n].hits(mine))
     return out
 
 
@@ -143,8 +193,8 @@ def verified(index: Index, words: np.ndarray, bounds: np.ndarray, found: set[tup
     checked: dict[tuple[int, int], int] = {}
     for t, i, begin in sorted(found):
         item = index.words[i]
-        slack = int((1 - index.similarity) * len(item) + 1e-9)
-        if checked.get((t, i), -1) >= begin:  # an earlier window reached as far
+        slack = slack_of(len(item), index.similarity)
+        if (t, i) in checked and checked[t, i] >= begin:  # an earlier window reached as far; words left out may put begin before the text
             continue
         a, b = bounds[t] + max(0, begin - slack), min(bounds[t + 1], bounds[t] + begin + len(item) + 2 * slack)
         if b <= a:

@@ -245,6 +245,27 @@ def test_leaks_against_brute_force(spark, docs, texts):
     assert got == want and len(want) >= len(held)
 
 
+@pytest.mark.parametrize("spread", ["random", "even"])
+def test_leaks_of_every_length_with_all_edits_allowed(spread):
+    import pyarrow as pa
+
+    r = random.Random(11)
+    lengths = [1, 4, 5, 6, 8, 9, 10, 13, 14, 15, 16, 19, 20, 25, 30, 60, 101]
+    held = [[f"w{r.randrange(10**6)}" for _ in range(n)] for n in lengths for _ in range(10)]
+    texts = []
+    for w in held:
+        w, slack = list(w), len(w) // 5
+        places = r.sample(range(len(w)), slack) if spread == "random" else [(2 * k + 1) * len(w) // (2 * slack) for k in range(slack)]
+        for at in sorted(places, reverse=True):  # a word changed, put in or taken out
+            w[at : at + 1] = r.choice([["changed"], [w[at], "added"], []])
+        texts.append(" ".join(["before"] * r.randrange(4) + w + ["after"] * r.randrange(4)))
+    index = decontam.Index(list(enumerate(" ".join(w) for w in held)))
+    words, bounds, _, _ = decontam.hashed_words(pa.array(texts))
+    found = {(t, i) for t, i, *_ in decontam.verified(index, words, bounds, decontam.candidates(index, words, bounds))}
+    missed = [len(w) for t, w in enumerate(held) if (t, t) not in found]
+    assert not missed
+
+
 # -- sentencepiece
 
 
