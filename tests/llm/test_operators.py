@@ -153,6 +153,20 @@ def test_neighbours_reach_the_recall(spark):
     assert [f[1] for f in got[0]] == list(range(100, 110))
 
 
+def test_neighbours_reach_the_recall_past_leaves_and_lists(spark, monkeypatch):
+    """Leaves and first lists as small beside the table as they are beside a large one."""
+    for name, value in (("LEAF", 16), ("ENTRIES", 8), ("BEGIN", 2)):
+        monkeypatch.setattr(ann, name, value)
+    x = np.random.default_rng(1).normal(size=(2040, 48))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(ann.build(df.where("vec_id < 2000")), df.where("vec_id >= 2000"), size=11).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    d = np.sqrt(((x[2000:, None] - x[None, :2000]) ** 2).sum(2))
+    hits = sum(len(got[2000 + q] & set(np.argsort(d[q])[:10].tolist())) for q in range(40))
+    assert hits / 400 >= 0.94
+
+
 def test_neighbours_of_few_and_none(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0])], "vec_id long, embedding array<float>")
     rows = [tuple(r) for r in ann.search(ann.build(df), df.where("vec_id = 1")).orderBy("rank").collect()]
