@@ -1,7 +1,7 @@
 """Personal data: exact patterns, and a character BiLSTM with CRF transitions that adds what they miss.
 
-All kinds hold a digit or an @, so the model reads the windows that do; others are outside by
-definition. Windows overlap by half: every character takes its label from the window in whose middle
+All forms that possible() takes hold a digit or a mark of an e-mail (@, [at], (at)), so the model reads
+the windows around those. Windows overlap by half: every character takes its label from the window in whose middle
 it stands, and spans are read off the labels of the whole text. What the model adds must still be a
 possible value of its kind and lie apart from the patterns' spans.
 """
@@ -34,7 +34,7 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+_TRIGGER = re.compile(r"[0-9@]|\[at\]|\(at\)")
 
 
 def luhn(digits: str) -> bool:
@@ -188,10 +188,12 @@ def fit(docs: DataFrame, text: str = "text", documents: int = DOCUMENTS, windows
 
 
 def _windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points, the numbers of the windows that hold a digit or @, and their symbols."""
+    """Code points, the numbers of the windows that hold a digit or a mark of an e-mail, and their symbols."""
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     half = WIDTH // 2
     hit = np.flatnonzero((points == 64) | (points >= 48) & (points <= 57))
+    if "[at]" in text or "(at)" in text:  # their first and last characters, as a mark may lie over two windows
+        hit = np.concatenate([hit, *((m.start(), m.end() - 1) for m in _TRIGGER.finditer(text) if m.end() - m.start() > 1)])
     # window k spans half * (k - 1) to half * (k + 1)
     which = np.unique(np.concatenate([hit // half, hit // half + 1]))
     padded = np.full((len(points) // half + 3) * half, lstmcrf.PAD, np.int16)

@@ -411,6 +411,18 @@ def test_model_adds_what_patterns_miss(spark, docs):
     assert rows[2]["spans"] == rows[3]["spans"] == [] and [s["kind"] for s in rows[4]["base"]] == ["phone"]
 
 
+def test_mails_without_a_digit_or_at_sign_are_read():
+    words = "the of and river tree house walks under green hills jane doe".split()
+    model = lstmcrf.train(*pii.training_windows(words), 1 + 2 * len(pii.KINDS))
+    for mark in ("[at]", "(at)"):
+        for pad in (0, 15, 27, 30, 40):  # in one window, and over the bounds of two
+            text = "the river " * 20 + "x" * pad + f" jane.doe{mark}mail.example.com " + "under the green hills " * 20
+            begin = text.index("jane")
+            end = text.index(".com") + 4
+            _, (spans,) = pii.find_in([text], model)
+            assert any(k == 0 and a < text.index(mark) and b >= end - 4 and begin <= a and b <= end for k, a, b in spans), (mark, pad, spans)
+
+
 # -- all: odd rows and empty tables
 
 
