@@ -1,82 +1,86 @@
-"""Benchmark decontamination: CGK embeddings of word windows, bit-sampled LSH, exact edit distance.
+"""Benchmark decontamination: CGK embeddings of item-sized windows, bit-sampled LSH, exact edit distance.
 
 A CGK walk reads a sequence with one pointer: step j puts out the word under the pointer and moves
 on or stays by a random bit of (j, word). Sequences at a small edit distance fall back into step, so
 their outputs differ in few places, and a hash of sampled output places is equal with good chance.
 
-Every word of every document starts a window. An item is entered into the tables at each of its
-words, so that an edit spoils only the windows whose walk runs over it; a hit at word a of an item
-lines the whole item up with the document, and the edit distance of the item-sized window decides.
-
-Walks alone miss items that are short or edited as much as the similarity allows. So each item is
-also cut into one piece more than it may have edits: one of them stands unedited in every match, and
-a lookup of exact pieces proposes that match whatever the item's length and wherever the edits are.
+A window of an item's size is embedded by the walks from each of its words, so that an edit spoils
+only the walks that run over it; one hash samples the outputs of one of them. Every word of every
+document starts walks too. A hit at word a of an item lines the whole item up with the document, and
+the edit distance of the item-sized window decides. How many independent walks an item gets follows
+from its size, by hit rates measured with as many edits as the similarity allows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from math import ceil, log
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import flat, mix, prefix_hashes, slices, span_hashes, whole_text, words_of
+from seqloom.llm.common import Carried, drop_table, flat, mix, quoted, range_hashes, words_of, write_table
 
 #: Least similarity of a window: 1 - edits / words of the item.
 SIMILARITY = 0.8
-#: Output places of a walk, places sampled by one hash, and walks.
-STEPS, SAMPLED, WALKS = 14, 9, 2
-#: Chance of a hit in one table at the least similarity, over all entries of an item (measured 0.944), and the recall aimed at;
-#: the walks come near it for long items only, what they miss is found by its pieces.
-HIT, RECALL = 0.9, 0.9999
-#: Most words of a piece that are looked up; the rest of a longer piece is left to the edit distance.
-PIECE = 8
-#: Items of the broadcast index; more are worked through in blocks of so many.
+#: Output places of a walk, and places sampled by its hash.
+STEPS, SAMPLED = 6, 4
+#: Recall aimed at over an item's walks.
+RECALL = 0.9999
+#: By least words of an item: words that a hash must have sampled (fewer would hit everywhere), and the chance that one walk
+#: finds the item with all edits allowed, at random or even places, whichever is less (measured 0.51, 0.73 and 0.95 on 200 items a size).
+RATES = [(5, 2, 0.5), (9, 3, 0.7), (20, 3, 0.9)]
+#: Items of one broadcast index; more are worked through in blocks of about so many.
 BLOCK = 20_000
 
 
-def tables_for(recall: float = RECALL, hit: float = HIT) -> int:
-    """Hash tables that reach the recall for long items with edits at random, if each hits with the given chance by itself."""
-    return max(1, ceil(log(1 - recall) / log(1 - hit)))
+def class_of(size: int) -> int:
+    """The row of RATES for an item of so many words; -1 for items of less, which may have no edits and have windows of their own size."""
+    return sum(size >= least for least, _, _ in RATES) - 1
+
+
+def walks_for(size: int, recall: float = RECALL) -> int:
+    """Independent walks with which items of so many words reach the recall; one is enough where no edit is allowed."""
+    k = class_of(size)
+    return 1 if k < 0 else max(1, ceil(log(1 - recall) / log(1 - RATES[k][2])))
 
 
 def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A 64-bit hash per word, the texts' bounds in words, and the words' byte starts and ends."""
     buf, off = flat(texts)
     low, starts, ends, bounds = words_of(buf, off)
-    return span_hashes(prefix_hashes(low), starts, ends), bounds, starts, ends
+    return range_hashes(low, starts, ends), bounds, starts, ends
 
 
-def walk_keys(words: np.ndarray, walks: int, tables: int, stops: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For every table, one key per starting word, and past which word its walk has read.
+def walk_keys(words: np.ndarray, walk: int, size: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one walk from every word: the hash of its sampled outputs, the words sampled, and past which word it has read.
 
-    Words from a start's stop on read as one padding symbol; without stops walks run on to the next text.
+    With a ``size``, windows are of so many words and what is behind them reads as one padding symbol.
     """
     n = len(words)
     padded = np.concatenate([words, np.zeros(STEPS + 1, np.uint64)])
-    for walk in range(walks):
-        rng = np.random.default_rng(1000 + walk)
-        draws = rng.integers(1, 2**63, STEPS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-        mine = [t for t in range(tables) if t % walks == walk]
-        picks = {t: set(np.random.default_rng(5000 + t).choice(STEPS, SAMPLED, replace=False).tolist()) for t in mine}
-        keys = {t: np.full(n, t + 1, np.uint64) for t in mine}
-        at = np.arange(n)
-        for j in range(STEPS):
-            seen = padded[at]
-            if stops is not None:
-                seen[at >= stops] = 0
-            for t in mine:
-                if j in picks[t]:
-                    keys[t] *= np.uint64(0x9E3779B97F4A7C15)
-                    keys[t] += seen
-            seen *= draws[j]
-            seen >>= np.uint64(63)
-            at += seen.view(np.int64)
-        for t in mine:
-            yield mix(keys[t]), at
+    rng = np.random.default_rng(1000 + walk)
+    draws = rng.integers(1, 2**63, STEPS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    picks = set(np.random.default_rng(5000 + walk).choice(STEPS, SAMPLED, replace=False).tolist())
+    keys, seen_words, last = np.full(n, walk + 1, np.uint64), np.zeros(n, np.int8), np.full(n, -1)
+    at = np.arange(n)
+    stops = None if size is None else at + size
+    for j in range(STEPS):
+        seen = padded[at]
+        if stops is not None:
+            seen[at >= stops] = 0
+        if j in picks:
+            keys *= np.uint64(0x9E3779B97F4A7C15)
+            keys += seen
+            seen_words += at != last
+            last = at.copy()
+        seen *= draws[j]
+        seen >>= np.uint64(63)
+        at += seen.view(np.int64)
+    return mix(keys), seen_words, at
 
 
 def slack_of(size: int, similarity: float) -> int:
@@ -84,50 +88,25 @@ def slack_of(size: int, similarity: float) -> int:
     return int((1 - similarity) * size + 1e-9)
 
 
-def pieces_of(bounds: np.ndarray, similarity: float) -> dict[int, np.ndarray]:
-    """By length, the first words of the items' pieces: one piece more than an item may have edits."""
-    out: dict[int, list[int]] = {}
-    for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        n = end - begin
-        many = min(n, slack_of(n, similarity) + 1)
-        for k in range(many):
-            a, b = begin + n * k // many, begin + n * (k + 1) // many
-            out.setdefault(min(b - a, PIECE), []).append(a)
-    return {n: np.array(a, np.int64) for n, a in out.items()}
-
-
-def piece_keys(words: np.ndarray, lengths: set[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each of the lengths, a key per starting word that has so many words from it on; they may run on to the next text."""
-    keys = np.zeros(len(words), np.uint64)
-    for n in range(1, max(lengths, default=0) + 1):
-        keys = keys[: max(0, len(words) - n + 1)] * np.uint64(0x9E3779B97F4A7C15) + words[n - 1 :]
-        if n in lengths:
-            yield n, mix(keys)
-
-
 class Table:
     """Sorted keys of item words, with a filter before them."""
 
     def __init__(self, keys: np.ndarray, rows: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.rows = keys[order], rows[order]
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[keys >> np.uint64(44)] = True
+        self.filter = np.zeros(1 << 18, bool)
+        self.filter[keys >> np.uint64(46)] = True
 
     def hits(self, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``mine`` and the item words of the same key."""
-        maybe = np.flatnonzero(self.filter[mine >> np.uint64(44)])
+        maybe = np.flatnonzero(self.filter[mine >> np.uint64(46)])
         left, right = np.searchsorted(self.keys, mine[maybe], "left"), np.searchsorted(self.keys, mine[maybe], "right")
         many = right - left
         return np.repeat(maybe, many), self.rows[np.repeat(left - np.cumsum(many) + many, many) + np.arange(many.sum())]
 
 
 class Index:
-    """The items' words and, by window size, sorted keys with item and word for every table.
-
-    Items of STEPS words and more share the windows without an end; shorter ones have windows of
-    their own size, padded behind it. Pieces have a table per length.
-    """
+    """The items' words and a table per walk; items of less words than any of RATES have tables per size."""
 
     def __init__(self, items: list[tuple], recall: float = RECALL, similarity: float = SIMILARITY):
         self.ids = [i for i, _ in items]
@@ -137,33 +116,29 @@ class Index:
         self.sets = [set(w.tolist()) for w in self.words]
         self.owner = np.repeat(np.arange(len(items)), np.diff(bounds))
         self.nth = np.arange(len(words)) - bounds[self.owner]
-        size = np.diff(bounds)[self.owner]
-        self.tables: list[tuple[int, list[Table]]] = []
-        for n in sorted({min(STEPS, k) for k in size.tolist()}, reverse=True):
-            own = size >= n if n == STEPS else (size == n) & (self.nth == 0)
-            made = []
-            for keys, past in walk_keys(words, WALKS, tables_for(recall), None if n == STEPS else np.arange(len(words)) + n):
-                rows = np.flatnonzero(own & (past < bounds[1:][self.owner]) if n == STEPS else own)
-                made.append(Table(keys[rows], rows))
-            self.tables.append((n, made))
-        starts = pieces_of(bounds, similarity)
-        self.pieces = {n: Table(keys[starts[n]], starts[n]) for n, keys in piece_keys(words, set(starts))}
-
-
-def candidates(index: Index, words: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int, int]]:
-    """(text, item, word of the text where the item would begin) of all hits in any table."""
-    out: set[tuple[int, int, int]] = set()
-
-    def propose(place: np.ndarray, row: np.ndarray) -> None:
+        sizes = np.diff(bounds)
+        size = sizes[self.owner]
+        least = np.array([RATES[class_of(n)][1] for n in range(size.max(initial=0) + 1)])[size]
+        walks = np.array([walks_for(n, recall) for n in range(size.max(initial=0) + 1)])[size]
+        whole = size >= RATES[0][0]
+        self.tables: list[tuple[int | None, int, Table]] = []  # window size, walk, table
+        for walk in range(int(walks[whole].max(initial=0))):
+            keys, told, past = walk_keys(words, walk)
+            rows = np.flatnonzero(whole & (walks > walk) & (told >= least) & (past < bounds[1:][self.owner]))
+            self.tables.append((None, walk, Table(keys[rows], rows)))
+        for n in np.unique(size[~whole]).tolist():
+            rows = np.flatnonzero((size == n) & (self.nth == 0))
+            self.tables.append((n, 0, Table(walk_keys(words, 0, n)[0][rows], rows)))
+
+
+def candidates(index: Index, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Rows (text, item, word of the text where the item would begin), sorted, of all hits in any table."""
+    out = [np.zeros((0, 3), np.int64)]
+    for size, walk, table in index.tables:
+        place, row = table.hits(walk_keys(words, walk, size)[0])
         text = np.searchsorted(bounds, place, side="right") - 1
-        out.update(zip(text.tolist(), index.owner[row].tolist(), (place - index.nth[row] - bounds[text]).tolist()))
-
-    for n, made in index.tables:
-        for table, (mine, _) in zip(made, walk_keys(words, WALKS, len(made), None if n == STEPS else np.arange(len(words)) + n)):
-            propose(*table.hits(mine))
-    for n, mine in piece_keys(words, set(index.pieces)):
-        propose(*index.pieces[n].hits(mine))
-    return out
+        out.append(np.unique(np.stack([text, index.owner[row], place - index.nth[row] - bounds[text]], 1), axis=0))
+    return np.unique(np.concatenate(out), axis=0)
 
 
 def edits(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
@@ -187,63 +162,94 @@ def edits(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(begin[end]), end
 
 
-def verified(index: Index, words: np.ndarray, bounds: np.ndarray, found: set[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, first word, past-last word, edits) of the candidates within the similarity: for each text and item the closest."""
-    best: dict[tuple[int, int], tuple] = {}
-    checked: dict[tuple[int, int], int] = {}
-    for t, i, begin in sorted(found):
+def verified(index: Index, words: np.ndarray, bounds: np.ndarray, found: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(text, item, first word, past-last word, edits) of the candidates within the similarity: for each text and item the
+    closest place, and every other that overlaps none closer."""
+    places: dict[tuple[int, int], set] = {}
+    reached: dict[tuple[int, int], int] = {}
+    for t, i, begin in found.tolist():
         item = index.words[i]
         slack = slack_of(len(item), index.similarity)
-        if (t, i) in checked and checked[t, i] >= begin:  # an earlier window reached as far; words left out may put begin before the text
+        if reached.get((t, i), begin - 1) >= begin:  # the window before reached as far
             continue
-        a, b = bounds[t] + max(0, begin - slack), min(bounds[t + 1], bounds[t] + begin + len(item) + 2 * slack)
+        # begins up to the slack further on fall into one window
+        a, b = max(0, begin - slack), min(bounds[t + 1] - bounds[t], begin + len(item) + 2 * slack)
         if b <= a:
             continue
-        checked[t, i] = begin + slack
+        reached[t, i] = begin + slack
+        window = words[bounds[t] + a : bounds[t] + b]
         # each word of the item that the window lacks is an edit
-        if len(index.sets[i].difference(words[a:b].tolist())) > slack:
+        if len(index.sets[i].difference(window.tolist())) > slack:
             continue
-        cost, first, end = edits(item, words[a:b])
+        cost, first, end = edits(item, window)
         if cost <= slack:
-            row = (cost, int(a - bounds[t]) + first, int(a - bounds[t]) + end)
-            best[t, i] = min(best.get((t, i), row), row)
-    return [(t, i, first, end, cost) for (t, i), (cost, first, end) in best.items()]
+            places.setdefault((t, i), set()).add((cost, a + first, a + end))
+    out = []
+    for (t, i), some in places.items():
+        taken: list[tuple[int, int]] = []
+        for cost, first, end in sorted(some):
+            if all(end <= a or b <= first for a, b in taken):
+                taken.append((first, end))
+                out.append((t, i, first, end, cost))
+    return out
+
+
+#: The index that this worker used last.
+_held: dict[str, Index] = {}
 
 
-def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """Add ``matches`` to ``docs``: an array of (item, start, end, edits), by item; empty where nothing is found.
+def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """Add ``matches`` to ``docs``: an array of (item, start, end, edits), by item and start; empty where nothing is found.
 
     start and end are the byte places of the matched words in the UTF-8 text; words are runs of
-    letters, digits and non-ASCII characters with A-Z lower-cased. Null and empty texts match nothing;
-    items without words, or with a null id, are never found. Of repeated item ids every text counts.
-    A column named matches is replaced, repeated rows stay. Items are read to the driver in blocks of
-    BLOCK and broadcast, as a benchmark is small beside a corpus; more items take more passes.
+    letters, digits and non-ASCII characters with A-Z lower-cased. An item counts at each place where
+    it stands. Null and empty texts match nothing; items without words, or with a null id, are never
+    found. Of repeated item ids every text counts. A column named matches is replaced, repeated rows
+    stay. Items are broadcast in blocks of about ``block``, one at a time: a larger benchmark takes a
+    pass over the documents for each block, written between them.
     """
-    kept = [c for c in docs.columns if c.lower() not in ("matches", "__text")]
-    kind = items.schema[item].dataType.simpleString()
-    rows = items.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(item, item_text).distinct()
-    rows = [r for r in rows.toLocalIterator() if r[1] and words_of(*flat(pa.array([r[1]])))[1].size]
-    rows.sort(key=lambda r: (r[0], r[1]))
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(rows[k : k + BLOCK]) for k in range(0, len(rows), BLOCK)]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], whole_text(text).alias("__text"))
-    empty = F.array().cast(f"array<struct<item:{kind},start:int,end:int,edits:int>>")
-    schema = source.drop("__text").withColumn("matches", empty).schema
-    arrow = pa.list_(pa.struct([("item", pa.from_numpy_dtype(np.int64) if kind in ("bigint", "long") else pa.int32() if kind == "int" else pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
+    rows = items.where(quoted(item).isNotNull() & quoted(item_text).isNotNull()).select(quoted(item).alias("id"), quoted(item_text).cast("string").alias("text")).distinct()
+    kind = docs.sparkSession.createDataFrame([], rows.schema).select(F.array(F.struct(F.col("id").alias("item"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("edits"))).alias("m")).schema["m"].dataType
+    blocks = max(1, -(-rows.count() // block))
+    before = docs.select(*[quoted(c) for c in docs.columns if c.lower() != "matches"]).withColumn("matches", F.array().cast(kind))
+    for k in range(blocks):
+        some = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
+        after = _pass(before, sorted((tuple(r) for r in some.collect()), key=lambda r: (r[0], r[1])), text, kind, similarity, recall)
+        if k + 1 < blocks:
+            after = write_table(after, "leaks")
+            if k:
+                drop_table(before)
+        before = after
+    return before
+
+
+def _pass(docs: DataFrame, rows: list[tuple], text: str, kind, similarity: float, recall: float) -> DataFrame:
+    """``docs`` with the matches of one block of items added to those that there are."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    carried = Carried(docs, text, [("matches", kind)], [F.col("matches")])
+    shared = docs.sparkSession.sparkContext.broadcast(rows)
+    arrow, token = to_arrow_type(kind), uuid4().hex
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes = [Index(b.value, recall, similarity) for b in shared]
-        for part in slices(batches, "__text"):
-            k = part.schema.get_field_index("__text")
-            words, bounds, starts, ends = hashed_words(part.column(k))
-            _, off = flat(part.column(k))
-            out: list[list[dict]] = [[] for _ in range(part.num_rows)]
-            for index in indexes:
-                for t, i, first, end, cost in verified(index, words, bounds, candidates(index, words, bounds)):
-                    at = bounds[t]
-                    out[t].append({"item": index.ids[i], "start": int(starts[at + first] - off[t]), "end": int(ends[at + end - 1] - off[t]), "edits": cost})
-            for found in out:
-                found.sort(key=lambda m: (m["item"], m["start"]))
-            yield pa.RecordBatch.from_arrays([*(c for j, c in enumerate(part.columns) if j != k), pa.array(out, arrow)], names=[*kept, "matches"])
-
-    return source.mapInArrow(work, schema)
+        if token not in _held:
+            _held.clear()
+            _held[token] = Index([r for r in shared.value if words_of(*flat(pa.array([r[1]])))[1].size], recall, similarity)
+        index = _held[token]
+        for part, texts in carried.slices(batches):
+            words, bounds, starts, ends = hashed_words(texts)
+            off = flat(texts)[1]
+            found = verified(index, words, bounds, candidates(index, words, bounds))
+            old = part.column(carried.more)
+            if not found:
+                yield carried.batch(part, [old])
+                continue
+            out = old.to_pylist()
+            for t, i, first, end, cost in found:
+                at = bounds[t]
+                out[t].append({"item": index.ids[i], "start": int(starts[at + first] - off[t]), "end": int(ends[at + end - 1] - off[t]), "edits": cost})
+            for t in {f[0] for f in found}:
+                out[t].sort(key=lambda m: (m["item"], m["start"]))
+            yield carried.batch(part, [pa.array(out, arrow)])
+
+    return carried.source.mapInArrow(work, carried.schema)
