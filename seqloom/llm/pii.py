@@ -1,9 +1,13 @@
 """Personal data: exact patterns, and a character BiLSTM with CRF transitions that adds what they miss.
 
-All forms that possible() takes hold a digit or a mark of an e-mail (@, [at], (at)), so the model reads
-the windows around those. Windows overlap by half: every character takes its label from the window in whose middle
-it stands, and spans are read off the labels of the whole text. What the model adds must still be a
-possible value of its kind and lie apart from the patterns' spans.
+Windows overlap by half: every character takes its label from the window in whose middle it stands,
+and spans are read off the labels of the whole text. What the model adds must still be a possible value
+of its kind and lie apart from the patterns' spans.
+
+All forms that possible() takes hold a trigger: a digit or a mark of an e-mail (@, [at], (at)). So a
+span counts only if it holds one, and the windows in whose middle no trigger stands matter only where a
+span reaches into them. Those around triggers are read first, then, as long as a span is open at the
+edge of what has been read, the windows behind that edge: the spans are those of reading every window.
 """
 
 from __future__ import annotations
@@ -15,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from seqloom.llm import lstmcrf
-from seqloom.llm.common import slices, whole_text
+from seqloom.llm.common import Carried, whole_text
 
 #: Kinds in the order of the result; labels are 0 (none), then begin and inside of each.
 KINDS = ("email", "ip", "card", "phone")
@@ -187,32 +192,60 @@ def fit(docs: DataFrame, text: str = "text", documents: int = DOCUMENTS, windows
 # -- decoding
 
 
-def _windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points, the numbers of the windows that hold a digit or a mark of an e-mail, and their symbols."""
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    half = WIDTH // 2
-    hit = np.flatnonzero((points == 64) | (points >= 48) & (points <= 57))
-    if "[at]" in text or "(at)" in text:  # their first and last characters, as a mark may lie over two windows
-        hit = np.concatenate([hit, *((m.start(), m.end() - 1) for m in _TRIGGER.finditer(text) if m.end() - m.start() > 1)])
-    # window k spans half * (k - 1) to half * (k + 1)
-    which = np.unique(np.concatenate([hit // half, hit // half + 1]))
-    padded = np.full((len(points) // half + 3) * half, lstmcrf.PAD, np.int16)
-    padded[half : half + len(points)] = lstmcrf.symbols(points)
-    return points, which, padded[which[:, None] * half + np.arange(WIDTH)[None, :]]
-
-
-def reconcile(length: int, which: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """One label per character of the text: from the window in whose middle half it stands, else from the other."""
-    half, quarter = WIDTH // 2, WIDTH // 4
-    out = np.zeros((len(which) and int(which[-1]) + 3) * half, np.int8)
-    for middle in (False, True):
-        for k, row in zip(which.tolist(), labels):
-            at = k * half
-            if middle:
-                out[at + quarter : at + WIDTH - quarter] = row[quarter : WIDTH - quarter]
-            else:
-                out[at : at + WIDTH] = row
-    return np.pad(out, (0, max(0, half + length - len(out))))[half : half + length]
+class Reading:
+    """The windows of one text: window k covers half windows k - 1 and k, and labels the middle of that stretch."""
+
+    HALF, QUARTER = WIDTH // 2, WIDTH // 4
+
+    def __init__(self, text: str, every: bool = False):
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        self.length = len(points)
+        # a window's middle begins a quarter behind its begin; window 0 begins half a window before the text
+        self.many = (self.length + self.QUARTER) // self.HALF + 1
+        self.padded = np.full((self.many + 2) * self.HALF, lstmcrf.PAD, np.int16)
+        self.padded[self.HALF : self.HALF + self.length] = lstmcrf.symbols(points)
+        self.labels = np.full(self.length, -1, np.int8)
+        if every:
+            self.want = np.arange(self.many)
+            return
+        hit = np.flatnonzero((points == 64) | (points >= 48) & (points <= 57))
+        if "[at]" in text or "(at)" in text:
+            hit = np.concatenate([hit, *(np.arange(*m.span()) for m in _TRIGGER.finditer(text) if m.end() - m.start() > 1)])
+        self.want = np.unique(self.window(hit))
+
+    def window(self, at: np.ndarray) -> np.ndarray:
+        """The window in whose middle a character stands."""
+        return (at + self.QUARTER) // self.HALF
+
+    def rows(self) -> np.ndarray:
+        return self.padded[self.want[:, None] * self.HALF + np.arange(WIDTH)[None, :]]
+
+    def take(self, labels: np.ndarray) -> None:
+        """Keep the labels of the wanted windows' middles; then want those that a span at an edge may reach into."""
+        at = self.want[:, None] * self.HALF - self.QUARTER + np.arange(self.HALF)[None, :]
+        mid = labels[:, self.QUARTER : WIDTH - self.QUARTER]
+        there = (at >= 0) & (at < self.length)
+        self.labels[at[there]] = mid[there]
+        known = self.labels >= 0
+        # a span goes on behind a labelled character, and one may begin before an inside label
+        after = np.flatnonzero(known[:-1] & ~known[1:] & (self.labels[:-1] > 0)) + 1
+        before = np.flatnonzero(~known[:-1] & known[1:] & (self.labels[1:] > 0))
+        self.want = np.unique(self.window(np.concatenate([after, before])))
+
+
+def read(readings: list[Reading], model: lstmcrf.Params) -> list[np.ndarray]:
+    """Labels of all characters; 0 where no span that counts can stand."""
+    todo = [r for r in readings if len(r.want)]
+    while todo:
+        rows = np.concatenate([r.rows() for r in todo])
+        labels = np.concatenate([lstmcrf.decode(model, rows[j : j + 1024]) for j in range(0, len(rows), 1024)])
+        at = 0
+        for r in todo:
+            n = len(r.want)
+            r.take(labels[at : at + n])
+            at += n
+        todo = [r for r in todo if len(r.want)]
+    return [np.maximum(r.labels, 0) for r in readings]
 
 
 def spans_of(labels: np.ndarray) -> list[Span]:
@@ -251,37 +284,27 @@ def find(docs: DataFrame, model: lstmcrf.Params, text: str = "text") -> DataFram
     base holds the spans of the patterns, spans those and what the model adds. Null and empty texts
     have none. Columns of those names are replaced, repeated rows stay.
     """
-    kept = [c for c in docs.columns if c.lower() not in ("base", "spans", "__text")]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], whole_text(text).alias("__text"))
-    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    schema = source.drop("__text").withColumns({"base": none, "spans": none}).schema
+    kind = ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
+    carried = Carried(docs, text, [("base", kind), ("spans", kind)])
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "__text"):
-            k = part.schema.get_field_index("__text")
-            base, more = find_in(part.column(k).to_pylist(), shared.value)
-            shown = [pa.array([[{"kind": KINDS[q], "start": a, "end": b} for q, a, b in row] for row in rows], arrow) for rows in (base, more)]
-            yield pa.RecordBatch.from_arrays([*(c for j, c in enumerate(part.columns) if j != k), *shown], names=[*kept, "base", "spans"])
+        for part, texts in carried.slices(batches):
+            base, more = find_in(texts.to_pylist(), shared.value)
+            yield carried.batch(part, [pa.array([[{"kind": KINDS[q], "start": a, "end": b} for q, a, b in row] for row in rows], arrow) for rows in (base, more)])
 
-    return source.mapInArrow(work, schema)
+    return carried.source.mapInArrow(work, carried.schema)
 
 
-def find_in(texts: list[str], model: lstmcrf.Params) -> tuple[list[list[Span]], list[list[Span]]]:
-    """Spans of the patterns, and all spans, of every text."""
+def find_in(texts: list[str], model: lstmcrf.Params, every: bool = False) -> tuple[list[list[Span]], list[list[Span]]]:
+    """Spans of the patterns, and all spans, of every text; ``every`` reads all windows, to the same result."""
     base: list[list[Span]] = [[] for _ in texts]
-    every: list[list[Span]] = [[] for _ in texts]
-    todo = [t for t, s in enumerate(texts) if _TRIGGER.search(s)]
+    spans: list[list[Span]] = [[] for _ in texts]
+    todo = [t for t, s in enumerate(texts) if every or _TRIGGER.search(s)]
     for k in range(0, len(todo), 64):
         some = todo[k : k + 64]
-        seen = [_windows(texts[t]) for t in some]
-        rows = np.concatenate([x for _, _, x in seen])
-        labels = np.concatenate([lstmcrf.decode(model, rows[j : j + 1024]) for j in range(0, len(rows), 1024)])
-        at = 0
-        for t, (points, which, x) in zip(some, seen):
+        for t, labels in zip(some, read([Reading(texts[t], every) for t in some], model)):
             base[t] = patterns(texts[t])
-            chars = reconcile(len(points), which, labels[at : at + len(x)])
-            at += len(x)
-            every[t] = sorted(base[t] + added(texts[t], base[t], chars), key=lambda s: (s[1], s[0], s[2]))
-    return base, every
+            spans[t] = sorted(base[t] + added(texts[t], base[t], labels), key=lambda s: (s[1], s[0], s[2]))
+    return base, spans
