@@ -15,14 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from seqloom.llm.common import slices, whole_text, write_table
+from seqloom.llm.common import Carried, fresh, quoted, whole_text, write_table
 from seqloom.llm.components import components
 
 #: Differing bits at which fingerprints link.
 RADIUS = 3
-#: Residents that a shard is meant to hold, and the fingerprints sampled for the tree over shards.
-SHARD, SAMPLE = 8192, 1 << 15
+#: Residents that a shard is meant to hold (few large shards are visited less often), the most that one is worked on with,
+#: and the fingerprints sampled of one that is parted.
+SHARD, MOST, SAMPLE = 1 << 15, 1 << 17, 1 << 12
 #: Residents of a leaf inside a shard.
 LEAF = 192
 #: For each byte, its eight bits as eight 8-bit lanes of a word.
@@ -59,18 +61,22 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """``key, fp``: the 64-bit fingerprint (as a signed long) of every whole text; 0 where it has no words."""
-    source = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"))
-    schema = source.select("key", F.lit(0).cast("long").alias("fp")).schema
+def with_fingerprint(docs: DataFrame, text: str = "text", words: int = 3, name: str = "fp") -> DataFrame:
+    """``docs`` with the 64-bit fingerprint (as a signed long) of every whole text; 0 where it has no words."""
+    carried = Carried(docs, text, [(name, LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            found = [np.array(shingle_hashes(t, words), np.uint64) for t in part.column(1).cast(pa.binary()).to_pylist()]
+        for part, texts in carried.slices(batches):
+            found = [np.array(shingle_hashes(t, words), np.uint64) for t in texts.cast(pa.binary()).to_pylist()]
             bits = majority(np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bits.view(np.int64))], names=["key", "fp"])
+            yield carried.batch(part, [pa.array(bits.view(np.int64))])
+
+    return carried.source.mapInArrow(work, carried.schema)
+
 
-    return source.mapInArrow(work, schema).withColumnRenamed("key", key)
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
+    """``key, fp`` of every row."""
+    return with_fingerprint(docs.select(quoted(key), quoted(text)), text, words).select(quoted(key), "fp")
 
 
 def _distance(points: np.ndarray, pivot: np.uint64) -> np.ndarray:
@@ -79,10 +85,10 @@ def _distance(points: np.ndarray, pivot: np.uint64) -> np.ndarray:
 
 def _pivot(points: np.ndarray) -> tuple[np.uint64, int] | None:
     """The vantage point whose split lets the fewest fingerprints reach over it, and the median; None if nothing splits."""
-    step = max(1, len(points) // 8)
+    step = max(1, len(points) // 16)
     looked = points[:: max(1, len(points) // 2048)]
     best = None
-    for pivot in points[::step][:8]:
+    for pivot in points[::step][:16]:
         d = _distance(looked, pivot)
         mid = int(np.median(d))
         if d.max() == mid:
@@ -126,10 +132,11 @@ def shard_tree(sample: np.ndarray, shards: int) -> list[tuple]:
     return [tuple(n) for n in nodes]
 
 
-def route(nodes: list[tuple], points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (shard, number of the point, home): each point once at home, and once in every shard that it visits."""
+def route(nodes: list[tuple], points: np.ndarray, radius: int = RADIUS, visiting: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (shard, number of the point, home): each point once at home, and once in every shard that it visits; those that
+    are ``visiting`` already have no home."""
     everyone = np.arange(len(points))
-    todo = [(0 if nodes else -1, everyone, len(points))]
+    todo = [(0 if nodes else -1, everyone, 0 if visiting else len(points))]
     shards, who, home = [], [], []
     while todo:
         ref, ids, n = todo.pop()
@@ -189,25 +196,64 @@ def _forest(points: np.ndarray, residents: int, radius: int) -> tuple[np.ndarray
     return moved, ends[moved]
 
 
+def _sharded(distinct: DataFrame, radius: int) -> DataFrame:
+    """``shard, fp, home``: every fingerprint once at home, and once in every shard that its ball may reach.
+
+    A shard with more than MOST residents is parted by a tree over a sample of them, round by round, so
+    that no shard grows with the corpus. Samples have some 2 * SAMPLE fingerprints of each such shard.
+    """
+    spark = distinct.sparkSession
+    rows = distinct.select(F.lit(0).cast("long").alias("shard"), "fp", F.lit(True).alias("home"))
+    large, made, stuck = {0: distinct.count()}, 1, set()
+    while large:
+        share = F.create_map(*[F.lit(x) for s, n in large.items() for x in (s, min(1.0, 2 * SAMPLE / max(1, n)))])
+        held = rows.where(F.col("home") & F.col("shard").isin(*large)).where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) <= share[F.col("shard")] * (1 << 30))
+        sample: dict[int, list[int]] = {}
+        for r in held.select("shard", "fp").toLocalIterator():
+            sample.setdefault(r["shard"], []).append(r["fp"])
+        trees = {}
+        for shard, n in large.items():
+            tree = shard_tree(np.array(sample.get(shard, []), np.int64).view(np.uint64), min(-(-n // SHARD), SAMPLE // 8))
+            if tree:
+                trees[shard] = (tree, made)
+                made += len(tree) + 1
+            else:
+                stuck.add(shard)  # nothing parts it: as good as equal
+        if not trees:
+            return rows
+        shared = spark.sparkContext.broadcast(trees)
+
+        def scatter(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                old, points, home = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+                parts = [np.flatnonzero(~np.isin(old, list(shared.value)))]
+                out = [(old[parts[0]], points[parts[0]], home[parts[0]])]
+                for shard, (tree, first) in shared.value.items():
+                    mine = np.flatnonzero(old == shard)
+                    for own in (mine[home[mine]], mine[~home[mine]]):  # visitors have no home here either
+                        for k in range(0, len(own), 4096):
+                            at = own[k : k + 4096]
+                            where, who, there = route(tree, points[at].view(np.uint64), radius, visiting=not home[own[0]])
+                            out.append((where + first, points[at][who], there))
+                shard, fp, home = (np.concatenate(c) for c in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), pa.array(fp), pa.array(home.astype(bool))], names=["shard", "fp", "home"])
+
+        rows = rows.mapInArrow(scatter, "shard long, fp long, home boolean")
+        if max(large.values()) <= MOST:
+            return rows
+        rows = write_table(rows, "shards")
+        large = {r["shard"]: r["n"] for r in rows.where("home").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST).collect() if r["shard"] not in stuck}
+    return rows
+
+
 def links(prints: DataFrame, radius: int = RADIUS, every: bool = False) -> DataFrame:
     """``a, b``: links between different fingerprints (column fp) within ``radius`` bits.
 
     By default those of a spanning forest of each shard: as connected as all of them, and no more
     than fingerprints and visits. ``every`` gives each pair once. Empty input gives no rows.
     """
-    spark = prints.sparkSession
     distinct = prints.select("fp").distinct()
-    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE)
-    count = distinct.count()
-    nodes = shard_tree(np.array([r[0] for r in sample.collect()], np.int64).view(np.uint64), -(-count // SHARD)) if count else []
-    tree = spark.sparkContext.broadcast(nodes)
-
-    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 4096):
-                points = np.asarray(batch.column(0).slice(k, 4096)).view(np.uint64)
-                shard, who, home = route(tree.value, points, radius)
-                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(points[who].view(np.int64)), pa.array(home)], names=["shard", "fp", "home"])
+    spread = _sharded(distinct, radius)
 
     def gather(group: pa.Table) -> pa.Table:
         points, home = np.asarray(group["fp"]).view(np.uint64), np.asarray(group["home"])
@@ -221,7 +267,6 @@ def links(prints: DataFrame, radius: int = RADIUS, every: bool = False) -> DataF
             a, b = points[i], points[j]
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    spread = distinct.mapInArrow(scatter, "shard int, fp long, home boolean")
     return spread.groupBy("shard").applyInArrow(gather, "a long, b long")
 
 
@@ -234,23 +279,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     of their own text.
     """
     prints = write_table(fingerprints(docs, key, text, words), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min(key).alias("least"))
+    named = _classes(prints.groupBy("fp").agg(F.min(quoted(key)).alias("least")), prints, radius)
+    heads = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.join(heads, "root").select("fp", "component_id")
+    return prints.join(named, "fp").select(quoted(key), "fp", "component_id")
+
+
+def _classes(distinct: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
+    """``fp, least, root`` of the distinct fingerprints (fp, least)."""
     roots = components(links(prints, radius))
-    classes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    heads = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(heads, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(key, "fp", "component_id")
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the row of the smallest key of every near-duplicate group; rows without a key stay.
+    """``docs`` with one row of every near-duplicate group: that of the smallest key, then the least digest of the text.
 
-    Of rows that share that key, one stays.
+    Of rows equal in both one stays. Rows without a key stay, and are never taken for copies. Columns
+    keep their names and values; an empty table gives an empty one.
     """
-    from pyspark.sql import Window
-
-    found = near_duplicates(docs, key, text)
-    heads = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__head")).distinct()
-    kept = docs.join(heads, docs[key] == heads["__head"], "left").where(F.col("__head").isNotNull() | F.col(key).isNull())
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(key))
-    return kept.withColumn("__nth", nth).where(F.col(key).isNull() | (F.col("__nth") == 1)).select(*docs.columns)
+    fp, row = fresh(docs.columns, "fp"), fresh(docs.columns, "row")
+    held = write_table(with_fingerprint(docs, text, name=fp).withColumn(row, F.monotonically_increasing_id()), "printed")
+    slim = held.select(quoted(key).alias("k"), F.col(fp).alias("fp"), F.md5(whole_text(text)).alias("digest"), F.col(row).alias("row"))
+    place = F.struct("k", "digest", "row")
+    # copies fall together before their group is looked up, so no group is in one task
+    least = write_table(slim.where("k is not null").groupBy("fp").agg(F.min(place).alias("least")), "print_heads")
+    heads = _classes(least, slim, RADIUS).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("head"))
+    nulls = held.where(quoted(key).isNull())
+    found = held.where(quoted(key).isNotNull()).join(heads, F.col(row) == F.col("head"), "left_semi")
+    return found.unionByName(nulls).select(*map(quoted, docs.columns))
