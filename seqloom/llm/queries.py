@@ -11,6 +11,7 @@ from seqloom.llm.common import new_path, table, write_table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, those removed as parts of repeated chunks, and the digest of the text that is left."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
@@ -20,22 +21,29 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.judge(pages, [urlfilter.parse_rule(*r) for r in URL_RULES]).drop("url")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as archives, read back and assembled; sizes and digests are those of the assembled rows' payloads."""
     path = new_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    found = warc.captures(write_table(warc.read(spark, path, content=False), "warc_records"))  # archives are parsed once
-    page = F.regexp_extract(F.col("metadata")[0]["content"], r"page-id: (-?\d+)", 1)
-    rows = found.select("capture_id", "refers_to", "digest", "payload_bytes", "type", F.when(page != "", page.cast("long")).alias("page_id"))
-    named = rows.where("type = 'response'").select(F.col("capture_id").alias("refers_to"), F.col("page_id").alias("first"))
-    joined = rows.where("type = 'revisit'").join(named, "refers_to", "left").unionByName(rows.where("type = 'response'").withColumn("first", F.lit(None).cast("long")))
-    return joined.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("first").alias("refers_to"))
+    slim = write_table(warc.read(spark, path, content=False), "warc_records")
+    found = warc.captures(slim, warc.read(spark, path))
+    page = F.regexp_extract(F.col("metadata")[0]["content"].cast("string"), r"page-id: (-?\d+)", 1)
+    stored = F.col("type") == "response"
+    digest = F.when(stored, F.sha1("payload")).otherwise(F.col("digest"))
+    size = F.when(stored, F.length("payload").cast("long")).otherwise(F.col("payload_bytes"))
+    rows = found.select("capture_id", "refers_to", digest.alias("payload_digest"), size.alias("payload_bytes"), F.col("type").alias("record_type"), F.when(page != "", page.cast("long")).alias("page_id"))
+    rows = write_table(rows, "warc_captures")
+    named = rows.where("record_type = 'response'").select(F.col("capture_id").alias("refers_to"), F.col("page_id").alias("first"))
+    return rows.join(named, "refers_to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("first").alias("refers_to"))
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found of every hundredth id."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.search(ann.build(vectors), vectors.where("vec_id % 100 = 0"))
 
@@ -43,14 +51,16 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts before and after three edits of every text: a cut at a quarter, words put in at the half, letters replaced at three quarters."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coder = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    trees = write_table(tokencount.build(docs, *coder), "trees")
     n = F.coalesce(F.length("text"), F.lit(0))
     places = [F.floor(n * k / 4).cast("int") for k in (1, 2, 3)]
     edits = F.array(*(F.struct(at.alias("start"), (at + cut).alias("end"), F.lit(new).alias("new")) for at, cut, new in zip(places, (10, 0, 5), ("", " edited words ", "XXXXX"))))
-    counted = tokencount.recount(docs, edits, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return counted.select("doc_id", "n_pretokens", "n_before", "n_after", "n_recounted")
+    return tokencount.recount(trees, edits, *coder, updated=False).select("doc_id", "n_pretokens", "n_before", "n_after", "n_recounted")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction of every document; labels of the held-out rows are not learnt from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
@@ -64,12 +74,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of their decoding."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = sentencepieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return sentencepieces.digests(coded)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and class of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash.near_duplicates(docs)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -128,5 +140,24 @@ FROM firsts
 """
 
 
+OP1_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+), full_ AS (
+  SELECT doc_id, i, body, lead(i) OVER w AS j, lead(body) OVER w AS next FROM lines WHERE regexp_matches(body, '[^\x20\x09-\x0D]') WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), windows AS (
+  SELECT doc_id, i, j, row_number() OVER (PARTITION BY body, next ORDER BY doc_id, i) AS nth FROM full_ WHERE j IS NOT NULL
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(i, j)) AS i FROM windows WHERE nth > 1
+), left_ AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, string_agg(l.body, chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS text
+  FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id
+)
+SELECT d.doc_id, n_lines, n_removed, CASE WHEN n_removed > 0 THEN sha256(coalesce(l.text, '')) ELSE sha256(d.text) END AS text_sha256
+FROM documents d JOIN left_ l ON l.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op3_warc": OP3_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_warc": OP3_SQL}

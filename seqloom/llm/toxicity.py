@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
-from seqloom.llm.common import flat, from_offsets, mix, slices, sums, whole_text, words_of
+from seqloom.llm.common import Carried, flat, from_offsets, mix, quoted, sums, whole_text, words_of
 
 BUCKETS = 1 << 16
 GRAMS = (3, 4, 5)
@@ -171,21 +172,17 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
     Null and empty texts, and those without words, get the score of the bias. Columns of those names
     are replaced, repeated rows stay.
     """
-    kept = [c for c in docs.columns if c.lower() not in ("score", "predicted", "__text")]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], whole_text(text).alias("__text"))
-    schema = source.drop("__text").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
+    carried = Carried(docs, text, [("score", DoubleType()), ("predicted", IntegerType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, bias = shared.value
-        for part in slices(batches, "__text"):
-            k = part.schema.get_field_index("__text")
-            words, at, bounds = distinct_words(part.column(k))
+        for part, texts in carried.slices(batches):
+            words, at, bounds = distinct_words(texts)
             rows, edges = subwords(words)
             total, many = sums(weight[rows], edges), np.diff(edges)
             logit = sums(total[at], bounds) / np.maximum(1, sums(many[at], bounds)) + bias
             p = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
-            columns = [*(c for j, c in enumerate(part.columns) if j != k), pa.array(p), pa.array((p >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "score", "predicted"])
+            yield carried.batch(part, [pa.array(p), pa.array((p >= threshold).astype(np.int32))])
 
-    return source.mapInArrow(work, schema)
+    return carried.source.mapInArrow(work, carried.schema)

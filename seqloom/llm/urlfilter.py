@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm.common import quoted
+
 #: Rules of one broadcast trie.
 MOST = 200_000
 #: The verdict where no rule fits.
@@ -98,8 +100,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", default: st
     rows stay; no rules give every url the default.
     """
     kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    host, path = url_parts(F.col(f"`{url}`").cast("string"))
-    source = pages.select(*[F.col(f"`{c}`") for c in kept], host.alias("host"), path.alias("path"))
+    host, path = url_parts(quoted(url).cast("string"))
+    source = pages.select(*map(quoted, kept), host.alias("host"), path.alias("path"))
     if len(rules) > most:
         return _judge_by_join(source, rules, default)
     schema = source.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("")}).schema
@@ -107,13 +109,13 @@ def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", default: st
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, paths = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("host", "path"))
+            hosts, paths = (batch.column(k).to_pylist() for k in (len(kept), len(kept) + 1))
             found = [trie.value.match(h, p) if h else None for h, p in zip(hosts, paths)]
             rule = pa.array([f and f[1] for f in found], pa.string())
             verdict = pa.array([f[0] if f else default for f in found], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, rule, verdict], names=[*kept, "host", "path", "rule", "verdict"])
 
-    return source.mapInArrow(work, schema)
+    return source.toDF(*(f"c{k}" for k in range(len(source.columns)))).mapInArrow(work, schema)  # mapInArrow() takes plain names alone
 
 
 def _judge_by_join(source: DataFrame, rules: Sequence[Rule], default: str) -> DataFrame:
@@ -129,4 +131,4 @@ def _judge_by_join(source: DataFrame, rules: Sequence[Rule], default: str) -> Da
     rank = F.struct(F.size(F.split("rule_host", r"\.", -1)), F.length("rule_path"), F.when(F.col("v") == "block", 1).otherwise(0))
     best = fits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "v"), rank).alias("best"))
     joined = source.join(best, ["host", "path"], "left")
-    return joined.select(*source.columns, F.col("best.rule").alias("rule"), F.coalesce("best.v", F.lit(default)).alias("verdict"))
+    return joined.select(*map(quoted, source.columns), F.col("best.rule").alias("rule"), F.coalesce("best.v", F.lit(default)).alias("verdict"))
