@@ -200,8 +200,8 @@ def test_neighbours_reach_the_recall(spark):
 
 
 def test_neighbours_reach_the_recall_past_leaves_and_lists(spark, monkeypatch):
-    """Leaves and first lists as small beside the table as they are beside a large one."""
-    for name, value in (("LEAF", 16), ("ENTRIES", 8), ("BEGIN", 2)):
+    """First lists as small beside the table as they are beside a large one; the queries are not in the index."""
+    for name, value in (("ENTRIES", 8), ("BEGIN", 2)):
         monkeypatch.setattr(ann, name, value)
     x = np.random.default_rng(1).normal(size=(2040, 48))
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
@@ -213,6 +213,35 @@ def test_neighbours_reach_the_recall_past_leaves_and_lists(spark, monkeypatch):
     assert hits / 400 >= 0.94
 
 
+def test_descent_makes_the_graph(spark):
+    """The first graph knows few of the neighbours, the rounds find the others."""
+    x = np.random.default_rng(2).normal(size=(3000, 24))
+    nodes = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "node long, vec array<double>").cache()
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    best = np.argsort(d, axis=1)[:, :10]
+
+    def recall(graph):
+        near = {}
+        for r in graph.collect():
+            near.setdefault(r["a"], set()).add(r["b"])
+        return np.mean([len(near.get(k, set()) & set(best[k].tolist())) for k in range(len(x))]) / 10
+
+    graph = ann.write_table(ann.first_graph(nodes, 3000, 20), "g")
+    before = recall(graph)
+    for _ in range(8):
+        graph = ann.write_table(ann.descend(graph, nodes, 20), "g")
+    assert before < 0.5 and recall(graph) >= 0.9
+    assert graph.where("fresh").count() < 0.01 * 60_000
+
+
+def test_neighbours_of_several_lengths_and_repeated_rows(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, [0.0, 2.0, 0.0]), (5, [1.0, 1.0]), (5, [0.0, 0.5]), (None, [1.0, 0.0]), (6, [7.0])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, `embed.ding` array<float>, rank string, node int")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in ann.search(ann.build(df, vector="embed.ding"), df.where("vec_id in (1, 3, 6)"), vector="embed.ding").collect())
+    assert got == [(1, 1, 5, 1.0), (1, 2, 2, 1.414214), (3, 1, 4, 2.236068)]
+
+
 def test_neighbours_of_few_and_none(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0])], "vec_id long, embedding array<float>")
     rows = [tuple(r) for r in ann.search(ann.build(df), df.where("vec_id = 1")).orderBy("rank").collect()]
