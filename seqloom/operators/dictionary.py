@@ -5,27 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.sources.staging import staged
+
 #: Joint probabilities below this count as none.
 LEAST = 1e-7
 
 
-def dense_ids(df: DataFrame, bucket: Column, order: list[str], name: str, start: int = 1) -> DataFrame:
-    """Number rows by ``order`` without sorting all of them in one task.
+def dense_ids(df: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
+    """Number rows by ``order``, which must tell all rows apart, without sorting all of them in one task.
 
-    ``bucket`` must not fall along the order (such as an integer division of its first column): rows
-    are numbered within their bucket, and the sizes of earlier buckets are added.
+    Rows are sorted in sampled ranges and written, so that places in a range and the sizes of the
+    ranges before come from one and the same run.
     """
-    held = df.withColumn("__bucket", bucket)
-    sizes = held.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))).alias("__before"))
-    nth = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
-    return held.join(before, "__bucket").withColumn(name, (nth + F.coalesce("__before", F.lit(0)) + (start - 1)).cast("long")).drop("__bucket", "__before")
+    mark, place = (n + "_" * sum(c.startswith(n) for c in df.columns) for n in ("range", "place"))
+    held = df.orderBy(*order).withColumns({mark: F.spark_partition_id(), place: F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    held = staged(held, "ranged")
+    sizes = held.groupBy(mark).agg(F.count(F.lit(1)).alias("n"))
+    # one row per range
+    before = sizes.select(F.col(mark).alias("b"), F.coalesce(F.sum("n").over(Window.orderBy(mark).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    out = held.join(F.broadcast(before), held[mark] == before["b"])
+    return out.withColumn(name, (F.col(place) + F.col("before") + start).cast("long")).drop(mark, place, "b", "before")
 
 
-def first_seen_vocab(tokens: DataFrame, bucket_docs: int = 1 << 16) -> DataFrame:
+def first_seen_vocab(tokens: DataFrame) -> DataFrame:
     """``tok, feat_id``: ids from 1 by first appearance (document, line, place, token)."""
     first = tokens.groupBy("tok").agg(F.min(F.struct("doc_id", "line", "ord")).alias("f")).select("tok", "f.*")
-    return dense_ids(first, F.floor(F.col("doc_id") / bucket_docs), ["doc_id", "line", "ord", "tok"], "feat_id").select("tok", "feat_id")
+    return dense_ids(first, ["doc_id", "line", "ord", "tok"], "feat_id").select("tok", "feat_id")
 
 
 def presence(document_words: DataFrame, label: str) -> DataFrame:

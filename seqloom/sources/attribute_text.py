@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.operators.dictionary import dense_ids
+from seqloom.sources.staging import staged
+
 
 def escape(text: Column) -> Column:
     return F.regexp_replace(text, r"([:\\])", r"\\$1")
@@ -25,12 +28,14 @@ def write(rows: DataFrame, path: str) -> None:
     blocks.select(F.array_join(F.transform("b", lambda x: x["line"]), "\n").alias("value")).write.option("lineSep", "\n\n").text(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, line_end: str = "\n") -> DataFrame:
     """``grp, block, pos, label, feats``: grp is the file, block numbers its sequences (not in order).
 
     Items without a label and sequences without items are left out; a value that is no number is null.
+    Blocks are numbered once, in the shared folder. ``line_end`` is that of the files.
     """
-    blocks = spark.read.option("lineSep", "\n\n").text(path).select(F.input_file_name().alias("grp"), F.monotonically_increasing_id().alias("block"), F.rtrim(F.col("value"), F.lit("\n")).alias("value"))
+    blocks = spark.read.option("lineSep", 2 * line_end).text(path).select(F.input_file_name().alias("grp"), F.monotonically_increasing_id().alias("block"), F.rtrim(F.replace(F.col("value"), F.lit(line_end), F.lit("\n")), F.lit("\n")).alias("value"))
+    blocks = staged(blocks, "blocks")
     lines = blocks.select("grp", "block", F.posexplode(F.split("value", "\n", -1)).alias("pos", "line")).where("line <> ''")
     fields = lines.select("grp", "block", "pos", F.split("line", "\t", -1).alias("f"))
     # the first colon without a backslash parts name and value
@@ -45,6 +50,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return fields.select("grp", "block", "pos", unescape(F.col("f")[0]).alias("label"), F.transform(attrs, parsed).alias("feats")).where("label <> ''")
 
 
+def file_groups(rows: DataFrame) -> DataFrame:
+    """``seq, group``: the number of each sequence's file (grp), from 0 in the order of names."""
+    names = dense_ids(rows.select("grp").distinct(), ["grp"], "group", start=0)
+    return rows.select("seq", "grp").distinct().join(names, "grp").select("seq", F.col("group").cast("int").alias("group"))
+
+
 def read_columns(spark: SparkSession, path: str, names: list[str], sep: str = " ") -> DataFrame:
     """Column text: a token a line, fields by ``sep``, an empty line after a sequence. Lines with too few fields raise an error."""
     blocks = spark.read.option("lineSep", "\n\n").text(path).select(F.monotonically_increasing_id().alias("seq"), F.rtrim(F.col("value"), F.lit("\n")).alias("value"))
