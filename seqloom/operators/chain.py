@@ -13,7 +13,8 @@ class Chain:
     def __init__(self, state: np.ndarray, trans: np.ndarray):
         self.state, self.trans = np.asarray(state, np.float64), np.asarray(trans, np.float64)
         top = self.state.max(1, keepdims=True)
-        self.e, self.m = np.exp(self.state - top), np.exp(self.trans)
+        shift = self.trans.max()
+        self.e, self.m = np.exp(self.state - top), np.exp(self.trans - shift)
         n, labels = self.state.shape
         self.alpha, self.beta, self.scale = np.empty((n, labels)), np.empty((n, labels)), np.empty(n)
         row = self.e[0]
@@ -30,7 +31,7 @@ class Chain:
                 row = self.m @ (row * self.e[t + 1])
             row = row * self.scale[t]
             self.beta[t] = row
-        self.log_norm = float(top.sum() - np.log(self.scale).sum())
+        self.log_norm = float(top.sum() + (n - 1) * shift - np.log(self.scale).sum())
 
     def score(self, path: np.ndarray) -> float:
         path = np.asarray(path)

@@ -15,13 +15,14 @@ import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.operators.chain import Chain, best_path
 from seqloom.operators.dictionary import dense_ids
 from seqloom.operators.optimize import Settings, minimise
 from seqloom.operators.sequences import transitions
+from seqloom.sources.staging import staged
 
 ALGORITHMS = ("lbfgs", "l2sgd", "ap", "pa", "arow")
 #: Labels of a model at most: the transition matrix is dense in every worker.
@@ -205,15 +206,25 @@ def _arow(layout: Layout, state: dict, item: dict, p: dict) -> float:
 
 
 def _sgd(layout: Layout, state: dict, item: dict, p: dict) -> float:
-    """A gradient step with the rate 1 / (lambda (t0 + t))."""
+    """A gradient step with the rate 1 / (lambda (t0 + t)). The weights are ``scale`` times ``w``, so that their decay costs nothing
+    and a step touches the sequence's own entries alone."""
     eta = 1 / (p["lam"] * (p["t0"] + state["c"][0]))
-    grad = np.zeros(layout.size + 1)
-    loss = likelihood(layout, state["w"], item, grad)
-    state["w"] *= 1 - eta * p["lam"]
-    state["w"] -= eta * grad
-    state["w"][-1] = 0
+    w, scale = state["w"], float(state["scale"][0])
+    scores, moves = layout.scores(w, item)
+    chain = Chain(scale * scores, scale * moves)
+    decayed = scale * (1 - eta * p["lam"])
+    if abs(decayed) < 1e-9:
+        w *= decayed
+        decayed = 1.0
+    state["scale"][0] = decayed
+    step = eta / decayed
+    np.add.at(w, layout.state[item["aids"]], -step * chain.node_marginals()[item["at"]] * item["values"][:, None])
+    if len(scores) > 1:
+        np.add.at(w, layout.trans, -step * chain.edge_marginals().sum(0))
+    layout.add_path(w, item, item["y"], step)
+    w[-1] = 0
     state["c"][0] += 1
-    return loss
+    return -chain.log_probability(item["y"])
 
 
 STEPS = {"ap": _perceptron, "pa": _passive_aggressive, "arow": _arow, "l2sgd": _sgd}
@@ -231,6 +242,9 @@ def epoch(packed: DataFrame, layout, algorithm: str, state: dict, params: dict,
         loss = 0.0
         for k in np.random.default_rng(seed).permutation(len(items)):
             loss += STEPS[algorithm](layout.value, mine, items[k], params)
+        if "scale" in mine:
+            mine["w"] *= mine["scale"][0]
+            mine["scale"][0] = 1.0
         if items:
             yield pd.DataFrame({"n": [len(items)], "loss": [loss], **{k: [v.tobytes()] for k, v in mine.items()}})
 
@@ -290,49 +304,66 @@ class LinearChainCRF(Estimator, _Settings):
             maxTrials=20, seed=1, partitions=0, stateFile="",
         )
         self._set(**self._input_kwargs)
+        #: Told iteration and loss, and with the model as it then is.
         self.listener: Callable[[int, float], None] | None = None
+        self.observer: Callable[[int, float, LinearChainCRFModel], None] | None = None
 
-    def _fit(self, dataset: DataFrame) -> LinearChainCRFModel:
+    def with_weights(self, dataset: DataFrame, weight: Column) -> LinearChainCRFModel:
+        """The model of the dataset's features with given weights: an expression over type, src, dst (names) and freq."""
+        found, attrs, rows = self._features(dataset, weight)
+        return self._copyValues(LinearChainCRFModel(found, attrs, [(k, int(r["type"]), int(r["s"]), int(r["d"]), float(r["freq"]), float(r["weight"])) for k, r in enumerate(rows)]))
+
+    def _features(self, dataset: DataFrame, weight: Column) -> tuple[list[str], DataFrame, list]:
+        """Labels, numbered attributes, and the features (type, s, d, freq, weight) in the order of their ids."""
         get = self.getOrDefault
-        algorithm = get(self.algorithm)
-        if algorithm not in ALGORITHMS:
-            raise ValueError(f"algorithm is one of {ALGORITHMS}")
         spark = dataset.sparkSession
         found = [r[0] for r in dataset.select("label").where("label is not null").distinct().orderBy("label").limit(MOST_LABELS + 1).collect()]
         if not found or len(found) > MOST_LABELS:
             raise ValueError("there are no labels" if not found else "there are too many labels")
-        features = generate_features(dataset, get(self.minFreq), get(self.possibleStates), get(self.possibleTransitions)).persist()
+        features = staged(generate_features(dataset, get(self.minFreq), get(self.possibleStates), get(self.possibleTransitions)).withColumn("weight", weight.cast("double")), "features")
         names = features.where("type = 0").select(F.col("src").alias("attr")).distinct()
-        attrs = dense_ids(names, F.ascii("attr"), ["attr"], "aid", start=0).persist()
+        attrs = dense_ids(names, ["attr"], "aid", start=0)
         index = spark.createDataFrame([(k, v) for k, v in enumerate(found)], "lid int, label string")
         src = features.join(attrs, (F.col("type") == 0) & (F.col("src") == F.col("attr")), "left").join(index.select(F.col("lid").alias("sl"), F.col("label").alias("sn")), (F.col("type") == 1) & (F.col("src") == F.col("sn")), "left")
-        coded = src.join(index.select(F.col("lid").alias("dl"), F.col("label").alias("dn")), F.col("dst") == F.col("dn")).select("type", F.coalesce("aid", "sl").cast("long").alias("s"), F.col("dl").cast("long").alias("d"), "freq")
-        rows = coded.orderBy("type", "s", "d").collect()  # one row per weight, and weights live on the driver
+        coded = src.join(index.select(F.col("lid").alias("dl"), F.col("label").alias("dn")), F.col("dst") == F.col("dn")).select("type", F.coalesce("aid", "sl").cast("long").alias("s"), F.col("dl").cast("long").alias("d"), "freq", "weight")
+        return found, attrs, coded.orderBy("type", "s", "d").collect()  # one row per weight, and weights live on the driver
+
+    def _fit(self, dataset: DataFrame) -> LinearChainCRFModel:
+        get = self.getOrDefault
+        algorithm = get(self.algorithm)
+        if algorithm not in ALGORITHMS:
+            raise ValueError(f"algorithm is one of {ALGORITHMS}")
+        found, attrs, rows = self._features(dataset, F.lit(0.0))
         layout = Layout([(k, r["type"], r["s"], r["d"]) for k, r in enumerate(rows)], attrs.count(), len(found))
         usable = dataset.withColumn("__bad", F.col("label").isNull())
         bad = usable.where("__bad").select("seq").distinct()
         packed = pack(dataset.join(bad, "seq", "left_anti"), attrs, found)
         packed = (packed.repartition(get(self.partitions), "seq") if get(self.partitions) else packed).persist()
         n = packed.count()
-        if algorithm == "lbfgs":
-            w = self._batch(packed, layout)
-        else:
-            w = self._online(packed, layout, algorithm, n)
-        packed.unpersist(), features.unpersist()
-        table = [(k, int(r["type"]), int(r["s"]), int(r["d"]), float(r["freq"]), float(w[k])) for k, r in enumerate(rows)]
-        return self._copyValues(LinearChainCRFModel(found, attrs, table))
-
-    def _batch(self, packed: DataFrame, layout: Layout) -> np.ndarray:
+
+        def model(w: np.ndarray) -> LinearChainCRFModel:
+            return self._copyValues(LinearChainCRFModel(found, attrs, [(k, int(r["type"]), int(r["s"]), int(r["d"]), float(r["freq"]), float(w[k])) for k, r in enumerate(rows)]))
+
+        def told(k: int, loss: float, w: np.ndarray) -> None:
+            if self.listener:
+                self.listener(k, loss)
+            if self.observer:
+                self.observer(k, loss, model(w))
+
+        w = self._batch(packed, layout, told) if algorithm == "lbfgs" else self._online(packed, layout, algorithm, n, told)
+        packed.unpersist()
+        return model(w)
+
+    def _batch(self, packed: DataFrame, layout: Layout, told: Callable) -> np.ndarray:
         get = self.getOrDefault
         c1 = get(self.c1)
         settings = Settings(
             memories=get(self.numMemories), epsilon=get(self.epsilon), period=get(self.period), delta=get(self.delta), max_iterations=get(self.maxIter) or ITERATIONS["lbfgs"],
             c1=c1, search="armijo" if c1 else get(self.lineSearch), max_trials=get(self.maxLineSearch),
         )
-        report = (lambda k, value, _: self.listener(k, value)) if self.listener else None
-        return minimise(objective(packed, layout, get(self.c2)), np.zeros(layout.size), settings, report, get(self.stateFile) or None).x
+        return minimise(objective(packed, layout, get(self.c2)), np.zeros(layout.size), settings, told, get(self.stateFile) or None).x
 
-    def _online(self, packed: DataFrame, layout: Layout, algorithm: str, n: int) -> np.ndarray:
+    def _online(self, packed: DataFrame, layout: Layout, algorithm: str, n: int, told: Callable) -> np.ndarray:
         get = self.getOrDefault
         shared = packed.sparkSession.sparkContext.broadcast(layout)
         zero = np.zeros(layout.size + 1)
@@ -345,8 +376,14 @@ class LinearChainCRF(Estimator, _Settings):
         if algorithm == "l2sgd":
             params["lam"] = 2 * get(self.c2) / max(1, n)
             params["t0"] = self._calibrate(packed, shared, params, n)
-            state["c"] = np.zeros(1)
+            state["c"], state["scale"] = np.zeros(1), np.ones(1)
         losses, best = [], None
+
+        def weights() -> np.ndarray:
+            if algorithm == "l2sgd":
+                return best[1][:-1]
+            return state["w"][:-1] if algorithm == "arow" else (state["w"] - state["sum"] / state["c"][0])[:-1]
+
         for k in range(get(self.maxIter) or ITERATIONS[algorithm]):
             state, loss = epoch(packed, shared, algorithm, state, params, get(self.seed) + k)
             if algorithm == "l2sgd":
@@ -354,19 +391,14 @@ class LinearChainCRF(Estimator, _Settings):
                 if best is None or loss < best[0]:
                     best = (loss, state["w"])
             losses.append(loss)
-            if self.listener:
-                self.listener(k + 1, loss)
+            told(k + 1, loss, weights())
             period = get(self.period)
             if algorithm == "l2sgd":
                 if len(losses) > period and (losses[-1 - period] - loss) / loss < get(self.delta):
                     break
             elif loss / max(1, n) <= get(self.epsilon):
                 break
-        if algorithm == "l2sgd":
-            return best[1][:-1]
-        if algorithm == "arow":
-            return state["w"][:-1]
-        return (state["w"] - state["sum"] / state["c"][0])[:-1]
+        return weights()
 
     def _calibrate(self, packed: DataFrame, shared, params: dict, n: int) -> float:
         """The t0 of the rate that gains most in one epoch over a sample: rates go up from eta, then down."""
@@ -376,7 +408,7 @@ class LinearChainCRF(Estimator, _Settings):
 
         def tried(eta: float) -> float:
             p = params | {"t0": 1 / (params["lam"] * eta)}
-            state, _ = epoch(sample, shared, "l2sgd", {"w": zero, "c": np.zeros(1)}, p, get(self.seed))
+            state, _ = epoch(sample, shared, "l2sgd", {"w": zero, "c": np.zeros(1), "scale": np.ones(1)}, p, get(self.seed))
             return objective(sample, shared.value, params["lam"] * sample.count() / 2)(state["w"][:-1])[0] if np.isfinite(state["w"]).all() else np.inf
 
         base = objective(sample, shared.value, 0.0)(zero[:-1])[0]
@@ -440,6 +472,11 @@ class LinearChainCRFModel(Model, _Settings):
         each = tops.select("seq", "pos", F.posexplode("top").alias("r", "t"))
         return each.select("seq", "pos", (F.col("r") + 1).alias("rank"), F.element_at(F.array(*map(F.lit, self.labels)), F.col("t.lid") + 1).alias("label"), (-F.col("t.m")).alias("marginal"))
 
+    def active(self, spark: SparkSession) -> DataFrame:
+        """``type, n_features, n_active``: how many features there are, and how many with a weight other than 0."""
+        kinds, weights = np.array([f[1] for f in self.features], np.int64), self.weights[:-1]
+        return spark.createDataFrame([(k, int((kinds == k).sum()), int((weights[kinds == k] != 0).sum())) for k in (0, 1)], "type int, n_features long, n_active long")
+
     def dump(self, spark: SparkSession) -> DataFrame:
         """``type, src, dst, freq, weight``: the features by name, those of weight 0 left out."""
         coded = spark.createDataFrame([f[1:] for f in self.features if f[5] != 0], "type int, s int, d int, freq double, weight double")
@@ -459,7 +496,7 @@ class LinearChainCRFModel(Model, _Settings):
     def load(cls, spark: SparkSession, path: str) -> LinearChainCRFModel:
         labels = [r["label"] for r in spark.read.parquet(f"{path}/labels").orderBy("lid").collect()]
         old = spark.read.parquet(f"{path}/attrs")
-        attrs = dense_ids(old.select("attr"), F.ascii("attr"), ["attr"], "aid", start=0).persist()
+        attrs = dense_ids(old.select("attr"), ["attr"], "aid", start=0)
         moved = old.withColumnRenamed("aid", "old").join(attrs, "attr").select("old", "aid")
         rows = spark.read.parquet(f"{path}/features").join(moved, (F.col("type") == 0) & (F.col("src") == F.col("old")), "left")
         rows = rows.select("type", F.coalesce("aid", "src").cast("int").alias("s"), "dst", "freq", "weight").orderBy("type", "s", "dst").collect()
