@@ -21,8 +21,9 @@ def runs_text(types: Column) -> Column:
 def describe(sets: DataFrame, edges: DataFrame, colors: DataFrame | None = None) -> DataFrame:
     """``g, feat, cnt``: canonical texts of node sets (g, id, nodes), counted by graph.
 
-    A node reads ``ins/outs/self`` (and ``/color``), of the edges within the set; node texts are sorted
-    and joined by ``_``.
+    A node reads ``ins/outs/self`` (and ``/color``), of the edges within the set; node texts are joined
+    by ``_`` in the order of their nodes: by color's text, then by ins, outs and self, of which smaller
+    sets come first and equal sizes are compared type by type.
     """
     both = sets.select("g", "id", F.explode("nodes").alias("x"), "nodes").select("g", "id", "x", F.explode("nodes").alias("y"))
     held = both.join(edges.select("g", F.col("src").alias("x"), F.col("dst").alias("y"), "type"), ["g", "x", "y"])
@@ -33,11 +34,25 @@ def describe(sets: DataFrame, edges: DataFrame, colors: DataFrame | None = None)
     text = F.concat_ws("/", *(runs_text(F.coalesce(f"r{r}", F.array().cast("array<int>"))) for r in (0, 1, 2)))
     if colors is not None:
         nodes = nodes.join(colors.select("g", "n", "color"), ["g", "n"], "left")
-        text = F.concat_ws("/", text, F.coalesce(F.col("color").cast("string"), F.lit("")))
-    feats = nodes.select("g", "id", text.alias("t")).groupBy("g", "id").agg(F.array_join(F.array_sort(F.collect_list("t")), "_").alias("feat"))
+        shade = F.coalesce(F.col("color").cast("string"), F.lit(""))
+        text = F.concat_ws("/", text, shade)
+    else:
+        shade = F.lit("")
+    roles = [F.coalesce(f"r{r}", F.array().cast("array<int>")) for r in (0, 1, 2)]
+    rank = [c.alias(f"k{j}") for j, c in enumerate([shade, *(x for r in roles for x in (F.size(r), r))])]
+    feats = nodes.select("g", "id", F.struct(*rank, text.alias("t")).alias("s")).groupBy("g", "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), "_").alias("feat"))
     return feats.groupBy("g", "feat").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def colored(sets: DataFrame, edges: DataFrame, colorings: dict[str, DataFrame]) -> DataFrame:
+    """describe() under several colourings (g, n, color), each text behind its colouring's prefix."""
+    out = None
+    for prefix, colors in colorings.items():
+        found = describe(sets, edges, colors).withColumn("feat", F.concat(F.lit(prefix), "feat"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def singles(nodes: DataFrame) -> DataFrame:
     return nodes.select("g", F.col("n").alias("id"), F.array("n").alias("nodes"))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seqloom.plans import labelling, mining, models
+from seqloom.plans import binaries, labelling, mining, models
 
-MODULES = (mining, labelling, models)
+MODULES = (mining, labelling, models, binaries)
 
 
 def queries() -> dict:

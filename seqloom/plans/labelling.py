@@ -68,7 +68,7 @@ def feature_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).withColumn("attr", F.concat(F.lit("v"), F.floor(F.col("value") / 50).cast("string")))
     states = rows.groupBy(F.lit(0).alias("type"), F.col("attr").alias("src"), F.col("label").alias("dst")).agg(F.count(F.lit(1)).alias("freq"))
     moves = sequences.transitions(rows).select(F.lit(1).alias("type"), F.col("prev").alias("src"), F.col("cur").alias("dst"), F.col("n").alias("freq"))
-    return dictionary.dense_ids(states.unionByName(moves), F.col("type"), ["type", "src", "dst"], "fid", start=0)
+    return dictionary.dense_ids(states.unionByName(moves), ["type", "src", "dst"], "fid", start=0)
 
 
 TEMPLATES = [(("label", -2),), (("label", -1),), (("label", 1),), (("label", -1), ("hour", 0)), (("label", -2), ("label", -1))]

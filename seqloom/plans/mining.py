@@ -45,30 +45,37 @@ every AS (SELECT g, id, unnest(nodes) AS n, nodes FROM sets
 ), runs AS (
   SELECT g, id, n, role, string_agg(type || CASE WHEN c > 1 THEN 'x' || c ELSE '' END, ',' ORDER BY type) AS t
   FROM (SELECT g, id, n, role, type, count(*) AS c FROM ends GROUP BY ALL) GROUP BY ALL
+), types AS (SELECT g, id, n, role, list(type ORDER BY type) AS l FROM ends GROUP BY ALL
 ), texts AS (
-  SELECT e.g, e.id, e.n, coalesce(max(t) FILTER (role = 0), '') || '/' || coalesce(max(t) FILTER (role = 1), '') || '/' || coalesce(max(t) FILTER (role = 2), '') AS t
-  FROM every e LEFT JOIN runs r ON r.g = e.g AND r.id = e.id AND r.n = e.n GROUP BY ALL
+  SELECT e.g, e.id, e.n, coalesce(max(t) FILTER (r.role = 0), '') || '/' || coalesce(max(t) FILTER (r.role = 1), '') || '/' || coalesce(max(t) FILTER (r.role = 2), '') AS t, '' AS c,
+         coalesce(any_value(l) FILTER (r.role = 0), []) AS i, coalesce(any_value(l) FILTER (r.role = 1), []) AS o, coalesce(any_value(l) FILTER (r.role = 2), []) AS s
+  FROM every e LEFT JOIN runs r ON r.g = e.g AND r.id = e.id AND r.n = e.n LEFT JOIN types p ON p.g = r.g AND p.id = r.id AND p.n = r.n AND p.role = r.role GROUP BY ALL
 )"""
 COUNT_TEXTS = """
-SELECT g, feat, count(*) AS cnt FROM (SELECT g, id, string_agg(t, '_' ORDER BY t) AS feat FROM texts GROUP BY ALL) GROUP BY ALL"""
+SELECT g, feat, count(*) AS cnt FROM (SELECT g, id, string_agg(t, '_' ORDER BY c, len(i), i, len(o), o, len(s), s, t) AS feat FROM texts GROUP BY ALL) GROUP BY ALL"""
 
 # -- n-grams
 
 
+def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents dealt out by id: n-grams then are counted where they arise, and texts travel instead of several times their n-grams."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+
+
 def idiom_size1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngrams.line_ngram_counts(token_lines(table(spark, sf_dir, "documents")), 1)
+    return ngrams.line_ngram_counts(token_lines(_dealt(spark, sf_dir)), 1)
 
 
 def idiom_size2_wild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngrams.line_ngram_counts(token_lines(table(spark, sf_dir, "documents")), 2)
+    return ngrams.line_ngram_counts(token_lines(_dealt(spark, sf_dir)), 2)
 
 
 def idiom_size3_wild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngrams.line_ngram_counts(token_lines(table(spark, sf_dir, "documents")), 3)
+    return ngrams.line_ngram_counts(token_lines(_dealt(spark, sf_dir)), 3)
 
 
 def cross_block_bigram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngrams.cross_block_bigrams(token_lines(table(spark, sf_dir, "documents")))
+    return ngrams.cross_block_bigrams(token_lines(_dealt(spark, sf_dir)))
 
 
 def operand_bigram_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +121,7 @@ def global_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = table(spark, sf_dir, "documents").groupBy("lang").agg(F.min("doc_id").alias("f"))
-    return dictionary.dense_ids(first, F.lit(0), ["f", "lang"], "label_id").select("lang", "label_id")
+    return dictionary.dense_ids(first, ["f", "lang"], "label_id").select("lang", "label_id")
 
 
 def presence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,15 +141,14 @@ def feature_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.scales(_counts(spark, sf_dir))
 
 
-def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """feat, scale of the selected features."""
-    top = mi_topk_tokens(spark, sf_dir).select(F.col("tok").alias("feat"))
-    counts = _counts(spark, sf_dir).join(top, "feat", "left_semi")
-    return dictionary.scales(counts)
-
-
 def scaled_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dictionary.scaled(_counts(spark, sf_dir), _selected(spark, sf_dir)).withColumn("value", F.round("value", 6))
+    """Counts of the selected tokens over their greatest; tokens are counted once, for the selection and the instances."""
+    docs = table(spark, sf_dir, "documents")
+    top = mi_topk_tokens(spark, sf_dir).select(F.col("tok").alias("feat"))  # KEEP rows, so they are broadcast before counting
+    lines = token_lines(docs.select("doc_id", "text").repartition("doc_id"))
+    words = lines.select("doc_id", F.explode("words").alias("feat")).join(F.broadcast(top), "feat", "left_semi")
+    counts = words.groupBy("doc_id", "feat").agg(F.count(F.lit(1)).alias("cnt"))
+    return dictionary.scaled(counts, F.broadcast(dictionary.scales(counts))).withColumn("value", F.round("value", 6))
 
 
 def instance_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,11 +158,12 @@ def instance_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unknown_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct tokens of documents with odd ids that documents with even ids lack, counted by document."""
-    words = document_tokens(table(spark, sf_dir, "documents"))
-    rows = words.select("doc_id", F.explode(F.array_distinct("words")).alias("tok"))
-    known = rows.where("doc_id % 2 = 0").select("tok").distinct()
-    return rows.where("doc_id % 2 = 1").join(known, "tok", "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_unknown"))
+    """Distinct tokens of every document that the labelled documents lack, counted by document."""
+    docs = table(spark, sf_dir, "documents")
+    rows = document_tokens(docs).select("doc_id", F.explode(F.array_distinct("words")).alias("tok"))
+    known = rows.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("tok").distinct()
+    found = rows.join(known, "tok", "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_unknown"))
 
 
 def linkage_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,7 +326,8 @@ WITH a AS ({_ngram_sql(1)}), b AS ({_ngram_sql(2)})
 SELECT doc_id, count(*) AS n_feats, CAST(sum(cnt) AS BIGINT) AS total FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id""",
     "unknown_filter": f"""
 WITH {LINES}, d AS (SELECT DISTINCT doc_id, tok FROM tok)
-SELECT doc_id, count(*) AS n_unknown FROM d WHERE doc_id % 2 = 1 AND tok NOT IN (SELECT tok FROM d WHERE doc_id % 2 = 0) GROUP BY doc_id""",
+SELECT a.doc_id, coalesce(n, 0) AS n_unknown FROM documents a LEFT JOIN (
+  SELECT doc_id, count(*) AS n FROM d WHERE tok NOT IN (SELECT tok FROM d WHERE doc_id IN (SELECT doc_id FROM labels)) GROUP BY doc_id) b ON a.doc_id = b.doc_id""",
     "linkage_anti": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "path_label": """
 WITH p AS (SELECT page_id, string_split(url, '/') AS parts FROM pages), k AS (SELECT *, list_position(list_transform(parts, lambda p: p IN ('en', 'de', 'fr', 'es')), true) AS k FROM p)
@@ -334,7 +342,7 @@ SELECT tok, shape, array_to_string(list_transform(list_filter(list_zip(string_sp
     + ", ".join([f"CASE WHEN length(tok) >= {n} THEN left(tok, {n}) ELSE '' END AS p{n}, CASE WHEN length(tok) >= {n} THEN right(tok, {n}) ELSE '' END AS s{n}" for n in (1, 2, 3, 4)])
     + ", replace(tok, ':', '__COLON__') AS escaped FROM types",
     "node_colors": f"WITH {GRAPH}, l AS (SELECT seq AS g, label AS n, arg_max(value, pos) AS last_value FROM ev GROUP BY ALL) SELECT g, n, color, last_value FROM nodes JOIN l USING (g, n)",
-    "graphlet1": f"WITH {GRAPH}, sets AS (SELECT g, n AS id, [n] AS nodes FROM nodes), {DESCRIBE}, colored AS (SELECT t.g, t.id, t.t || '/' || c.color AS t FROM texts t JOIN nodes c ON c.g = t.g AND c.n = t.n)"
+    "graphlet1": f"WITH {GRAPH}, sets AS (SELECT g, n AS id, [n] AS nodes FROM nodes), {DESCRIBE}, colored AS (SELECT t.g, t.id, t.t || '/' || c.color AS t, CAST(c.color AS VARCHAR) AS c, i, o, s FROM texts t JOIN nodes c ON c.g = t.g AND c.n = t.n)"
     + COUNT_TEXTS.replace("FROM texts", "FROM colored"),
     "graphlet2": f"WITH {GRAPH}, sets AS (SELECT DISTINCT g, src || '>' || dst AS id, [src, dst] AS nodes FROM edges WHERE src <> dst), {DESCRIBE}" + COUNT_TEXTS,
     "graphlet3": f"""WITH {GRAPH}, d AS (SELECT DISTINCT g, src, dst FROM edges WHERE src <> dst), trip AS (

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seqloom.operators import validation
 from seqloom.operators.crf import LinearChainCRF
 from seqloom.plans.mining import EVENTS
 from seqloom.sources import attribute_text
 from seqloom.sources.adapters import event_sequences, table
-
-
-def _path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/seqloom/{name}-{uuid.uuid4().hex}"
+from seqloom.sources.staging import new_path
+from seqloom.streaming.tagging import OUT, tag_stream
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,19 +49,64 @@ def crf_train_arow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tagged(spark, sf_dir, algorithm="arow", maxIter=5)
 
 
+#: Weights of the fixed model, by name of attribute and label or of both labels: whole quarters.
+WEIGHT = "if(type = 0, (length(src) * 3 + find_in_set(dst, 'click,error,purchase,signup,view') * 5) % 7, (find_in_set(src, 'click,error,purchase,signup,view') * 5 + find_in_set(dst, 'click,error,purchase,signup,view') * 3) % 7) / 4.0D"
+
+
+def fixed_model(rows: DataFrame):
+    return LinearChainCRF().with_weights(rows, F.expr(WEIGHT))
+
+
 def marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two likeliest labels of every event."""
+    """The two likeliest labels of every event under the fixed weights."""
+    rows = items(spark, sf_dir)
+    return fixed_model(rows).ranked(rows, 2).withColumn("marginal", F.round("marginal", 6))
+
+
+def crf_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marginals of the best path's labels and its probability under the fixed weights."""
     rows = items(spark, sf_dir)
-    return LinearChainCRF(maxIter=5).fit(rows).ranked(rows, 2)
+    return fixed_model(rows).transform(rows).select("seq", "pos", "label", "pred", F.round("marginal", 6).alias("marginal"), F.round("probability", 6).alias("probability"))
 
 
 def model_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return LinearChainCRF(maxIter=5).fit(items(spark, sf_dir)).dump(spark)
+    return fixed_model(items(spark, sf_dir)).dump(spark).withColumn("freq", F.round("freq", 6))
+
+
+def active_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixed_model(items(spark, sf_dir)).active(spark)
+
+
+def stream_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of the events as a stream of files, each sequence tagged when its last event has come."""
+    rows = items(spark, sf_dir)
+    model = fixed_model(rows)
+    source, sink, marks = (new_path(spark, n) for n in ("stream", "tags", "marks"))
+    last = F.col("pos") == F.max("pos").over(Window.partitionBy("seq"))
+    rows.select(F.col("seq").cast("string").alias("seq"), F.col("pos").cast("long").alias("pos"), "feats", last.alias("last")).write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    query = tag_stream(stream, model).writeStream.format("parquet").option("path", sink).option("checkpointLocation", marks).trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = spark.read.schema(OUT).parquet(sink)
+    return found.select("seq", "pos", "pred", F.round("marginal", 6).alias("marginal"), F.round("probability", 6).alias("probability"))
+
+
+def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of three folds of the users, each under a model of the others."""
+    rows = items(spark, sf_dir)
+    return validation.cross_validate(LinearChainCRF(maxIter=10), rows, validation.round_robin(rows, 3), 3)
+
+
+def holdout_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures on a third of the users after each of five iterations."""
+    rows = items(spark, sf_dir)
+    learn, held = validation.split_by_group(rows.join(validation.round_robin(rows, 3), "seq"), "fold", 0)
+    return validation.with_holdout(LinearChainCRF(maxIter=5), learn.drop("fold"), held.drop("fold"))[1]
 
 
 def attribute_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attributes by label after writing and reading the text form."""
-    path = _path(spark, "attributes")
+    path = new_path(spark, "attributes")
     attribute_text.write(items(spark, sf_dir), path)
     held = attribute_text.read(spark, path).select("label", F.explode("feats").alias("f"))
     return held.groupBy("label", F.col("f.attr").alias("attr")).agg(F.count(F.lit(1)).alias("n"), F.sum("f.value").alias("total"))
@@ -73,7 +114,7 @@ def attribute_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def partition_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents laid out by language and source, of which one language is read back."""
-    path = _path(spark, "layout")
+    path = new_path(spark, "layout")
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source")
     docs.repartition("lang", "source").write.partitionBy("lang", "source").parquet(path)
     back = spark.read.parquet(path).where("lang = 'en'")
@@ -82,9 +123,52 @@ def partition_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (marginals, crf_train_tag_lbfgs, crf_train_l2sgd, crf_train_ap, crf_train_pa, crf_train_arow, model_dump, attribute_text_roundtrip, partition_layout)
+    for f in (marginals, crf_tag, active_weights, stream_tags, cross_validation, holdout_rounds, crf_train_tag_lbfgs, crf_train_l2sgd, crf_train_ap, crf_train_pa, crf_train_arow, model_dump, attribute_text_roundtrip, partition_layout)
 }
+#: Weights, features and lattices of the fixed model: forward and backward rows with a sum of 1, best paths beside them.
+FIXED = f"""
+WITH RECURSIVE {EVENTS}, lab AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS y, unnest([1, 2, 3, 4, 5]) AS k
+), a AS (SELECT seq, pos, label, 'v:' || CAST(floor(log2(value + 1)) AS BIGINT) AS v, 'q:' || CAST(floor(hour(ts) / 6) AS BIGINT) AS q FROM ev
+), f AS (SELECT seq, pos, label, v AS attr, 1.0 AS x FROM a UNION ALL SELECT seq, pos, label, q, 0.5 FROM a UNION ALL SELECT seq, pos, label, v || '&' || q, 1.0 FROM a
+), moves AS (SELECT prev, cur, count(*) AS n FROM (SELECT lag(label) OVER (PARTITION BY seq ORDER BY pos) AS prev, label AS cur FROM ev) WHERE prev IS NOT NULL GROUP BY ALL
+), feats AS (
+  SELECT 0 AS type, attr AS src, label AS dst, sum(x) AS freq, ((length(attr) * 3 + k * 5) % 7) / 4 AS weight FROM f JOIN lab ON y = label GROUP BY attr, label, k
+  UNION ALL SELECT 1, prev, cur, n, ((p.k * 5 + c.k * 3) % 7) / 4 FROM moves JOIN lab p ON p.y = prev JOIN lab c ON c.y = cur
+), m AS (SELECT list(w ORDER BY i, j) AS m FROM (SELECT p.k AS i, c.k AS j, coalesce(max(weight), 0) AS w FROM lab p CROSS JOIN lab c LEFT JOIN feats ON type = 1 AND src = p.y AND dst = c.y GROUP BY ALL)
+), st AS (
+  SELECT seq, pos, list(s ORDER BY k) AS s FROM (
+    SELECT f.seq, f.pos, lab.k, sum(f.x * coalesce(w.weight, 0)) AS s FROM f CROSS JOIN lab LEFT JOIN feats w ON w.type = 0 AND w.src = f.attr AND w.dst = lab.y GROUP BY ALL) GROUP BY ALL
+), ends AS (SELECT seq, max(pos) AS n FROM st GROUP BY seq
+), fw AS (
+  SELECT seq, pos, [exp(x) / list_sum([exp(y) for y in s]) for x in s] AS a, ln(list_sum([exp(y) for y in s])) AS z, s AS b, ['1', '2', '3', '4', '5'] AS p FROM st WHERE pos = 0
+  UNION ALL
+  SELECT seq, pos, [x / list_sum(r) for x in r], z + ln(list_sum(r)), b, p FROM (
+    SELECT n.seq, n.pos, w.z, [list_sum([w.a[i] * exp(m[(i - 1) * 5 + j]) for i in [1, 2, 3, 4, 5]]) * exp(n.s[j]) for j in [1, 2, 3, 4, 5]] AS r,
+           [list_max([w.b[i] + m[(i - 1) * 5 + j] for i in [1, 2, 3, 4, 5]]) + n.s[j] for j in [1, 2, 3, 4, 5]] AS b,
+           [w.p[list_position([w.b[i] + m[(i - 1) * 5 + j] for i in [1, 2, 3, 4, 5]], list_max([w.b[i] + m[(i - 1) * 5 + j] for i in [1, 2, 3, 4, 5]]))] || ',' || j for j in [1, 2, 3, 4, 5]] AS p
+    FROM fw w JOIN st n ON n.seq = w.seq AND n.pos = w.pos + 1 CROSS JOIN m)
+), bw AS (
+  SELECT seq, pos, [CAST(1 AS DOUBLE) for k in [1, 2, 3, 4, 5]] AS b, s FROM st JOIN ends USING (seq) WHERE pos = n
+  UNION ALL
+  SELECT seq, pos, [x / list_sum(r) for x in r], s FROM (
+    SELECT n.seq, n.pos, n.s, [list_sum([exp(m[(i - 1) * 5 + j]) * exp(w.s[j]) * w.b[j] for j in [1, 2, 3, 4, 5]]) for i in [1, 2, 3, 4, 5]] AS r
+    FROM bw w JOIN st n ON n.seq = w.seq AND n.pos = w.pos - 1 CROSS JOIN m)
+), gamma AS (
+  SELECT seq, pos, [x / list_sum(g) for x in g] AS g FROM (SELECT f.seq, f.pos, [f.a[j] * w.b[j] for j in [1, 2, 3, 4, 5]] AS g FROM fw f JOIN bw w ON w.seq = f.seq AND w.pos = f.pos)
+), best AS (
+  SELECT f.seq, string_split(p[list_position(b, list_max(b))], ',') AS path, exp(list_max(b) - z) AS probability FROM fw f JOIN ends e ON e.seq = f.seq AND e.n = f.pos
+), tags AS (
+  SELECT e.seq, e.pos, e.label, y AS pred, round(g[k], 6) AS marginal, round(probability, 6) AS probability
+  FROM ev e JOIN gamma USING (seq, pos) JOIN best USING (seq) JOIN lab ON k = CAST(path[CAST(e.pos AS INT) + 1] AS INT)
+)
+"""
 SQL = {
+    "marginals": FIXED + """, r AS (SELECT seq, pos, y AS label, g[k] AS p, row_number() OVER (PARTITION BY seq, pos ORDER BY g[k] DESC, k) AS rank FROM gamma CROSS JOIN lab)
+SELECT CAST(seq AS VARCHAR) AS seq, pos, rank, label, round(p, 6) AS marginal FROM r WHERE rank <= 2""",
+    "crf_tag": FIXED + "SELECT CAST(seq AS VARCHAR) AS seq, pos, label, pred, marginal, probability FROM tags",
+    "stream_tags": FIXED + "SELECT CAST(seq AS VARCHAR) AS seq, pos, pred, marginal, probability FROM tags",
+    "model_dump": FIXED + "SELECT type, src, dst, round(CAST(freq AS DOUBLE), 6) AS freq, weight FROM feats WHERE weight <> 0",
+    "active_weights": FIXED + "SELECT type, count(*) AS n_features, count(*) FILTER (weight <> 0) AS n_active FROM feats GROUP BY type",
     "attribute_text_roundtrip": f"""
 WITH {EVENTS}, a AS (SELECT label, 'v:' || CAST(floor(log2(value + 1)) AS BIGINT) AS v, 'q:' || CAST(floor(hour(ts) / 6) AS BIGINT) AS q FROM ev),
 f AS (SELECT label, v AS attr, 1.0 AS x FROM a UNION ALL SELECT label, q, 0.5 FROM a UNION ALL SELECT label, v || '&' || q, 1.0 FROM a)
