@@ -27,10 +27,35 @@ def dense_ids(df: DataFrame, order: list[str], name: str, start: int = 1) -> Dat
     return out.withColumn(name, (F.col(place) + F.col("before") + start).cast("long")).drop(mark, place, "b", "before")
 
 
+def running_sums(df: DataFrame, group: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with running sums (name and what is summed) within ``group``, up to each row in ``order``, which must tell a
+    group's rows apart.
+
+    Groups are cut into sampled ranges, so that one of any size is dealt over tasks; the sums of a group's
+    ranges before are added.
+    """
+    mark = "range" + "_" * sum(c.startswith("range") for c in [*df.columns, *sums])
+    held = staged(df.withColumns(sums).repartitionByRange(*group, *order).withColumn(mark, F.spark_partition_id()), "summed")
+    whole = held.groupBy(mark, *group).agg(*(F.sum(n).alias(n) for n in sums))
+    earlier = Window.partitionBy(*group).orderBy(mark).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    keys = [f"{mark}{k}" for k in range(len(group) + 1)]
+    before = whole.select(F.col(mark).alias(keys[0]), *(F.col(g).alias(k) for g, k in zip(group, keys[1:])), *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"{mark}{n}") for n in sums))
+    on = [F.col(mark) == F.col(keys[0]), *(F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group, keys[1:]))]
+    here = Window.partitionBy(mark, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    added = held.join(before, on).withColumns({n: F.sum(n).over(here) + F.col(f"{mark}{n}") for n in sums})
+    return added.drop(mark, *keys, *(f"{mark}{n}" for n in sums))
+
+
 def first_seen_vocab(tokens: DataFrame) -> DataFrame:
-    """``tok, feat_id``: ids from 1 by first appearance (document, line, place, token)."""
-    first = tokens.groupBy("tok").agg(F.min(F.struct("doc_id", "line", "ord")).alias("f")).select("tok", "f.*")
-    return dense_ids(first, ["doc_id", "line", "ord", "tok"], "feat_id").select("tok", "feat_id")
+    """``tok, feat_id``: ids from 1 by first appearance (document, line, place, token).
+
+    First places are found by document, then by token, in sums of plain longs; tokens of documents that
+    are dealt out by doc_id are shuffled once.
+    """
+    at = F.col("line").cast("long") * (1 << 32) + F.col("ord")
+    first = tokens.groupBy("doc_id", "tok").agg(F.min(at).alias("at"))
+    first = first.groupBy("tok").agg(F.coalesce(F.min_by("at", "doc_id"), F.min("at")).alias("at"), F.min("doc_id").alias("doc_id"))
+    return dense_ids(first, ["doc_id", "at", "tok"], "feat_id").select("tok", "feat_id")
 
 
 def presence(document_words: DataFrame, label: str) -> DataFrame:

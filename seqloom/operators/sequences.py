@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.operators.dictionary import dense_ids
+from seqloom.sources.staging import staged
+
 
 def segments(rows: DataFrame, seq: str = "seq", pos: str = "pos", label: str = "label", at: str = "ts") -> DataFrame:
     """Runs of equal labels: ``seq, label, start, end, seg_len, cum_count``.
@@ -26,22 +29,15 @@ def segment_report(runs: DataFrame, labels: list[str]) -> DataFrame:
 
 
 def chains(ids: DataFrame, key: str) -> DataFrame:
-    """``chain, first, last, n``: maximal runs of successive keys, each run numbered by key minus rank."""
-    # ranks by a global order would sort in one task; a run starts where the key before is missing
+    """``first, last, n``: maximal runs of successive keys. Starts and ends of runs are numbered over sampled ranges."""
     here = ids.select(F.col(key).alias("k")).where("k is not null").distinct()
     before = here.select((F.col("k") + 1).alias("k")).withColumn("linked", F.lit(True))
     after = here.select((F.col("k") - 1).alias("k")).withColumn("goes_on", F.lit(True))
-    ends = here.join(before, "k", "left").join(after, "k", "left").where("linked is null or goes_on is null")
-    # starts and ends alternate in the order of keys; each start takes the next end
-    bucket = F.floor(F.col("k") / (1 << 20))
-    w = Window.partitionBy("b").orderBy("k").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    marked = ends.withColumn("b", bucket).withColumn("end_here", F.min(F.when(F.col("goes_on").isNull(), F.col("k"))).over(w))
-    later = marked.where("goes_on is null").groupBy("b").agg(F.min("k").alias("first_end"))
-    next_end = later.select("b", F.lead("first_end").over(Window.orderBy("b")).alias("b_end"), "first_end")
-    buckets = marked.select("b").distinct().join(next_end, "b", "left")
-    filled = buckets.select("b", F.min("first_end").over(Window.orderBy("b").rowsBetween(1, Window.unboundedFollowing)).alias("far_end"))
-    starts = marked.where("linked is null").join(filled, "b")
-    return starts.select(F.col("k").alias("first"), F.coalesce("end_here", "far_end").alias("last")).withColumn("n", F.col("last") - F.col("first") + 1)
+    ends = staged(here.join(before, "k", "left").join(after, "k", "left").where("linked is null or goes_on is null"), "chain_ends")
+    # runs do not overlap, so the n-th start belongs to the n-th end
+    starts = dense_ids(ends.where("linked is null").select(F.col("k").alias("first")), ["first"], "chain")
+    stops = dense_ids(ends.where("goes_on is null").select(F.col("k").alias("last")), ["last"], "chain")
+    return starts.join(stops, "chain").select("first", "last", (F.col("last") - F.col("first") + 1).alias("n"))
 
 
 def transitions(rows: DataFrame, seq: str = "seq", pos: str = "pos", label: str = "label") -> DataFrame:

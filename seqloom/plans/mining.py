@@ -58,7 +58,7 @@ SELECT g, feat, count(*) AS cnt FROM (SELECT g, id, string_agg(t, '_' ORDER BY c
 
 
 def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents dealt out by id: n-grams then are counted where they arise, and texts travel instead of several times their n-grams."""
+    """Documents dealt out by id: their words and n-grams then are counted where they arise, and texts travel instead of several times their n-grams."""
     return table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
 
 
@@ -116,7 +116,7 @@ p AS (
 
 
 def global_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dictionary.first_seen_vocab(tokens(table(spark, sf_dir, "documents")))
+    return dictionary.first_seen_vocab(tokens(_dealt(spark, sf_dir)))
 
 
 def label_index(spark: SparkSession, sf_dir: str) -> DataFrame:

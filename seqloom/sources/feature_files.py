@@ -1,15 +1,17 @@
 """The text files of feature mining: file lists, feature lists, instances, sequence data with address maps, selections.
 
 Folders of a binary's files are partitions of one table (column ``bin``); reading passes over files
-that are gone. Lines within a file are in order; a file that is one for the whole corpus is written
-in ranges, whose parts in the order of their names are the file.
+that are gone. Files are written in ranges, those of one large binary by several tasks: the parts of a
+folder in the order of their names are the file, and lines are in order within and over the parts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.operators.dictionary import running_sums
+
 
 def sizes(text: str) -> list[int]:
     """``1:2:3`` as numbers; no text, no sizes."""
@@ -42,6 +44,13 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("ignoreMissingFiles", "true").text(path)
 
 
+def _write_by_bin(rows: DataFrame, order: list[str], path: str) -> None:
+    """``value`` lines of each ``bin`` in order; no binary is one task's alone."""
+    # a name that is never null keeps the writer from sorting by name once more
+    named = rows.withColumn("bin", F.coalesce(F.col("bin").cast("string"), F.lit("")))
+    named.orderBy("bin", *order).select("bin", "value").write.partitionBy("bin").text(path)
+
+
 def write_numbered(rows: DataFrame, path: str, number: str, text: str) -> None:
     """``number text`` lines in order of the number over all parts (label and feature lists)."""
     rows.orderBy(number).select(F.concat_ws(" ", F.col(number).cast("string"), F.col(text)).alias("value")).write.text(path)
@@ -56,13 +65,12 @@ def read_numbered(spark: SparkSession, path: str, number: str, text: str) -> Dat
 def local_features(counts: DataFrame) -> DataFrame:
     """``bin, idx, feat``: the features of each binary (of counts bin, addr, feat, cnt), numbered from 1 by text."""
     feats = counts.select("bin", "feat").distinct()
-    return feats.select("bin", F.row_number().over(Window.partitionBy("bin").orderBy("feat")).alias("idx"), "feat")
+    return running_sums(feats, ["bin"], ["feat"], {"idx": F.lit(1)}).select("bin", F.col("idx").cast("int").alias("idx"), "feat")
 
 
 def write_features(features: DataFrame, path: str) -> None:
     """A list per binary, sorted by index."""
-    rows = features.repartition("bin").sortWithinPartitions("bin", "idx")
-    rows.select("bin", F.concat_ws(" ", F.col("idx").cast("string"), "feat").alias("value")).write.partitionBy("bin").text(path)
+    _write_by_bin(features.select("bin", "idx", F.concat_ws(" ", F.col("idx").cast("string"), "feat").alias("value")), ["idx"], path)
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
@@ -78,8 +86,7 @@ def write_instances(counts: DataFrame, features: DataFrame, path: str) -> None:
     coded = counts.join(features, ["bin", "feat"])
     rows = coded.groupBy("bin", "addr").agg(F.array_sort(F.collect_list(F.struct("idx", "cnt"))).alias("f"))
     shown = F.transform("f", lambda f: F.concat(f["idx"].cast("string"), F.lit(":"), three_places(f["cnt"])))
-    ordered = rows.repartition("bin").sortWithinPartitions("bin", "addr")
-    ordered.select("bin", F.concat_ws(" ", F.lower(F.hex("addr")), F.array_join(shown, " ")).alias("value")).write.partitionBy("bin").text(path)
+    _write_by_bin(rows.select("bin", "addr", F.concat_ws(" ", F.lower(F.hex("addr")), F.array_join(shown, " ")).alias("value")), ["addr"], path)
 
 
 def read_instances(spark: SparkSession, path: str, features: DataFrame) -> DataFrame:
@@ -97,23 +104,21 @@ def chain_lines(addresses: DataFrame, instances: DataFrame) -> DataFrame:
     """``bin, chain, pos, addr, label, feats``: the addresses (bin, addr) in order that have an instance (bin, addr, label,
     feats); one without ends the chain."""
     met = addresses.join(instances, ["bin", "addr"], "left")
-    w = Window.partitionBy("bin").orderBy("addr")
-    gaps = F.sum(F.col("feats").isNull().cast("int")).over(w)
-    held = met.withColumn("chain", gaps).where("feats is not null")
-    return held.withColumn("pos", F.row_number().over(w) - 1).select("bin", "chain", "pos", "addr", "label", "feats")
+    gap = F.col("feats").isNull()
+    held = running_sums(met, ["bin"], ["addr"], {"chain": gap.cast("int"), "nth": (~gap).cast("int")}).where("feats is not null")
+    return held.select("bin", "chain", (F.col("nth") - 1).alias("pos"), "addr", "label", "feats")
 
 
 def write_data(chains: DataFrame, data_path: str, map_path: str) -> None:
     """The data lines of each binary, and its map: the binary's name, then a hex address per line."""
     shown = F.transform(F.array_sort("feats"), lambda f: F.concat(f["id"].cast("string"), F.lit(":"), f["value"].cast("string")))
-    w = Window.partitionBy("bin").orderBy("pos")
     line = F.concat_ws("\t", F.col("label").cast("string"), F.array_join(shown, "\t"))
-    ended = chains.withColumn("ends", F.lead("chain").over(w) != F.col("chain"))
-    rows = ended.select("bin", "pos", F.explode(F.when(F.col("ends"), F.array(line, F.lit(""))).otherwise(F.array(line))).alias("value"))
-    rows.repartition("bin").sortWithinPartitions("bin", "pos").select("bin", "value").write.partitionBy("bin").text(data_path)
+    later = chains.select(F.col("bin").alias("b"), (F.col("pos") - 1).alias("p"), F.col("chain").alias("next"))
+    ended = chains.join(later, F.col("bin").eqNullSafe(F.col("b")) & (F.col("pos") == F.col("p")), "left")
+    lines = F.when(F.col("next") != F.col("chain"), F.array(line, F.lit(""))).otherwise(F.array(line))
+    _write_by_bin(ended.select("bin", "pos", F.posexplode(lines).alias("nth", "value")), ["pos", "nth"], data_path)
     names = chains.select("bin").distinct().select("bin", F.lit(-1).alias("pos"), F.col("bin").cast("string").alias("value"))
-    rows = names.unionByName(chains.select("bin", "pos", F.lower(F.hex("addr")).alias("value")))
-    rows.repartition("bin").sortWithinPartitions("bin", "pos").select("bin", "value").write.partitionBy("bin").text(map_path)
+    _write_by_bin(names.unionByName(chains.select("bin", "pos", F.lower(F.hex("addr")).alias("value"))), ["pos"], map_path)
 
 
 def read_data(spark: SparkSession, path: str) -> DataFrame:

@@ -56,6 +56,23 @@ def test_ids_over_ranges(spark):
     assert dictionary.dense_ids(df.limit(0), ["k"], "id").count() == 0
 
 
+def test_running_sums_over_ranges(spark):
+    r = random.Random(6)
+    rows = [(r.choice("xxxxxyz") if k % 50 else None, k, r.randrange(3)) for k in range(2000)]
+    r.shuffle(rows)
+    want, sums = {}, {}
+    for g, k, v in sorted(rows, key=lambda t: t[1]):
+        sums[g] = sums.get(g, 0) + v
+        want[k] = sums[g]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = dictionary.running_sums(spark.createDataFrame(rows, "range string, k long, v int"), ["range"], ["k"], {"s": F.col("v")}).collect()
+        assert len({x["range"] for x in got}) == 4 and {x["k"]: x["s"] for x in got} == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert dictionary.running_sums(spark.createDataFrame([], "g string, k long"), ["g"], ["k"], {"s": F.lit(1)}).count() == 0
+
+
 def test_tables_are_made_once(spark, tmp_path):
     made = []
 
