@@ -68,29 +68,52 @@ def pack(rows: DataFrame, attrs: DataFrame, labels: list[str]) -> DataFrame:
 
 
 class Layout:
-    """Where features stand in the weight vector: state features by (attribute, label), then transitions."""
+    """Where features stand in the weight vector. Of state features only those that exist are held, attribute by attribute; the
+    table of transitions is dense."""
 
     def __init__(self, features: list[tuple[int, int, int, int]], attrs: int, labels: int):
         self.labels = labels
         self.size = len(features)
         table = np.array(features, np.int64).reshape(-1, 4)  # fid, type, src, dst
         state, move = table[table[:, 1] == 0], table[table[:, 1] == 1]
-        # one spare entry, of weight 0, stands for pairs without a feature
-        self.state = np.full((attrs, labels), self.size, np.int32)
-        self.state[state[:, 2], state[:, 3]] = state[:, 0]
+        state = state[np.argsort(state[:, 2], kind="stable")]
+        self.fids, self.lids = state[:, 0].astype(np.int32), state[:, 3].astype(np.int32)
+        self.first = np.searchsorted(state[:, 2], np.arange(attrs + 1))
+        # one spare entry, of weight 0, stands for pairs of labels without a feature
         self.trans = np.full((labels, labels), self.size, np.int32)
         self.trans[move[:, 2], move[:, 3]] = move[:, 0]
 
+    def spread(self, item: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The state features of a sequence's attributes, kept with it: their ids, labels, items and values."""
+        if "spread" not in item:
+            begin = self.first[item["aids"]]
+            sizes = self.first[item["aids"] + 1] - begin
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            k = np.arange(len(owner)) + np.repeat(begin - np.cumsum(sizes) + sizes, sizes)
+            item["spread"] = self.fids[k], self.lids[k], item["at"][owner], item["values"][owner]
+        return item["spread"]
+
     def scores(self, w: np.ndarray, item: dict) -> tuple[np.ndarray, np.ndarray]:
         """State and transition scores of a sequence, for weights with the spare entry."""
-        rows = w[self.state[item["aids"]]] * item["values"][:, None]
-        state = np.zeros((len(item["sizes"]), self.labels))
-        np.add.at(state, item["at"], rows)
-        return state, w[self.trans]
+        fids, lids, at, values = self.spread(item)
+        state = np.bincount(at * self.labels + lids, w[fids] * values, len(item["sizes"]) * self.labels)
+        return state.reshape(-1, self.labels), w[self.trans]
+
+    def add_nodes(self, out: np.ndarray, item: dict, nodes: np.ndarray, sign: float) -> None:
+        """Add the state features' values, weighted by (item, label), to a vector with the spare entry."""
+        fids, lids, at, values = self.spread(item)
+        np.add.at(out, fids, sign * nodes[at, lids] * values)
+
+    def on_path(self, item: dict, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and values of a path's state features."""
+        fids, lids, at, values = self.spread(item)
+        there = lids == path[at]
+        return fids[there], values[there]
 
     def add_path(self, out: np.ndarray, item: dict, path: np.ndarray, sign: float) -> None:
         """Add a path's feature values to a vector with the spare entry."""
-        np.add.at(out, self.state[item["aids"], path[item["at"]]], sign * item["values"])
+        fids, values = self.on_path(item, path)
+        np.add.at(out, fids, sign * values)
         np.add.at(out, self.trans[path[:-1], path[1:]], sign)
 
 
@@ -110,7 +133,7 @@ def likelihood(layout: Layout, w: np.ndarray, item: dict, grad: np.ndarray) -> f
     """Minus the log-probability of a sequence's labels; adds its gradient. ``w`` and ``grad`` have the spare entry."""
     chain = Chain(*layout.scores(w, item))
     nodes = chain.node_marginals()
-    np.add.at(grad, layout.state[item["aids"]], nodes[item["at"]] * item["values"][:, None])
+    layout.add_nodes(grad, item, nodes, 1.0)
     if len(nodes) > 1:
         np.add.at(grad, layout.trans, chain.edge_marginals().sum(0))
     layout.add_path(grad, item, item["y"], -1.0)
@@ -170,9 +193,10 @@ def _difference(layout: Layout, state: dict, item: dict) -> tuple[float, int, np
     path, top = best_path(*scores)
     wrong = int((path != item["y"]).sum())
     gold = scores[0][np.arange(len(path)), item["y"]].sum() + scores[1][item["y"][:-1], item["y"][1:]].sum()
-    ids = np.concatenate([layout.state[item["aids"], item["y"][item["at"]]], layout.state[item["aids"], path[item["at"]]], layout.trans[item["y"][:-1], item["y"][1:]], layout.trans[path[:-1], path[1:]]])
+    (right, more), (other, less) = layout.on_path(item, item["y"]), layout.on_path(item, path)
+    ids = np.concatenate([right, other, layout.trans[item["y"][:-1], item["y"][1:]], layout.trans[path[:-1], path[1:]]])
     ones = np.ones(max(0, len(path) - 1))
-    values = np.concatenate([item["values"], -item["values"], ones, -ones])
+    values = np.concatenate([more, -less, ones, -ones])
     used, inverse = np.unique(ids, return_inverse=True)
     delta = np.bincount(inverse, values, len(used))
     keep = (delta != 0) & (used < layout.size)
@@ -218,7 +242,7 @@ def _sgd(layout: Layout, state: dict, item: dict, p: dict) -> float:
         decayed = 1.0
     state["scale"][0] = decayed
     step = eta / decayed
-    np.add.at(w, layout.state[item["aids"]], -step * chain.node_marginals()[item["at"]] * item["values"][:, None])
+    layout.add_nodes(w, item, chain.node_marginals(), -step)
     if len(scores) > 1:
         np.add.at(w, layout.trans, -step * chain.edge_marginals().sum(0))
     layout.add_path(w, item, item["y"], step)
@@ -242,6 +266,7 @@ def epoch(packed: DataFrame, layout, algorithm: str, state: dict, params: dict,
         loss = 0.0
         for k in np.random.default_rng(seed).permutation(len(items)):
             loss += STEPS[algorithm](layout.value, mine, items[k], params)
+            del items[k]["spread"]  # all sequences are held, what follows from them is not
         if "scale" in mine:
             mine["w"] *= mine["scale"][0]
             mine["scale"][0] = 1.0
