@@ -85,7 +85,7 @@ def test_segments_count_on(spark):
     assert [(r["label"], r["start"], r["end"], r["seg_len"], r["cum_count"]) for r in rows] == [("1", 0, 20, 2, 2), ("2", 20, 50, 3, 5), ("1", 50, 50, 1, 6)]
 
 
-def test_chains_over_buckets(spark):
+def test_chains_over_ranges(spark):
     keys = [1, 2, 3, 7, 9, 10, (1 << 20) - 1, 1 << 20, (1 << 20) + 1, 1 << 22] + [k for k in range((3 << 20) - 2, (3 << 20) + 2)] + list(range((5 << 20) - 1, (5 << 20) + 1)) + [None, 7]
     df = spark.createDataFrame([(k,) for k in keys], "k long")
     rows = sorted(tuple(r) for r in sequences.chains(df, "k").collect())
