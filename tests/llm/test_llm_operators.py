@@ -242,6 +242,17 @@ def test_neighbours_of_several_lengths_and_repeated_rows(spark):
     assert got == [(1, 1, 5, 1.0), (1, 2, 2, 1.414214), (3, 1, 4, 2.236068)]
 
 
+def test_queries_with_equal_vectors_leave_out_their_own_ids(spark):
+    rows = [(k, [1.0, 2.0]) for k in range(15)] + [(20, [4.0, 6.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(ann.build(df), df.where("vec_id in (0, 7, 14, 20)"), k=10).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in (0, 7, 14):
+        assert got[q] == [(n + 1, v, 0.0) for n, v in enumerate([k for k in range(15) if k != q][:10])]
+    assert got[20] == [(n + 1, n, 5.0) for n in range(10)]
+
+
 def test_neighbours_of_few_and_none(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0])], "vec_id long, embedding array<float>")
     rows = [tuple(r) for r in ann.search(ann.build(df), df.where("vec_id = 1")).orderBy("rank").collect()]
