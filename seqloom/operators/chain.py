@@ -57,6 +57,42 @@ class Chain:
         return float(p)
 
 
+def stacked_sums(state: np.ndarray, trans: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log norms (one per sequence), node marginals (item by item) and the sum of edge marginals of many sequences at once.
+
+    ``state`` holds the sequences' items one after another, ``sizes`` their lengths. They are padded to the
+    longest, so sequences of like length belong together.
+    """
+    many, longest, labels = len(sizes), int(sizes.max()), trans.shape[0]
+    there = np.arange(longest)[None, :] < sizes[:, None]
+    top = state.max(1)
+    shift = trans.max()
+    m = np.exp(trans - shift)
+    e = np.ones((many, longest, labels))
+    e[there] = np.exp(state - top[:, None])
+    alpha, beta, scale = np.empty_like(e), np.empty_like(e), np.empty((many, longest))
+    row = e[:, 0]
+    for t in range(longest):
+        if t:
+            row = (row @ m) * e[:, t]
+        total = row.sum(1)
+        scale[:, t] = np.where(total > 0, 1 / np.where(total > 0, total, 1.0), 1.0)
+        row = row * scale[:, t, None]
+        alpha[:, t] = row
+    row = np.ones((many, labels))
+    for t in range(longest - 1, -1, -1):
+        if t < longest - 1:
+            row = np.where((t < sizes - 1)[:, None], (row * e[:, t + 1]) @ m.T, 1.0)
+        row = row * scale[:, t, None]
+        beta[:, t] = row
+    owner = np.repeat(np.arange(many), sizes)
+    log_norm = np.bincount(owner, top - np.log(scale[there]), many) + (sizes - 1) * shift
+    nodes = alpha[there] * beta[there] / scale[there][:, None]
+    inner = there[:, 1:]
+    edges = m * (alpha[:, :-1][inner].T @ (e[:, 1:][inner] * beta[:, 1:][inner]))
+    return log_norm, nodes, edges
+
+
 def best_path(state: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, float]:
     """The path of the greatest score; ties go to the lower label."""
     n = len(state)

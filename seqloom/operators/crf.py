@@ -18,7 +18,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.operators.chain import Chain, best_path
+from seqloom.operators.chain import Chain, best_path, stacked_sums
 from seqloom.operators.dictionary import dense_ids
 from seqloom.operators.optimize import Settings, minimise
 from seqloom.operators.sequences import transitions
@@ -129,15 +129,41 @@ def items_of(frame: pd.DataFrame) -> Iterator[dict]:
 # -- batch objective
 
 
+#: Scores (items times labels, padding included) that are worked on at a time.
+STACK = 1 << 19
+
+
+def stacks(items: list[dict], labels: int) -> Iterator[dict]:
+    """Sequences of like length joined to one that knows their ``lengths``."""
+    items = sorted(items, key=lambda i: len(i["sizes"]))
+    begin = 0
+    while begin < len(items):
+        end = begin + 1
+        while end < len(items) and (end + 1 - begin) * len(items[end]["sizes"]) * labels <= STACK:
+            end += 1
+        some = items[begin:end]
+        one = {k: np.concatenate([i[k] for i in some]) for k in ("y", "sizes", "aids", "values")}
+        one["at"] = np.repeat(np.arange(len(one["sizes"])), one["sizes"])
+        one["lengths"] = np.array([len(i["sizes"]) for i in some])
+        yield one
+        begin = end
+
+
 def likelihood(layout: Layout, w: np.ndarray, item: dict, grad: np.ndarray) -> float:
-    """Minus the log-probability of a sequence's labels; adds its gradient. ``w`` and ``grad`` have the spare entry."""
-    chain = Chain(*layout.scores(w, item))
-    nodes = chain.node_marginals()
+    """Minus the log-probability of the labels of a sequence, or of several joined to one; adds its gradient. ``w`` and ``grad`` have the spare entry."""
+    lengths = item.get("lengths", np.array([len(item["y"])]))
+    state, trans = layout.scores(w, item)
+    log_norm, nodes, edges = stacked_sums(state, trans, lengths)
     layout.add_nodes(grad, item, nodes, 1.0)
-    if len(nodes) > 1:
-        np.add.at(grad, layout.trans, chain.edge_marginals().sum(0))
-    layout.add_path(grad, item, item["y"], -1.0)
-    return -chain.log_probability(item["y"])
+    np.add.at(grad, layout.trans, edges)
+    y = item["y"]
+    inner = np.ones(len(y), bool)
+    inner[np.cumsum(lengths) - lengths] = False  # the first item of a sequence follows nothing
+    moves = layout.trans[y[:-1], y[1:]][inner[1:]]
+    fids, values = layout.on_path(item, y)
+    np.add.at(grad, fids, -values)
+    np.add.at(grad, moves, -1.0)
+    return float(log_norm.sum() - state[np.arange(len(y)), y].sum() - w[moves].sum())
 
 
 def objective(packed: DataFrame, layout: Layout, c2: float) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
@@ -152,7 +178,7 @@ def objective(packed: DataFrame, layout: Layout, c2: float) -> Callable[[np.ndar
         def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             grad, loss = np.zeros(shared.value.size + 1), 0.0
             for frame in frames:
-                for item in items_of(frame):
+                for item in stacks([*items_of(frame)], shared.value.labels):
                     loss += likelihood(shared.value, weights.value, item, grad)
             yield pd.DataFrame({"k": [hash(loss) % groups], "loss": [loss], "grad": [grad[:-1].tobytes()]})
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from seqloom.operators.chain import Chain, best_path
-from seqloom.operators.crf import LinearChainCRF, LinearChainCRFModel, Layout, likelihood
+from seqloom.operators.crf import LinearChainCRF, LinearChainCRFModel, Layout, likelihood, stacks
 from seqloom.operators.optimize import SEARCHES, Settings, minimise, pseudo_gradient
 
 STATE = np.log([[0.4, 0.5, 0.1], [0.4, 0.1, 0.5], [0.4, 0.1, 0.5]])
@@ -83,6 +83,31 @@ def test_gradient_by_differences():
         assert grad[k] == pytest.approx(slope, abs=1e-5)
 
 
+def test_stacked_sequences_give_what_each_gives(monkeypatch):
+    monkeypatch.setattr("seqloom.operators.crf.STACK", 600)
+    rng = np.random.default_rng(5)
+    states = [(0, a, y) for a in range(4) for y in range(3)]
+    moves = [(1, i, j) for i in range(3) for j in range(3) if (i, j) != (1, 2)]
+    layout = Layout([(k, *f) for k, f in enumerate(states + moves)], 4, 3)
+    w = np.append(3 * rng.normal(size=layout.size), 0.0)
+    items = []
+    for n in (1, 1, 2, 40, *rng.integers(1, 30, 20)):
+        sizes = rng.integers(0, 3, n)
+        items.append({"y": rng.integers(0, 3, n), "sizes": sizes, "at": np.repeat(np.arange(n), sizes), "aids": rng.integers(0, 4, sizes.sum()), "values": rng.normal(size=sizes.sum())})
+    one, many, loss = np.zeros(layout.size + 1), np.zeros(layout.size + 1), 0.0
+    for item in items:
+        chain = Chain(*layout.scores(w, item))
+        layout.add_nodes(one, item, chain.node_marginals(), 1.0)
+        if len(item["y"]) > 1:
+            np.add.at(one, layout.trans, chain.edge_marginals().sum(0))
+        layout.add_path(one, item, item["y"], -1.0)
+        loss -= chain.log_probability(item["y"])
+    joined = [*stacks(items, 3)]
+    assert 1 < len(joined) < len(items)
+    assert sum(likelihood(layout, w, item, many) for item in joined) == pytest.approx(loss)
+    assert many[:-1] == pytest.approx(one[:-1], abs=1e-9)
+
+
 @pytest.fixture(scope="module")
 def toy(spark):
     rng = np.random.default_rng(0)
