@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import ann, decontam, linededup, pii, sentencepieces, simhash, tokencount, toxicity, urlfilter, warc
+from seqloom.llm import ann, codebooks, decontam, filteraudit, imatch, inorder, linededup, pii, sentencepieces, simhash, tokencount, toxicity, urlfilter, warc
 from seqloom.llm.common import new_path, table, write_table
 
 
@@ -103,7 +105,43 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_shown("base"), 256).alias("base_sha256"), _shown("spans").alias("spans"))
 
 
-QUERIES = [op1_line_dedup, op2_url_filter, op3_warc, op4_neighbours, op5_token_counts, op6_toxicity, op7_decontamination, op8_sentencepiece, op9_simhash, op10_pii]
+#: The filters of the audit: whether a document fails them, by its ``text`` and ``words``. E fails copies of a smaller doc_id's text.
+CONDITIONS = {
+    "A": "size(words) < 200",
+    "B": "100L * size(array_distinct(words)) < 50L * size(words)",
+    "C": "100L * regexp_count(text, '[A-Z]') > 2L * length(text)",
+    "D": "text rlike '[#$%&*|]'",
+    "E": None,
+}
+
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters keeps and removes of every source, in every order."""
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), {k: F.expr(c) if c else None for k, c in CONDITIONS.items()})
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edit (the last quarter replaced by the beginning of the next document), and their likeness."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n, beside = F.length("text"), inorder.with_next(docs)
+    beside = beside.withColumn("text", F.coalesce("text", F.lit("")))
+    cut = F.floor(n / 4).cast("int")
+    edited = beside.withColumn("edited", F.concat(F.left("text", n - cut), F.left("next_text", cut)))
+    rows = edited.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited", "next_text")
+    found = imatch.add_fingerprints(rows, imatch.fit(docs), {"fingerprint": "text", "edited_fingerprint": "edited", "next_fingerprint": "next_text"})
+    near = [imatch.likeness_of("fingerprint", c).alias(name) for name, c in (("near_edited", "edited_fingerprint"), ("near_next", "next_fingerprint"))]
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of every vector, the errors of its label, and the digest of the codebooks."""
+    found = codebooks.compress(table(spark, sf_dir, "embeddings"), keep=["label"])
+    digest = hashlib.sha256(found.text().encode()).hexdigest()
+    rows = codebooks.with_totals(found.rows, "label", "error", "label_error")
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+QUERIES = [op1_line_dedup, op2_url_filter, op3_warc, op4_neighbours, op5_token_counts, op6_toxicity, op7_decontamination, op8_sentencepiece, op9_simhash, op10_pii, op11_filter_audit, op12_fingerprints, op13_vector_codes]
 
 
 def queries() -> dict:
@@ -159,5 +197,60 @@ FROM documents d JOIN left_ l ON l.doc_id = d.doc_id
 """
 
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), f AS (
+  SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS m FROM d
+), l AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), h AS (
+  SELECT part, m, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l ON l.doc_id = f.doc_id GROUP BY part, m
+), x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT filter_order, CAST(unnest([1, 2, 3, 4, 5]) AS INTEGER) AS step FROM orders
+), s AS (
+  SELECT part, filter_order, step, filter_order[step] AS letter, m, n, good, toxic, contains(m, filter_order[step]) AS fails, translate(m, left(filter_order, step - 1), '') <> m AS gone FROM steps, h
+), r AS (
+  SELECT part, filter_order, step, letter, sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END) AS removed, sum(CASE WHEN gone AND fails THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN m = letter THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN NOT gone AND fails THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND fails THEN toxic ELSE 0 END) AS toxic_lost
+  FROM s GROUP BY part, filter_order, step, letter
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+def _op13_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """All rounds as tables one behind another; of equally near entries the first counts."""
+    ctes = [f"""kept AS (
+  SELECT vec_id, label, [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), x AS MATERIALIZED (
+  SELECT vec_id, label, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS v FROM kept, (SELECT unnest(range({parts})) AS p)
+), b0 AS MATERIALIZED (
+  SELECT p, k, v FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM kept QUALIFY k < {entries}) USING (vec_id)
+)"""]
+    near = "(SELECT x.vec_id, x.label, x.p, x.v, b.k, list_sum([(q[1] - q[2]) * (q[1] - q[2]) FOR q IN list_zip(x.v, b.v)]) AS d FROM x JOIN b{} b ON b.p = x.p)"
+    for r in range(rounds + 1):
+        ctes.append(f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(label) AS label, p, any_value(v) AS v, min(CAST(d AS HUGEINT) * 1000 + k) AS best FROM {near.format(r)} GROUP BY vec_id, p)")
+        if r < rounds:
+            ctes.append(f"""t{r} AS (
+  SELECT p, k, i, sum(y) AS s, count(*) AS n FROM (SELECT p, best % 1000 AS k, unnest(v) AS y, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY ALL
+), m{r} AS (SELECT p, k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM t{r} GROUP BY p, k
+), b{r + 1} AS MATERIALIZED (SELECT b.p, b.k, coalesce(m.v, b.v) AS v FROM b{r} b LEFT JOIN m{r} m ON m.p = b.p AND m.k = b.k)""")
+    return f"""
+WITH {", ".join(ctes)}, e AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', CAST(best % 1000 AS BIGINT)), '' ORDER BY p) AS code, CAST(sum(best // 1000) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id
+), c AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e, c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_warc": OP3_SQL}
+    return {"op11_filter_audit": OP11_SQL, "op13_vector_codes": _op13_sql(), "op1_line_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_warc": OP3_SQL}
