@@ -22,11 +22,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from seqloom.llm.common import flat, mix, quoted, range_hashes, slices, whole_text, words_of, write_table
 
@@ -166,12 +165,6 @@ def likeness(one: str, other: str) -> float:
     return equal / either if either else 0.0
 
 
-@F.pandas_udf(DoubleType())
-def likeness_of(one: pd.Series, other: pd.Series) -> pd.Series:
-    """likeness() of two columns; null where either is null."""
-    return pd.Series([None if a is None or b is None else likeness(a, b) for a, b in zip(one, other)], dtype="float64")
-
-
 def add_fingerprints(docs: DataFrame, lexicon: np.ndarray, columns: dict[str, str]) -> DataFrame:
     """``docs`` with the fingerprints of text columns: ``columns`` has the name of the text by the name of the fingerprint,
     in whose place another column of that name goes."""

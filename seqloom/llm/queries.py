@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import ann, codebooks, decontam, filteraudit, imatch, inorder, linededup, pii, sentencepieces, simhash, tokencount, toxicity, urlfilter, warc
-from seqloom.llm.common import new_path, table, write_table
+from seqloom.llm.common import new_path, slices, table, write_table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,17 +123,27 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), {k: F.expr(c) if c else None for k, c in CONDITIONS.items()})
 
 
+OP12 = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Bytes of packed texts that are compared at a time.
+PACKED_BYTES = 1 << 18
+
+
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edit (the last quarter replaced by the beginning of the next document), and their likeness."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    n, beside = F.length("text"), inorder.with_next(docs)
-    beside = beside.withColumn("text", F.coalesce("text", F.lit("")))
-    cut = F.floor(n / 4).cast("int")
-    edited = beside.withColumn("edited", F.concat(F.left("text", n - cut), F.left("next_text", cut)))
-    rows = edited.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited", "next_text")
-    found = imatch.add_fingerprints(rows, imatch.fit(docs), {"fingerprint": "text", "edited_fingerprint": "edited", "next_fingerprint": "next_text"})
-    near = [imatch.likeness_of("fingerprint", c).alias(name) for name, c in (("near_edited", "edited_fingerprint"), ("near_next", "next_fingerprint"))]
-    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near)
+    lexicon = spark.sparkContext.broadcast(imatch.fit(docs))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", PACKED_BYTES):
+            texts, after = (inorder.unpacked(part.column(c)) for c in ("text", "next_text"))
+            edits = [t[: len(t) - len(t) // 4] + n[: len(t) // 4] for t, n in zip(texts.to_pylist(), after.to_pylist())]
+            prints = [imatch.fingerprints(held, lexicon.value) for held in (texts, pa.array(edits, pa.string()), after)]
+            near = [pa.array([*map(imatch.likeness, prints[0], other)], pa.float64()) for other in prints[1:]]
+            digests = pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edits], pa.string())
+            sizes = pc.utf8_length(texts).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), sizes, digests, *(pa.array(p, pa.string()) for p in prints[:2]), *near], names=[c.split()[0] for c in OP12.split(", ")])
+
+    return inorder.with_next(docs).mapInArrow(work, OP12)
 
 
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
