@@ -1,9 +1,10 @@
-"""Linear-chain conditional random fields as an Estimator: features by joins, sums by partitions, weights on the driver.
+"""Linear-chain conditional random fields as an Estimator: features by joins, sums by partitions.
 
 Sequences are rows ``seq, pos, label, feats`` with feats an array of (attr, value). The batch trainer
-sums log-likelihood and gradient over partitions, one job per evaluation. Online trainers pass over
-each partition's sequences in turn and average the partitions' weights after every epoch (iterative
-parameter mixing); with one partition that is the plain online method.
+sums log-likelihood and gradient over partitions, one job per evaluation; its weights are on the driver,
+or in blocks where they are many or ``blockSize`` says so. Online trainers pass over each partition's
+sequences in turn and average the partitions' weights after every epoch (iterative parameter mixing);
+with one partition that is the plain online method. Their weights are held by every worker.
 """
 
 from __future__ import annotations
@@ -12,22 +13,30 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.operators.chain import Chain, best_path, stacked_sums
+from seqloom.operators import blockvectors, crf_blocks
+from seqloom.operators.chain import Chain, best_path
+from seqloom.operators.crf_blocks import tagged
+from seqloom.operators.crf_layout import Layout, items_of, likelihood, pack, stacks
 from seqloom.operators.dictionary import dense_ids
-from seqloom.operators.optimize import Settings, minimise
+from seqloom.operators.optimize import Result, Settings, minimise
 from seqloom.operators.sequences import transitions
-from seqloom.sources.staging import staged
+from seqloom.sources.staging import ArrayState, staged
 
 ALGORITHMS = ("lbfgs", "l2sgd", "ap", "pa", "arow")
 #: Labels of a model at most: the transition matrix is dense in every worker.
 MOST_LABELS = 5000
-PACKED = "seq string, y array<int>, sizes array<int>, aids array<int>, values array<double>"
+#: Features whose weights the driver holds at most, and weights of a block where there are more.
+MOST_FEATURES = 1 << 24
+BLOCK = 1 << 16
+#: Groups in which the partitions' vectors are added up before they come to the driver.
+GROUPS = 16
 
 
 # -- features
@@ -49,128 +58,13 @@ def generate_features(rows: DataFrame, min_freq: float = 0.0, all_states: bool =
     return both.where(F.col("freq") >= min_freq)
 
 
-def pack(rows: DataFrame, attrs: DataFrame, labels: list[str]) -> DataFrame:
-    """One row per sequence (PACKED); unknown attributes are left out, unknown labels become len(labels)."""
-    place = F.array_position(F.array(*map(F.lit, labels)), F.col("label")) if labels else F.lit(0)
-    items = rows.select("seq", "pos", F.when(F.coalesce(place, F.lit(0)) > 0, place - 1).otherwise(len(labels)).cast("int").alias("y"))
-    long = rows.select("seq", "pos", F.explode("feats").alias("f")).select("seq", "pos", F.col("f.attr").alias("attr"), F.coalesce("f.value", F.lit(1.0)).alias("value"))
-    known = long.join(attrs, "attr").groupBy("seq", "pos").agg(F.array_sort(F.collect_list(F.struct(F.col("aid").cast("int").alias("aid"), "value"))).alias("fs"))
-    full = items.join(known, ["seq", "pos"], "left").withColumn("fs", F.coalesce("fs", F.array().cast("array<struct<aid:int,value:double>>")))
-    seqs = full.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("pos", "y", "fs"))).alias("i"))
-    flat = F.flatten(F.transform("i", lambda x: x["fs"]))
-    return seqs.select(
-        F.col("seq").cast("string").alias("seq"),
-        F.transform("i", lambda x: x["y"]).alias("y"),
-        F.transform("i", lambda x: F.size(x["fs"])).alias("sizes"),
-        F.transform(flat, lambda f: f["aid"]).alias("aids"),
-        F.transform(flat, lambda f: f["value"]).alias("values"),
-    )
-
-
-class Layout:
-    """Where features stand in the weight vector. Of state features only those that exist are held, attribute by attribute; the
-    table of transitions is dense."""
-
-    def __init__(self, features: list[tuple[int, int, int, int]], attrs: int, labels: int):
-        self.labels = labels
-        self.size = len(features)
-        table = np.array(features, np.int64).reshape(-1, 4)  # fid, type, src, dst
-        state, move = table[table[:, 1] == 0], table[table[:, 1] == 1]
-        state = state[np.argsort(state[:, 2], kind="stable")]
-        self.fids, self.lids = state[:, 0].astype(np.int32), state[:, 3].astype(np.int32)
-        self.first = np.searchsorted(state[:, 2], np.arange(attrs + 1))
-        # one spare entry, of weight 0, stands for pairs of labels without a feature
-        self.trans = np.full((labels, labels), self.size, np.int32)
-        self.trans[move[:, 2], move[:, 3]] = move[:, 0]
-
-    def spread(self, item: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The state features of a sequence's attributes, kept with it: their ids, labels, items and values."""
-        if "spread" not in item:
-            begin = self.first[item["aids"]]
-            sizes = self.first[item["aids"] + 1] - begin
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            k = np.arange(len(owner)) + np.repeat(begin - np.cumsum(sizes) + sizes, sizes)
-            item["spread"] = self.fids[k], self.lids[k], item["at"][owner], item["values"][owner]
-        return item["spread"]
-
-    def scores(self, w: np.ndarray, item: dict) -> tuple[np.ndarray, np.ndarray]:
-        """State and transition scores of a sequence, for weights with the spare entry."""
-        fids, lids, at, values = self.spread(item)
-        state = np.bincount(at * self.labels + lids, w[fids] * values, len(item["sizes"]) * self.labels)
-        return state.reshape(-1, self.labels), w[self.trans]
-
-    def add_nodes(self, out: np.ndarray, item: dict, nodes: np.ndarray, sign: float) -> None:
-        """Add the state features' values, weighted by (item, label), to a vector with the spare entry."""
-        fids, lids, at, values = self.spread(item)
-        np.add.at(out, fids, sign * nodes[at, lids] * values)
-
-    def on_path(self, item: dict, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and values of a path's state features."""
-        fids, lids, at, values = self.spread(item)
-        there = lids == path[at]
-        return fids[there], values[there]
-
-    def add_path(self, out: np.ndarray, item: dict, path: np.ndarray, sign: float) -> None:
-        """Add a path's feature values to a vector with the spare entry."""
-        fids, values = self.on_path(item, path)
-        np.add.at(out, fids, sign * values)
-        np.add.at(out, self.trans[path[:-1], path[1:]], sign)
-
-
-def items_of(frame: pd.DataFrame) -> Iterator[dict]:
-    for row in frame.itertuples(index=False):
-        sizes = np.asarray(row.sizes, np.int64)
-        yield {
-            "seq": row.seq, "y": np.asarray(row.y, np.int64), "sizes": sizes, "at": np.repeat(np.arange(len(sizes)), sizes),
-            "aids": np.asarray(row.aids, np.int64), "values": np.asarray(row.values, np.float64),
-        }
-
-
 # -- batch objective
 
 
-#: Scores (items times labels, padding included) that are worked on at a time.
-STACK = 1 << 19
-
-
-def stacks(items: list[dict], labels: int) -> Iterator[dict]:
-    """Sequences of like length joined to one that knows their ``lengths``."""
-    items = sorted(items, key=lambda i: len(i["sizes"]))
-    begin = 0
-    while begin < len(items):
-        end = begin + 1
-        while end < len(items) and (end + 1 - begin) * len(items[end]["sizes"]) * labels <= STACK:
-            end += 1
-        some = items[begin:end]
-        one = {k: np.concatenate([i[k] for i in some]) for k in ("y", "sizes", "aids", "values")}
-        one["at"] = np.repeat(np.arange(len(one["sizes"])), one["sizes"])
-        one["lengths"] = np.array([len(i["sizes"]) for i in some])
-        yield one
-        begin = end
-
-
-def likelihood(layout: Layout, w: np.ndarray, item: dict, grad: np.ndarray) -> float:
-    """Minus the log-probability of the labels of a sequence, or of several joined to one; adds its gradient. ``w`` and ``grad`` have the spare entry."""
-    lengths = item.get("lengths", np.array([len(item["y"])]))
-    state, trans = layout.scores(w, item)
-    log_norm, nodes, edges = stacked_sums(state, trans, lengths)
-    layout.add_nodes(grad, item, nodes, 1.0)
-    np.add.at(grad, layout.trans, edges)
-    y = item["y"]
-    inner = np.ones(len(y), bool)
-    inner[np.cumsum(lengths) - lengths] = False  # the first item of a sequence follows nothing
-    moves = layout.trans[y[:-1], y[1:]][inner[1:]]
-    fids, values = layout.on_path(item, y)
-    np.add.at(grad, fids, -values)
-    np.add.at(grad, moves, -1.0)
-    return float(log_norm.sum() - state[np.arange(len(y)), y].sum() - w[moves].sum())
-
-
 def objective(packed: DataFrame, layout: Layout, c2: float) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
     """Loss and gradient over all partitions, with the squared norm; one job per call."""
     context = packed.sparkSession.sparkContext
     shared = context.broadcast(layout)
-    groups = 16
 
     def evaluate(w: np.ndarray) -> tuple[float, np.ndarray]:
         weights = context.broadcast(np.append(w, 0.0))
@@ -180,14 +74,14 @@ def objective(packed: DataFrame, layout: Layout, c2: float) -> Callable[[np.ndar
             for frame in frames:
                 for item in stacks([*items_of(frame)], shared.value.labels):
                     loss += likelihood(shared.value, weights.value, item, grad)
-            yield pd.DataFrame({"k": [hash(loss) % groups], "loss": [loss], "grad": [grad[:-1].tobytes()]})
+            yield pd.DataFrame({"k": [hash(loss) % GROUPS], "loss": [loss], "grad": [grad[:-1].tobytes()]})
 
         def total(frame: pd.DataFrame) -> pd.DataFrame:
             grad = np.sum([np.frombuffer(g) for g in frame["grad"]], axis=0)
             return pd.DataFrame({"k": frame["k"][:1], "loss": [frame["loss"].sum()], "grad": [grad.tobytes()]})
 
         sums = packed.mapInPandas(part, "k int, loss double, grad binary")
-        if packed.rdd.getNumPartitions() > 4 * groups:  # too many vectors for the driver: summed in groups first
+        if packed.rdd.getNumPartitions() > 4 * GROUPS:  # too many vectors for the driver: summed in groups first
             sums = sums.groupBy("k").applyInPandas(total, "k int, loss double, grad binary")
         rows = sorted(sums.collect(), key=lambda r: r["loss"])
         weights.destroy()
@@ -281,29 +175,41 @@ STEPS = {"ap": _perceptron, "pa": _passive_aggressive, "arow": _arow, "l2sgd": _
 
 
 def epoch(packed: DataFrame, layout, algorithm: str, state: dict, params: dict, seed: int) -> tuple[dict, float]:
-    """One pass of every partition from the same state; vectors are averaged by the partitions' sequences, losses added."""
+    """One pass of every partition from the same state; vectors are averaged by the partitions' sequences, losses added.
+
+    Sequences come in the order in which they are stored, those of a batch in a random one; a batch is held at a time.
+    """
     context = packed.sparkSession.sparkContext
     start = context.broadcast(state)
 
     def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mine = {k: v.copy() for k, v in start.value.items()}
-        items = [i for frame in frames for i in items_of(frame)]
-        items.sort(key=lambda i: i["seq"])
-        loss = 0.0
-        for k in np.random.default_rng(seed).permutation(len(items)):
-            loss += STEPS[algorithm](layout.value, mine, items[k], params)
-            del items[k]["spread"]  # all sequences are held, what follows from them is not
+        order = np.random.default_rng(seed)
+        loss, many = 0.0, 0
+        for frame in frames:
+            items = [*items_of(frame)]
+            many += len(items)
+            for k in order.permutation(len(items)):
+                loss += STEPS[algorithm](layout.value, mine, items[k], params)
+                items[k] = None
         if "scale" in mine:
             mine["w"] *= mine["scale"][0]
             mine["scale"][0] = 1.0
-        if items:
-            yield pd.DataFrame({"n": [len(items)], "loss": [loss], **{k: [v.tobytes()] for k, v in mine.items()}})
-
-    schema = "n long, loss double, " + ", ".join(f"`{k}` binary" for k in state)
-    rows = sorted(packed.mapInPandas(part, schema).collect(), key=lambda r: r["loss"])
+        if many:
+            yield pd.DataFrame({"k": [hash(loss) % GROUPS], "n": [many], "loss": [loss], **{k: [(many * v).tobytes()] for k, v in mine.items()}})
+
+    def total(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("loss")
+        return pd.DataFrame({"k": frame["k"][:1], "n": [frame["n"].sum()], "loss": [frame["loss"].sum()], **{k: [np.sum([np.frombuffer(v) for v in frame[k]], axis=0).tobytes()] for k in state}})
+
+    schema = "k int, n long, loss double, " + ", ".join(f"`{k}` binary" for k in state)
+    sums = packed.mapInPandas(part, schema)
+    if packed.rdd.getNumPartitions() > 4 * GROUPS:
+        sums = sums.groupBy("k").applyInPandas(total, schema)
+    rows = sorted(sums.collect(), key=lambda r: r["loss"])
     start.destroy()
     many = sum(r["n"] for r in rows)
-    mixed = {k: sum(np.frombuffer(r[k]) * (r["n"] / many) for r in rows) for k in state}
+    mixed = {k: sum(np.frombuffer(r[k]) for r in rows) / many for k in state}
     return mixed, float(sum(r["loss"] for r in rows))
 
 
@@ -336,7 +242,8 @@ class _Settings(Params):
     maxTrials = Param(Params._dummy(), "maxTrials", "rates tried in all (l2sgd)", TypeConverters.toInt)
     seed = Param(Params._dummy(), "seed", "order of sequences in an epoch", TypeConverters.toInt)
     partitions = Param(Params._dummy(), "partitions", "partitions of training, 0 for those of the data; 1 makes online trainers exact", TypeConverters.toInt)
-    stateFile = Param(Params._dummy(), "stateFile", "where lbfgs keeps its state, if anywhere", TypeConverters.toString)
+    stateFile = Param(Params._dummy(), "stateFile", "shared path at which lbfgs keeps its state, if anywhere (weights on the driver)", TypeConverters.toString)
+    blockSize = Param(Params._dummy(), "blockSize", "weights of a block of tables (lbfgs); 0 for weights on the driver, as long as there are not too many", TypeConverters.toInt)
 
 
 #: Iterations or epochs where none are set.
@@ -352,20 +259,22 @@ class LinearChainCRF(Estimator, _Settings):
         self._setDefault(
             algorithm="lbfgs", c1=0.0, c2=1.0, maxIter=0, epsilon=1e-5, period=10, delta=1e-5, numMemories=6, lineSearch="interpolation", maxLineSearch=20, minFreq=0.0,
             possibleStates=False, possibleTransitions=False, kind=1, c=1.0, errorSensitive=True, variance=1.0, gamma=1.0, eta=0.1, rate=2.0, samples=1000, candidates=10,
-            maxTrials=20, seed=1, partitions=0, stateFile="",
+            maxTrials=20, seed=1, partitions=0, stateFile="", blockSize=0,
         )
         self._set(**self._input_kwargs)
         #: Told iteration and loss, and with the model as it then is.
         self.listener: Callable[[int, float], None] | None = None
         self.observer: Callable[[int, float, LinearChainCRFModel], None] | None = None
+        #: How the last batch training ended.
+        self.result: Result | None = None
 
     def with_weights(self, dataset: DataFrame, weight: Column) -> LinearChainCRFModel:
         """The model of the dataset's features with given weights: an expression over type, src, dst (names) and freq."""
-        found, attrs, rows = self._features(dataset, weight)
-        return self._copyValues(LinearChainCRFModel(found, attrs, [(k, int(r["type"]), int(r["s"]), int(r["d"]), float(r["freq"]), float(r["weight"])) for k, r in enumerate(rows)]))
+        found, attrs, coded = self._features(dataset, weight)
+        return self._copyValues(LinearChainCRFModel(found, attrs, *_arrays(coded)))
 
-    def _features(self, dataset: DataFrame, weight: Column) -> tuple[list[str], DataFrame, list]:
-        """Labels, numbered attributes, and the features (type, s, d, freq, weight) in the order of their ids."""
+    def _features(self, dataset: DataFrame, weight: Column) -> tuple[list[str], DataFrame, DataFrame]:
+        """Labels, numbered attributes, and the features ``type, s, d, freq, weight`` by numbers."""
         get = self.getOrDefault
         spark = dataset.sparkSession
         found = [r[0] for r in dataset.select("label").where("label is not null").distinct().orderBy("label").limit(MOST_LABELS + 1).collect()]
@@ -377,23 +286,32 @@ class LinearChainCRF(Estimator, _Settings):
         index = spark.createDataFrame([(k, v) for k, v in enumerate(found)], "lid int, label string")
         src = features.join(attrs, (F.col("type") == 0) & (F.col("src") == F.col("attr")), "left").join(index.select(F.col("lid").alias("sl"), F.col("label").alias("sn")), (F.col("type") == 1) & (F.col("src") == F.col("sn")), "left")
         coded = src.join(index.select(F.col("lid").alias("dl"), F.col("label").alias("dn")), F.col("dst") == F.col("dn")).select("type", F.coalesce("aid", "sl").cast("long").alias("s"), F.col("dl").cast("long").alias("d"), "freq", "weight")
-        return found, attrs, coded.orderBy("type", "s", "d").collect()  # one row per weight, and weights live on the driver
+        return found, attrs, staged(coded, "coded")
 
-    def _fit(self, dataset: DataFrame) -> LinearChainCRFModel:
+    def _fit(self, dataset: DataFrame) -> LinearChainCRFModel | BlockCRFModel:
         get = self.getOrDefault
         algorithm = get(self.algorithm)
         if algorithm not in ALGORITHMS:
             raise ValueError(f"algorithm is one of {ALGORITHMS}")
-        found, attrs, rows = self._features(dataset, F.lit(0.0))
-        layout = Layout([(k, r["type"], r["s"], r["d"]) for k, r in enumerate(rows)], attrs.count(), len(found))
+        found, attrs, coded = self._features(dataset, F.lit(0.0))
+        size = coded.count()
+        if size > MOST_FEATURES and algorithm != "lbfgs":
+            raise ValueError(f"workers of {algorithm} hold all of the weights, and there are {size}: use lbfgs or minFreq")
         usable = dataset.withColumn("__bad", F.col("label").isNull())
         bad = usable.where("__bad").select("seq").distinct()
         packed = pack(dataset.join(bad, "seq", "left_anti"), attrs, found)
-        packed = (packed.repartition(get(self.partitions), "seq") if get(self.partitions) else packed).persist()
+        if algorithm == "lbfgs" and (get(self.blockSize) or size > MOST_FEATURES):
+            return self._blocks(packed, found, attrs, coded, size)
+        table, freq, _ = _arrays(coded)
+        layout = Layout(np.column_stack([np.arange(size), table]), attrs.count(), len(found))
+        packed = packed.repartition(get(self.partitions), "seq") if get(self.partitions) else packed
+        if algorithm != "lbfgs":  # a random order that every epoch keeps
+            packed = packed.sortWithinPartitions(F.xxhash64("seq", F.lit(get(self.seed))), "seq")
+        packed = packed.persist()
         n = packed.count()
 
         def model(w: np.ndarray) -> LinearChainCRFModel:
-            return self._copyValues(LinearChainCRFModel(found, attrs, [(k, int(r["type"]), int(r["s"]), int(r["d"]), float(r["freq"]), float(w[k])) for k, r in enumerate(rows)]))
+            return self._copyValues(LinearChainCRFModel(found, attrs, table, freq, w))
 
         def told(k: int, loss: float, w: np.ndarray) -> None:
             if self.listener:
@@ -405,14 +323,46 @@ class LinearChainCRF(Estimator, _Settings):
         packed.unpersist()
         return model(w)
 
-    def _batch(self, packed: DataFrame, layout: Layout, told: Callable) -> np.ndarray:
+    def _settings(self) -> Settings:
         get = self.getOrDefault
         c1 = get(self.c1)
-        settings = Settings(
+        return Settings(
             memories=get(self.numMemories), epsilon=get(self.epsilon), period=get(self.period), delta=get(self.delta), max_iterations=get(self.maxIter) or ITERATIONS["lbfgs"],
             c1=c1, search="armijo" if c1 else get(self.lineSearch), max_trials=get(self.maxLineSearch),
         )
-        return minimise(objective(packed, layout, get(self.c2)), np.zeros(layout.size), settings, told, get(self.stateFile) or None).x
+
+    def _blocks(self, packed: DataFrame, found: list[str], attrs: DataFrame, coded: DataFrame, size: int) -> BlockCRFModel:
+        """The batch trainer with features, weights and vectors in tables."""
+        get = self.getOrDefault
+        block = get(self.blockSize) or BLOCK
+        features = staged(dense_ids(coded, ["type", "s", "d"], "fid", start=0), "features")
+        moves = [(r["fid"], r["s"], r["d"]) for r in features.where("type = 1").collect()]  # pairs of labels
+        moves.sort()
+        held = crf_blocks.stage(crf_blocks.shards(packed, features, moves))
+        evaluate, free = crf_blocks.objective(held, moves, len(found), size, block, get(self.c2))
+
+        def model(vector: DataFrame) -> BlockCRFModel:
+            place = F.struct((F.col("fid") % block).cast("int").alias("at"), "fid", "type", "s", "d", "freq")
+            rows = features.groupBy((F.col("fid") / block).cast("long").alias("block")).agg(F.collect_list(place).alias("rows"))  # a block's at most
+            return self._copyValues(BlockCRFModel(found, attrs, rows.join(vector, "block").mapInArrow(_unblocked, BLOCK_FEATURES)))
+
+        def told(k: int, loss: float, vector: DataFrame) -> None:
+            if self.listener:
+                self.listener(k, loss)
+            if self.observer:
+                self.observer(k, loss, model(vector))
+
+        vector, self.result = blockvectors.minimise_blocks(evaluate, staged(blockvectors.zeros(packed.sparkSession, size, block), "start"), self._settings(), told)
+        out = model(vector)
+        out.features = staged(out.features, "weights")
+        free()
+        return out
+
+    def _batch(self, packed: DataFrame, layout: Layout, told: Callable) -> np.ndarray:
+        get = self.getOrDefault
+        state = ArrayState(packed.sparkSession, f"{get(self.stateFile)}/c2={get(self.c2)}") if get(self.stateFile) else None
+        self.result = minimise(objective(packed, layout, get(self.c2)), np.zeros(layout.size), self._settings(), told, state)
+        return self.result.x
 
     def _online(self, packed: DataFrame, layout: Layout, algorithm: str, n: int, told: Callable) -> np.ndarray:
         get = self.getOrDefault
@@ -478,36 +428,45 @@ class LinearChainCRF(Estimator, _Settings):
         return 1 / (params["lam"] * min(found)[1])
 
 
-class LinearChainCRFModel(Model, _Settings):
-    """Labels sequences of (seq, pos, feats); ``label`` may be there or not."""
+BLOCK_FEATURES = "fid long, type int, s long, d long, freq double, weight double"
 
-    def __init__(self, labels: list[str], attrs: DataFrame, features: list[tuple]):
-        super().__init__()
-        self.labels, self.attrs, self.features = labels, attrs, features
-        self.layout = Layout([f[:4] for f in features], attrs.count(), len(labels))
-        self.weights = np.array([f[5] for f in features] + [0.0])
+
+def _arrays(coded: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features in the order of type, s and d: (n, 3) numbers, frequencies and weights. For as many as the driver's weights."""
+    held = coded.select("type", "s", "d", "freq", "weight").toArrow()
+    table = np.column_stack([held[c].to_numpy().astype(np.int64) for c in ("type", "s", "d")])
+    order = np.lexsort((table[:, 2], table[:, 1], table[:, 0]))
+    return table[order], *(held[c].to_numpy()[order].astype(np.float64) for c in ("freq", "weight"))
+
+
+def _unblocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of BLOCK_FEATURES from blocks of features and of weights."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            rows = batch.column("rows")[k].values
+            w = np.frombuffer(batch.column("w")[k].as_buffer(), np.float64)[rows.field("at").to_numpy()]
+            yield pa.RecordBatch.from_arrays([*(rows.field(c) for c in ("fid", "type", "s", "d", "freq")), pa.array(w)], names=["fid", "type", "s", "d", "freq", "weight"])
+
+
+class _Tags(Model, _Settings):
+    """What models of both kinds do with ``labels``, ``attrs``, their tags of packed sequences and their coded features."""
+
+    labels: list[str]
+    attrs: DataFrame
+
+    def _tag(self, packed: DataFrame) -> DataFrame:
+        """``__seq, pred, marginal, probability, all`` of packed sequences."""
+        raise NotImplementedError
+
+    def _coded(self, spark: SparkSession) -> DataFrame:
+        """BLOCK_FEATURES."""
+        raise NotImplementedError
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        """``seq, pos, label, pred, marginal, probability``: the best path, each label's marginal and the path's probability."""
+        """``seq, pos, label, pred, marginal, probability, marginals``: the best path, its labels' marginals and probability, and all marginals."""
         rows = dataset if "label" in dataset.columns else dataset.withColumn("label", F.lit(None).cast("string"))
         places = rows.groupBy(F.col("seq").cast("string").alias("__s")).agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("__p"))
-        coded = pack(rows, self.attrs, self.labels)
-        shared = dataset.sparkSession.sparkContext.broadcast((self.layout, self.weights, self.labels))
-
-        def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            layout, w, labels = shared.value
-            for frame in frames:
-                out = []
-                for item in items_of(frame):
-                    chain = Chain(*layout.scores(w, item))
-                    path, _ = best_path(chain.state, chain.trans)
-                    nodes = chain.node_marginals()
-                    p = float(np.exp(chain.log_probability(path)))
-                    out.append((item["seq"], [labels[y] for y in path], nodes[np.arange(len(path)), path].tolist(), p, nodes.ravel().tolist()))
-                yield pd.DataFrame(out, columns=["__seq", "pred", "marginal", "probability", "all"])
-
-        found = coded.mapInPandas(work, "__seq string, pred array<string>, marginal array<double>, probability double, all array<double>")
-        both = found.join(places, F.col("__seq") == F.col("__s"))
+        both = self._tag(pack(rows, self.attrs, self.labels)).join(places, F.col("__seq") == F.col("__s"))
         each = both.select("__seq", "probability", F.posexplode("__p").alias("__i", "at"), "pred", "marginal", "all")
         n = len(self.labels)
         return each.select(
@@ -525,30 +484,119 @@ class LinearChainCRFModel(Model, _Settings):
 
     def active(self, spark: SparkSession) -> DataFrame:
         """``type, n_features, n_active``: how many features there are, and how many with a weight other than 0."""
-        kinds, weights = np.array([f[1] for f in self.features], np.int64), self.weights[:-1]
-        return spark.createDataFrame([(k, int((kinds == k).sum()), int((weights[kinds == k] != 0).sum())) for k in (0, 1)], "type int, n_features long, n_active long")
+        found = self._coded(spark).groupBy("type").agg(F.count(F.lit(1)).alias("n_features"), F.count_if(F.col("weight") != 0).alias("n_active"))
+        kinds = spark.createDataFrame([(0,), (1,)], "type int").join(found, "type", "left")
+        return kinds.select("type", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_features", "n_active")))
 
     def dump(self, spark: SparkSession) -> DataFrame:
         """``type, src, dst, freq, weight``: the features by name, those of weight 0 left out."""
-        coded = spark.createDataFrame([f[1:] for f in self.features if f[5] != 0], "type int, s int, d int, freq double, weight double")
-        names = F.array(*map(F.lit, self.labels))
+        coded, names = self._coded(spark).where("weight <> 0"), F.array(*map(F.lit, self.labels))
         with_attr = coded.join(self.attrs, (F.col("type") == 0) & (F.col("s") == F.col("aid")), "left")
-        return with_attr.select("type", F.when(F.col("type") == 0, F.col("attr")).otherwise(F.element_at(names, F.col("s") + 1)).alias("src"), F.element_at(names, F.col("d") + 1).alias("dst"), "freq", "weight")
+        return with_attr.select("type", F.when(F.col("type") == 0, F.col("attr")).otherwise(F.element_at(names, (F.col("s") + 1).cast("int"))).alias("src"), F.element_at(names, (F.col("d") + 1).cast("int")).alias("dst"), "freq", "weight")
 
     def save(self, path: str) -> None:
         """Write labels, attributes and features as tables under ``path``; features of weight 0 and attributes without others go."""
         spark = self.attrs.sparkSession
-        kept = spark.createDataFrame([f for f in self.features if f[5] != 0], "fid int, type int, src int, dst int, freq double, weight double")
+        kept = self._coded(spark).where("weight <> 0")
         spark.createDataFrame([*enumerate(self.labels)], "lid int, label string").write.mode("overwrite").parquet(f"{path}/labels")
         kept.write.mode("overwrite").parquet(f"{path}/features")
-        self.attrs.join(kept.where("type = 0").select(F.col("src").cast("long").alias("aid")).distinct(), "aid", "left_semi").write.mode("overwrite").parquet(f"{path}/attrs")
+        self.attrs.join(kept.where("type = 0").select(F.col("s").alias("aid")).distinct(), "aid", "left_semi").write.mode("overwrite").parquet(f"{path}/attrs")
 
-    @classmethod
-    def load(cls, spark: SparkSession, path: str) -> LinearChainCRFModel:
+    @staticmethod
+    def _read(spark: SparkSession, path: str) -> tuple[list[str], DataFrame, DataFrame]:
         labels = [r["label"] for r in spark.read.parquet(f"{path}/labels").orderBy("lid").collect()]
         old = spark.read.parquet(f"{path}/attrs")
         attrs = dense_ids(old.select("attr"), ["attr"], "aid", start=0)
         moved = old.withColumnRenamed("aid", "old").join(attrs, "attr").select("old", "aid")
-        rows = spark.read.parquet(f"{path}/features").join(moved, (F.col("type") == 0) & (F.col("src") == F.col("old")), "left")
-        rows = rows.select("type", F.coalesce("aid", "src").cast("int").alias("s"), "dst", "freq", "weight").orderBy("type", "s", "dst").collect()
-        return cls(labels, attrs, [(k, r["type"], r["s"], r["dst"], r["freq"], r["weight"]) for k, r in enumerate(rows)])
+        rows = spark.read.parquet(f"{path}/features").join(moved, (F.col("type") == 0) & (F.col("s") == F.col("old")), "left")
+        return labels, attrs, rows.select("type", F.coalesce("aid", "s").alias("s"), "d", "freq", "weight")
+
+
+class LinearChainCRFModel(_Tags):
+    """Labels sequences of (seq, pos, feats); ``label`` may be there or not. Features are (n, 3) numbers of type, source and label."""
+
+    def __init__(self, labels: list[str], attrs: DataFrame, table: np.ndarray, freq: np.ndarray, weights: np.ndarray):
+        super().__init__()
+        self.labels, self.attrs, self.table, self.freq = labels, attrs, table, freq
+        self.layout = Layout(np.column_stack([np.arange(len(table)), table]), attrs.count(), len(labels))
+        self.weights = np.append(weights, 0.0)
+
+    def _tag(self, packed: DataFrame) -> DataFrame:
+        shared = packed.sparkSession.sparkContext.broadcast((self.layout, self.weights, self.labels))
+
+        def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            layout, w, labels = shared.value
+            for frame in frames:
+                out = [(item["seq"], *tagged(Chain(*layout.scores(w, item)), labels)) for item in items_of(frame)]
+                yield pd.DataFrame(out, columns=["__seq", "pred", "marginal", "probability", "all"])
+
+        return packed.mapInPandas(work, crf_blocks.TAGS)
+
+    def _coded(self, spark: SparkSession) -> DataFrame:
+        held = {"fid": np.arange(len(self.table)), "type": self.table[:, 0].astype(np.int32), "s": self.table[:, 1], "d": self.table[:, 2], "freq": self.freq, "weight": self.weights[:-1]}
+        return spark.createDataFrame(pa.table(held))
+
+    def _scored(self, dataset: DataFrame, more: DataFrame, schema: str, value: Callable[[Chain, dict, dict], Iterator[tuple]]) -> DataFrame:
+        """Rows of ``schema`` from each sequence's chain, its item and its row of ``more`` (by ``__s``)."""
+        packed = pack(dataset, self.attrs, self.labels)
+        shared = dataset.sparkSession.sparkContext.broadcast((self.layout, self.weights))
+        names = [c.split()[0] for c in schema.split(", ")]
+
+        def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            layout, w = shared.value
+            for frame in frames:
+                out = [found for item, row in zip(items_of(frame), frame.to_dict("records")) for found in value(Chain(*layout.scores(w, item)), item, row)]
+                yield pd.DataFrame(out, columns=names)
+
+        return packed.join(more, F.col("seq") == F.col("__s")).mapInPandas(work, schema)
+
+    def path_probability(self, dataset: DataFrame) -> DataFrame:
+        """``seq, score, log_norm, probability`` of the labels that the dataset gives; score and probability are null where one is unknown."""
+        many = len(self.labels)
+
+        def value(chain: Chain, item: dict, row: dict) -> Iterator[tuple]:
+            known = bool((item["y"] < many).all())
+            yield item["seq"], chain.score(item["y"]) if known else None, chain.log_norm, float(np.exp(chain.log_probability(item["y"]))) if known else None
+
+        return self._scored(dataset, dataset.select(F.col("seq").cast("string").alias("__s")).distinct(), "seq string, score double, log_norm double, probability double", value)
+
+    def span_probability(self, dataset: DataFrame, spans: DataFrame) -> DataFrame:
+        """``seq, begin, labels, probability`` for spans (seq, begin, labels): that the items from the begin-th on (from 0) have just those labels.
+
+        Null where the span leaves the sequence or a label is unknown.
+        """
+        names = {label: k for k, label in enumerate(self.labels)}
+        asked = spans.groupBy(F.col("seq").cast("string").alias("__s")).agg(F.collect_list(F.struct("begin", "labels")).alias("__spans"))
+
+        def value(chain: Chain, item: dict, row: dict) -> Iterator[tuple]:
+            for span in row["__spans"]:
+                begin, labels = int(span["begin"]), [*span["labels"]]
+                fits = labels and 0 <= begin and begin + len(labels) <= len(item["y"]) and all(x in names for x in labels)
+                yield item["seq"], begin, labels, chain.path_marginal(np.array([names[x] for x in labels]), begin) if fits else None
+
+        return self._scored(dataset, asked, "seq string, begin long, labels array<string>, probability double", value)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LinearChainCRFModel:
+        labels, attrs, rows = cls._read(spark, path)
+        return cls(labels, attrs, *_arrays(rows))
+
+
+class BlockCRFModel(_Tags):
+    """A model whose features (BLOCK_FEATURES) stay a table; sequences meet their features' weights in shards."""
+
+    def __init__(self, labels: list[str], attrs: DataFrame, features: DataFrame):
+        super().__init__()
+        self.labels, self.attrs, self.features = labels, attrs, features
+
+    def _tag(self, packed: DataFrame) -> DataFrame:
+        moves = sorted((r["fid"], r["s"], r["d"], r["weight"]) for r in self.features.where("type = 1").collect())  # pairs of labels
+        return crf_blocks.tags(crf_blocks.shards(packed, self.features, [m[:3] for m in moves]), moves, self.labels)
+
+    def _coded(self, spark: SparkSession) -> DataFrame:
+        return self.features
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> BlockCRFModel:
+        labels, attrs, rows = cls._read(spark, path)
+        return cls(labels, attrs, staged(dense_ids(rows, ["type", "s", "d"], "fid", start=0).select(*(c.split()[0] for c in BLOCK_FEATURES.split(", "))), "weights"))

@@ -11,7 +11,7 @@ from seqloom.plans.mining import EVENTS
 from seqloom.sources import attribute_text
 from seqloom.sources.adapters import event_sequences, table
 from seqloom.sources.staging import new_path
-from seqloom.streaming.tagging import OUT, tag_stream
+from seqloom.streaming.tagging import OUT, run_available, tag_stream
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,16 +77,24 @@ def active_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed_model(items(spark, sf_dir)).active(spark)
 
 
+#: Places at which the stream's parts begin; each is written, read and tagged before the next.
+PARTS = (0, 4, 12)
+
+
 def stream_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tags of the events as a stream of files, each sequence tagged when its last event has come."""
+    """Tags of the events as a stream of files, each sequence tagged when its last event has come.
+
+    The stream is stopped and started anew between its parts; open sequences stay in its state.
+    """
     rows = items(spark, sf_dir)
     model = fixed_model(rows)
     source, sink, marks = (new_path(spark, n) for n in ("stream", "tags", "marks"))
     last = F.col("pos") == F.max("pos").over(Window.partitionBy("seq"))
-    rows.select(F.col("seq").cast("string").alias("seq"), F.col("pos").cast("long").alias("pos"), "feats", last.alias("last")).write.parquet(source)
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
-    query = tag_stream(stream, model).writeStream.format("parquet").option("path", sink).option("checkpointLocation", marks).trigger(availableNow=True).start()
-    query.awaitTermination()
+    events = rows.select(F.col("seq").cast("string").alias("seq"), F.col("pos").cast("long").alias("pos"), "feats", last.alias("last"))
+    for begin, end in zip(PARTS, [*PARTS[1:], 1 << 62]):
+        events.where((F.col("pos") >= begin) & (F.col("pos") < end)).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        run_available(tag_stream(stream, model).writeStream.format("parquet").option("path", sink).option("checkpointLocation", marks))
     found = spark.read.schema(OUT).parquet(sink)
     return found.select("seq", "pos", "pred", F.round("marginal", 6).alias("marginal"), F.round("probability", 6).alias("probability"))
 

@@ -1,6 +1,7 @@
 """Files, blocks, validation, streams and the command line on small inputs."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from seqloom.__main__ import main
 from seqloom.operators import blocks, dictionary, validation
 from seqloom.operators.crf import LinearChainCRF, LinearChainCRFModel
 from seqloom.sources import attribute_text, feature_files, staging, tag_text
-from seqloom.streaming.tagging import tag_stream
+from seqloom.streaming.tagging import run_available, tag_stream
 
 ITEMS = "seq string, pos long, label string, feats array<struct<attr:string,value:double>>"
 
@@ -144,11 +145,35 @@ def test_streams_are_tagged_as_tables_are(spark, tmp_path):
         part = [(r["seq"], r["pos"], [tuple(f) for f in r["feats"]], r["pos"] == ends[r["seq"]]) for r in data if r["pos"] == ends[r["seq"]] and k == 2 or r["pos"] != ends[r["seq"]] and r["pos"] % 2 == k]
         spark.createDataFrame(part, "seq string, pos long, feats array<struct<attr:string,value:double>>, last boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = tag_stream(stream, model).writeStream.format("memory").queryName("tags").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination()
+    run_available(tag_stream(stream, model).writeStream.format("memory").queryName("tags").option("checkpointLocation", str(tmp_path / "c")))
     assert {(r["seq"], r["pos"]): (r["pred"], round(r["marginal"], 9)) for r in spark.table("tags").collect()} == want
 
 
+def test_streams_go_on_after_a_stop_and_end_by_time(spark, tmp_path):
+    """Open sequences outlive the query; one that gets no more items ends by itself, and what comes later begins anew."""
+    rows = spark.createDataFrame(sequences(4), ITEMS)
+    model = LinearChainCRF(maxIter=5).fit(rows)
+    schema = "seq string, pos long, feats array<struct<attr:string,value:double>>, last boolean"
+    data = sorted((r["pos"], [tuple(f) for f in r["feats"]]) for r in rows.where("seq = 's0'").collect())
+    data += [(data[-1][0] + 1 + k, [("w:b", 1.0)]) for k in range(3)]
+
+    def batch(part, idle):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        run_available(tag_stream(stream, model, idle=idle).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")))
+        return sorted((r["seq"], r["pos"], r["pred"]) for r in spark.read.schema("seq string, pos long, pred string, marginal double, probability double").parquet(str(tmp_path / "out")).collect())
+
+    want = [r["pred"] for r in sorted(model.transform(spark.createDataFrame([("w", p, None, f) for p, f in data], ITEMS)).collect(), key=lambda r: r["pos"])]
+    half = len(data) // 2
+    assert batch([("ends", p, f, False) for p, f in data[:half]] + [("open", p, f, False) for p, f in data], 1_000) == []
+    time.sleep(1.2)
+    # the restarted query has the first half of "ends", and "open" has waited long enough
+    got = batch([("late", 0, None, False)] + [("ends", p, f, k == 0) for k, (p, f) in enumerate(reversed(data[half:]))], 3_600_000)
+    assert got == [("ends", p, y) for (p, _), y in zip(data, want)] + [("open", p, y) for (p, _), y in zip(data, want)]
+    again = batch([("open", 7, None, True)], 3_600_000)
+    assert [r[:2] for r in again if r not in got] == [("open", 7)]
+
+
 def test_command_line(spark, tmp_path, capsys):
     attribute_text.write(spark.createDataFrame(sequences(), ITEMS), str(tmp_path / "d"))
     main(["learn", str(tmp_path / "d"), "-m", str(tmp_path / "m"), "-p", "maxIter=4", "-g", "4", "-e", "1"], spark)

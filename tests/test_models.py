@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 
 from seqloom.operators.chain import Chain, best_path
-from seqloom.operators.crf import LinearChainCRF, LinearChainCRFModel, Layout, likelihood, stacks
-from seqloom.operators.optimize import SEARCHES, Settings, minimise, pseudo_gradient
+from seqloom.operators.crf import LinearChainCRF, LinearChainCRFModel
+from seqloom.operators.crf_layout import Layout, likelihood, stacks
 
 STATE = np.log([[0.4, 0.5, 0.1], [0.4, 0.1, 0.5], [0.4, 0.1, 0.5]])
 TRANS = np.log([[0.3, 0.1, 0.4], [0.6, 0.2, 0.1], [0.5, 0.2, 0.1]])
@@ -40,34 +40,6 @@ def test_ties_go_to_the_lower_label():
     assert best_path(np.zeros((3, 3)), np.zeros((3, 3)))[0].tolist() == [0, 0, 0]
 
 
-def rosenbrock(x):
-    a, b = x[::2], x[1::2]
-    g = np.empty_like(x)
-    g[1::2] = 200 * (b - a * a)
-    g[::2] = -2 * (1 - a) - 2 * a * g[1::2]
-    return float(((1 - a) ** 2 + 100 * (b - a * a) ** 2).sum()), g
-
-
-@pytest.mark.parametrize("search", SEARCHES)
-def test_rosenbrock(search):
-    found = minimise(rosenbrock, np.tile([-1.2, 1.0], 50), Settings(search=search, max_trials=40, period=0))
-    assert np.abs(found.x - 1).max() < 1e-4
-
-
-def test_l1_is_a_soft_threshold(tmp_path):
-    b = np.array([3.0, -0.5, 0.2, -4.0])
-    found = minimise(lambda x: (float(((x - b) ** 2).sum() / 2), x - b), np.zeros(4), Settings(c1=1.0, period=0), state_file=str(tmp_path / "s.npz"))
-    assert found.x == pytest.approx([2, 0, 0, -3])
-    assert pseudo_gradient(np.array([0.0, 0.0, 1.0]), np.array([0.5, -2.0, 0.0]), 1.0).tolist() == [0, -1, 1]
-
-
-def test_settings_are_checked():
-    with pytest.raises(ValueError, match="memories"):
-        Settings(memories=0)
-    with pytest.raises(ValueError):
-        Settings(c1=1.0, search="wolfe")
-
-
 def test_gradient_by_differences():
     rng = np.random.default_rng(3)
     layout = Layout([(0, 0, 0, 0), (1, 0, 0, 1), (2, 0, 1, 1), (3, 1, 0, 0), (4, 1, 0, 1), (5, 1, 1, 0)], 2, 2)
@@ -84,7 +56,7 @@ def test_gradient_by_differences():
 
 
 def test_stacked_sequences_give_what_each_gives(monkeypatch):
-    monkeypatch.setattr("seqloom.operators.crf.STACK", 600)
+    monkeypatch.setattr("seqloom.operators.crf_layout.STACK", 600)
     rng = np.random.default_rng(5)
     states = [(0, a, y) for a in range(4) for y in range(3)]
     moves = [(1, i, j) for i in range(3) for j in range(3) if (i, j) != (1, 2)]
@@ -140,3 +112,43 @@ def test_unknown_attributes_and_labels(spark, toy):
     model = LinearChainCRF(maxIter=3).fit(toy)
     new = spark.createDataFrame([(1, 0, None, [("never", 1.0)]), (1, 1, "other", [])], toy.schema)
     assert [r["pred"] in "xyz" for r in model.transform(new).collect()] == [True, True]
+
+
+def test_resumes_where_it_stopped(spark, toy, tmp_path):
+    """A training cut short and resumed goes the way of one that was not; other settings begin anew."""
+    seen = {}
+
+    def train(name, state, **settings):
+        losses = seen[name] = []
+        trainer = LinearChainCRF(stateFile=state, period=0, partitions=2, **settings)
+        trainer.listener = lambda k, loss: losses.append((k, loss))
+        return trainer.fit(toy).weights
+
+    path = str(tmp_path / "state")
+    whole = train("whole", "", maxIter=14, c2=0.01)
+    train("cut", path, maxIter=14, c2=0.01)
+    assert train("again", path, maxIter=14, c2=0.01) == pytest.approx(whole, abs=1e-8)
+    assert seen["again"][0][0] == 12 and seen["again"][-1][1] == pytest.approx(seen["whole"][-1][1])
+    train("other", path, maxIter=14, c2=0.02)
+    assert seen["other"][0][0] == 1
+
+
+def test_probabilities_of_paths_and_spans(spark, toy):
+    from seqloom.operators.crf_layout import items_of, pack
+
+    model = LinearChainCRF(maxIter=4).fit(toy)
+    rows = toy.where("seq < 3").unionByName(spark.createDataFrame([(9, 0, "never", [("bias", 1.0)])], toy.schema))
+    chains = {i["seq"]: (Chain(*model.layout.scores(model.weights, i)), i["y"]) for f in [pack(rows, model.attrs, model.labels).toPandas()] for i in items_of(f)}
+    for r in model.path_probability(rows).collect():
+        chain, y = chains[r["seq"]]
+        assert r["log_norm"] == pytest.approx(chain.log_norm)
+        assert r["probability"] is None if r["seq"] == "9" else r["probability"] == pytest.approx(np.exp(chain.log_probability(y)))
+    spans = [("0", 0, ["x"]), ("0", 2, ["x", "y", "z"]), ("1", 4, ["z", "z"]), ("1", 5, ["z", "z"]), ("2", 0, ["never"]), ("2", 0, []), ("2", -1, ["x"])]
+    got = {(r["seq"], r["begin"], *r["labels"]): r["probability"] for r in model.span_probability(rows, spark.createDataFrame(spans, "seq string, begin long, labels array<string>")).collect()}
+    for seq, begin, labels in spans:
+        chain, _ = chains[seq]
+        fits = labels and 0 <= begin <= 6 - len(labels) and "never" not in labels
+        want = None
+        if fits:  # by summing over all paths
+            want = sum(np.exp(chain.log_probability(np.array(p))) for p in itertools.product(range(3), repeat=6) if ["xyz"[y] for y in p[begin : begin + len(labels)]] == labels)
+        assert got[seq, begin, *labels] == (None if want is None else pytest.approx(want))
