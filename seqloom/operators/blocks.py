@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.sources.staging import dropped, staged
+
 from seqloom.operators.ngrams import NO_ARGUMENT, WILDCARD
 
 # fixed values: 16-bit arguments that stand for classes of operands, and the letter that a term's text shows for them
@@ -107,3 +109,35 @@ def coarsened(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> tuple[Dat
     loops = marked.where("inside").groupBy("g", "a").agg(F.max(F.col("src") == F.col("dst")).alias("self"), F.count_distinct(F.when(F.col("src") != F.col("dst"), F.col("src"))).alias("ways"))
     loops = loops.where("self or ways = 2").select("g", F.col("a").alias("src"), F.col("a").alias("dst"), F.lit(0).alias("type"))
     return colors, outer.unionByName(loops)
+
+
+def matching(edges: DataFrame, seed: int = 0) -> DataFrame:
+    """``g, a, b``: pairs of neighbours, a before b, in which no node stands twice and to which no pair of neighbours can be added.
+
+    Pairs have a random order that the seed tells. In each round those go together that are first at both
+    of their nodes; pairs that have lost a node go. Some log(n) rounds leave none, and the outcome is that of
+    taking pairs one by one in their order. Directions, kinds and repeats of edges play no part.
+    """
+    name = [F.col(c).cast("string") for c in ("g", "a", "b")]
+    left = edges.where("src <> dst").select("g", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    left = staged(left.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), *name))), "pairs")
+    found = None
+    while not left.isEmpty():
+        mark = F.struct("h", "a", "b")
+        ends = left.select("g", F.explode(F.array("a", "b")).alias("n"), mark.alias("m"))
+        least = ends.groupBy("g", "n").agg(F.min("m").alias("m"))
+        # a pair that is first at both of its nodes is named twice
+        chosen = staged(least.groupBy("g", "m").agg(F.count(F.lit(1)).alias("k")).where("k = 2").select("g", F.col("m.a").alias("a"), F.col("m.b").alias("b")), "chosen")
+        found = chosen if found is None else found.union(chosen)
+        gone = chosen.select("g", F.explode(F.array("a", "b")).alias("n"))
+        rest = left.join(gone.withColumnRenamed("n", "a"), ["g", "a"], "left_anti").join(gone.withColumnRenamed("n", "b"), ["g", "b"], "left_anti")
+        older, left = left, staged(rest.select("g", "a", "b", "h"), "pairs")
+        dropped(older)
+    return found if found is not None else left.select("g", "a", "b")
+
+
+def coarser(nodes: DataFrame, edges: DataFrame, levels: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """coarsened() by drawn pairs, level upon level; each level is written."""
+    for k in range(levels):
+        nodes, edges = (staged(t, "coarser") for t in coarsened(nodes, edges, matching(edges, seed + k)))
+    return nodes, edges

@@ -80,13 +80,30 @@ def triples(edges: DataFrame) -> DataFrame:
 
 
 def connected_sets(nodes: DataFrame, edges: DataFrame, size: int) -> DataFrame:
-    """Every connected set of ``size`` nodes once, grown by joins with neighbours; large graphs are left out."""
+    """Every connected set of ``size`` nodes, made once; large graphs are left out.
+
+    A set begins at its least node and grows by nodes from its list of candidates, each of which the
+    branches after it do without. A node joins the candidates with the first neighbour of its that is
+    taken, if it is no neighbour of the nodes before. So every set comes about in one way alone, no sets are
+    compared, and a round shuffles each set of its size once.
+    """
     small = nodes.groupBy("g").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") <= MOST_NODES).select("g")
     steps = edges.where("src <> dst").select("g", "src", "dst")
-    near = steps.union(steps.select("g", "dst", "src")).distinct().select("g", F.col("src").alias("x"), F.col("dst").alias("y"))
+    pairs_ = steps.union(steps.select("g", "dst", "src")).groupBy("g", F.col("src").alias("x")).agg(F.collect_set("dst").alias("near"))  # at most as many as a graph has nodes
+    near = pairs_.join(small, "g", "left_semi")
     sets = nodes.join(small, "g", "left_semi").select("g", F.array("n").alias("nodes"))
-    for _ in range(size - 1):
-        ends = sets.select("g", "nodes", F.explode("nodes").alias("x"))
-        grown = ends.join(near, ["g", "x"]).where(~F.array_contains("nodes", F.col("y")))
-        sets = grown.select("g", F.array_sort(F.array_append("nodes", F.col("y"))).alias("nodes")).distinct()
+    if size > 1:
+        begun = nodes.select("g", F.col("n").alias("x")).join(near, ["g", "x"])
+        sets = begun.select("g", F.array("x").alias("nodes"), F.filter("near", lambda u: u > F.col("x")).alias("left"), F.array_append("near", F.col("x")).alias("seen"))
+    for k in range(1, size):
+        taken = sets.select("g", "nodes", "left", "seen", F.posexplode("left").alias("i", "x"))
+        grown = F.array_append("nodes", F.col("x")).alias("nodes")
+        if k == size - 1:
+            sets = taken.select("g", grown)
+            break
+        met = taken.join(near, ["g", "x"])
+        new = F.filter(F.array_except("near", "seen"), lambda u: u > F.col("nodes")[0])
+        left = F.concat(F.slice("left", F.col("i") + 2, F.size("left")), new).alias("left")
+        sets = met.select("g", grown, left, F.array_union("seen", "near").alias("seen"))
+    sets = sets.select("g", F.array_sort("nodes").alias("nodes"))
     return sets.select("g", F.array_join(F.transform("nodes", lambda n: n.cast("string")), ">").alias("id"), "nodes")

@@ -9,16 +9,23 @@ from seqloom.operators.dictionary import dense_ids
 from seqloom.sources.staging import staged
 
 
-def segments(rows: DataFrame, seq: str = "seq", pos: str = "pos", label: str = "label", at: str = "ts") -> DataFrame:
+def segments(rows: DataFrame, seq: str = "seq", pos: str = "pos", label: str = "label", at: str = "ts", ranges: DataFrame | None = None) -> DataFrame:
     """Runs of equal labels: ``seq, label, start, end, seg_len, cum_count``.
 
-    end is the start of the next run, of the last run its own last place. cum_count counts the rows up to
-    the run's end from the sequence's start, seg_len those of the run.
+    end is the start of the next run. That of the last run is where the range ends that holds its last place,
+    by a table ``ranges`` (seq, begin, end), of ranges that overlap the one which begins last; without a range or a
+    table it is its own last place. cum_count counts the rows up to the run's end from the sequence's start,
+    seg_len those of the run.
     """
     w = Window.partitionBy(seq).orderBy(pos)
     flagged = rows.withColumn("__new", F.when(F.lag(label).over(w).eqNullSafe(F.col(label)) & (F.row_number().over(w) > 1), 0).otherwise(1))
     numbered = flagged.withColumn("__run", F.sum("__new").over(w))
     runs = numbered.groupBy(seq, "__run").agg(F.first(label).alias("label"), F.min(at).alias("start"), F.max(at).alias("__last"), F.count(F.lit(1)).alias("seg_len"))
+    if ranges is not None:
+        last = runs.groupBy(F.col(seq).alias("__s")).agg(F.max_by("__last", "__run").alias("__at"))  # a row per sequence
+        held = last.join(ranges.select(F.col("seq").alias("__q"), "begin", F.col("end").alias("__stop")), (F.col("__s") == F.col("__q")) & (F.col("begin") <= F.col("__at")) & (F.col("__stop") > F.col("__at")))
+        stops = held.groupBy("__s").agg(F.max_by("__stop", "begin").alias("__stop"))
+        runs = runs.join(stops, F.col(seq) == F.col("__s"), "left").withColumn("__last", F.coalesce("__stop", "__last")).drop("__s", "__stop")
     r = Window.partitionBy(seq).orderBy("__run")
     return runs.select(F.col(seq).alias("seq"), "label", "start", F.coalesce(F.lead("start").over(r), "__last").alias("end"), "seg_len", F.sum("seg_len").over(r).alias("cum_count"))
 

@@ -119,10 +119,14 @@ def block_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.block_colors(blocks.classed(rows, classes)).select("g", "n", "color", "branch")
 
 
+#: Mnemonics that parts stand for, by size: all branches and others.
+MNEMONICS = [*blocks.BRANCHES, "mov", "call", ""]
+
+
 def branch_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes of mnemonics; two thirds of the tokens here are none of a branch."""
-    words = spark.createDataFrame([(b,) for b in [*blocks.BRANCHES, "mov", "call", ""]], "mnemonic string")
-    return words.select("mnemonic", blocks.branch_class(F.col("mnemonic")).alias("class"))
+    """Classes of parts' mnemonics, some of which are none of a branch."""
+    name = F.element_at(F.array(*map(F.lit, MNEMONICS)), (F.col("p_size") % len(MNEMONICS) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", name.alias("mnemonic"), blocks.branch_class(name).alias("class"))
 
 
 # -- blocks: the turns of a conversation, with edges to the next turns
@@ -180,6 +184,17 @@ def coarsened_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _coarse(spark, sf_dir)[1].groupBy("g", "src", "dst", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def matched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of neighbouring event types that are drawn to be merged."""
+    return blocks.matching(_graph(spark, sf_dir)[2])
+
+
+def coarse_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours after two levels of drawn pairs."""
+    _, nodes, edges = _graph(spark, sf_dir)
+    return blocks.coarser(nodes, edges, 2)[0].select("g", "n", "color")
+
+
 # -- texts around tagging
 
 
@@ -208,6 +223,15 @@ def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag_text.report_lines(sequences.segment_report(runs, labelling.LABELS), labelling.LABELS)
 
 
+def report_text_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report with ends of ranges: events' places stand in ranges of eight, and sequences end where their last one does."""
+    rows = event_sequences(table(spark, sf_dir, "events"))
+    eighth = F.floor(F.col("pos") / 8) * 8
+    ranges = rows.select("seq", eighth.alias("begin"), (eighth + 8).alias("end")).distinct()
+    runs = sequences.segments(rows, at="pos", ranges=ranges)
+    return tag_text.report_lines(sequences.segment_report(runs, labelling.LABELS), labelling.LABELS)
+
+
 def weighted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields with weights behind the last colon."""
     line = F.concat_ws("\t", "lang", F.concat(F.col("source"), F.lit(":"), F.col("n_chars").cast("string")), F.lit("plain"), F.lit("a:b:2.5"))
@@ -245,7 +269,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         instances_text, feature_list_text, toolchain_index_text, linear_chains, data_text, selected_text, file_list, operand_terms, term_order, block_colors, branch_classes,
-        edge_filter, successor_ngrams, graphlet_colorings, dot_text, coarsened_nodes, coarsened_edges, prediction_labels, tagged_text, instance_text, report_text,
+        edge_filter, successor_ngrams, graphlet_colorings, dot_text, coarsened_nodes, coarsened_edges, matched_pairs, coarse_drawn, prediction_labels, tagged_text, instance_text, report_text, report_text_end,
         weighted_lines, template_file, round_robin_sizes, group_holdout,
     )
 }
@@ -284,6 +308,24 @@ WITH {EVENTS}, f AS (SELECT *, CASE WHEN label IS NOT DISTINCT FROM lag(label) O
 ), rep AS (SELECT seq, start, stop, {", ".join(f"max(CASE WHEN label = '{x}' THEN total ELSE 0 END) AS {x}" for x in labelling.LABELS)} FROM seg GROUP BY ALL
 ), seen AS (SELECT seq, list_filter([{", ".join(f"CASE WHEN max({x}) > 0 THEN '{x}' END" for x in labelling.LABELS)}], lambda x: x IS NOT NULL) AS seen FROM rep GROUP BY seq)"""
 
+
+
+def _matching_sql(edges: str, name: str, seed: int) -> str:
+    """Pairs taken one by one in the order of their digests; graphs of up to five nodes have two at most."""
+    return f"""
+{name}_all AS (SELECT DISTINCT g, least(src, dst) AS a, greatest(src, dst) AS b FROM {edges} WHERE src <> dst
+), {name}_h AS (SELECT *, md5(concat_ws('|', '{seed}', CAST(g AS VARCHAR), a, b)) AS h FROM {name}_all
+), {name}_one AS (SELECT g, a, b FROM {name}_h QUALIFY row_number() OVER (PARTITION BY g ORDER BY h, a, b) = 1
+), {name}_two AS (
+  SELECT h.g, h.a, h.b FROM {name}_h h JOIN {name}_one o ON o.g = h.g AND h.a NOT IN (o.a, o.b) AND h.b NOT IN (o.a, o.b) QUALIFY row_number() OVER (PARTITION BY h.g ORDER BY h.h, h.a, h.b) = 1
+), {name} AS (SELECT * FROM {name}_one UNION ALL SELECT * FROM {name}_two)"""
+
+
+REPORT = f""", cells AS (
+  SELECT rep.seq, start, seen, '[0x' || printf('%x', CAST(start AS BIGINT)) || ' - 0x' || printf('%x', CAST(stop AS BIGINT)) || '), ' || array_to_string(list_transform(seen, lambda x: CASE x {" ".join(f"WHEN '{x}' THEN CAST({x} AS VARCHAR)" for x in labelling.LABELS)} END), ', ') AS line
+  FROM rep JOIN seen USING (seq))
+SELECT seq, 'Address range, ' || array_to_string(any_value(seen), ', ') || chr(10) || string_agg(line, chr(10) ORDER BY start, line) AS value FROM cells GROUP BY seq"""
+
 SQL = {
     "instances_text": f"WITH {LINES} SELECT lang AS bin, doc_id AS addr, tok AS feat, CAST(count(*) AS DOUBLE) AS cnt FROM tok GROUP BY ALL",
     "feature_list_text": mining.SQL["global_vocab"],
@@ -305,7 +347,9 @@ WITH {TERMS} SELECT p_partkey, CAST(arg1 AS INT) AS arg1, CAST(arg2 AS INT) AS a
     "block_colors": f"""
 WITH i AS (SELECT l_orderkey AS g, l_suppkey % 3 AS n, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS ord, CASE WHEN l_partkey % 30 < 25 THEN (l_partkey % 30) % 17 ELSE {blocks.NO_CLASS} END AS class FROM lineitem)
 SELECT g, n, CAST(bit_or(CAST(CASE WHEN class < {blocks.NO_CLASS} THEN 1 << CAST(class AS INT) ELSE 0 END AS INT)) AS INT) AS color, CAST(arg_max(class, ord) AS INT) AS branch FROM i GROUP BY ALL""",
-    "branch_classes": "SELECT unnest(m) AS mnemonic, least(generate_subscripts(m, 1) - 1, 24) AS class FROM (SELECT string_split('" + ",".join([*blocks.BRANCHES, "mov", "call", ""]) + "', ',') AS m)",
+    "branch_classes": f"""
+WITH m AS (SELECT string_split('{",".join(MNEMONICS)}', ',') AS m)
+SELECT p_partkey, m[p_size % len(m) + 1] AS mnemonic, CAST(least(p_size % len(m), 24) AS INT) AS class FROM part, m""",
     "edge_filter": f"WITH {BLOCKS} SELECT g, src, dst FROM edge",
     "successor_ngrams": f"""
 WITH {BLOCKS}, step AS (
@@ -332,11 +376,14 @@ SELECT l_orderkey AS seq, '@probability' || chr(9) || '0.500000' || chr(10) || s
     "instance_text": """
 WITH l AS (SELECT l_orderkey, l_linenumber, l_linestatus || chr(9) || 'q' || l_linenumber || ':' || printf('%f', CAST(l_quantity AS DOUBLE)) AS line FROM lineitem)
 SELECT l_orderkey AS seq, string_agg(line, chr(10) ORDER BY l_linenumber, line) || chr(10) AS value FROM l GROUP BY l_orderkey""",
-    "report_text": _POS_SEGMENTS
-    + f""", cells AS (
-  SELECT rep.seq, start, seen, '[0x' || printf('%x', CAST(start AS BIGINT)) || ' - 0x' || printf('%x', CAST(stop AS BIGINT)) || '), ' || array_to_string(list_transform(seen, lambda x: CASE x {" ".join(f"WHEN '{x}' THEN CAST({x} AS VARCHAR)" for x in labelling.LABELS)} END), ', ') AS line
-  FROM rep JOIN seen USING (seq))
-SELECT seq, 'Address range, ' || array_to_string(any_value(seen), ', ') || chr(10) || string_agg(line, chr(10) ORDER BY start, line) AS value FROM cells GROUP BY seq""",
+    "report_text": _POS_SEGMENTS + REPORT,
+    "report_text_end": _POS_SEGMENTS.replace("coalesce(lead(start) OVER w, last)", "coalesce(lead(start) OVER w, last // 8 * 8 + 8)") + REPORT,
+    "matched_pairs": f"WITH {GRAPH}, {_matching_sql('edges', 'm', 0)} SELECT g, a, b FROM m",
+    "coarse_drawn": f"""
+WITH {GRAPH}, {_matching_sql("edges", "m", 0)}, to1 AS (SELECT n.g, n.n, coalesce(m.a, n.n) AS t, color FROM nodes n LEFT JOIN m ON m.g = n.g AND m.b = n.n
+), edges1 AS (SELECT e.g, s.t AS src, d.t AS dst FROM edges e JOIN to1 s ON s.g = e.g AND s.n = e.src JOIN to1 d ON d.g = e.g AND d.n = e.dst
+), {_matching_sql("edges1", "k", 1)}
+SELECT o.g, coalesce(k.a, o.t) AS n, bit_or(color) AS color FROM to1 o LEFT JOIN k ON k.g = o.g AND k.b = o.t GROUP BY ALL""",
     "weighted_lines": "SELECT doc_id, lang AS label, unnest([0, 1, 2]) AS nth, unnest([source, 'plain', 'a:b']) AS attr, unnest([CAST(n_chars AS DOUBLE), 1.0, 2.5]) AS value FROM documents",
     "template_file": f"""
 WITH {EVENTS}, w AS (SELECT seq, pos, coalesce(lag(label) OVER w, '') AS a, CAST(hour(ts) AS VARCHAR) AS h, coalesce(lead(label) OVER w, '') AS c FROM ev WINDOW w AS (PARTITION BY seq ORDER BY pos))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import tokens as T
-from seqloom.operators import dictionary, graphlets, ngrams
+from seqloom.operators import dictionary, families, graphlets, ngrams
 from seqloom.sources.adapters import document_tokens, event_edges, event_nodes, event_sequences, table, token_lines, tokens
 
 #: Features kept by selection.
@@ -70,6 +70,13 @@ def idiom_size2_wild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.line_ngram_counts(token_lines(_dealt(spark, sf_dir)), 2)
 
 
+def idiom_size2_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As idiom_size2_wild, by a table function that SQL calls."""
+    families.register(spark, "wildcard_ngrams", families.WildcardNgrams)
+    lines = token_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return families.count_features(lines, "wildcard_ngrams", "doc_id", "words", size=2)
+
+
 def idiom_size3_wild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.line_ngram_counts(token_lines(_dealt(spark, sf_dir)), 3)
 
@@ -251,12 +258,17 @@ def graphlet4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphlets.describe(graphlets.connected_sets(nodes, edges, 4), edges)
 
 
+def graphlet5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _graph(spark, sf_dir)
+    return graphlets.describe(graphlets.connected_sets(nodes, edges, 5), edges)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        mi_topk_tokens, presence_counts, idiom_size1, idiom_size2_wild, idiom_size3_wild, cross_block_bigram, operand_bigram_dist, idiom_pack_format, idiom_decode,
+        mi_topk_tokens, presence_counts, idiom_size1, idiom_size2_wild, idiom_size2_family, idiom_size3_wild, cross_block_bigram, operand_bigram_dist, idiom_pack_format, idiom_decode,
         global_vocab, label_index, feature_scale, scaled_instances, instance_union, unknown_filter, linkage_anti, path_label,
-        token_shape, token_type, token_flags, affixes, node_colors, graphlet1, graphlet2, graphlet3, graphlet4,
+        token_shape, token_type, token_flags, affixes, node_colors, graphlet1, graphlet2, graphlet3, graphlet4, graphlet5,
     )
 }
 
@@ -297,6 +309,7 @@ SELECT tok, lang AS label, count(*) AS n FROM dt GROUP BY GROUPING SETS ((tok),
 UNION ALL SELECT NULL, lang, count(*) FROM documents GROUP BY GROUPING SETS ((lang), ())""",
     "idiom_size1": _ngram_sql(1),
     "idiom_size2_wild": _ngram_sql(2),
+    "idiom_size2_family": _ngram_sql(2),
     "idiom_size3_wild": _ngram_sql(3),
     "cross_block_bigram": f"""
 WITH {LINES}, e AS (SELECT doc_id, w[-1] AS a, lead(w[1]) OVER (PARTITION BY doc_id ORDER BY line) AS b FROM words)
@@ -358,4 +371,9 @@ inner_ AS (SELECT f.g, f.a, f.b, f.c, f.d, u.x, u.y FROM four f JOIN u ON u.g =
 deg AS (SELECT g, a, b, c, d, count(*) AS m, list_distinct(list_concat(list(x), list(y))) AS seen FROM inner_ GROUP BY ALL),
 sets AS (SELECT g, concat_ws('>', a, b, c, d) AS id, [a, b, c, d] AS nodes FROM deg WHERE m >= 3 AND len(seen) = 4), {DESCRIBE}"""
     + COUNT_TEXTS,
+    "graphlet5": f"""WITH RECURSIVE {GRAPH}, u AS (SELECT DISTINCT g, src AS x, dst AS y FROM edges WHERE src <> dst UNION SELECT DISTINCT g, dst, src FROM edges WHERE src <> dst),
+five AS (SELECT a.g, [a.n, b.n, c.n, d.n, e.n] AS nodes FROM nodes a JOIN nodes b ON a.g = b.g AND a.n < b.n JOIN nodes c ON c.g = b.g AND b.n < c.n JOIN nodes d ON d.g = c.g AND c.n < d.n JOIN nodes e ON e.g = d.g AND d.n < e.n),
+reach AS (SELECT g, nodes, nodes[1] AS n FROM five UNION SELECT r.g, r.nodes, u.y FROM reach r JOIN u ON u.g = r.g AND u.x = r.n AND list_contains(r.nodes, u.y)),
+sets AS (SELECT g, array_to_string(nodes, '>') AS id, nodes FROM reach GROUP BY g, nodes HAVING count(*) = 5), {DESCRIBE}"""
+    + COUNT_TEXTS,
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.operators import validation
 from seqloom.operators.crf import LinearChainCRF
 from seqloom.plans.mining import EVENTS
-from seqloom.sources import attribute_text
+from seqloom.sources import attribute_source
 from seqloom.sources.adapters import event_sequences, table
 from seqloom.sources.staging import new_path
 from seqloom.streaming.tagging import OUT, run_available, tag_stream
@@ -115,8 +115,8 @@ def holdout_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attribute_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attributes by label after writing and reading the text form."""
     path = new_path(spark, "attributes")
-    attribute_text.write(items(spark, sf_dir), path)
-    held = attribute_text.read(spark, path).select("label", F.explode("feats").alias("f"))
+    attribute_source.save(items(spark, sf_dir), path)
+    held = attribute_source.scan(spark, path).select("label", F.explode("feats").alias("f"))
     return held.groupBy("label", F.col("f.attr").alias("attr")).agg(F.count(F.lit(1)).alias("n"), F.sum("f.value").alias("total"))
 
 

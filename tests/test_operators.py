@@ -131,3 +131,64 @@ def test_toolchain_key(spark):
     row = spark.createDataFrame([("/data/proj/GCC/4.8/O2/x.bin",), ("/data/none",)], "p string")
     key = attribute_text.toolchain_key(F.col("p"), ["GCC", "ICC"])
     assert [r["k"] and tuple(r["k"]) for r in row.select(key.alias("k")).collect()] == [("proj", "GCC", "4.8", "O2"), None]
+
+
+def test_connected_sets_come_about_once(spark):
+    """Against all subsets of random graphs, with sets shuffled no more often than there are sets."""
+    import itertools
+    import random
+
+    r = random.Random(8)
+    for size in (1, 2, 3, 5):
+        graphs = {g: [(a, b) for a in range(8) for b in range(8) if a != b and r.random() < 0.14] + [(3, 3)] for g in range(4)}
+        nodes = spark.createDataFrame([(g, n) for g in graphs for n in range(8)], "g int, n int")
+        edges = spark.createDataFrame([(g, a, b, 1) for g, e in graphs.items() for a, b in e], "g int, src int, dst int, type int")
+        want = []
+        for g, e in graphs.items():
+            for some in itertools.combinations(range(8), size):
+                reached, before = {some[0]}, set()
+                while reached != before:
+                    before = set(reached)
+                    reached |= {y for a, b in e for x, y in ((a, b), (b, a)) if x in reached and y in some}
+                if len(reached) == size:
+                    want.append((g, list(some)))
+        got = [(x["g"], x["nodes"]) for x in graphlets.connected_sets(nodes, edges, size).collect()]
+        assert sorted(got) == sorted(want)
+
+
+def test_large_graphs_have_no_sets(spark, monkeypatch):
+    monkeypatch.setattr(graphlets, "MOST_NODES", 3)
+    nodes = spark.createDataFrame([(1, n) for n in range(3)] + [(2, n) for n in range(4)], "g int, n int")
+    edges = spark.createDataFrame([(g, a, a + 1, 1) for g in (1, 2) for a in range(2)], "g int, src int, dst int, type int")
+    assert {r["g"] for r in graphlets.connected_sets(nodes, edges, 2).collect()} == {1}
+
+
+def test_matching_is_that_of_taking_pairs_in_order(spark):
+    import hashlib
+    import random
+
+    from seqloom.operators import blocks
+
+    r = random.Random(3)
+    rows = [(g, r.randrange(30), r.randrange(30), r.randrange(2)) for g in range(3) for _ in range(40)]
+    edges = spark.createDataFrame(rows, "g int, src int, dst int, type int")
+    got = sorted(tuple(x) for x in blocks.matching(edges, 5).collect())
+    pairs = {(g, min(a, b), max(a, b)) for g, a, b, _ in rows if a != b}
+    want, used = [], set()
+    for g, a, b in sorted(pairs, key=lambda p: (hashlib.md5(f"5|{p[0]}|{p[1]}|{p[2]}".encode()).hexdigest(), p)):
+        if not {(g, a), (g, b)} & used:
+            want.append((g, a, b))
+            used |= {(g, a), (g, b)}
+    assert got == sorted(want)
+    assert all((g, a) in used or (g, b) in used for g, a, b in pairs)  # no pair can be added
+    assert blocks.matching(edges.where("false")).count() == 0
+    nodes = spark.createDataFrame([(g, n, 1 << (n % 5)) for g in range(3) for n in range(30)], "g int, n int, color int")
+    level, kept = blocks.coarser(nodes, edges, 1, 5)
+    assert level.count() == 90 - len(want) and kept.where("src <> dst").count() <= len([x for x in rows if x[1] != x[2]])
+
+
+def test_last_runs_end_with_their_ranges(spark):
+    rows = spark.createDataFrame([("s", p, y, a) for p, (y, a) in enumerate([("x", 10), ("x", 11), ("y", 17)])] + [("t", 0, "x", 5), ("u", 0, "x", 99)], "seq string, pos int, label string, at long")
+    ranges = spark.createDataFrame([("s", 0, 16), ("s", 16, 40), ("s", 17, 30), ("s", 18, 99), ("t", 6, 9), ("u", 0, 99)], "seq string, begin long, end long")
+    got = {(r["seq"], r["start"]): r["end"] for r in sequences.segments(rows, at="at", ranges=ranges).collect()}
+    assert got == {("s", 10): 17, ("s", 17): 30, ("t", 5): 5, ("u", 99): 99}
