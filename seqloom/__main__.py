@@ -40,11 +40,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     args = top.parse_args(argv)
     spark = spark or SparkSession.builder.getOrCreate()
     if args.command == "dump":
-        LinearChainCRFModel.load(spark, args.model).dump(spark).orderBy("type", "src", "dst").show(1 << 20, truncate=False)
+        LinearChainCRFModel.load(args.model).dump(spark).orderBy("type", "src", "dst").show(1 << 20, truncate=False)
         return
     rows = attribute_text.read(spark, args.data).withColumn("seq", F.concat_ws("#", "grp", F.col("block").cast("string")))
     if args.command == "tag":
-        model = LinearChainCRFModel.load(spark, args.model)
+        model = LinearChainCRFModel.load(args.model)
         if args.test:
             validation.evaluate(model, rows.select("seq", "pos", "label", "feats")).show(truncate=False)
         if args.output:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ from seqloom.operators.crf_layout import Layout, items_of, likelihood, pack, sta
 from seqloom.operators.dictionary import dense_ids
 from seqloom.operators.optimize import Result, Settings, minimise
 from seqloom.operators.sequences import transitions
+from seqloom.operators.stages import InTables
 from seqloom.sources.staging import ArrayState, staged
 
 ALGORITHMS = ("lbfgs", "l2sgd", "ap", "pa", "arow")
@@ -250,7 +252,7 @@ class _Settings(Params):
 ITERATIONS = {"lbfgs": 1 << 31, "l2sgd": 1000, "ap": 100, "pa": 100, "arow": 100}
 
 
-class LinearChainCRF(Estimator, _Settings):
+class LinearChainCRF(Estimator, _Settings, DefaultParamsReadable, DefaultParamsWritable):
     """Fits sequences of (seq, pos, label, feats). Rows with a null label count as of no known label and are not learnt from."""
 
     @keyword_only
@@ -448,7 +450,7 @@ def _unblocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(rows.field(c) for c in ("fid", "type", "s", "d", "freq")), pa.array(w)], names=["fid", "type", "s", "d", "freq", "weight"])
 
 
-class _Tags(Model, _Settings):
+class _Tags(Model, _Settings, InTables):
     """What models of both kinds do with ``labels``, ``attrs``, their tags of packed sequences and their coded features."""
 
     labels: list[str]
@@ -494,13 +496,13 @@ class _Tags(Model, _Settings):
         with_attr = coded.join(self.attrs, (F.col("type") == 0) & (F.col("s") == F.col("aid")), "left")
         return with_attr.select("type", F.when(F.col("type") == 0, F.col("attr")).otherwise(F.element_at(names, (F.col("s") + 1).cast("int"))).alias("src"), F.element_at(names, (F.col("d") + 1).cast("int")).alias("dst"), "freq", "weight")
 
-    def save(self, path: str) -> None:
-        """Write labels, attributes and features as tables under ``path``; features of weight 0 and attributes without others go."""
+    def write_tables(self, path: str) -> None:
+        """Labels, attributes and features as tables under ``path``; features of weight 0 and attributes without others go."""
         spark = self.attrs.sparkSession
         kept = self._coded(spark).where("weight <> 0")
-        spark.createDataFrame([*enumerate(self.labels)], "lid int, label string").write.mode("overwrite").parquet(f"{path}/labels")
-        kept.write.mode("overwrite").parquet(f"{path}/features")
-        self.attrs.join(kept.where("type = 0").select(F.col("s").alias("aid")).distinct(), "aid", "left_semi").write.mode("overwrite").parquet(f"{path}/attrs")
+        spark.createDataFrame([*enumerate(self.labels)], "lid int, label string").write.parquet(f"{path}/labels")
+        kept.write.parquet(f"{path}/features")
+        self.attrs.join(kept.where("type = 0").select(F.col("s").alias("aid")).distinct(), "aid", "left_semi").write.parquet(f"{path}/attrs")
 
     @staticmethod
     def _read(spark: SparkSession, path: str) -> tuple[list[str], DataFrame, DataFrame]:
@@ -577,7 +579,7 @@ class LinearChainCRFModel(_Tags):
         return self._scored(dataset, asked, "seq string, begin long, labels array<string>, probability double", value)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> LinearChainCRFModel:
+    def read_tables(cls, spark: SparkSession, path: str) -> LinearChainCRFModel:
         labels, attrs, rows = cls._read(spark, path)
         return cls(labels, attrs, *_arrays(rows))
 
@@ -597,6 +599,6 @@ class BlockCRFModel(_Tags):
         return self.features
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> BlockCRFModel:
+    def read_tables(cls, spark: SparkSession, path: str) -> BlockCRFModel:
         labels, attrs, rows = cls._read(spark, path)
         return cls(labels, attrs, staged(dense_ids(rows, ["type", "s", "d"], "fid", start=0).select(*(c.split()[0] for c in BLOCK_FEATURES.split(", "))), "weights"))

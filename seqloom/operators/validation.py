@@ -30,20 +30,20 @@ def evaluate(model: LinearChainCRFModel, rows: DataFrame) -> DataFrame:
 
 def with_holdout(trainer: LinearChainCRF, rows: DataFrame, held: DataFrame) -> tuple[LinearChainCRFModel, DataFrame]:
     """The model of ``rows``, and its evaluation on ``held`` after every iteration: ``iteration, loss`` and the measures."""
-    found: list[DataFrame] = []
+    found: list[tuple] = []
 
     def listen(iteration: int, loss: float, model: LinearChainCRFModel) -> None:
-        found.append(evaluate(model, held).select(F.lit(iteration).alias("iteration"), F.lit(float(loss)).alias("loss"), "*"))
+        measures = evaluate(model, held)
+        found.append((iteration, float(loss), *measures.first()))
+        columns[:] = [f"{f.name} {f.dataType.simpleString()}" for f in measures.schema]
 
+    columns: list[str] = []
     trainer.observer = listen
     try:
         model = trainer.fit(rows)
     finally:
         trainer.observer = None
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return model, out
+    return model, rows.sparkSession.createDataFrame(found, ", ".join(["iteration int", "loss double", *columns]))
 
 
 def cross_validate(trainer: LinearChainCRF, rows: DataFrame, folds: DataFrame, count: int) -> DataFrame:

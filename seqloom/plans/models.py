@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators import validation
 from seqloom.operators.crf import LinearChainCRF
+from seqloom.operators.stages import InformationSelector, SequenceTemplates, WildcardTerms
 from seqloom.plans.mining import EVENTS
 from seqloom.sources import attribute_source
-from seqloom.sources.adapters import event_sequences, table
+from seqloom.sources.adapters import event_sequences, table, turn_sequences
 from seqloom.sources.staging import new_path
 from seqloom.streaming.tagging import OUT, run_available, tag_stream
 
@@ -99,6 +101,59 @@ def stream_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("seq", "pos", "pred", F.round("marginal", 6).alias("marginal"), F.round("probability", 6).alias("probability"))
 
 
+def path_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, log norm and probability of the events' own labels under the fixed weights."""
+    rows = items(spark, sf_dir)
+    return fixed_model(rows).path_probability(rows).select("seq", *(F.round(c, 6).alias(c) for c in ("score", "log_norm", "probability")))
+
+
+def span_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that the second and third event have the labels that they have, under the fixed weights."""
+    rows = items(spark, sf_dir)
+    spans = rows.where("pos in (1, 2)").groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("l"))
+    spans = spans.where(F.size("l") == 2).select("seq", F.lit(1).cast("long").alias("begin"), F.transform("l", lambda x: x["label"]).alias("labels"))
+    found = fixed_model(rows).span_probability(rows, spans)
+    return found.select("seq", "begin", F.array_join("labels", ">").alias("labels"), F.round("probability", 6).alias("probability"))
+
+
+#: Features that the pipeline keeps.
+SELECTED = 60
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as items: words, and a class of their number."""
+    rows = turn_sequences(table(spark, sf_dir, "conversations"))
+    words = F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), "\n", " "), " ", -1), lambda w: w != "")
+    return rows.select("seq", "pos", "label", words.alias("words"), F.concat(F.lit("s"), F.length(F.bin(F.size(words).cast("long"))).cast("string")).alias("size"))
+
+
+def _stages() -> list:
+    return [WildcardTerms(sizes=[1, 2]), InformationSelector(keep=SELECTED), SequenceTemplates(templates=["size[0]", "size[-1]|size[0]"])]
+
+
+def _reloaded(model: PipelineModel, spark: SparkSession) -> PipelineModel:
+    path = new_path(spark, "pipeline")
+    model.write().save(path)
+    return PipelineModel.load(path)
+
+
+def pipeline_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the turns by a pipeline that was fitted, saved and loaded."""
+    rows = turns(spark, sf_dir)
+    model = _reloaded(Pipeline(stages=_stages()).fit(rows), spark)
+    found = model.transform(rows).select("seq", "pos", F.explode("feats").alias("f"))
+    return found.select("seq", "pos", "f.attr", F.round("f.value", 6).alias("value"))
+
+
+def pipeline_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns by role, and how many of them a pipeline with a chain tags alike before it is saved and after it is loaded."""
+    rows = turns(spark, sf_dir)
+    model = Pipeline(stages=[*_stages(), LinearChainCRF(partitions=4)]).fit(rows)
+    one, two = (m.transform(rows).select("seq", "pos", "label", "pred", F.round("marginal", 9).alias("marginal")) for m in (model, _reloaded(model, spark)))
+    both = one.join(two.withColumnsRenamed({"pred": "pred2", "marginal": "marginal2"}).drop("label"), ["seq", "pos"])
+    return both.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("pred") == F.col("pred2")) & (F.col("marginal") == F.col("marginal2"))).alias("n_same"))
+
+
 def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of three folds of the users, each under a model of the others."""
     rows = items(spark, sf_dir)
@@ -131,7 +186,7 @@ def partition_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (marginals, crf_tag, active_weights, stream_tags, cross_validation, holdout_rounds, crf_train_tag_lbfgs, crf_train_l2sgd, crf_train_ap, crf_train_pa, crf_train_arow, model_dump, attribute_text_roundtrip, partition_layout)
+    for f in (marginals, crf_tag, path_probability, span_probability, pipeline_features, pipeline_tags, active_weights, stream_tags, cross_validation, holdout_rounds, crf_train_tag_lbfgs, crf_train_l2sgd, crf_train_ap, crf_train_pa, crf_train_arow, model_dump, attribute_text_roundtrip, partition_layout)
 }
 #: Weights, features and lattices of the fixed model: forward and backward rows with a sum of 1, best paths beside them.
 FIXED = f"""
@@ -174,6 +229,31 @@ SQL = {
     "marginals": FIXED + """, r AS (SELECT seq, pos, y AS label, g[k] AS p, row_number() OVER (PARTITION BY seq, pos ORDER BY g[k] DESC, k) AS rank FROM gamma CROSS JOIN lab)
 SELECT CAST(seq AS VARCHAR) AS seq, pos, rank, label, round(p, 6) AS marginal FROM r WHERE rank <= 2""",
     "crf_tag": FIXED + "SELECT CAST(seq AS VARCHAR) AS seq, pos, label, pred, marginal, probability FROM tags",
+    "path_probability": FIXED + """, y AS (SELECT e.seq, e.pos, k, lag(k) OVER (PARTITION BY e.seq ORDER BY e.pos) AS prev FROM ev e JOIN lab ON y = label
+), score AS (SELECT y.seq, sum(st.s[y.k] + CASE WHEN prev IS NULL THEN 0 ELSE m[(prev - 1) * 5 + k] END) AS score FROM y JOIN st ON st.seq = y.seq AND st.pos = y.pos CROSS JOIN m GROUP BY y.seq)
+SELECT CAST(c.seq AS VARCHAR) AS seq, round(score, 6) AS score, round(z, 6) AS log_norm, round(exp(score - z), 6) AS probability FROM score c JOIN ends e ON e.seq = c.seq JOIN fw f ON f.seq = c.seq AND f.pos = e.n""",
+    "span_probability": FIXED + """, y AS (SELECT e.seq, e.pos, e.label, k FROM ev e JOIN lab ON y = label WHERE e.pos IN (1, 2)
+), g AS (
+  SELECT a.seq, a.label || '>' || b.label AS labels, (a.k - 1) * 5 + b.k AS cell, [f.a[i // 5 + 1] * exp(m[i + 1]) * exp(w.s[i % 5 + 1]) * w.b[i % 5 + 1] for i in range(25)] AS p
+  FROM y a JOIN y b ON b.seq = a.seq AND a.pos = 1 AND b.pos = 2 JOIN fw f ON f.seq = a.seq AND f.pos = 1 JOIN bw w ON w.seq = a.seq AND w.pos = 2 CROSS JOIN m)
+SELECT CAST(seq AS VARCHAR) AS seq, CAST(1 AS BIGINT) AS begin, labels, round(p[cell] / list_sum(p), 6) AS probability FROM g""",
+    "pipeline_features": f"""
+WITH t AS (
+  SELECT conv_id AS seq, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role AS label, list_filter(string_split(replace(coalesce(text, ''), chr(10), ' '), ' '), lambda w: w <> '') AS w FROM conversations
+), tok AS (SELECT seq, pos, label, w, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM t
+), g AS (SELECT seq, pos, label, a AS feat FROM tok UNION ALL SELECT seq, pos, label, unnest([a || '_' || w[i + 1], '*_' || w[i + 1]]) FROM tok WHERE i < len(w)
+), dt AS (SELECT DISTINCT seq, pos, label, feat FROM g
+), n AS (SELECT count(*) AS n FROM t), pl AS (SELECT label, count(*) / (SELECT n FROM n) AS pl FROM t GROUP BY label
+), pf AS (SELECT feat, count(*) / (SELECT n FROM n) AS pf FROM dt GROUP BY feat), j AS (SELECT feat, label, count(*) / (SELECT n FROM n) AS pj FROM dt GROUP BY ALL
+), grid AS (SELECT pf.feat, pl, pf, coalesce(pj, 0.0) AS pj FROM pf CROSS JOIN pl LEFT JOIN j ON j.feat = pf.feat AND j.label = pl.label
+), mi AS (
+  SELECT feat, round(sum(CASE WHEN abs(pj) < 1e-7 THEN 0 ELSE pj * ln(pj / pl / pf) END + CASE WHEN abs(pl - pj) < 1e-7 THEN 0 ELSE (pl - pj) * ln((pl - pj) / pl / (1 - pf)) END), 6) AS mi FROM grid GROUP BY feat
+), top AS (SELECT feat FROM mi ORDER BY mi DESC, feat DESC LIMIT {SELECTED}
+), c AS (SELECT seq, pos, feat, count(*) AS cnt FROM g JOIN top USING (feat) GROUP BY ALL), s AS (SELECT feat, max(cnt) AS scale FROM c GROUP BY feat
+), z AS (SELECT seq, pos, 's' || length(bin(len(w))) AS size, lag('s' || length(bin(len(w)))) OVER (PARTITION BY seq ORDER BY pos) AS before FROM t)
+SELECT seq, pos, feat AS attr, round(cnt / scale, 6) AS value FROM c JOIN s USING (feat) UNION ALL SELECT seq, pos, 'size[0]=' || size, 1.0 FROM z
+UNION ALL SELECT seq, pos, 'size[-1]|size[0]=' || before || '|' || size, 1.0 FROM z WHERE before IS NOT NULL""",
+    "pipeline_tags": "SELECT role AS label, count(*) AS n, count(*) AS n_same FROM conversations GROUP BY role",
     "stream_tags": FIXED + "SELECT CAST(seq AS VARCHAR) AS seq, pos, pred, marginal, probability FROM tags",
     "model_dump": FIXED + "SELECT type, src, dst, round(CAST(freq AS DOUBLE), 6) AS freq, weight FROM feats WHERE weight <> 0",
     "active_weights": FIXED + "SELECT type, count(*) AS n_features, count(*) FILTER (weight <> 0) AS n_active FROM feats GROUP BY type",

@@ -183,7 +183,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert "item_accuracy" in shown and "iteration" in shown and "bias" in shown
     lines = [r["value"] for r in spark.read.text(str(tmp_path / "o")).collect()]
     assert sum(x.startswith("@probability\t") for x in lines) == 40 and any("\ta:" in x or "\tb:" in x for x in lines)
-    assert LinearChainCRFModel.load(spark, str(tmp_path / "m")).labels == ["a", "b"]
+    assert LinearChainCRFModel.load(str(tmp_path / "m")).labels == ["a", "b"]
 
 
 def test_online_steps_by_hand(spark):

@@ -45,7 +45,7 @@ def test_training_in_blocks(spark, rows, settings, monkeypatch):
 def test_tags_and_files_of_block_models(spark, rows, tmp_path):
     plain = LinearChainCRF(partitions=2, maxIter=5).fit(rows)
     plain.save(str(tmp_path / "m"))
-    blocks = BlockCRFModel.load(spark, str(tmp_path / "m"))
+    blocks = BlockCRFModel.load(str(tmp_path / "m"))
     new = rows.unionByName(spark.createDataFrame([(500, 0, None, []), (500, 1, "x", [("never", 2.0)]), (501, 3, None, None)], rows.schema))
 
     def tagged(model):
@@ -53,7 +53,7 @@ def test_tags_and_files_of_block_models(spark, rows, tmp_path):
 
     assert tagged(plain) == tagged(blocks) and len(tagged(plain)) == new.count()
     blocks.save(str(tmp_path / "n"))
-    again = LinearChainCRFModel.load(spark, str(tmp_path / "n"))
+    again = LinearChainCRFModel.load(str(tmp_path / "n"))
     assert tagged(again) == tagged(plain)
     assert sorted(map(tuple, plain.ranked(rows, 2).select("seq", "pos", "rank", "label").collect())) == sorted(map(tuple, blocks.ranked(rows, 2).select("seq", "pos", "rank", "label").collect()))
 

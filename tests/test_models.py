@@ -101,7 +101,7 @@ def test_trainers_learn_a_separable_set(spark, toy, settings):
 def test_model_is_saved_and_loaded(spark, toy, tmp_path):
     model = LinearChainCRF(maxIter=5).fit(toy)
     model.save(str(tmp_path / "m"))
-    again = LinearChainCRFModel.load(spark, str(tmp_path / "m"))
+    again = LinearChainCRFModel.load(str(tmp_path / "m"))
     key = lambda r: (r["seq"], r["pos"])
     one, two = (sorted(m.transform(toy).collect(), key=key) for m in (model, again))
     assert [(r["pred"], round(r["marginal"], 9)) for r in one] == [(r["pred"], round(r["marginal"], 9)) for r in two]
