@@ -135,3 +135,13 @@ def rank_shares(rows: DataFrame, k: int, seq: str = "seq", label: str = "label")
     rank = F.row_number().over(Window.partitionBy(seq).orderBy(F.desc("n"), label))
     ranked = counts.select(F.col(seq).alias("seq"), rank.alias("rank"), F.col(label).alias("label"), (F.col("n") / total).alias("share"))
     return ranked.where(F.col("rank") <= k)
+
+
+def path_features(rows: DataFrame) -> DataFrame:
+    """``seq, type, src, dst, value``: the features on the path of a sequence's own labels: sums of values by attribute and label
+    (type 0), counts of label pairs (type 1). rows are (seq, pos, label, feats); a null label has none."""
+    known = rows.where("label is not null")
+    states = known.select("seq", F.explode("feats").alias("f"), "label").select("seq", F.lit(0).alias("type"), F.col("f.attr").alias("src"), F.col("label").alias("dst"), F.coalesce("f.value", F.lit(1.0)).alias("value"))
+    before = F.lag("label").over(Window.partitionBy("seq").orderBy("pos"))
+    moves = rows.select("seq", F.lit(1).alias("type"), before.alias("src"), F.col("label").alias("dst"), F.lit(1.0).alias("value")).where("src is not null and dst is not null")
+    return states.unionByName(moves).groupBy("seq", "type", "src", "dst").agg(F.sum("value").alias("value"))

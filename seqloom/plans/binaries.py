@@ -119,6 +119,14 @@ def block_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.block_colors(blocks.classed(rows, classes)).select("g", "n", "color", "branch")
 
 
+def part_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of orders as blocks of their parts, whose classes are a table that is written and joined."""
+    classes = kept_at(spark, new_path(spark, "classes"), lambda: table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry"), (F.col("p_size") % 17).cast("int").alias("class")))
+    line = table(spark, sf_dir, "lineitem")
+    rows = line.select(F.col("l_suppkey").alias("g"), F.col("l_orderkey").alias("n"), (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey")).alias("ord"), F.col("l_partkey").alias("entry"))
+    return blocks.block_colors(blocks.classed(rows, classes)).select("g", "n", "color", "branch")
+
+
 #: Mnemonics that parts stand for, by size: all branches and others.
 MNEMONICS = [*blocks.BRANCHES, "mov", "call", ""]
 
@@ -268,7 +276,7 @@ def group_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        instances_text, feature_list_text, toolchain_index_text, linear_chains, data_text, selected_text, file_list, operand_terms, term_order, block_colors, branch_classes,
+        instances_text, feature_list_text, toolchain_index_text, linear_chains, data_text, selected_text, file_list, operand_terms, term_order, block_colors, part_colors, branch_classes,
         edge_filter, successor_ngrams, graphlet_colorings, dot_text, coarsened_nodes, coarsened_edges, matched_pairs, coarse_drawn, prediction_labels, tagged_text, instance_text, report_text, report_text_end,
         weighted_lines, template_file, round_robin_sizes, group_holdout,
     )
@@ -347,6 +355,9 @@ WITH {TERMS} SELECT p_partkey, CAST(arg1 AS INT) AS arg1, CAST(arg2 AS INT) AS a
     "block_colors": f"""
 WITH i AS (SELECT l_orderkey AS g, l_suppkey % 3 AS n, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS ord, CASE WHEN l_partkey % 30 < 25 THEN (l_partkey % 30) % 17 ELSE {blocks.NO_CLASS} END AS class FROM lineitem)
 SELECT g, n, CAST(bit_or(CAST(CASE WHEN class < {blocks.NO_CLASS} THEN 1 << CAST(class AS INT) ELSE 0 END AS INT)) AS INT) AS color, CAST(arg_max(class, ord) AS INT) AS branch FROM i GROUP BY ALL""",
+    "part_colors": """
+WITH r AS (SELECT l_suppkey AS g, l_orderkey AS n, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS ord, coalesce(p_size % 17, 15) AS class FROM lineitem LEFT JOIN part ON p_partkey = l_partkey)
+SELECT g, n, CAST(bit_or(CASE WHEN class < 15 THEN CAST(1 << CAST(class AS INT) AS INT) ELSE 0 END) AS INT) AS color, CAST(arg_max(class, ord) AS INT) AS branch FROM r GROUP BY g, n""",
     "branch_classes": f"""
 WITH m AS (SELECT string_split('{",".join(MNEMONICS)}', ',') AS m)
 SELECT p_partkey, m[p_size % len(m) + 1] AS mnemonic, CAST(least(p_size % len(m), 24) AS INT) AS class FROM part, m""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.functions import lattice
+from seqloom.functions import lattice, semirings
 from seqloom.operators import dictionary, evaluation, sequences
 from seqloom.plans.mining import EVENTS, LINES
 from seqloom.sources.adapters import document_tokens, event_sequences, table, turn_sequences
@@ -169,11 +169,50 @@ def forward_lognorm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lattices(spark, sf_dir).select("seq", F.round(lattice.log_norm(tenth, soft), 6).alias("log_norm"))
 
 
+def _walked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``seq, states, ahead, behind``: lattices of a tenth of the scores, with sums of the ways to and from every label."""
+    tenth = _lattices(spark, sf_dir).select("seq", F.transform("states", lambda r: F.transform(r, lambda x: x / 10)).alias("states"))
+    ring = semirings.LogSum()
+    return tenth.select("seq", "states", semirings.forward(F.col("states"), SOFT, ring).alias("ahead"), semirings.backward(F.col("states"), SOFT, ring).alias("behind"))
+
+
+SOFT = [[x / 10 for x in row] for row in TRANS]
+
+
+def lattice_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of each label of each item."""
+    rows = _walked(spark, sf_dir).select("seq", F.posexplode(semirings.node_marginals(F.col("ahead"), F.col("behind"))).alias("pos", "p"))
+    return rows.select("seq", "pos", F.posexplode("p").alias("y", "p")).withColumn("p", F.round("p", 6))
+
+
+def lattice_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of each pair of labels of successive items."""
+    rows = _walked(spark, sf_dir).select("seq", F.posexplode(semirings.edge_marginals(F.col("states"), SOFT, F.col("ahead"), F.col("behind"))).alias("pos", "p"))
+    rows = rows.select("seq", "pos", F.posexplode("p").alias("y", "p"))
+    return rows.select("seq", "pos", "y", F.posexplode("p").alias("z", "p")).withColumn("p", F.round("p", 6))
+
+
+def lattice_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that the three items from the second on have the labels 0, 2 and 1; null in sequences without them."""
+    path = F.array(F.lit(0), F.lit(2), F.lit(1))
+    found = semirings.span_marginal(F.col("states"), SOFT, F.col("ahead"), F.col("behind"), F.lit(1), path)
+    return _walked(spark, sf_dir).select("seq", F.round(found, 6).alias("p"))
+
+
+def lattice_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best paths."""
+    ring = semirings.KBest(3)
+    best = semirings.total(semirings.forward(F.col("states"), TRANS, ring), ring)
+    rows = _lattices(spark, sf_dir).select("seq", F.posexplode(best).alias("k", "b"))
+    path = F.array_join(F.transform(F.reverse("b.path"), lambda y: y.cast("string")), ",")
+    return rows.select("seq", (F.col("k") + 1).alias("rank"), (-F.col("b.cost")).alias("score"), path.alias("path"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         chain_gaps, rle_segments, segment_report, transitions, all_pairs_transitions, state_features, all_states, feature_ids, template_features, template_macro,
-        disjunctive_window, bos_eos, dataset_stats, eval_by_label, eval_overall, hamming, kfold_assign, rank_topk, path_score, viterbi, forward_lognorm,
+        disjunctive_window, bos_eos, dataset_stats, eval_by_label, eval_overall, hamming, kfold_assign, rank_topk, path_score, viterbi, forward_lognorm, lattice_nodes, lattice_edges, lattice_spans, lattice_best,
     )
 }
 
@@ -198,8 +237,42 @@ judged AS (
 #: The lattice walked item by item.
 WALK = f"""
 WITH RECURSIVE {EVENTS}, st AS (SELECT seq, pos, [CAST((CAST(floor(value) AS BIGINT) * 7 + j * 3) % 10 AS DOUBLE) for j in [0, 1, 2, 3, 4]] AS s FROM ev)"""
+#: Rows of the forward and backward recursions over a tenth of the scores, each with a sum of 1.
+BOTH = (
+    WALK
+    + """, fw AS (
+  SELECT seq, pos, [exp(x / 10) / list_sum([exp(y / 10) for y in s]) for x in s] AS a FROM st WHERE pos = 0
+  UNION ALL
+  SELECT seq, pos, [x / list_sum(b) for x in b] FROM (
+    SELECT n.seq, n.pos, [list_sum([w.a[i + 1] * exp(((i * 5 + j * 3) % 7) / 10) for i in [0, 1, 2, 3, 4]]) * exp(n.s[j + 1] / 10) for j in [0, 1, 2, 3, 4]] AS b
+    FROM fw w JOIN st n ON n.seq = w.seq AND n.pos = w.pos + 1)
+), last AS (SELECT seq, max(pos) AS n FROM st GROUP BY seq), bw AS (
+  SELECT seq, pos, s, [CAST(1 AS DOUBLE) for k in [0, 1, 2, 3, 4]] AS b FROM st JOIN last USING (seq) WHERE pos = n
+  UNION ALL
+  SELECT seq, pos, s, [x / list_sum(r) for x in r] FROM (
+    SELECT n.seq, n.pos, n.s, [list_sum([exp(((i * 5 + j * 3) % 7) / 10) * exp(w.s[j + 1] / 10) * w.b[j + 1] for j in [0, 1, 2, 3, 4]]) for i in [0, 1, 2, 3, 4]] AS r
+    FROM bw w JOIN st n ON n.seq = w.seq AND n.pos = w.pos - 1)
+), nodes AS (SELECT f.seq, f.pos, [f.a[j] * w.b[j] for j in [1, 2, 3, 4, 5]] AS g FROM fw f JOIN bw w ON w.seq = f.seq AND w.pos = f.pos
+), edges AS (
+  SELECT f.seq, f.pos, [f.a[k // 5 + 1] * exp(((k // 5 * 5 + k % 5 * 3) % 7) / 10) * exp(w.s[k % 5 + 1] / 10) * w.b[k % 5 + 1] for k in range(25)] AS g FROM fw f JOIN bw w ON w.seq = f.seq AND w.pos = f.pos + 1)
+"""
+)
 
 SQL = {
+    "lattice_nodes": BOTH + "SELECT seq, CAST(pos AS INT) AS pos, CAST(y AS INT) AS y, round(g[y + 1] / list_sum(g), 6) AS p FROM nodes, (SELECT unnest(range(5)) AS y)",
+    "lattice_edges": BOTH + "SELECT seq, CAST(pos AS INT) AS pos, CAST(k // 5 AS INT) AS y, CAST(k % 5 AS INT) AS z, round(g[k + 1] / list_sum(g), 6) AS p FROM edges, (SELECT unnest(range(25)) AS k)",
+    # a chain's span is its edges' product over that of the nodes between
+    "lattice_spans": BOTH + """SELECT l.seq, round((a.g[0 * 5 + 2 + 1] / list_sum(a.g)) * (b.g[2 * 5 + 1 + 1] / list_sum(b.g)) / (n.g[3] / list_sum(n.g)), 6) AS p
+FROM last l LEFT JOIN edges a ON a.seq = l.seq AND a.pos = 1 LEFT JOIN edges b ON b.seq = l.seq AND b.pos = 2 LEFT JOIN nodes n ON n.seq = l.seq AND n.pos = 2""",
+    "lattice_best": WALK
+    + """, walk AS (
+  SELECT seq, pos, [[{'cost': -s[j + 1], 'path': [j]}] for j in range(5)] AS b FROM st WHERE pos = 0
+  UNION ALL
+  SELECT n.seq, n.pos, [list_sort(flatten([[{'cost': x.cost - (i * 5 + j * 3) % 7 - n.s[j + 1], 'path': list_concat([j], x.path)} for x in w.b[i + 1]] for i in range(5)]))[1:3] for j in range(5)]
+  FROM walk w JOIN st n ON n.seq = w.seq AND n.pos = w.pos + 1
+), last AS (SELECT seq, max(pos) AS pos FROM st GROUP BY seq), best AS (SELECT seq, list_sort(flatten(b))[1:3] AS b FROM walk JOIN last USING (seq, pos)
+), each AS (SELECT seq, unnest(b) AS x, generate_subscripts(b, 1) AS rank FROM best)
+SELECT seq, CAST(rank AS INT) AS rank, -x.cost AS score, array_to_string(list_reverse(x.path), ',') AS path FROM each""",
     "chain_gaps": """
 WITH k AS (SELECT DISTINCT doc_id AS k FROM labels), r AS (SELECT k, k - row_number() OVER (ORDER BY k) AS grp FROM k)
 SELECT min(k) AS first, max(k) AS last, count(*) AS n FROM r GROUP BY grp""",

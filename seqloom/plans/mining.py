@@ -119,6 +119,15 @@ p AS (
   SELECT *, entry * 4294967296 + arg1 * 65536 + arg2 AS packed FROM p
 )"""
 
+def token_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as terms: the number of a word for an opcode, its length where it has a capital, one more where it ends a sentence."""
+    n, none = F.length("tok"), F.lit(ngrams.NO_ARGUMENT)
+    entry, arg1, arg2 = F.col("feat_id") % 40000 + 1, F.when(F.col("tok").rlike("[A-Z]"), n).otherwise(none), F.when(F.col("tok").rlike("[.!?]$"), n + 1).otherwise(none)
+    packed = global_vocab(spark, sf_dir).select("feat_id", ngrams.pack(entry, arg1, arg2).alias("packed"))
+    back = ngrams.unpack_text(ngrams.pack_text(F.col("packed")))
+    return packed.select("feat_id", "packed", ngrams.pack_text(F.col("packed")).alias("txt"), *(c.alias(name) for c, name in zip(back, ("entry", "arg1", "arg2"))))
+
+
 # -- dictionaries and selection
 
 
@@ -158,6 +167,15 @@ def scaled_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.scaled(counts, F.broadcast(dictionary.scales(counts))).withColumn("value", F.round("value", 6))
 
 
+def sparse_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with selected words as sparse arrays in the order of the words' numbers."""
+    held = scaled_instances(spark, sf_dir)
+    ids = dictionary.dense_ids(mi_topk_tokens(spark, sf_dir).select(F.col("tok").alias("feat")), ["feat"], "feat_id")
+    found = dictionary.instances(held, F.broadcast(ids))  # KEEP rows
+    numbers = F.array_join(F.transform("feats", lambda f: f["feat_id"].cast("string")), " ")
+    return found.select("doc_id", numbers.alias("ids"), F.aggregate("feats", F.lit(0).cast("long"), lambda a, f: a + F.round(f["value"] * 1_000_000).cast("long")).alias("millionths"))
+
+
 def instance_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of sizes 1 and 2 in one instance per document: number of features and their total."""
     both = idiom_size1(spark, sf_dir).unionByName(idiom_size2_wild(spark, sf_dir))
@@ -266,8 +284,8 @@ def graphlet5(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        mi_topk_tokens, presence_counts, idiom_size1, idiom_size2_wild, idiom_size2_family, idiom_size3_wild, cross_block_bigram, operand_bigram_dist, idiom_pack_format, idiom_decode,
-        global_vocab, label_index, feature_scale, scaled_instances, instance_union, unknown_filter, linkage_anti, path_label,
+        mi_topk_tokens, presence_counts, idiom_size1, idiom_size2_wild, idiom_size2_family, idiom_size3_wild, cross_block_bigram, operand_bigram_dist, idiom_pack_format, idiom_decode, token_terms,
+        global_vocab, label_index, feature_scale, scaled_instances, sparse_instances, instance_union, unknown_filter, linkage_anti, path_label,
         token_shape, token_type, token_flags, affixes, node_colors, graphlet1, graphlet2, graphlet3, graphlet4, graphlet5,
     )
 }
@@ -334,6 +352,16 @@ SELECT tok, row_number() OVER (ORDER BY k, tok) AS feat_id FROM f""",
     "scaled_instances": MI_SQL.rstrip()
     + """, c AS (SELECT doc_id, tok, count(*) AS cnt FROM tok GROUP BY ALL), s AS (SELECT tok, max(cnt) AS scale FROM c GROUP BY tok)
 SELECT doc_id, c.tok AS feat, round(cnt / scale, 6) AS value FROM c JOIN top USING (tok) JOIN s USING (tok)""",
+    "sparse_instances": MI_SQL.rstrip()
+    + """, c AS (SELECT doc_id, tok, count(*) AS cnt FROM tok GROUP BY ALL), s AS (SELECT tok, max(cnt) AS scale FROM c GROUP BY tok
+), i AS (SELECT tok, row_number() OVER (ORDER BY tok) AS id FROM top), v AS (SELECT doc_id, id, round(cnt / scale, 6) AS value FROM c JOIN i USING (tok) JOIN s USING (tok))
+SELECT doc_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY id) AS ids, CAST(sum(CAST(round(value * 1000000) AS BIGINT)) AS BIGINT) AS millionths FROM v GROUP BY doc_id""",
+    "token_terms": f"""
+WITH {LINES}, f AS (SELECT tok, min(ROW(doc_id, line, ord)) AS k FROM tok GROUP BY tok), v AS (SELECT tok, row_number() OVER (ORDER BY k, tok) AS feat_id FROM f),
+p AS (SELECT feat_id, feat_id % 40000 + 1 AS e, CASE WHEN regexp_matches(tok, '[A-Z]') THEN length(tok) ELSE 65535 END AS a, CASE WHEN regexp_matches(tok, '[.!?]$') THEN length(tok) + 1 ELSE 65535 END AS b FROM v),
+s AS (SELECT *, e * 4294967296 + a * 65536 + b AS packed FROM p), x AS (SELECT *, printf('%x', CAST(CASE WHEN b = 65535 THEN CASE WHEN a = 65535 THEN e ELSE e * 65536 + a END ELSE packed END AS BIGINT)) AS h FROM s)
+SELECT feat_id, CAST(packed AS BIGINT) AS packed, 'I' || h AS txt, CASE WHEN length(h) <= 4 THEN CAST('0x' || h AS BIGINT) WHEN length(h) <= 8 THEN CAST('0x' || h AS BIGINT) >> 16 ELSE e END AS entry,
+       CASE WHEN length(h) <= 4 THEN 65535 WHEN length(h) <= 8 THEN CAST('0x' || h AS BIGINT) & 65535 ELSE a END AS arg1, CASE WHEN length(h) <= 8 THEN 65535 ELSE b END AS arg2 FROM x""",
     "instance_union": f"""
 WITH a AS ({_ngram_sql(1)}), b AS ({_ngram_sql(2)})
 SELECT doc_id, count(*) AS n_feats, CAST(sum(cnt) AS BIGINT) AS total FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id""",

@@ -6,11 +6,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.operators import validation
+from seqloom.operators import sequences, validation
 from seqloom.operators.crf import LinearChainCRF
 from seqloom.operators.stages import InformationSelector, SequenceTemplates, WildcardTerms
 from seqloom.plans.mining import EVENTS
-from seqloom.sources import attribute_source
+from seqloom.sources import attribute_source, tag_text
 from seqloom.sources.adapters import event_sequences, table, turn_sequences
 from seqloom.sources.staging import new_path
 from seqloom.streaming.tagging import OUT, run_available, tag_stream
@@ -116,6 +116,25 @@ def span_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("seq", "begin", F.array_join("labels", ">").alias("labels"), F.round("probability", 6).alias("probability"))
 
 
+def path_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features on the paths of the events' own labels, and the paths' scores by the fixed weights' table."""
+    rows = items(spark, sf_dir)
+    weights = fixed_model(rows).dump(spark).select("type", "src", "dst", "weight")
+    found = sequences.path_features(rows).join(weights, ["type", "src", "dst"], "left")
+    score = F.sum(F.col("value") * F.coalesce("weight", F.lit(0.0)))
+    return found.groupBy(F.col("seq").cast("string").alias("seq")).agg(F.count(F.lit(1)).alias("n_features"), F.round(score, 6).alias("score"))
+
+
+def column_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields by label after writing the items as column features, and lines that part sequences."""
+    path = new_path(spark, "columns")
+    tag_text.write_columns(items(spark, sf_dir), path)
+    lines = spark.read.text(path).select(F.split("value", "\t", -1).alias("f"))
+    fields = lines.select(F.col("f")[0].alias("label"), F.explode(F.slice("f", 2, F.size("f"))).alias("field"))
+    ends = lines.where("f[0] = ''").agg(F.lit("").alias("label"), F.lit("").alias("field"), F.count(F.lit(1)).alias("n"))
+    return fields.groupBy("label", "field").agg(F.count(F.lit(1)).alias("n")).unionByName(ends)
+
+
 #: Features that the pipeline keeps.
 SELECTED = 60
 
@@ -186,7 +205,7 @@ def partition_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (marginals, crf_tag, path_probability, span_probability, pipeline_features, pipeline_tags, active_weights, stream_tags, cross_validation, holdout_rounds, crf_train_tag_lbfgs, crf_train_l2sgd, crf_train_ap, crf_train_pa, crf_train_arow, model_dump, attribute_text_roundtrip, partition_layout)
+    for f in (marginals, crf_tag, path_probability, span_probability, path_features, column_text, pipeline_features, pipeline_tags, active_weights, stream_tags, cross_validation, holdout_rounds, crf_train_tag_lbfgs, crf_train_l2sgd, crf_train_ap, crf_train_pa, crf_train_arow, model_dump, attribute_text_roundtrip, partition_layout)
 }
 #: Weights, features and lattices of the fixed model: forward and backward rows with a sum of 1, best paths beside them.
 FIXED = f"""
@@ -232,6 +251,12 @@ SELECT CAST(seq AS VARCHAR) AS seq, pos, rank, label, round(p, 6) AS marginal FR
     "path_probability": FIXED + """, y AS (SELECT e.seq, e.pos, k, lag(k) OVER (PARTITION BY e.seq ORDER BY e.pos) AS prev FROM ev e JOIN lab ON y = label
 ), score AS (SELECT y.seq, sum(st.s[y.k] + CASE WHEN prev IS NULL THEN 0 ELSE m[(prev - 1) * 5 + k] END) AS score FROM y JOIN st ON st.seq = y.seq AND st.pos = y.pos CROSS JOIN m GROUP BY y.seq)
 SELECT CAST(c.seq AS VARCHAR) AS seq, round(score, 6) AS score, round(z, 6) AS log_norm, round(exp(score - z), 6) AS probability FROM score c JOIN ends e ON e.seq = c.seq JOIN fw f ON f.seq = c.seq AND f.pos = e.n""",
+    "path_features": FIXED + """, y AS (SELECT e.seq, e.pos, k, label, lag(k) OVER (PARTITION BY e.seq ORDER BY e.pos) AS prev FROM ev e JOIN lab ON y = label
+), score AS (SELECT y.seq, sum(st.s[y.k] + CASE WHEN prev IS NULL THEN 0 ELSE m[(prev - 1) * 5 + k] END) AS score FROM y JOIN st ON st.seq = y.seq AND st.pos = y.pos CROSS JOIN m GROUP BY y.seq
+), own AS (SELECT DISTINCT seq, attr, label FROM f UNION ALL SELECT DISTINCT seq, CAST(prev AS VARCHAR), CAST(k AS VARCHAR) FROM y WHERE prev IS NOT NULL)
+SELECT CAST(c.seq AS VARCHAR) AS seq, n AS n_features, round(score, 6) AS score FROM score c JOIN (SELECT seq, count(*) AS n FROM own GROUP BY seq) USING (seq)""",
+    "column_text": FIXED + """SELECT label, replace(attr, ':', '__COLON__') || ':' || printf('%f', CAST(x AS DOUBLE)) AS field, count(*) AS n FROM f GROUP BY ALL
+UNION ALL SELECT '', '', count(*) FROM (SELECT DISTINCT seq FROM ev)""",
     "span_probability": FIXED + """, y AS (SELECT e.seq, e.pos, e.label, k FROM ev e JOIN lab ON y = label WHERE e.pos IN (1, 2)
 ), g AS (
   SELECT a.seq, a.label || '>' || b.label AS labels, (a.k - 1) * 5 + b.k AS cell, [f.a[i // 5 + 1] * exp(m[i + 1]) * exp(w.s[i % 5 + 1]) * w.b[i % 5 + 1] for i in range(25)] AS p

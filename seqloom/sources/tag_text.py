@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.functions.tokens import escape_attribute
+
 
 def weighted(field: Column) -> Column:
     """Struct (attr, value) of ``name[:weight]``, parted at the last colon; a weight that is not written is 1."""
@@ -22,6 +24,17 @@ def parse_line(line: Column) -> Column:
     return F.when(line != "", F.struct(fields[0].alias("label"), feats.alias("feats")))
 
 
+def write_columns(rows: DataFrame, path: str) -> None:
+    """Write (seq, pos, label, feats) in the form of column features: ``label<TAB>name[:value]...``, an empty line after a sequence.
+
+    Colons of names are written as text (escape_attribute()); a null value is left out, others have six decimals.
+    """
+    shown = F.transform("feats", lambda f: F.concat(escape_attribute(f["attr"]), F.when(f["value"].isNull(), "").otherwise(F.format_string(":%f", f["value"]))))
+    lines = rows.select("seq", "pos", F.concat_ws("\t", "label", F.array_join(shown, "\t")).alias("line"))
+    blocks = lines.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("b"))
+    blocks.select(F.array_join(F.transform("b", lambda x: x["line"]), "\n").alias("value")).write.option("lineSep", "\n\n").text(path)
+
+
 def read_templates(lines: list[str]) -> list[str]:
     """The ``U`` lines of a template file, ``:`` written as ``=``; ``#`` lines and a bare ``B`` are passed over, other ``B`` lines are an error."""
     out = []
