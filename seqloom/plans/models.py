@@ -6,13 +6,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seqloom.functions import semirings
 from seqloom.operators import sequences, validation
-from seqloom.operators.crf import LinearChainCRF
+from seqloom.operators.crf import LinearChainCRF, generate_features
 from seqloom.operators.stages import InformationSelector, SequenceTemplates, WildcardTerms
 from seqloom.plans.mining import EVENTS
 from seqloom.sources import attribute_source, tag_text
 from seqloom.sources.adapters import event_sequences, table, turn_sequences
-from seqloom.sources.staging import new_path
+from seqloom.sources.staging import new_path, staged
 from seqloom.streaming.tagging import OUT, run_available, tag_stream
 
 
@@ -25,30 +26,63 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq", "pos", "label", feats.alias("feats"))
 
 
+#: Partitions of training. Online trainers mix as many models, so the number is part of the result.
+PARTITIONS = 4
+
+
 def _tagged(spark: SparkSession, sf_dir: str, **settings) -> DataFrame:
     rows = items(spark, sf_dir)
-    model = LinearChainCRF(**settings).fit(rows)
+    model = LinearChainCRF(partitions=PARTITIONS, **settings).fit(rows)
     return model.transform(rows).select("seq", "pos", "label", "pred", "marginal", "probability")
 
 
 def crf_train_tag_lbfgs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tagged(spark, sf_dir, algorithm="lbfgs", c2=1.0, maxIter=15)
+    return _tagged(spark, sf_dir, algorithm="lbfgs", c2=1.0)
 
 
 def crf_train_l2sgd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tagged(spark, sf_dir, algorithm="l2sgd", maxIter=5, maxTrials=4)
+    return _tagged(spark, sf_dir, algorithm="l2sgd")
 
 
 def crf_train_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tagged(spark, sf_dir, algorithm="ap", maxIter=5)
+    return _tagged(spark, sf_dir, algorithm="ap")
 
 
 def crf_train_pa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tagged(spark, sf_dir, algorithm="pa", maxIter=5)
+    return _tagged(spark, sf_dir, algorithm="pa")
 
 
 def crf_train_arow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tagged(spark, sf_dir, algorithm="arow", maxIter=5)
+    return _tagged(spark, sf_dir, algorithm="arow")
+
+
+def crf_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features, and whether what a trained model expects of them balances what was seen and the norm's pull.
+
+    The batch trainer runs until its gradient is small. What it ends with is judged without the trainer's
+    arithmetic: scores by joins with the table of weights, probabilities by the lattice functions.
+    """
+    rows = items(spark, sf_dir).select("seq", "pos", "label", "feats")
+    c2 = 1.0
+    model = LinearChainCRF(partitions=PARTITIONS, c2=c2, period=0).fit(rows)
+    labels = model.labels
+    weights = staged(model.dump(spark).select("type", "src", "dst", "weight"), "optimum")
+    moves = {(r["src"], r["dst"]): r["weight"] for r in weights.where("type = 1").collect()}  # pairs of labels
+    trans = [[moves.get((a, b), 0.0) for b in labels] for a in labels]
+    long = rows.select("seq", "pos", F.explode("feats").alias("f")).select("seq", "pos", F.col("f.attr").alias("src"), "f.value")
+    scores = long.join(weights.where("type = 0"), "src").groupBy("seq", "pos").agg(F.array(*(F.sum(F.when(F.col("dst") == y, F.col("weight") * F.col("value")).otherwise(0.0)) for y in labels)).alias("s"))
+    every = rows.select("seq", "pos").join(scores, ["seq", "pos"], "left").select("seq", "pos", F.coalesce("s", F.array(*(F.lit(0.0) for _ in labels))).alias("s"))
+    chains = every.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("i")).select("seq", F.transform("i", lambda x: x["s"]).alias("states"))
+    ring, states = semirings.LogSum(), F.col("states")
+    chains = staged(chains.select("seq", "states", semirings.forward(states, trans, ring).alias("ahead"), semirings.backward(states, trans, ring).alias("behind")), "optimum")
+    names = F.array(*map(F.lit, labels))
+    nodes = chains.select("seq", F.posexplode(semirings.node_marginals(F.col("ahead"), F.col("behind"))).alias("pos", "p")).select("seq", "pos", F.posexplode("p").alias("y", "p"))
+    states_seen = long.join(nodes, ["seq", "pos"]).groupBy(F.lit(0).alias("type"), "src", names[F.col("y")].alias("dst")).agg(F.sum(F.col("value") * F.col("p")).alias("expected"))
+    edges = chains.select(F.explode(semirings.edge_marginals(states, trans, F.col("ahead"), F.col("behind"))).alias("p")).select(F.posexplode("p").alias("y", "p")).select("y", F.posexplode("p").alias("z", "p"))
+    moves_seen = edges.groupBy(F.lit(1).alias("type"), names[F.col("y")].alias("src"), names[F.col("z")].alias("dst")).agg(F.sum("p").alias("expected"))
+    both = generate_features(rows).join(states_seen.unionByName(moves_seen), ["type", "src", "dst"], "left").join(weights, ["type", "src", "dst"], "left")
+    slope = F.coalesce("expected", F.lit(0.0)) - F.col("freq") + 2 * c2 * F.coalesce("weight", F.lit(0.0))
+    return both.select("type", "src", "dst", F.round("freq", 6).alias("freq"), (F.abs(slope) < 1e-3).alias("balanced"))
 
 
 #: Weights of the fixed model, by name of attribute and label or of both labels: whole quarters.
@@ -167,7 +201,7 @@ def pipeline_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns by role, and how many of them a pipeline with a chain tags alike before it is saved and after it is loaded."""
     rows = turns(spark, sf_dir)
-    model = Pipeline(stages=[*_stages(), LinearChainCRF(partitions=4)]).fit(rows)
+    model = Pipeline(stages=[*_stages(), LinearChainCRF(partitions=PARTITIONS)]).fit(rows)
     one, two = (m.transform(rows).select("seq", "pos", "label", "pred", F.round("marginal", 9).alias("marginal")) for m in (model, _reloaded(model, spark)))
     both = one.join(two.withColumnsRenamed({"pred": "pred2", "marginal": "marginal2"}).drop("label"), ["seq", "pos"])
     return both.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("pred") == F.col("pred2")) & (F.col("marginal") == F.col("marginal2"))).alias("n_same"))
@@ -176,14 +210,14 @@ def pipeline_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of three folds of the users, each under a model of the others."""
     rows = items(spark, sf_dir)
-    return validation.cross_validate(LinearChainCRF(maxIter=10), rows, validation.round_robin(rows, 3), 3)
+    return validation.cross_validate(LinearChainCRF(partitions=PARTITIONS), rows, validation.round_robin(rows, 3), 3)
 
 
 def holdout_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measures on a third of the users after each of five iterations."""
+    """Measures on a third of the users after each iteration."""
     rows = items(spark, sf_dir)
     learn, held = validation.split_by_group(rows.join(validation.round_robin(rows, 3), "seq"), "fold", 0)
-    return validation.with_holdout(LinearChainCRF(maxIter=5), learn.drop("fold"), held.drop("fold"))[1]
+    return validation.with_holdout(LinearChainCRF(partitions=PARTITIONS), learn.drop("fold"), held.drop("fold"))[1]
 
 
 def attribute_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +239,7 @@ def partition_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (marginals, crf_tag, path_probability, span_probability, path_features, column_text, pipeline_features, pipeline_tags, active_weights, stream_tags, cross_validation, holdout_rounds, crf_train_tag_lbfgs, crf_train_l2sgd, crf_train_ap, crf_train_pa, crf_train_arow, model_dump, attribute_text_roundtrip, partition_layout)
+    for f in (marginals, crf_tag, path_probability, span_probability, path_features, column_text, pipeline_features, pipeline_tags, active_weights, stream_tags, cross_validation, holdout_rounds, crf_optimum, crf_train_tag_lbfgs, crf_train_l2sgd, crf_train_ap, crf_train_pa, crf_train_arow, model_dump, attribute_text_roundtrip, partition_layout)
 }
 #: Weights, features and lattices of the fixed model: forward and backward rows with a sum of 1, best paths beside them.
 FIXED = f"""
@@ -280,6 +314,7 @@ SELECT seq, pos, feat AS attr, round(cnt / scale, 6) AS value FROM c JOIN s USIN
 UNION ALL SELECT seq, pos, 'size[-1]|size[0]=' || before || '|' || size, 1.0 FROM z WHERE before IS NOT NULL""",
     "pipeline_tags": "SELECT role AS label, count(*) AS n, count(*) AS n_same FROM conversations GROUP BY role",
     "stream_tags": FIXED + "SELECT CAST(seq AS VARCHAR) AS seq, pos, pred, marginal, probability FROM tags",
+    "crf_optimum": FIXED + "SELECT type, src, dst, round(CAST(freq AS DOUBLE), 6) AS freq, true AS balanced FROM feats",
     "model_dump": FIXED + "SELECT type, src, dst, round(CAST(freq AS DOUBLE), 6) AS freq, weight FROM feats WHERE weight <> 0",
     "active_weights": FIXED + "SELECT type, count(*) AS n_features, count(*) FILTER (weight <> 0) AS n_active FROM feats GROUP BY type",
     "attribute_text_roundtrip": f"""

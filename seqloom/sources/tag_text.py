@@ -30,7 +30,7 @@ def write_columns(rows: DataFrame, path: str) -> None:
     Colons of names are written as text (escape_attribute()); a null value is left out, others have six decimals.
     """
     shown = F.transform("feats", lambda f: F.concat(escape_attribute(f["attr"]), F.when(f["value"].isNull(), "").otherwise(F.format_string(":%f", f["value"]))))
-    lines = rows.select("seq", "pos", F.concat_ws("\t", "label", F.array_join(shown, "\t")).alias("line"))
+    lines = rows.select("seq", "pos", F.array_join(F.concat(F.array("label"), F.coalesce(shown, F.array().cast("array<string>"))), "\t").alias("line"))
     blocks = lines.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("b"))
     blocks.select(F.array_join(F.transform("b", lambda x: x["line"]), "\n").alias("value")).write.option("lineSep", "\n\n").text(path)
 

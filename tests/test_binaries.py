@@ -205,3 +205,27 @@ def test_online_steps_by_hand(spark):
         plain[-1] = 0
         assert crf._sgd(layout, state, item, p) == pytest.approx(loss)
         assert state["w"] * state["scale"][0] == pytest.approx(plain)
+
+
+def test_sizes_are_read():
+    assert feature_files.sizes("1:2:3") == [1, 2, 3] and feature_files.sizes("4") == [4] and feature_files.sizes("") == []
+    with pytest.raises(ValueError):
+        feature_files.sizes("1::2")
+
+
+def test_files_that_are_gone_are_passed_over(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"f{k}") for k in range(40)], "n int, t string").repartitionByRange(4, "n")
+    feature_files.write_numbered(rows, str(tmp_path / "l"), "n", "t")
+    held = feature_files.read_numbered(spark, str(tmp_path / "l"), "n", "t")
+    assert held.count() == 40
+    gone = sorted(p for p in (tmp_path / "l").iterdir() if p.name.startswith("part-") and p.stat().st_size)[0]
+    lost = {line.split()[1] for line in gone.read_text().splitlines()}
+    gone.unlink()
+    assert lost and {r["t"] for r in held.collect()} == {f"f{k}" for k in range(40)} - lost
+
+
+def test_columns_are_written_with_escapes(spark, tmp_path):
+    rows = spark.createDataFrame([("s", 1, "b", [("x:y", None), ("z", 0.5)]), ("s", 0, "a", []), ("t", 0, "c", None)], ITEMS)
+    tag_text.write_columns(rows.coalesce(1), str(tmp_path / "c"))
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "c")).collect()]
+    assert sorted(lines) == ["", "", "a", "b\tx__COLON__y\tz:0.500000", "c"]

@@ -152,3 +152,26 @@ def test_probabilities_of_paths_and_spans(spark, toy):
         if fits:  # by summing over all paths
             want = sum(np.exp(chain.log_probability(np.array(p))) for p in itertools.product(range(3), repeat=6) if ["xyz"[y] for y in p[begin : begin + len(labels)]] == labels)
         assert got[seq, begin, *labels] == (None if want is None else pytest.approx(want))
+
+
+@pytest.mark.parametrize("c1", [0.0, 0.4])
+def test_training_ends_where_the_slope_is_small(spark, toy, c1):
+    """By the trainer's own rule: the gradient, one-sided with L1, against the weights' length."""
+    from seqloom.operators.crf import objective
+    from seqloom.operators.crf_layout import pack
+    from seqloom.operators.optimize import pseudo_gradient
+
+    trainer = LinearChainCRF(period=0, partitions=2, c1=c1)
+    model = trainer.fit(toy)
+    w = model.weights[:-1]
+    value, gradient = objective(pack(toy, model.attrs, model.labels), model.layout, 1.0)(w)
+    assert trainer.result.why == "converged" and trainer.result.value == pytest.approx(value + c1 * np.abs(w).sum())
+    assert np.linalg.norm(pseudo_gradient(w, gradient, c1)) <= 1e-5 * max(1.0, np.linalg.norm(w)) * 1.01
+
+
+def test_online_epochs_do_not_hold_what_they_have_passed(spark, toy):
+    """Any number of partitions and of frames; the driver's sums of many vectors go through groups."""
+    from seqloom.operators import crf
+
+    model = LinearChainCRF(algorithm="ap", maxIter=3, partitions=70).fit(toy)  # more than 4 * GROUPS
+    assert 70 > 4 * crf.GROUPS and model.transform(toy).count() == 180
