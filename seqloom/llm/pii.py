@@ -1,11 +1,11 @@
 """Personal data: exact patterns, and a character BiLSTM with CRF transitions that adds what they miss.
 
 Windows overlap by half: every character takes its label from the window in whose middle it stands,
-and spans are read off the labels of the whole text. What the model adds must still be a possible value
-of its kind and lie apart from the patterns' spans.
+and spans are read off the labels of the whole text. What the model adds is cut to a form of its kind,
+must be a possible value, and lies apart from the patterns' spans.
 
-All forms that possible() takes hold a trigger: a digit or a mark of an e-mail (@, [at], (at)). So a
-span counts only if it holds one, and the windows in whose middle no trigger stands matter only where a
+All forms hold a trigger: a digit or a mark of an e-mail (@, [at], (at)). So a labelled span counts only
+if it holds one, and the windows in whose middle no trigger stands matter only where a
 span reaches into them. Those around triggers are read first, then, as long as a span is open at the
 edge of what has been read, the windows behind that edge: the spans are those of reading every window.
 """
@@ -29,6 +29,7 @@ KINDS = ("email", "ip", "card", "phone")
 WIDTH = 64
 #: Bounds of the training set: documents that lend their words, characters of one (longer ones lend none), and windows.
 DOCUMENTS, LONGEST, WINDOWS = 300, 20_000, 2500
+EPOCHS = 8
 
 Span = tuple[int, int, int]  # kind's number, start, end
 
@@ -87,17 +88,30 @@ def patterns(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], s[0], s[2]))
 
 
+#: Forms in which a value of each kind may be written, wider than the patterns; none crosses a line.
+_AT, _DOT = r" ?(?:@|\[at\]|\(at\)) ?", r"(?:\.|\[\.\]|\(\.\)|\[dot\])"
+_FORMS = (
+    re.compile(rf"[A-Za-z0-9_%+-](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+"),
+    re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?: ?{_DOT} ?[0-9]{{1,3}}){{3}}(?!\.?[0-9])"),
+    re.compile(r"(?<![0-9])[0-9](?:[ .\-/]?[0-9]){12,18}(?![0-9])"),
+    re.compile(r"(?<![0-9+])(?:(?:\+|00)[0-9]{1,3}[ .\-/]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .\-/]?[0-9]{3}[ .\-/]?[0-9]{4}(?![0-9]|[.\-/][0-9])"),
+)
+#: Characters beside a labelled run in which its form may begin or end.
+REACH = 40
+
+
+def is_isbn(d: str) -> bool:
+    return len(d) == 13 and d[:3] in ("978", "979") and sum(int(c) * (1 + 2 * (k % 2)) for k, c in enumerate(d)) % 10 == 0
+
+
 def possible(kind: int, s: str) -> bool:
-    """Whether a span of the model can be a value of its kind."""
+    """Whether a text of a kind's form can be a value of it."""
     d = digits_of(s)
-    if kind == 0:
-        name, at, host = s.replace("[at]", "@").replace("(at)", "@").replace(" ", "").partition("@")
-        return bool(name and at and "." in host.strip("."))
     if kind == 1:
-        return bool(re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", s.replace(" ", "").replace("[.]", "."))) and is_ip(s.replace(" ", "").replace("[.]", "."))
+        return is_ip(re.sub(r"[^0-9.]", "", re.sub(_DOT, ".", s)))
     if kind == 2:
-        return 13 <= len(d) <= 19 and luhn(d) and re.fullmatch(r"[0-9 .\-/]+", s) is not None
-    return 10 <= len(d) <= 15 and re.fullmatch(r"[+(]?[0-9 ().\-/]+", s) is not None and len(d) < len(s)
+        return 13 <= len(d) <= 19 and luhn(d) and not is_isbn(d)
+    return kind == 0 or 10 <= len(d) <= 15 and len(d) < len(s) and not is_isbn(d)
 
 
 # -- training data: labelled spans in words of the corpus
@@ -118,18 +132,24 @@ def _digits(rng: np.random.Generator, n: int) -> str:
 def _value(rng: np.random.Generator, kind: int, word: str) -> str:
     n = lambda a, b: int(rng.integers(a, b))
     if kind == 0:
-        at = str(rng.choice(["@", "@", "@", " @ ", "[at]", "(at)"]))
-        host = str(rng.choice(["mail", "post", "corp", "web"])) + str(rng.choice(["", str(n(1, 99))]))
+        at = str(rng.choice(["@", "@", " @ ", " @ ", "[at]", "(at)", " [at] ", " (at) "]))
+        host = str(rng.choice(["mail", "post", "corp", "web", "shop", "info"])) + str(rng.choice(["", str(n(1, 99))]))
         return f"{word.strip('.,') or 'x'}{rng.choice(['', '.', '_', '-'])}{rng.choice(['', _digits(rng, n(1, 4))]) or 'a'}{at}{host}.example.{rng.choice(['com', 'org', 'net', 'co.uk'])}"
     if kind == 1:
-        dot = str(rng.choice([".", ".", ".", "[.]"]))
+        dot = str(rng.choice([".", ".", "[.]", "(.)", " . "]))
         return dot.join(str(n(0, 256)) for _ in range(4))
     if kind == 2:
         return _card(rng)
     a, b, c = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4)
-    form = n(0, 7)
+    form = n(0, 8)
     head = "+" + str(n(1, 99)) + " "
-    return [f"{head}({a}) {b}-{c}", f"{head}{a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{n(1, 99)} {a} {b}{c}", f"{head}{a}-{b}-{c}"][form]
+    return [f"{head}({a}) {b}-{c}", f"{head}{a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{n(1, 99)} {a} {b}{c}", f"{head}{a}-{b}-{c}", f"{a} {b} {c}"][form]
+
+
+def _isbn(rng: np.random.Generator) -> str:
+    d = str(rng.choice(["978", "979"])) + _digits(rng, 9)
+    d += str(-sum(int(c) * (1 + 2 * (k % 2)) for k, c in enumerate(d)) % 10)
+    return f"{d[:3]}-{d[3]}-{d[4:6]}-{d[6:12]}-{d[12]}" if rng.random() < 0.7 else d
 
 
 def _decoy(rng: np.random.Generator) -> str:
@@ -146,7 +166,10 @@ def _decoy(rng: np.random.Generator) -> str:
         f"@{'ab' * n(1, 4)}",
         f"{n(1, 99)}%",
         f"http://x{n(1, 99)}.example.com/{n(1, 9999)}",
-    ][n(0, 11)]
+        _isbn(rng),
+        f"{_digits(rng, n(1, 4))} {_digits(rng, n(1, 4))}",
+        f"{n(1900, 2100)} {n(1, 1000)} {n(1, 100)}",
+    ][n(0, 14)]
 
 
 def training_windows(words: list[str], windows: int = WINDOWS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -159,11 +182,11 @@ def training_windows(words: list[str], windows: int = WINDOWS, seed: int = 5) ->
         while len(text) < 2 * WIDTH:
             word = words[int(rng.integers(len(words)))]
             draw, kind = rng.random(), -1
-            if draw < 0.16:
+            if draw < 0.24:
                 kind = int(rng.integers(4))
                 piece = _value(rng, kind, word)
             else:
-                piece = _decoy(rng) if draw < 0.28 else word
+                piece = _decoy(rng) if draw < 0.36 else word
             mark = [0] * len(piece) if kind < 0 else [1 + 2 * kind] + [2 + 2 * kind] * (len(piece) - 1)
             tail = str(rng.choice([" ", " ", " ", " ", ". ", ", ", "\n", "%%% "]))
             text, labels = text + piece + tail, labels + mark + [0] * len(tail)
@@ -186,7 +209,7 @@ def fit(docs: DataFrame, text: str = "text", documents: int = DOCUMENTS, windows
     rows = held.groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(documents).collect()
     words = sorted({w for r in rows for w in r["t"].split() if not _TRIGGER.search(w) and len(w) <= 20})
     x, y = training_windows(words, windows)
-    return lstmcrf.train(x, y, 1 + 2 * len(KINDS))
+    return lstmcrf.train(x, y, 1 + 2 * len(KINDS), EPOCHS)
 
 
 # -- decoding
@@ -261,17 +284,31 @@ def spans_of(labels: np.ndarray) -> list[Span]:
 
 
 def added(text: str, base: list[Span], labels: np.ndarray) -> list[Span]:
-    """The model's spans that can be values of their kind and touch no span of the patterns."""
-    out = []
+    """The values of their kind's form on which the model's spans lie, apart from the spans of the patterns.
+
+    A labelled run must hold a trigger; what is found is the form's first match that has more than half of
+    itself in the run, which so loses what does not belong to it and gains what the model has left out.
+    """
+    out = set()
     for kind, a, b in spans_of(labels):
-        while a < b and text[a] in " .,;:":
-            a += 1
-        while b > a and text[b - 1] in " .,;:-(":
-            b -= 1
-        alone = not (text[a - 1 : a].isalnum() if a else False) and not text[b : b + 1].isalnum()
-        if alone and possible(kind, text[a:b]) and all(b <= s or e <= a for _, s, e in base):
-            out.append((kind, a, b))
-    return out
+        if not _TRIGGER.search(text, a, b):
+            continue
+        low, high = max(0, a - REACH), min(len(text), b + REACH)
+        line = text.rfind("\n", low, a) + 1
+        for m in _FORMS[kind].finditer(text, max(low, line), high):
+            s, e = m.span()
+            if s >= b:
+                break
+            whole = s > low or s == 0 or not text[s - 1].isalnum()
+            if whole and 2 * (min(e, b) - max(s, a)) > e - s and possible(kind, m.group()) and all(e <= x or y <= s for _, x, y in base):
+                out.add((kind, s, e))
+                break
+    # two kinds may claim one place: the longer, then the first kind
+    kept: list[Span] = []
+    for q, s, e in sorted(out, key=lambda x: (x[1] - x[2], x[0], x[1])):
+        if all(e <= x or y <= s for _, x, y in kept):
+            kept.append((q, s, e))
+    return kept
 
 
 def render(spans: list[Span]) -> str:
