@@ -28,11 +28,12 @@ SHARDS = "shard long, seqs array<string>, lengths binary, y binary, sizes binary
 
 def shards(packed: DataFrame, features: DataFrame, moves: list[tuple[int, int, int]], size: int = SHARD) -> DataFrame:
     """SHARDS of packed sequences (crf.pack) for features ``fid, type, s, d, weight``; ``moves`` are the label pairs' (fid, from, to)."""
+    packed = staged(packed, "packed")
     many = packed.agg(F.sum(F.size("aids")).alias("n")).first()["n"] or 0
     count = max(1, -(-many // size))
     seqs = packed.withColumn("shard", F.pmod(F.xxhash64("seq"), F.lit(count)))
-    asked = seqs.select("shard", F.explode(F.array_distinct("aids")).cast("long").alias("s")).distinct()
-    known = asked.join(features.where("type = 0").select("s", "fid", "d", "weight"), "s").select("shard", F.col("s").alias("aid"), "fid", F.col("d").alias("lid"), "weight")
+    asked = seqs.select("shard", F.explode(F.array_distinct("aids")).alias("s")).distinct().withColumn("s", F.col("s").cast("long"))
+    known = asked.join(features.where("type = 0").select("s", "fid", "d", "weight"), "s").select(F.col("shard").alias("of"), F.col("s").alias("aid"), "fid", F.col("d").alias("lid"), "weight")
     own = np.array([m[0] for m in moves], np.int64)
 
     def build(key: tuple, some: pd.DataFrame, feats: pd.DataFrame) -> pd.DataFrame:
@@ -48,7 +49,7 @@ def shards(packed: DataFrame, features: DataFrame, moves: list[tuple[int, int, i
         arrays |= {"fids": fids, "first": first.astype(np.int64), "lids": feats["lid"].to_numpy(np.int64), "moves": np.arange(len(feats), len(fids)), "weights": feats["weight"].to_numpy(np.float64)}
         return pd.DataFrame({"shard": [key[0]], "seqs": [some["seq"].tolist()], **{k: [v.tobytes()] for k, v in arrays.items()}})
 
-    return seqs.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(build, SHARDS)
+    return seqs.groupBy("shard").cogroup(known.groupBy("of")).applyInPandas(build, SHARDS)
 
 
 class Shard:
