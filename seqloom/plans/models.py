@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import semirings
 from seqloom.operators import sequences, validation
-from seqloom.operators.crf import LinearChainCRF, generate_features
+from seqloom.operators.crf import BlockCRFModel, LinearChainCRF, generate_features
 from seqloom.operators.stages import InformationSelector, SequenceTemplates, WildcardTerms
 from seqloom.plans.mining import EVENTS
 from seqloom.sources import attribute_source, tag_text
@@ -105,6 +105,14 @@ def crf_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed_model(rows).transform(rows).select("seq", "pos", "label", "pred", F.round("marginal", 6).alias("marginal"), F.round("probability", 6).alias("probability"))
 
 
+def crf_tag_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As crf_tag, by a model whose weights stay a table."""
+    rows, path = items(spark, sf_dir), new_path(spark, "model")
+    fixed_model(rows).save(path)
+    found = BlockCRFModel.load(path).transform(rows)
+    return found.select("seq", "pos", "label", "pred", F.round("marginal", 6).alias("marginal"), F.round("probability", 6).alias("probability"))
+
+
 def model_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed_model(items(spark, sf_dir)).dump(spark).withColumn("freq", F.round("freq", 6))
 
@@ -239,7 +247,7 @@ def partition_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (marginals, crf_tag, path_probability, span_probability, path_features, column_text, pipeline_features, pipeline_tags, active_weights, stream_tags, cross_validation, holdout_rounds, crf_optimum, crf_train_tag_lbfgs, crf_train_l2sgd, crf_train_ap, crf_train_pa, crf_train_arow, model_dump, attribute_text_roundtrip, partition_layout)
+    for f in (marginals, crf_tag, crf_tag_blocks, path_probability, span_probability, path_features, column_text, pipeline_features, pipeline_tags, active_weights, stream_tags, cross_validation, holdout_rounds, crf_optimum, crf_train_tag_lbfgs, crf_train_l2sgd, crf_train_ap, crf_train_pa, crf_train_arow, model_dump, attribute_text_roundtrip, partition_layout)
 }
 #: Weights, features and lattices of the fixed model: forward and backward rows with a sum of 1, best paths beside them.
 FIXED = f"""
@@ -282,6 +290,7 @@ SQL = {
     "marginals": FIXED + """, r AS (SELECT seq, pos, y AS label, g[k] AS p, row_number() OVER (PARTITION BY seq, pos ORDER BY g[k] DESC, k) AS rank FROM gamma CROSS JOIN lab)
 SELECT CAST(seq AS VARCHAR) AS seq, pos, rank, label, round(p, 6) AS marginal FROM r WHERE rank <= 2""",
     "crf_tag": FIXED + "SELECT CAST(seq AS VARCHAR) AS seq, pos, label, pred, marginal, probability FROM tags",
+    "crf_tag_blocks": FIXED + "SELECT CAST(seq AS VARCHAR) AS seq, pos, label, pred, marginal, probability FROM tags",
     "path_probability": FIXED + """, y AS (SELECT e.seq, e.pos, k, lag(k) OVER (PARTITION BY e.seq ORDER BY e.pos) AS prev FROM ev e JOIN lab ON y = label
 ), score AS (SELECT y.seq, sum(st.s[y.k] + CASE WHEN prev IS NULL THEN 0 ELSE m[(prev - 1) * 5 + k] END) AS score FROM y JOIN st ON st.seq = y.seq AND st.pos = y.pos CROSS JOIN m GROUP BY y.seq)
 SELECT CAST(c.seq AS VARCHAR) AS seq, round(score, 6) AS score, round(z, 6) AS log_norm, round(exp(score - z), 6) AS probability FROM score c JOIN ends e ON e.seq = c.seq JOIN fw f ON f.seq = c.seq AND f.pos = e.n""",
