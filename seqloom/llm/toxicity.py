@@ -140,26 +140,27 @@ def train(texts: list[str], labels: np.ndarray, prior: float, dim: int = 8, epoc
 
 def held_out(key: str = "doc_id"):
     """Rows that labels are never learnt from: crc32 of the key's text leaves 2 modulo 4."""
-    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % 4 == 2
+    return F.crc32(F.coalesce(quoted(key).cast("string"), F.lit(""))) % 4 == 2
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[np.ndarray, float]:
     """Train on a bounded sample of labelled rows: PER_CLASS of either class, by the hash of their keys.
 
-    Null keys and labels other than 0 and 1 are left out; a key with different labels counts as 1.
+    Null keys and labels other than 0 and 1 are left out; a key with different labels counts as 1. Columns
+    may have any names.
     Without rows of both classes all scores come to the prior.
     """
-    told = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("y"))
-    told = told.where(~held_out(key))
+    told = labels.where(quoted(label).isin(0, 1) & quoted(key).isNotNull()).where(~held_out(key))
+    told = told.select(quoted(key).alias("k"), quoted(label).alias("y")).groupBy("k").agg(F.max("y").cast("int").alias("y"))
     shares = {r["y"]: r["count"] for r in told.groupBy("y").count().collect()}
     prior = (shares.get(1, 0) + 1) / (sum(shares.values()) + 2)
-    body = docs.select(key, whole_text(text).alias("t")).where(F.length("t") <= LONGEST)
+    body = docs.select(quoted(key).alias("k"), whole_text(text).alias("t")).where(F.length("t") <= LONGEST)
     # the sample's keys first, so that only its texts travel
     picked = None
     for y in (0, 1):
-        some = told.where(F.col("y") == y).orderBy(F.xxhash64(key), key).limit(PER_CLASS)
+        some = told.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(PER_CLASS)
         picked = some if picked is None else picked.union(some)
-    rows = body.join(F.broadcast(picked), key).groupBy(key, "y").agg(F.min("t").alias("t")).orderBy(key).collect()  # 2 * PER_CLASS keys at most
+    rows = body.join(F.broadcast(picked), "k").groupBy("k", "y").agg(F.min("t").alias("t")).orderBy("k").collect()  # 2 * PER_CLASS keys at most
     y = np.array([r["y"] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
         return np.zeros(BUCKETS), float(np.log(prior / (1 - prior)))

@@ -644,3 +644,14 @@ def test_names_with_dots_and_ticks(spark, docs):
     made += [urlfilter.judge(pages, [urlfilter.parse_rule("block", "com/")], most=m).withColumnRenamed("url", "text") for m in (10, 0)]
     for out in made:
         assert out.columns[:4] == kept and all(r["a.b"] == 1 and r["c`d"] == 2 for r in out.collect())
+
+
+def test_toxicity_learns_alike_under_any_names(spark, docs):
+    """Keys, texts and labels with dots, or named like what the trainer makes."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
+    want = toxicity.fit(docs, labels)
+    for names in (("the.key", "t", "y"), ("k", "a`b", "la.bel"), ("y", "k", "t")):
+        some = docs.select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "text"), names)))
+        told = labels.select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "toxic"), names[::2])))
+        got = toxicity.fit(some, told, *names)
+        assert np.array_equal(got[0], want[0]) and got[1] == want[1] and want[0].any()
