@@ -6,6 +6,10 @@ recursion are scaled to a sum of 1, and the scales carry the partition factor.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+from operator import add
+
 import numpy as np
 
 
@@ -17,20 +21,21 @@ class Chain:
         self.e, self.m = np.exp(self.state - top), np.exp(self.trans - shift)
         n, labels = self.state.shape
         self.alpha, self.beta, self.scale = np.empty((n, labels)), np.empty((n, labels)), np.empty(n)
-        row = self.e[0]
+        add, dot, times, alpha, beta, scale, e, m = np.add.reduce, np.dot, np.multiply, [*self.alpha], [*self.beta], self.scale, [*self.e], self.m
+        row = np.empty(labels)
         for t in range(n):
             if t:
-                row = (row @ self.m) * self.e[t]
-            total = row.sum()
-            self.scale[t] = 1 / total if total else 1.0
-            row = row * self.scale[t]
-            self.alpha[t] = row
-        row = np.ones(labels)
+                times(dot(alpha[t - 1], m, row), e[t], row)
+            else:
+                row[:] = e[0]
+            total = add(row)
+            scale[t] = 1 / total if total else 1.0
+            times(row, scale[t], alpha[t])
+        row[:] = 1.0
         for t in range(n - 1, -1, -1):
             if t < n - 1:
-                row = self.m @ (row * self.e[t + 1])
-            row = row * self.scale[t]
-            self.beta[t] = row
+                row = dot(m, times(beta[t + 1], e[t + 1], row))
+            times(row, scale[t], beta[t])
         self.log_norm = float(top.sum() + (n - 1) * shift - np.log(self.scale).sum())
 
     def score(self, path: np.ndarray) -> float:
@@ -60,49 +65,93 @@ class Chain:
 def stacked_sums(state: np.ndarray, trans: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log norms (one per sequence), node marginals (item by item) and the sum of edge marginals of many sequences at once.
 
-    ``state`` holds the sequences' items one after another, ``sizes`` their lengths. They are padded to the
-    longest, so sequences of like length belong together.
+    ``state`` holds the sequences' items one after another, ``sizes`` their lengths. Items are worked on place by
+    place, those of the longer sequences first, so that nothing is padded: of a place's items the first go on.
     """
-    many, longest, labels = len(sizes), int(sizes.max()), trans.shape[0]
-    there = np.arange(longest)[None, :] < sizes[:, None]
+    sizes = np.asarray(sizes)
+    many, labels, ends = len(sizes), trans.shape[0], np.cumsum(sizes)
+    rank = np.empty(many, np.int64)
+    rank[np.argsort(-sizes, kind="stable")] = np.arange(many)
+    owner = np.repeat(np.arange(many), sizes)
+    place = np.arange(len(owner)) - np.repeat(ends - sizes, sizes)
+    going = many - np.cumsum(np.bincount(sizes))[:-1]  # sequences that have an item at each place
+    begin = np.append(0, np.cumsum(going))
+    to = begin[place] + rank[owner]
     top = state.max(1)
     shift = trans.max()
     m = np.exp(trans - shift)
-    e = np.ones((many, longest, labels))
-    e[there] = np.exp(state - top[:, None])
-    alpha, beta, scale = np.empty_like(e), np.empty_like(e), np.empty((many, longest))
-    row = e[:, 0]
-    for t in range(longest):
+    e = np.empty((labels, len(to)))
+    e[:, to] = np.exp(state - top[:, None]).T
+    alpha, beta, scale = np.empty_like(e), np.empty_like(e), np.empty(len(to))
+    cuts = [*zip(begin[:-1].tolist(), begin[1:].tolist())]
+    for t, (a, b) in enumerate(cuts):
+        row = e[:, a:b]
         if t:
-            row = (row @ m) * e[:, t]
-        total = row.sum(1)
-        scale[:, t] = np.where(total > 0, 1 / np.where(total > 0, total, 1.0), 1.0)
-        row = row * scale[:, t, None]
-        alpha[:, t] = row
-    row = np.ones((many, labels))
-    for t in range(longest - 1, -1, -1):
-        if t < longest - 1:
-            row = np.where((t < sizes - 1)[:, None], (row * e[:, t + 1]) @ m.T, 1.0)
-        row = row * scale[:, t, None]
-        beta[:, t] = row
-    owner = np.repeat(np.arange(many), sizes)
-    log_norm = np.bincount(owner, top - np.log(scale[there]), many) + (sizes - 1) * shift
-    nodes = alpha[there] * beta[there] / scale[there][:, None]
-    inner = there[:, 1:]
-    edges = m * (alpha[:, :-1][inner].T @ (e[:, 1:][inner] * beta[:, 1:][inner]))
-    return log_norm, nodes, edges
+            before = cuts[t - 1][0]
+            row = row * (m.T @ alpha[:, before : before + b - a])
+        total = row.sum(0)
+        total[total <= 0] = 1.0
+        np.divide(1.0, total, out=scale[a:b])
+        np.multiply(row, scale[a:b], out=alpha[:, a:b])
+    edges = np.zeros_like(m)
+    for t in range(len(cuts) - 1, -1, -1):
+        a, b = cuts[t]
+        beta[:, a:b] = scale[a:b]
+        if t + 1 < len(cuts):
+            c, d = cuts[t + 1]
+            ahead = e[:, c:d] * beta[:, c:d]
+            edges += alpha[:, a : a + d - c] @ ahead.T
+            beta[:, a : a + d - c] *= m @ ahead
+    log_norm = np.bincount(owner, top - np.log(scale[to]), many) + (sizes - 1) * shift
+    nodes = alpha * beta / scale
+    return log_norm, np.ascontiguousarray(nodes.T[to]), m * edges
+
+
+#: Labels up to which best_path() goes step by step without arrays: a call of numpy costs more than all sums of so few.
+FEW = 10
+#: Sums of ways that are held, where there are more, until it has been looked up where the best ones come from.
+HELD = 1 << 18
+
+
+@lru_cache(maxsize=FEW)
+def _ahead(labels: int) -> Callable[[list, list], list]:
+    """The best scores of ways to each label, item by item, as a function with its sums for so many labels written out."""
+    every = range(labels)
+    row = ", ".join(f"s{i}" for i in every) + ","
+    lines = ["def ahead(states, into):", f"    ({''.join('(' + ''.join(f't{i}_{j}, ' for i in every) + '), ' for j in every)}) = into", f"    {row} = states[0]", f"    held = [({row})]"]
+    lines.append(f"    for {''.join(f'e{j}, ' for j in every)} in states[1:]:")
+    for j in every:
+        lines.append(f"        n{j} = s0 + t0_{j}")
+        for i in every[1:]:
+            lines += [f"        x = s{i} + t{i}_{j}", f"        if x > n{j}:", f"            n{j} = x"]
+    lines += [*(f"        s{j} = n{j} + e{j}" for j in every), f"        held.append(({row}))", "    return held"]
+    made: dict = {}
+    exec("\n".join(lines), made)
+    return made["ahead"]
 
 
 def best_path(state: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, float]:
     """The path of the greatest score; ties go to the lower label."""
-    n = len(state)
-    score, back = state[0].astype(np.float64), np.zeros(state.shape, np.int64)
-    for t in range(1, n):
-        reach = score[:, None] + trans
-        back[t] = reach.argmax(0)
-        score = reach.max(0) + state[t]
-    path = np.empty(n, np.int64)
-    path[-1] = score.argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path, float(score.max())
+    n, labels = state.shape
+    if labels <= FEW:
+        into = trans.T.tolist()
+        *rows, last = _ahead(labels)(state.tolist(), into)
+        top = max(last)
+        path = [last.index(top)]
+        for row in reversed(rows):
+            ways = [*map(add, row, into[path[-1]])]
+            path.append(ways.index(max(ways)))
+        return np.array(path[::-1]), float(top)
+    into = np.ascontiguousarray(trans.T, np.float64)
+    score, steps = state[0].astype(np.float64), max(1, HELD // labels**2)
+    back: list[list[int]] = []
+    for begin in range(1, n, steps):
+        reach = np.empty((min(steps, n - begin), labels, labels))
+        for ways, scores in zip(reach, state[begin : begin + steps]):
+            np.add(into, score, ways)
+            np.add(np.maximum.reduce(ways, 1), scores, score)
+        back += reach.argmax(2).tolist()
+    path = [int(score.argmax())]
+    for row in reversed(back):
+        path.append(row[path[-1]])
+    return np.array(path[::-1]), float(score.max())

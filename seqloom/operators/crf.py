@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from seqloom.operators import blockvectors, crf_blocks
 from seqloom.operators.chain import Chain, best_path
 from seqloom.operators.crf_blocks import tagged
-from seqloom.operators.crf_layout import Layout, items_of, likelihood, pack, stacks
+from seqloom.operators.crf_layout import Layout, batches_of, items_of, joined, likelihood, pack, stacked, stacks_of
 from seqloom.operators.dictionary import dense_ids
 from seqloom.operators.optimize import Result, Settings, minimise
 from seqloom.operators.sequences import transitions
@@ -64,26 +64,31 @@ def generate_features(rows: DataFrame, min_freq: float = 0.0, all_states: bool =
 
 
 def objective(packed: DataFrame, layout: Layout, c2: float) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
-    """Loss and gradient over all partitions, with the squared norm; one job per call."""
-    context = packed.sparkSession.sparkContext
+    """Loss and gradient of packed sequences, with the squared norm; one job per call."""
+    return stacked_objective(stacked(packed, layout.labels), layout, c2)
+
+
+def stacked_objective(held: DataFrame, layout: Layout, c2: float) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
+    """As objective(), of sequences that stacked() has joined."""
+    context = held.sparkSession.sparkContext
     shared = context.broadcast(layout)
+    in_groups = held.rdd.getNumPartitions() > 4 * GROUPS  # too many vectors for the driver: summed in groups first
 
     def evaluate(w: np.ndarray) -> tuple[float, np.ndarray]:
         weights = context.broadcast(np.append(w, 0.0))
 
-        def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grad, loss = np.zeros(shared.value.size + 1), 0.0
-            for frame in frames:
-                for item in stacks([*items_of(frame)], shared.value.labels):
-                    loss += likelihood(shared.value, weights.value, item, grad)
-            yield pd.DataFrame({"k": [hash(loss) % GROUPS], "loss": [loss], "grad": [grad[:-1].tobytes()]})
+            for item in stacks_of(batches):
+                loss += likelihood(shared.value, weights.value, item, grad)
+            yield pa.RecordBatch.from_arrays([pa.array([hash(loss) % GROUPS], pa.int32()), pa.array([loss]), pa.array([grad[:-1].tobytes()])], names=["k", "loss", "grad"])
 
         def total(frame: pd.DataFrame) -> pd.DataFrame:
             grad = np.sum([np.frombuffer(g) for g in frame["grad"]], axis=0)
             return pd.DataFrame({"k": frame["k"][:1], "loss": [frame["loss"].sum()], "grad": [grad.tobytes()]})
 
-        sums = packed.mapInPandas(part, "k int, loss double, grad binary")
-        if packed.rdd.getNumPartitions() > 4 * GROUPS:  # too many vectors for the driver: summed in groups first
+        sums = held.mapInArrow(part, "k int, loss double, grad binary")
+        if in_groups:
             sums = sums.groupBy("k").applyInPandas(total, "k int, loss double, grad binary")
         rows = sorted(sums.collect(), key=lambda r: r["loss"])
         weights.destroy()
@@ -101,9 +106,11 @@ def _perceptron(layout: Layout, state: dict, item: dict, _: dict) -> float:
     path, _score = best_path(*layout.scores(state["w"], item))
     wrong = int((path != item["y"]).sum())
     if wrong:
+        ways = [(*layout.on_path(item, p), layout.trans[p[:-1], p[1:]], sign) for p, sign in ((item["y"], 1.0), (path, -1.0))]
         for target, factor in (("w", 1.0), ("sum", float(state["c"][0]))):
-            layout.add_path(state[target], item, item["y"], factor)
-            layout.add_path(state[target], item, path, -factor)
+            for fids, values, moves, sign in ways:
+                np.add.at(state[target], fids, sign * factor * values)
+                np.add.at(state[target], moves, sign * factor)
         state["w"][-1] = 0
     state["c"][0] += 1
     return wrong / len(path)
@@ -176,20 +183,19 @@ def _sgd(layout: Layout, state: dict, item: dict, p: dict) -> float:
 STEPS = {"ap": _perceptron, "pa": _passive_aggressive, "arow": _arow, "l2sgd": _sgd}
 
 
-def epoch(packed: DataFrame, layout, algorithm: str, state: dict, params: dict, seed: int) -> tuple[dict, float]:
-    """One pass of every partition from the same state; vectors are averaged by the partitions' sequences, losses added.
+def epoch(held: DataFrame, layout, algorithm: str, state: dict, params: dict, seed: int, in_groups: bool = False) -> tuple[dict, float]:
+    """One pass of every partition of joined() sequences from the same state; vectors are averaged by the partitions' sequences, losses added.
 
     Sequences come in the order in which they are stored, those of a batch in a random one; a batch is held at a time.
     """
-    context = packed.sparkSession.sparkContext
+    context = held.sparkSession.sparkContext
     start = context.broadcast(state)
 
-    def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = {k: v.copy() for k, v in start.value.items()}
         order = np.random.default_rng(seed)
         loss, many = 0.0, 0
-        for frame in frames:
-            items = [*items_of(frame)]
+        for items in batches_of(batches):
             many += len(items)
             for k in order.permutation(len(items)):
                 loss += STEPS[algorithm](layout.value, mine, items[k], params)
@@ -198,15 +204,16 @@ def epoch(packed: DataFrame, layout, algorithm: str, state: dict, params: dict,
             mine["w"] *= mine["scale"][0]
             mine["scale"][0] = 1.0
         if many:
-            yield pd.DataFrame({"k": [hash(loss) % GROUPS], "n": [many], "loss": [loss], **{k: [(many * v).tobytes()] for k, v in mine.items()}})
+            columns = {"k": pa.array([hash(loss) % GROUPS], pa.int32()), "n": pa.array([many]), "loss": pa.array([float(loss)]), **{k: pa.array([(many * v).tobytes()]) for k, v in mine.items()}}
+            yield pa.RecordBatch.from_pydict(columns)
 
     def total(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("loss")
         return pd.DataFrame({"k": frame["k"][:1], "n": [frame["n"].sum()], "loss": [frame["loss"].sum()], **{k: [np.sum([np.frombuffer(v) for v in frame[k]], axis=0).tobytes()] for k in state}})
 
     schema = "k int, n long, loss double, " + ", ".join(f"`{k}` binary" for k in state)
-    sums = packed.mapInPandas(part, schema)
-    if packed.rdd.getNumPartitions() > 4 * GROUPS:
+    sums = held.mapInArrow(part, schema)
+    if in_groups:
         sums = sums.groupBy("k").applyInPandas(total, schema)
     rows = sorted(sums.collect(), key=lambda r: r["loss"])
     start.destroy()
@@ -243,7 +250,7 @@ class _Settings(Params):
     candidates = Param(Params._dummy(), "candidates", "rates tried that improve (l2sgd)", TypeConverters.toInt)
     maxTrials = Param(Params._dummy(), "maxTrials", "rates tried in all (l2sgd)", TypeConverters.toInt)
     seed = Param(Params._dummy(), "seed", "order of sequences in an epoch", TypeConverters.toInt)
-    partitions = Param(Params._dummy(), "partitions", "partitions of training, 0 for those of the data; 1 makes online trainers exact", TypeConverters.toInt)
+    partitions = Param(Params._dummy(), "partitions", "partitions of training, 0 for those of the data; 1 makes online trainers exact, and the batch trainer has one per core at least", TypeConverters.toInt)
     stateFile = Param(Params._dummy(), "stateFile", "shared path at which lbfgs keeps its state, if anywhere (weights on the driver)", TypeConverters.toString)
     blockSize = Param(Params._dummy(), "blockSize", "weights of a block of tables (lbfgs); 0 for weights on the driver, as long as there are not too many", TypeConverters.toInt)
 
@@ -306,11 +313,6 @@ class LinearChainCRF(Estimator, _Settings, DefaultParamsReadable, DefaultParamsW
             return self._blocks(packed, found, attrs, coded, size)
         table, freq, _ = _arrays(coded)
         layout = Layout(np.column_stack([np.arange(size), table]), attrs.count(), len(found))
-        packed = packed.repartition(get(self.partitions), "seq") if get(self.partitions) else packed
-        if algorithm != "lbfgs":  # a random order that every epoch keeps
-            packed = packed.sortWithinPartitions(F.xxhash64("seq", F.lit(get(self.seed))), "seq")
-        packed = packed.persist()
-        n = packed.count()
 
         def model(w: np.ndarray) -> LinearChainCRFModel:
             return self._copyValues(LinearChainCRFModel(found, attrs, table, freq, w))
@@ -321,7 +323,12 @@ class LinearChainCRF(Estimator, _Settings, DefaultParamsReadable, DefaultParamsW
             if self.observer:
                 self.observer(k, loss, model(w))
 
-        w = self._batch(packed, layout, told) if algorithm == "lbfgs" else self._online(packed, layout, algorithm, n, told)
+        if algorithm == "lbfgs":
+            return model(self._batch(packed, layout, told))
+        packed = packed.repartition(get(self.partitions), "seq") if get(self.partitions) else packed
+        # a random order that every epoch keeps
+        packed = packed.sortWithinPartitions(F.xxhash64("seq", F.lit(get(self.seed))), "seq").persist()
+        w = self._online(packed, layout, algorithm, packed.count(), told)
         packed.unpersist()
         return model(w)
 
@@ -363,7 +370,11 @@ class LinearChainCRF(Estimator, _Settings, DefaultParamsReadable, DefaultParamsW
     def _batch(self, packed: DataFrame, layout: Layout, told: Callable) -> np.ndarray:
         get = self.getOrDefault
         state = ArrayState(packed.sparkSession, f"{get(self.stateFile)}/c2={get(self.c2)}") if get(self.stateFile) else None
-        self.result = minimise(objective(packed, layout, get(self.c2)), np.zeros(layout.size), self._settings(), told, state)
+        # the loss is a sum in which any deal over tasks will do, so all cores have a share
+        tasks = max(get(self.partitions), packed.sparkSession.sparkContext.defaultParallelism)
+        held = stacked(packed, layout.labels).repartition(tasks).persist()
+        self.result = minimise(stacked_objective(held, layout, get(self.c2)), np.zeros(layout.size), self._settings(), told, state)
+        held.unpersist()
         return self.result.x
 
     def _online(self, packed: DataFrame, layout: Layout, algorithm: str, n: int, told: Callable) -> np.ndarray:
@@ -381,6 +392,8 @@ class LinearChainCRF(Estimator, _Settings, DefaultParamsReadable, DefaultParamsW
             params["t0"] = self._calibrate(packed, shared, params, n)
             state["c"], state["scale"] = np.zeros(1), np.ones(1)
         losses, best = [], None
+        held = joined(packed).persist()
+        in_groups = held.rdd.getNumPartitions() > 4 * GROUPS  # too many vectors for the driver: summed in groups first
 
         def weights() -> np.ndarray:
             if algorithm == "l2sgd":
@@ -388,7 +401,7 @@ class LinearChainCRF(Estimator, _Settings, DefaultParamsReadable, DefaultParamsW
             return state["w"][:-1] if algorithm == "arow" else (state["w"] - state["sum"] / state["c"][0])[:-1]
 
         for k in range(get(self.maxIter) or ITERATIONS[algorithm]):
-            state, loss = epoch(packed, shared, algorithm, state, params, get(self.seed) + k)
+            state, loss = epoch(held, shared, algorithm, state, params, get(self.seed) + k, in_groups)
             if algorithm == "l2sgd":
                 loss += 0.5 * params["lam"] * float(state["w"] @ state["w"]) * n
                 if best is None or loss < best[0]:
@@ -401,20 +414,23 @@ class LinearChainCRF(Estimator, _Settings, DefaultParamsReadable, DefaultParamsW
                     break
             elif loss / max(1, n) <= get(self.epsilon):
                 break
+        held.unpersist()
         return weights()
 
     def _calibrate(self, packed: DataFrame, shared, params: dict, n: int) -> float:
         """The t0 of the rate that gains most in one epoch over a sample: rates go up from eta, then down."""
         get = self.getOrDefault
         sample = packed.orderBy(F.xxhash64("seq"), "seq").limit(get(self.samples)).persist()
+        held, stacks = joined(sample).persist(), stacked(sample, shared.value.labels).persist()
         zero = np.zeros(shared.value.size + 1)
+        value = stacked_objective(stacks, shared.value, params["lam"] * sample.count() / 2)
 
         def tried(eta: float) -> float:
             p = params | {"t0": 1 / (params["lam"] * eta)}
-            state, _ = epoch(sample, shared, "l2sgd", {"w": zero, "c": np.zeros(1), "scale": np.ones(1)}, p, get(self.seed))
-            return objective(sample, shared.value, params["lam"] * sample.count() / 2)(state["w"][:-1])[0] if np.isfinite(state["w"]).all() else np.inf
+            state, _ = epoch(held, shared, "l2sgd", {"w": zero, "c": np.zeros(1), "scale": np.ones(1)}, p, get(self.seed))
+            return value(state["w"][:-1])[0] if np.isfinite(state["w"]).all() else np.inf
 
-        base = objective(sample, shared.value, 0.0)(zero[:-1])[0]
+        base = value(zero[:-1])[0]  # no norm yet
         eta, found, up, good = get(self.eta), [], True, 0
         for _ in range(get(self.maxTrials)):
             loss = tried(eta)
@@ -426,7 +442,8 @@ class LinearChainCRF(Estimator, _Settings, DefaultParamsReadable, DefaultParamsW
             if good >= get(self.candidates) or (not up and ok and len(found) > 1 and eta < get(self.eta)):
                 break
             eta = eta * get(self.rate) if up else eta / get(self.rate)
-        sample.unpersist()
+        for table in (held, stacks, sample):
+            table.unpersist()
         return 1 / (params["lam"] * min(found)[1])
 
 

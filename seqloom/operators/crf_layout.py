@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,7 +97,7 @@ def items_of(frame: pd.DataFrame) -> Iterator[dict]:
 
 
 #: Scores (items times labels, padding included) that are worked on at a time.
-STACK = 1 << 19
+STACK = 1 << 18
 
 
 def stacks(items: list[dict], labels: int) -> Iterator[dict]:
@@ -116,17 +117,89 @@ def stacks(items: list[dict], labels: int) -> Iterator[dict]:
 
 
 def likelihood(layout: Layout, w: np.ndarray, item: dict, grad: np.ndarray) -> float:
-    """Minus the log-probability of the labels of a sequence, or of several joined to one; adds its gradient. ``w`` and ``grad`` have the spare entry."""
+    """Minus the log-probability of the labels of a sequence, or of several joined to one; adds its gradient. ``w`` and ``grad`` have the spare entry.
+
+    Where items have ``kinds``, attributes and values are those of kinds, not of items.
+    """
     lengths = item.get("lengths", np.array([len(item["y"])]))
     state, trans = layout.scores(w, item)
+    kinds, many = item.get("kinds"), len(item["sizes"])
+    if kinds is not None:
+        state = state[kinds]
     log_norm, nodes, edges = stacked_sums(state, trans, lengths)
-    layout.add_nodes(grad, item, nodes, 1.0)
-    np.add.at(grad, layout.trans, edges)
-    y = item["y"]
+    y, labels = item["y"], layout.labels
     inner = np.ones(len(y), bool)
     inner[np.cumsum(lengths) - lengths] = False  # the first item of a sequence follows nothing
-    moves = layout.trans[y[:-1], y[1:]][inner[1:]]
-    fids, values = layout.on_path(item, y)
-    np.add.at(grad, fids, -values)
-    np.add.at(grad, moves, -1.0)
-    return float(log_norm.sum() - state[np.arange(len(y)), y].sum() - w[moves].sum())
+    moves = np.bincount((y[:-1] * labels + y[1:])[inner[1:]], minlength=labels * labels).reshape(labels, labels)
+    own = np.arange(len(y)), y
+    nodes[own] -= 1.0
+    if kinds is not None:
+        nodes = np.bincount((kinds[:, None] * labels + np.arange(labels)).ravel(), nodes.ravel(), many * labels).reshape(many, labels)
+    layout.add_nodes(grad, item, nodes, 1.0)
+    np.add.at(grad, layout.trans, edges - moves)
+    return float(log_norm.sum() - state[own].sum() - (trans * moves).sum())
+
+
+# -- sequences as rows of buffers, which tasks read without a loop over their items
+
+
+JOINED = "seqs array<string>, lengths binary, y binary, kinds binary, sizes binary, aids binary, values binary"
+TYPES = {"lengths": np.int64, "y": np.int32, "kinds": np.int32, "sizes": np.int32, "aids": np.int32, "values": np.float64}
+
+
+def _row(seqs: list[str], one: dict) -> pd.DataFrame:
+    return pd.DataFrame({"seqs": [seqs], **{k: [np.asarray(one[k], t).tobytes() if k in one else None] for k, t in TYPES.items()}})
+
+
+def _condensed(one: dict) -> dict:
+    """A stack whose items of like attributes and values are of one kind, of which both are held once."""
+    ends = np.cumsum(one["sizes"])
+    aids, values = one["aids"].astype(np.int32).tobytes(), one["values"].tobytes()
+    found: dict[tuple[bytes, bytes], int] = {}
+    kinds = np.array([found.setdefault((aids[4 * a : 4 * b], values[8 * a : 8 * b]), len(found)) for a, b in zip((ends - one["sizes"]).tolist(), ends.tolist())], np.int32)
+    held = [*found]
+    return one | {"kinds": kinds, "sizes": np.array([len(a) // 4 for a, _ in held]), "aids": np.frombuffer(b"".join(a for a, _ in held), np.int32), "values": np.frombuffer(b"".join(v for _, v in held), np.float64)}
+
+
+def stacked(packed: DataFrame, labels: int) -> DataFrame:
+    """JOINED: a row per stack, with kinds."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for one in stacks([*items_of(frame.sort_values("seq"))], labels):
+                yield _row([], _condensed(one))
+
+    return packed.mapInPandas(work, JOINED)
+
+
+def joined(packed: DataFrame) -> DataFrame:
+    """JOINED: a row per batch of sequences in their order, without kinds."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            one = {k: np.concatenate([np.zeros(0), *frame[k]]) for k in ("y", "sizes", "aids", "values")}
+            yield _row(frame["seq"].tolist(), one | {"lengths": frame["y"].map(len)})
+
+    return packed.mapInPandas(work, JOINED)
+
+
+def stacks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of JOINED, opened."""
+    for batch in batches:
+        columns = {k: batch.column(k) for k in TYPES}
+        for k in range(batch.num_rows):
+            one = {name: np.frombuffer(c[k].as_buffer(), TYPES[name]) for name, c in columns.items() if c[k].is_valid}
+            one = {name: v.astype(np.int64) if v.dtype == np.int32 else v for name, v in one.items()}
+            yield one | {"at": np.repeat(np.arange(len(one["sizes"])), one["sizes"])}
+
+
+def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The sequences of each row of joined()."""
+    for one in stacks_of(batches):
+        ends = np.cumsum(one["lengths"])
+        stops = np.append(0, np.cumsum(one["sizes"]))
+        items = []
+        for a, b in zip((ends - one["lengths"]).tolist(), ends.tolist()):
+            c, d = stops[a], stops[b]
+            items.append({"y": one["y"][a:b], "sizes": one["sizes"][a:b], "at": one["at"][c:d] - a, "aids": one["aids"][c:d], "values": one["values"][c:d]})
+        yield items

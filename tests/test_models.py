@@ -175,3 +175,45 @@ def test_online_epochs_do_not_hold_what_they_have_passed(spark, toy):
 
     model = LinearChainCRF(algorithm="ap", maxIter=3, partitions=70).fit(toy)  # more than 4 * GROUPS
     assert 70 > 4 * crf.GROUPS and model.transform(toy).count() == 180
+
+
+@pytest.mark.parametrize("labels", [1, 2, 5, 10, 11])
+def test_best_paths_of_few_and_of_many_labels_are_the_same(monkeypatch, labels):
+    """Sums written out for few labels, and arrays in parts: scores to the last bit, ties to the lower label."""
+    from seqloom.operators import chain
+
+    rng = np.random.default_rng(labels)
+    for k in range(30):
+        state, trans = rng.normal(0, 3, (int(rng.integers(1, 40)), labels)), rng.normal(0, 3, (labels, labels))
+        if k % 2:
+            state, trans = np.round(state), np.round(trans)
+        found = []
+        for few, held in ((11, 1), (0, 1), (0, 5 * labels**2)):
+            monkeypatch.setattr(chain, "FEW", few)
+            monkeypatch.setattr(chain, "HELD", held)
+            found.append(best_path(state, trans))
+        score, back = state[0], []
+        for row in state[1:]:
+            reach = score[:, None] + trans
+            back, score = [*back, reach.argmax(0)], reach.max(0) + row
+        path = [int(score.argmax())]
+        for row in reversed(back):
+            path.append(int(row[path[-1]]))
+        assert all((p.tolist(), top) == (path[::-1], float(score.max())) for p, top in found)
+
+
+def test_sequences_are_joined_once_for_all_evaluations(spark, toy):
+    """Stacks hold each kind of item once and give the loss and gradient of single sequences; batches keep sequences and their order."""
+    from seqloom.operators.crf_layout import batches_of, items_of, joined, pack, stacked, stacks_of
+
+    model = LinearChainCRF(maxIter=2).fit(toy)
+    packed = pack(toy.unionByName(spark.createDataFrame([(99, 0, "x", []), (99, 1, "y", [("isx", 2.0)])], toy.schema)), model.attrs, model.labels).coalesce(1).persist()
+    items = [*items_of(packed.toPandas())]
+    one, many = np.zeros(model.layout.size + 1), np.zeros(model.layout.size + 1)
+    loss = sum(likelihood(model.layout, model.weights, i, one) for i in items)
+    stack = [*stacks_of(stacked(packed, 3).toArrow().to_batches())]
+    assert sum(len(s["sizes"]) for s in stack) == 5 < sum(len(s["y"]) for s in stack) == 182
+    assert sum(likelihood(model.layout, model.weights, s, many) for s in stack) == pytest.approx(loss)
+    assert many[:-1] == pytest.approx(one[:-1], abs=1e-9)
+    again = [i for batch in batches_of(joined(packed).toArrow().to_batches()) for i in batch]
+    assert len(again) == len(items) and all((a[k] == b[k]).all() for a, b in zip(again, items) for k in ("y", "sizes", "at", "aids", "values"))
