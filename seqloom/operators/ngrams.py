@@ -16,7 +16,7 @@ def _masked(terms: list[Column], wildcard: str) -> Column:
     return F.array(*(F.concat_ws("_", *(pair[m] for pair, m in zip(kept, mask)), terms[-1]) for mask in product((0, 1), repeat=len(kept))))
 
 
-def array_ngrams(words: str, size: int, wildcard: str = WILDCARD) -> Column:
+def array_ngrams(words: str | Column, size: int, wildcard: str = WILDCARD) -> Column:
     """Array of the wildcard n-grams of an array of terms; empty where it is shorter. No shuffle is needed."""
     def at(i: Column) -> Column:
         return _masked([F.element_at(words, i + k) for k in range(size)], wildcard)
@@ -43,6 +43,23 @@ def line_ngram_counts(lines: DataFrame, size: int) -> DataFrame:
     return feats.groupBy("doc_id", "feat").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def gram_totals(texts: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """``doc_id, n_feats, total``: distinct wildcard n-grams of each size, and all of them, over the lines of documents (doc_id, texts).
+
+    Both are found in a document's own row, so texts are all that is shuffled. Documents without n-grams are left out.
+    """
+    lines = F.flatten(F.transform("texts", lambda t: F.split(t, "\n", -1)))
+    held = texts.select("doc_id", F.transform(lines, lambda line: F.filter(F.split(line, " ", -1), lambda w: w != "")).alias("lines"))
+
+    def counts(size: int) -> Column:
+        grams = F.flatten(F.transform("lines", lambda words: array_ngrams(words, size)))
+        return F.struct(F.size(F.array_distinct(grams)).alias("n"), F.size(grams).alias("m"))
+
+    found = held.select("doc_id", *(counts(n).alias(f"g{k}") for k, n in enumerate(sizes)))
+    n_feats, total = (sum((F.col(f"g{k}.{c}").cast("long") for k in range(1, len(sizes))), F.col(f"g0.{c}").cast("long")) for c in ("n", "m"))
+    return found.select("doc_id", n_feats.alias("n_feats"), total.alias("total")).where("total > 0")
+
+
 def cross_block_bigrams(lines: DataFrame) -> DataFrame:
     """``doc_id, feat, cnt``: the last word of a line with the first of the next line, by document."""
     w = Window.partitionBy("doc_id").orderBy("line")

@@ -178,8 +178,8 @@ def sparse_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def instance_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of sizes 1 and 2 in one instance per document: number of features and their total."""
-    both = idiom_size1(spark, sf_dir).unionByName(idiom_size2_wild(spark, sf_dir))
-    return both.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_feats"), F.sum("cnt").alias("total"))
+    texts = table(spark, sf_dir, "documents").where("text is not null").groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+    return ngrams.gram_totals(texts, (1, 2))
 
 
 def unknown_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

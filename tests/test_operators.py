@@ -192,3 +192,15 @@ def test_last_runs_end_with_their_ranges(spark):
     ranges = spark.createDataFrame([("s", 0, 16), ("s", 16, 40), ("s", 17, 30), ("s", 18, 99), ("t", 6, 9), ("u", 0, 99)], "seq string, begin long, end long")
     got = {(r["seq"], r["start"]): r["end"] for r in sequences.segments(rows, at="at", ranges=ranges).collect()}
     assert got == {("s", 10): 17, ("s", 17): 30, ("t", 5): 5, ("u", 99): 99}
+
+
+def test_ngrams_of_a_document_are_counted_in_its_own_row(spark, tmp_path):
+    """Rows of one document count together, those without n-grams are left out, and no row per n-gram is grouped."""
+    from seqloom.plans.mining import instance_union
+
+    rows = [(1, "a b a b\n\nc"), (1, "a b"), (2, None), (3, " \n"), (None, "x"), (None, "x y")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = instance_union(spark, str(tmp_path))
+    # document 1: a, b, c and a_b, *_b, b_a, *_a; 7 words and two forms of each of 4 pairs
+    assert sorted((r["doc_id"] or 0, r["n_feats"], r["total"]) for r in found.collect()) == [(0, 4, 5), (1, 7, 15)]
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
