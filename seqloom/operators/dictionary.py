@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.operators.ngrams import text_words
+from seqloom.sources.adapters import by_row, tokens
 from seqloom.sources.staging import staged
 
 #: Joint probabilities below this count as none.
@@ -46,15 +48,21 @@ def running_sums(df: DataFrame, group: list[str], order: list[str], sums: dict[s
     return added.drop(mark, *keys, *(f"{mark}{n}" for n in sums))
 
 
-def first_seen_vocab(tokens: DataFrame) -> DataFrame:
+def first_places(documents: DataFrame) -> DataFrame:
+    """``doc_id, at, tok``: each token of a document, and a number that grows with its first place in it."""
+    alone, others = by_row(documents.select("doc_id", "text"))
+    firsts = alone.repartition("doc_id").select("doc_id", F.posexplode(F.array_distinct(text_words("text"))).alias("at", "tok")).select("doc_id", F.col("at").cast("long").alias("at"), "tok")
+    at = F.col("line").cast("long") * (1 << 32) + F.col("ord")
+    return firsts.unionByName(tokens(others).groupBy("doc_id", "tok").agg(F.min(at).alias("at")))
+
+
+def first_seen_vocab(documents: DataFrame) -> DataFrame:
     """``tok, feat_id``: ids from 1 by first appearance (document, line, place, token).
 
-    First places are found by document, then by token, in sums of plain longs; tokens of documents that
-    are dealt out by doc_id are shuffled once.
+    First places are found in a document's own row, then by token in sums of plain longs; the second is
+    the only shuffle.
     """
-    at = F.col("line").cast("long") * (1 << 32) + F.col("ord")
-    first = tokens.groupBy("doc_id", "tok").agg(F.min(at).alias("at"))
-    first = first.groupBy("tok").agg(F.coalesce(F.min_by("at", "doc_id"), F.min("at")).alias("at"), F.min("doc_id").alias("doc_id"))
+    first = first_places(documents).groupBy("tok").agg(F.coalesce(F.min_by("at", "doc_id"), F.min("at")).alias("at"), F.min("doc_id").alias("doc_id"))
     return dense_ids(first, ["doc_id", "at", "tok"], "feat_id").select("tok", "feat_id")
 
 

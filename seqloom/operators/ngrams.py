@@ -7,13 +7,20 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.sources.adapters import by_row, token_lines
+
 WILDCARD = "*"
 
 
 def _masked(terms: list[Column], wildcard: str) -> Column:
     """All forms of one n-gram: each term but the last kept or replaced."""
     kept = [(t, F.lit(wildcard)) for t in terms[:-1]]
-    return F.array(*(F.concat_ws("_", *(pair[m] for pair, m in zip(kept, mask)), terms[-1]) for mask in product((0, 1), repeat=len(kept))))
+    joint = F.lit("_")
+
+    def written(parts: list[Column]) -> Column:
+        return F.concat(*(x for part in parts for x in (part, joint)), terms[-1]) if parts else terms[-1]
+
+    return F.array(*(written([pair[m] for pair, m in zip(kept, mask)]) for mask in product((0, 1), repeat=len(kept))))
 
 
 def array_ngrams(words: str | Column, size: int, wildcard: str = WILDCARD) -> Column:
@@ -43,6 +50,39 @@ def line_ngram_counts(lines: DataFrame, size: int) -> DataFrame:
     return feats.groupBy("doc_id", "feat").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def text_words(text: str | Column) -> Column:
+    """All words of a text in order, as the lines of token_lines() have them."""
+    return F.filter(F.split(F.translate(text, "\n", " "), " ", -1), lambda w: w != "")
+
+
+def row_ngram_counts(documents: DataFrame, size: int, *more: str) -> DataFrame:
+    """``doc_id, feat, cnt`` (and further columns before ``feat``) over the lines of documents (doc_id, text), each counted in its own row.
+
+    Equal n-grams stand side by side in a sorted array, so no table of several documents' n-grams is kept and nothing is shuffled.
+    """
+    held = documents.where("text is not null")
+    if size == 1:
+        held = held.select("doc_id", *more, text_words("text").alias("grams"))
+    else:
+        lines = F.transform(F.split("text", "\n", -1), lambda line: F.filter(F.split(line, " ", -1), lambda w: w != ""))
+        held = held.select("doc_id", *more, lines.alias("lines"))
+        held = held.select("doc_id", *more, F.flatten(F.transform("lines", lambda words: array_ngrams(words, size))).alias("grams"))
+    held = held.select("doc_id", *more, F.sort_array("grams").alias("grams"))
+    # places at which a run begins, and the place behind the last one
+    ends = F.filter(F.sequence(F.lit(0), F.size("grams")), lambda i: ~F.get("grams", i).eqNullSafe(F.get("grams", i - 1)))
+    held = held.select("doc_id", *more, "grams", ends.alias("ends"))
+    runs = F.transform(F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))), lambda i, k: F.struct(F.get("grams", i).alias("feat"), (F.get("ends", k + 1) - i).cast("long").alias("cnt")))
+    return held.select("doc_id", *more, F.inline(runs))
+
+
+def document_ngram_counts(documents: DataFrame, size: int, *more: str) -> DataFrame:
+    """As row_ngram_counts(), for documents of any size, of which some may have the same doc_id."""
+    alone, others = by_row(documents.select("doc_id", "text", *more))
+    alone = alone.repartition("doc_id")  # one file may be few tasks
+    lines = token_lines(others, *more).select("doc_id", *more, F.explode(array_ngrams("words", size)).alias("feat"))
+    return row_ngram_counts(alone, size, *more).unionByName(lines.groupBy("doc_id", *more, "feat").agg(F.count(F.lit(1)).alias("cnt")))
+
+
 def gram_totals(texts: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
     """``doc_id, n_feats, total``: distinct wildcard n-grams of each size, and all of them, over the lines of documents (doc_id, texts).
 

@@ -9,7 +9,7 @@ from seqloom.operators import blocks, dictionary, graphlets, ngrams, sequences,
 from seqloom.plans import labelling, mining
 from seqloom.plans.mining import COUNT_TEXTS, DESCRIBE, EVENTS, GRAPH, KEEP, KNOWN_LANGS, LINES, MI_SQL
 from seqloom.sources import attribute_text, feature_files, tag_text
-from seqloom.sources.adapters import event_edges, event_nodes, event_sequences, table, token_lines
+from seqloom.sources.adapters import event_edges, event_nodes, event_sequences, table
 from seqloom.sources.staging import kept_at, new_path
 
 # -- files: a document stands for a function, its language for the binary
@@ -17,9 +17,8 @@ from seqloom.sources.staging import kept_at, new_path
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``bin, addr, feat, cnt``: words by document."""
-    lines = token_lines(table(spark, sf_dir, "documents").repartition("doc_id"), "lang")
-    words = lines.select(F.col("lang").alias("bin"), F.col("doc_id").alias("addr"), F.explode("words").alias("feat"))
-    return words.groupBy("addr", "bin", "feat").agg(F.count(F.lit(1)).alias("cnt"))
+    counts = ngrams.document_ngram_counts(table(spark, sf_dir, "documents"), 1, "lang")
+    return counts.select(F.col("lang").alias("bin"), F.col("doc_id").alias("addr"), "feat", "cnt")
 
 
 def instances_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import tokens as T
 from seqloom.operators import dictionary, families, graphlets, ngrams
-from seqloom.sources.adapters import document_tokens, event_edges, event_nodes, event_sequences, table, token_lines, tokens
+from seqloom.sources.adapters import document_tokens, event_edges, event_nodes, event_sequences, table, token_lines
 
 #: Features kept by selection.
 KEEP = 50
@@ -63,11 +63,11 @@ def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def idiom_size1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngrams.line_ngram_counts(token_lines(_dealt(spark, sf_dir)), 1)
+    return ngrams.document_ngram_counts(table(spark, sf_dir, "documents"), 1)
 
 
 def idiom_size2_wild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngrams.line_ngram_counts(token_lines(_dealt(spark, sf_dir)), 2)
+    return ngrams.document_ngram_counts(table(spark, sf_dir, "documents"), 2)
 
 
 def idiom_size2_family(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def idiom_size2_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def idiom_size3_wild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngrams.line_ngram_counts(token_lines(_dealt(spark, sf_dir)), 3)
+    return ngrams.document_ngram_counts(table(spark, sf_dir, "documents"), 3)
 
 
 def cross_block_bigram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +132,7 @@ def token_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def global_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dictionary.first_seen_vocab(tokens(_dealt(spark, sf_dir)))
+    return dictionary.first_seen_vocab(table(spark, sf_dir, "documents"))
 
 
 def label_index(spark: SparkSession, sf_dir: str) -> DataFrame:

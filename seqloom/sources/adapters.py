@@ -14,6 +14,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Texts of more bytes are not worked on in one row.
+LONGEST = 1 << 22
+#: Up to so many ids are broadcast.
+BROADCAST_IDS = 1 << 20
+
+
+def by_row(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents that may be worked on row by row, and the others: those that share their doc_id, and those with very long texts."""
+    shared = documents.groupBy(F.col("doc_id").alias("id_")).agg(F.count(F.lit(1)).alias("n_")).where("n_ > 1").withColumn("shared_", F.lit(True)).drop("n_")
+    many, long = shared.count(), F.coalesce(F.octet_length("text") > LONGEST, F.lit(False))
+    if not many:
+        return documents.where(~long), documents.where(long)
+    told = documents.join(F.broadcast(shared) if many <= BROADCAST_IDS else shared, F.col("doc_id").eqNullSafe(F.col("id_")), "left")
+    other = F.col("shared_").isNotNull() | long
+    return told.where(~other).select(*documents.columns), told.where(other).select(*documents.columns)
+
+
 def token_lines(documents: DataFrame, *more: str) -> DataFrame:
     """``doc_id, line, words`` (and further columns): words are parted by single spaces, empty ones left out.
 
