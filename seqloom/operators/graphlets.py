@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Graphs of more edges are described by joins, others in their sets' own rows.
+NET_EDGES = 256
 #: Graphs with more nodes have no graphlets of more than three nodes.
 MOST_NODES = 5000
 
@@ -25,6 +27,41 @@ def describe(sets: DataFrame, edges: DataFrame, colors: DataFrame | None = None)
     by ``_`` in the order of their nodes: by color's text, then by ins, outs and self, of which smaller
     sets come first and equal sizes are compared type by type.
     """
+    if colors is None:
+        small, sets = _with_nets(sets, edges)
+        feats = _row_texts(small).unionByName(_joined_texts(sets, edges))
+    else:
+        feats = _joined_texts(sets, edges, colors)
+    return feats.groupBy("g", "feat").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def _with_nets(sets: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sets of graphs with few edges, with all of these in an array ``net``; and the other sets."""
+    counted = edges.select("g", "src", "dst", "type", F.count(F.lit(1)).over(Window.partitionBy("g")).alias("m"))
+    edge = F.when(F.col("m") <= NET_EDGES, F.struct("src", "dst", "type"))
+    nets = counted.groupBy("g").agg(F.collect_list(edge).alias("net"), (F.max("m") > NET_EDGES).alias("big"))
+    held = sets.join(nets, "g", "left")
+    big = F.coalesce("big", F.lit(False))
+    return held.where(~big).select("g", "nodes", "net"), held.where(big).select("g", "id", "nodes")
+
+
+def _row_texts(sets: DataFrame) -> DataFrame:
+    """``g, feat``: texts of sets (g, nodes, net), each from its own row; a net that is null has no edges."""
+    inside = F.filter("net", lambda e: F.array_contains("nodes", e["src"]) & F.array_contains("nodes", e["dst"]) & e["type"].isNotNull())
+    held = sets.select("g", "nodes", F.coalesce(inside, F.array().cast(sets.schema["net"].dataType)).alias("net"))
+
+    def types(kept) -> Column:
+        return F.array_sort(F.transform(F.filter("net", kept), lambda e: e["type"].cast("int")))
+
+    ends = F.transform("nodes", lambda n: F.struct(
+        types(lambda e: (e["dst"] == n) & (e["src"] != n)).alias("r0"), types(lambda e: (e["src"] == n) & (e["dst"] != n)).alias("r1"), types(lambda e: (e["src"] == n) & (e["dst"] == n)).alias("r2")))
+    held = held.select("g", ends.alias("ends"))
+    ranked = F.transform("ends", lambda e: F.struct(*(c.alias(f"k{j}") for j, c in enumerate(x for k in range(3) for x in (F.size(e[f"r{k}"]), e[f"r{k}"]))), F.concat_ws("/", *(runs_text(e[f"r{k}"]) for k in range(3))).alias("t")))
+    return held.select("g", F.array_join(F.transform(F.array_sort(ranked), lambda s: s["t"]), "_").alias("feat"))
+
+
+def _joined_texts(sets: DataFrame, edges: DataFrame, colors: DataFrame | None = None) -> DataFrame:
+    """``g, feat``: texts of sets (g, id, nodes) by joins with edges and colours."""
     both = sets.select("g", "id", F.explode("nodes").alias("x"), "nodes").select("g", "id", "x", F.explode("nodes").alias("y"))
     held = both.join(edges.select("g", F.col("src").alias("x"), F.col("dst").alias("y"), "type"), ["g", "x", "y"])
     ends = held.select("g", "id", F.explode(F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("n"), F.lit(2).alias("role")))).otherwise(F.array(F.struct(F.col("x").alias("n"), F.lit(1).alias("role")), F.struct(F.col("y").alias("n"), F.lit(0).alias("role"))))).alias("e"), "type")
@@ -40,8 +77,7 @@ def describe(sets: DataFrame, edges: DataFrame, colors: DataFrame | None = None)
         shade = F.lit("")
     roles = [F.coalesce(f"r{r}", F.array().cast("array<int>")) for r in (0, 1, 2)]
     rank = [c.alias(f"k{j}") for j, c in enumerate([shade, *(x for r in roles for x in (F.size(r), r))])]
-    feats = nodes.select("g", "id", F.struct(*rank, text.alias("t")).alias("s")).groupBy("g", "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), "_").alias("feat"))
-    return feats.groupBy("g", "feat").agg(F.count(F.lit(1)).alias("cnt"))
+    return nodes.select("g", "id", F.struct(*rank, text.alias("t")).alias("s")).groupBy("g", "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), "_").alias("feat")).drop("id")
 
 
 def colored(sets: DataFrame, edges: DataFrame, colorings: dict[str, DataFrame]) -> DataFrame:
