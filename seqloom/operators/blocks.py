@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.sources.staging import dropped, staged
 
-from seqloom.operators.ngrams import NO_ARGUMENT, WILDCARD
+from seqloom.operators.ngrams import NO_ARGUMENT, WILDCARD, masked
 
 # fixed values: 16-bit arguments that stand for classes of operands, and the letter that a term's text shows for them
 NONE, MEMORY, IMMEDIATE, MANY_REGISTERS, CALLEE_SAVED, ARGUMENT, OTHER = 0xFFFF, 0xFFFE, 0xFFFD, 0xFFFC, 0xFFFB, 0xFFFA, 0xFFF9
@@ -77,12 +77,14 @@ def successor_ngrams(terms: DataFrame, edges: DataFrame, size: int, wildcard: st
     over = here.where("ends").join(edges.select("g", F.col("src").alias("n"), F.col("dst").alias("n2")), ["g", "n"]).select("g", "n", "ord", "n2", F.lit(0).alias("ord2"))
     steps = within.unionByName(over)
     words = here.select("g", F.col("n").alias("n2"), F.col("ord").alias("ord2"), F.col("tok").alias("tok2"))
-    paths = here.where("tok is not null").select("g", "n", "ord", F.array().cast("array<string>").alias("heads"), F.col("tok"))
+    links = steps.join(words, ["g", "n2", "ord2"]).where("tok2 is not null").select("g", "n", "ord", "n2", "ord2", "tok2")  # the same in every round, so shuffled once
+    paths = here.where("tok is not null").select("g", "n", "ord", F.array("tok").alias("toks"))
     for _ in range(size - 1):
-        moved = paths.join(steps, ["g", "n", "ord"]).join(words, ["g", "n2", "ord2"]).where("tok2 is not null")
-        heads = F.explode(F.array(F.array_append("heads", F.col("tok")), F.array_append("heads", F.lit(wildcard))))
-        paths = moved.select("g", F.col("n2").alias("n"), F.col("ord2").alias("ord"), heads.alias("heads"), F.col("tok2").alias("tok"))
-    return paths.groupBy("g", F.array_join(F.array_append("heads", F.col("tok")), "_").alias("feat")).agg(F.count(F.lit(1)).alias("cnt"))
+        paths = paths.join(links, ["g", "n", "ord"]).select("g", F.col("n2").alias("n"), F.col("ord2").alias("ord"), F.array_append("toks", F.col("tok2")).alias("toks"))
+    # n-grams of one last term arise in one place, so that their terms are shuffled and not all their forms
+    dealt = paths.withColumn("last", F.col("toks")[size - 1]).repartition("g", "last")
+    feats = dealt.select("g", "last", F.explode(masked([F.col("toks")[k] for k in range(size)], wildcard)).alias("feat"))
+    return feats.groupBy("g", "last", "feat").agg(F.count(F.lit(1)).alias("cnt")).drop("last")
 
 
 def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from seqloom.sources.adapters import by_row, token_lines
 WILDCARD = "*"
 
 
-def _masked(terms: list[Column], wildcard: str) -> Column:
+def masked(terms: list[Column], wildcard: str) -> Column:
     """All forms of one n-gram: each term but the last kept or replaced."""
     kept = [(t, F.lit(wildcard)) for t in terms[:-1]]
     joint = F.lit("_")
@@ -26,7 +26,7 @@ def _masked(terms: list[Column], wildcard: str) -> Column:
 def array_ngrams(words: str | Column, size: int, wildcard: str = WILDCARD) -> Column:
     """Array of the wildcard n-grams of an array of terms; empty where it is shorter. No shuffle is needed."""
     def at(i: Column) -> Column:
-        return _masked([F.element_at(words, i + k) for k in range(size)], wildcard)
+        return masked([F.element_at(words, i + k) for k in range(size)], wildcard)
 
     count = F.size(words) - (size - 1)
     return F.when(count >= 1, F.flatten(F.transform(F.sequence(F.lit(1), count), at))).otherwise(F.array().cast("array<string>"))
@@ -41,7 +41,7 @@ def ngrams(terms: DataFrame, size: int, block: list[str], order: str, term: str
     ahead = [F.col(term)] + [F.lead(term, k).over(w) for k in range(1, size)]
     named = terms.select("*", *(c.alias(f"__t{k}") for k, c in enumerate(ahead)))
     full = " and ".join(f"__t{k} is not null" for k in range(size))
-    return named.where(full).select(*terms.columns, F.explode(_masked([F.col(f"__t{k}") for k in range(size)], wildcard)).alias("feat"))
+    return named.where(full).select(*terms.columns, F.explode(masked([F.col(f"__t{k}") for k in range(size)], wildcard)).alias("feat"))
 
 
 def line_ngram_counts(lines: DataFrame, size: int) -> DataFrame:
