@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import tokens as T
 from seqloom.operators import dictionary, families, graphlets, ngrams
 from seqloom.sources.adapters import document_tokens, event_edges, event_nodes, event_sequences, table, token_lines
+from seqloom.sources.staging import staged
 
 #: Features kept by selection.
 KEEP = 50
@@ -159,8 +160,11 @@ def feature_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scaled_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the selected tokens over their greatest; tokens are counted once, for the selection and the instances."""
-    docs = table(spark, sf_dir, "documents")
-    top = mi_topk_tokens(spark, sf_dir).select(F.col("tok").alias("feat"))  # KEEP rows, so they are broadcast before counting
+    return _scaled(table(spark, sf_dir, "documents"), mi_topk_tokens(spark, sf_dir))
+
+
+def _scaled(docs: DataFrame, top: DataFrame) -> DataFrame:
+    top = top.select(F.col("tok").alias("feat"))  # KEEP rows, so they are broadcast before counting
     lines = token_lines(docs.select("doc_id", "text").repartition("doc_id"))
     words = lines.select("doc_id", F.explode("words").alias("feat")).join(F.broadcast(top), "feat", "left_semi")
     counts = words.groupBy("doc_id", "feat").agg(F.count(F.lit(1)).alias("cnt"))
@@ -169,8 +173,9 @@ def scaled_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sparse_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with selected words as sparse arrays in the order of the words' numbers."""
-    held = scaled_instances(spark, sf_dir)
-    ids = dictionary.dense_ids(mi_topk_tokens(spark, sf_dir).select(F.col("tok").alias("feat")), ["feat"], "feat_id")
+    top = staged(mi_topk_tokens(spark, sf_dir), "top")
+    held = _scaled(table(spark, sf_dir, "documents"), top)
+    ids = dictionary.dense_ids(top.select(F.col("tok").alias("feat")), ["feat"], "feat_id")
     found = dictionary.instances(held, F.broadcast(ids))  # KEEP rows
     numbers = F.array_join(F.transform("feats", lambda f: f["feat_id"].cast("string")), " ")
     return found.select("doc_id", numbers.alias("ids"), F.aggregate("feats", F.lit(0).cast("long"), lambda a, f: a + F.round(f["value"] * 1_000_000).cast("long")).alias("millionths"))
