@@ -20,14 +20,14 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from seqloom.operators import blockvectors, crf_blocks
 from seqloom.operators.chain import Chain, best_path
 from seqloom.operators.crf_blocks import tagged
-from seqloom.operators.crf_layout import Layout, batches_of, items_of, joined, likelihood, pack, stacked, stacks_of
+from seqloom.operators.crf_layout import Layout, batches_of, items_of, joined, likelihood, pack, sequences_of, stacked, stacks_of
 from seqloom.operators.dictionary import dense_ids
 from seqloom.operators.optimize import Result, Settings, minimise
-from seqloom.operators.sequences import transitions
 from seqloom.operators.stages import InTables
 from seqloom.sources.staging import ArrayState, staged
 
@@ -46,12 +46,15 @@ GROUPS = 16
 
 def generate_features(rows: DataFrame, min_freq: float = 0.0, all_states: bool = False, all_transitions: bool = False) -> DataFrame:
     """``type, src, dst, freq``: sums of values by attribute and label (type 0), counts of label pairs (type 1)."""
-    pairs = rows.select("label", F.explode("feats").alias("f")).select("label", "f.attr", F.coalesce("f.value", F.lit(1.0)).alias("value"))
+    seqs = sequences_of(rows)
+    pairs = seqs.select(F.explode("items").alias("i")).select("i.label", F.explode("i.feats").alias("f")).select("label", "f.attr", F.coalesce("f.value", F.lit(1.0)).alias("value"))
     states = pairs.groupBy("attr", "label").agg(F.sum("value").alias("freq"))
-    labels = rows.select("label").where("label is not null").distinct()
+    labels = labels_of(seqs)
     if all_states:
         states = pairs.select("attr").distinct().crossJoin(labels).join(states, ["attr", "label"], "left").fillna(0.0, ["freq"])
-    moves = transitions(rows).where("prev is not null and cur is not null").withColumnRenamed("n", "freq")
+    names, steps = F.col("items")["label"], F.size("items") - 1
+    steps = F.arrays_zip(F.slice(names, 1, steps).alias("prev"), F.slice(names, 2, steps).alias("cur"))
+    moves = seqs.select(F.inline(steps)).where("prev is not null and cur is not null").groupBy("prev", "cur").agg(F.count(F.lit(1)).alias("freq"))
     if all_transitions:
         grid = labels.select(F.col("label").alias("prev")).crossJoin(labels.select(F.col("label").alias("cur")))
         moves = grid.join(moves, ["prev", "cur"], "left").fillna(0, ["freq"])
@@ -60,6 +63,11 @@ def generate_features(rows: DataFrame, min_freq: float = 0.0, all_states: bool =
     return both.where(F.col("freq") >= min_freq)
 
 
+def labels_of(rows: DataFrame) -> DataFrame:
+    """``label``: the known labels, each once."""
+    return sequences_of(rows).select(F.explode(F.array_distinct(F.col("items")["label"])).alias("label")).where("label is not null").distinct()
+
+
 # -- batch objective
 
 
@@ -279,14 +287,14 @@ class LinearChainCRF(Estimator, _Settings, DefaultParamsReadable, DefaultParamsW
 
     def with_weights(self, dataset: DataFrame, weight: Column) -> LinearChainCRFModel:
         """The model of the dataset's features with given weights: an expression over type, src, dst (names) and freq."""
-        found, attrs, coded = self._features(dataset, weight)
+        found, attrs, coded = self._features(_kept(dataset), weight)
         return self._copyValues(LinearChainCRFModel(found, attrs, *_arrays(coded)))
 
     def _features(self, dataset: DataFrame, weight: Column) -> tuple[list[str], DataFrame, DataFrame]:
-        """Labels, numbered attributes, and the features ``type, s, d, freq, weight`` by numbers."""
+        """Labels, numbered attributes, and the features ``type, s, d, freq, weight`` by numbers. The dataset is read more than once."""
         get = self.getOrDefault
         spark = dataset.sparkSession
-        found = [r[0] for r in dataset.select("label").where("label is not null").distinct().orderBy("label").limit(MOST_LABELS + 1).collect()]
+        found = [r[0] for r in labels_of(dataset).orderBy("label").limit(MOST_LABELS + 1).collect()]
         if not found or len(found) > MOST_LABELS:
             raise ValueError("there are no labels" if not found else "there are too many labels")
         features = staged(generate_features(dataset, get(self.minFreq), get(self.possibleStates), get(self.possibleTransitions)).withColumn("weight", weight.cast("double")), "features")
@@ -302,13 +310,12 @@ class LinearChainCRF(Estimator, _Settings, DefaultParamsReadable, DefaultParamsW
         algorithm = get(self.algorithm)
         if algorithm not in ALGORITHMS:
             raise ValueError(f"algorithm is one of {ALGORITHMS}")
+        dataset = _kept(dataset)
         found, attrs, coded = self._features(dataset, F.lit(0.0))
         size = coded.count()
         if size > MOST_FEATURES and algorithm != "lbfgs":
             raise ValueError(f"workers of {algorithm} hold all of the weights, and there are {size}: use lbfgs or minFreq")
-        usable = dataset.withColumn("__bad", F.col("label").isNull())
-        bad = usable.where("__bad").select("seq").distinct()
-        packed = pack(dataset.join(bad, "seq", "left_anti"), attrs, found)
+        packed = pack(dataset.where(~F.exists("items", lambda x: x["label"].isNull())), attrs, found)
         if algorithm == "lbfgs" and (get(self.blockSize) or size > MOST_FEATURES):
             return self._blocks(packed, found, attrs, coded, size)
         table, freq, _ = _arrays(coded)
@@ -447,6 +454,12 @@ class LinearChainCRF(Estimator, _Settings, DefaultParamsReadable, DefaultParamsW
         return 1 / (params["lam"] * min(found)[1])
 
 
+def _kept(dataset: DataFrame) -> DataFrame:
+    """The dataset's sequences, written once for all that reads them; such as are given as sequences are kept already."""
+    seqs = sequences_of(dataset)
+    return seqs if seqs is dataset else staged(seqs, "sequences")
+
+
 BLOCK_FEATURES = "fid long, type int, s long, d long, freq double, weight double"
 
 
@@ -474,7 +487,7 @@ class _Tags(Model, _Settings, InTables):
     attrs: DataFrame
 
     def _tag(self, packed: DataFrame) -> DataFrame:
-        """``__seq, pred, marginal, probability, all`` of packed sequences."""
+        """``__seq, pred, marginal, probability, all`` of packed sequences, and their ``places``."""
         raise NotImplementedError
 
     def _coded(self, spark: SparkSession) -> DataFrame:
@@ -483,9 +496,7 @@ class _Tags(Model, _Settings, InTables):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         """``seq, pos, label, pred, marginal, probability, marginals``: the best path, its labels' marginals and probability, and all marginals."""
-        rows = dataset if "label" in dataset.columns else dataset.withColumn("label", F.lit(None).cast("string"))
-        places = rows.groupBy(F.col("seq").cast("string").alias("__s")).agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("__p"))
-        both = self._tag(pack(rows, self.attrs, self.labels)).join(places, F.col("__seq") == F.col("__s"))
+        both = self._tag(pack(dataset, self.attrs, self.labels, places=True)).withColumnRenamed("places", "__p")
         each = both.select("__seq", "probability", F.posexplode("__p").alias("__i", "at"), "pred", "marginal", "all")
         n = len(self.labels)
         return each.select(
@@ -543,13 +554,13 @@ class LinearChainCRFModel(_Tags):
     def _tag(self, packed: DataFrame) -> DataFrame:
         shared = packed.sparkSession.sparkContext.broadcast((self.layout, self.weights, self.labels))
 
-        def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             layout, w, labels = shared.value
-            for frame in frames:
-                out = [(item["seq"], *tagged(Chain(*layout.scores(w, item)), labels)) for item in items_of(frame)]
-                yield pd.DataFrame(out, columns=["__seq", "pred", "marginal", "probability", "all"])
+            for batch in batches:
+                out = [(item["seq"], *tagged(Chain(*layout.scores(w, item)), labels)) for item in items_of(batch.drop_columns("places").to_pandas())]
+                yield from crf_blocks.tag_table(out, batch.column("places")).to_batches()
 
-        return packed.mapInPandas(work, crf_blocks.TAGS)
+        return packed.mapInArrow(work, StructType([*StructType.fromDDL(crf_blocks.TAGS).fields, packed.schema["places"]]))
 
     def _coded(self, spark: SparkSession) -> DataFrame:
         held = {"fid": np.arange(len(self.table)), "type": self.table[:, 0].astype(np.int32), "s": self.table[:, 1], "d": self.table[:, 2], "freq": self.freq, "weight": self.weights[:-1]}
@@ -610,7 +621,7 @@ class BlockCRFModel(_Tags):
 
     def _tag(self, packed: DataFrame) -> DataFrame:
         moves = sorted((r["fid"], r["s"], r["d"], r["weight"]) for r in self.features.where("type = 1").collect())  # pairs of labels
-        return crf_blocks.tags(crf_blocks.shards(packed, self.features, [m[:3] for m in moves]), moves, self.labels)
+        return crf_blocks.tags(packed, self.features, moves, self.labels)
 
     def _coded(self, spark: SparkSession) -> DataFrame:
         return self.features

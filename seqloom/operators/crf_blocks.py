@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from seqloom.operators.blockvectors import Gradient
 from seqloom.operators.chain import Chain, best_path
@@ -26,28 +27,39 @@ TAGS = "__seq string, pred array<string>, marginal array<double>, probability do
 SHARDS = "shard long, seqs array<string>, lengths binary, y binary, sizes binary, aids binary, values binary, fids binary, first binary, lids binary, moves binary, weights binary"
 
 
-def shards(packed: DataFrame, features: DataFrame, moves: list[tuple[int, int, int]], size: int = SHARD) -> DataFrame:
-    """SHARDS of packed sequences (crf.pack) for features ``fid, type, s, d, weight``; ``moves`` are the label pairs' (fid, from, to)."""
+def _dealt(packed: DataFrame, features: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Packed sequences with their ``shard``, and ``of, aid, fid, lid, weight``: the features that each shard's attributes have."""
     packed = staged(packed, "packed")
     many = packed.agg(F.sum(F.size("aids")).alias("n")).first()["n"] or 0
     count = max(1, -(-many // size))
     seqs = packed.withColumn("shard", F.pmod(F.xxhash64("seq"), F.lit(count)))
     asked = seqs.select("shard", F.explode(F.array_distinct("aids")).alias("s")).distinct().withColumn("s", F.col("s").cast("long"))
-    known = asked.join(features.where("type = 0").select("s", "fid", "d", "weight"), "s").select(F.col("shard").alias("of"), F.col("s").alias("aid"), "fid", F.col("d").alias("lid"), "weight")
+    return seqs, asked.join(features.where("type = 0").select("s", "fid", "d", "weight"), "s").select(F.col("shard").alias("of"), F.col("s").alias("aid"), "fid", F.col("d").alias("lid"), "weight")
+
+
+def _arrays(some: pd.DataFrame, feats: pd.DataFrame, own: np.ndarray) -> dict[str, bytes]:
+    """The binary columns of SHARDS of some sequences; ``own`` are the ids of the label pairs."""
+    feats = feats.sort_values("fid")
+    aids = np.concatenate([np.zeros(0, np.int64), *some["aids"]]).astype(np.int64)
+    names, local = np.unique(aids, return_inverse=True)
+    first = np.searchsorted(feats["aid"].to_numpy(np.int64), np.append(names, np.iinfo(np.int64).max))
+    fids = np.concatenate([feats["fid"].to_numpy(np.int64), own])
+    joined = {k: np.concatenate([np.zeros(0), *some[k]]) for k in ("y", "sizes", "values")}
+    arrays = {"lengths": some["y"].map(len).to_numpy(np.int64), "y": joined["y"].astype(np.int64), "sizes": joined["sizes"].astype(np.int64), "aids": local.astype(np.int64), "values": joined["values"].astype(np.float64)}
+    arrays |= {"fids": fids, "first": first.astype(np.int64), "lids": feats["lid"].to_numpy(np.int64), "moves": np.arange(len(feats), len(fids)), "weights": feats["weight"].to_numpy(np.float64)}
+    return {k: v.tobytes() for k, v in arrays.items()}
+
+
+def shards(packed: DataFrame, features: DataFrame, moves: list[tuple[int, int, int]], size: int = SHARD) -> DataFrame:
+    """SHARDS of packed sequences (crf.pack) for features ``fid, type, s, d, weight``; ``moves`` are the label pairs' (fid, from, to)."""
+    seqs, known = _dealt(packed, features, size)
     own = np.array([m[0] for m in moves], np.int64)
 
     def build(key: tuple, some: pd.DataFrame, feats: pd.DataFrame) -> pd.DataFrame:
         if not len(some):
             return pd.DataFrame()
-        some, feats = some.sort_values("seq"), feats.sort_values("fid")
-        aids = np.concatenate([np.zeros(0, np.int64), *some["aids"]]).astype(np.int64)
-        names, local = np.unique(aids, return_inverse=True)
-        first = np.searchsorted(feats["aid"].to_numpy(np.int64), np.append(names, np.iinfo(np.int64).max))
-        fids = np.concatenate([feats["fid"].to_numpy(np.int64), own])
-        joined = {k: np.concatenate([np.zeros(0), *some[k]]) for k in ("y", "sizes", "values")}
-        arrays = {"lengths": some["y"].map(len).to_numpy(np.int64), "y": joined["y"].astype(np.int64), "sizes": joined["sizes"].astype(np.int64), "aids": local.astype(np.int64), "values": joined["values"].astype(np.float64)}
-        arrays |= {"fids": fids, "first": first.astype(np.int64), "lids": feats["lid"].to_numpy(np.int64), "moves": np.arange(len(feats), len(fids)), "weights": feats["weight"].to_numpy(np.float64)}
-        return pd.DataFrame({"shard": [key[0]], "seqs": [some["seq"].tolist()], **{k: [v.tobytes()] for k, v in arrays.items()}})
+        some = some.sort_values("seq")
+        return pd.DataFrame({"shard": [key[0]], "seqs": [some["seq"].tolist()], **{k: [v] for k, v in _arrays(some, feats, own).items()}})
 
     return seqs.groupBy("shard").cogroup(known.groupBy("of")).applyInPandas(build, SHARDS)
 
@@ -158,20 +170,31 @@ def objective(held: DataFrame, moves: list[tuple[int, int, int]], labels: int, s
     return evaluate, free
 
 
-def tags(held: DataFrame, moves: list[tuple[int, int, int, float]], labels: list[str]) -> DataFrame:
-    """``__seq, pred, marginal, probability, all`` of SHARDS that carry their features' weights; ``moves`` carry theirs."""
+def tags(packed: DataFrame, features: DataFrame, moves: list[tuple[int, int, int, float]], labels: list[str], size: int = SHARD) -> DataFrame:
+    """TAGS and ``places`` of packed sequences that have these, by features ``fid, type, s, d, weight``; ``moves`` carry theirs.
+
+    A shard is tagged where it is built, so that a worker holds one at a time.
+    """
+    seqs, known = _dealt(packed, features, size)
     pairs = np.array([m[:3] for m in moves], np.int64).reshape(-1, 3)
     own = np.array([m[3] for m in moves] + [0.0])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            shard, out = Shard(row, pairs, len(labels)), []
-            w = np.concatenate([shard.weights, own])
-            for seq, item in zip(shard.seqs, shard.items):
-                out.append((seq, *tagged(Chain(*shard.layout.scores(w, item)), labels)))
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["__seq", "pred", "marginal", "probability", "all"]), preserve_index=False)
+    def work(key: tuple, some: pa.Table, feats: pa.Table) -> pa.Table:
+        frame = some.select(["seq", "y", "sizes", "aids", "values"]).to_pandas()
+        if not len(frame):
+            return tag_table([], some["places"])
+        shard = Shard({"seqs": frame["seq"].tolist(), **_arrays(frame, feats.to_pandas(), pairs[:, 0])}, pairs, len(labels))
+        w = np.concatenate([shard.weights, own])
+        return tag_table([(seq, *tagged(Chain(*shard.layout.scores(w, item)), labels)) for seq, item in zip(shard.seqs, shard.items)], some["places"])
+
+    return seqs.groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(work, StructType([*StructType.fromDDL(TAGS).fields, seqs.schema["places"]]))
+
 
-    return held.mapInArrow(work, TAGS)
+def tag_table(rows: list[tuple], places: pa.ChunkedArray | pa.Array) -> pa.Table:
+    """TAGS of sequences beside their places."""
+    kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.float64()))
+    columns = zip(*rows) if rows else ([],) * len(kinds)
+    return pa.table([*(pa.array(c, kind, from_pandas=True) for c, kind in zip(columns, kinds)), places], names=["__seq", "pred", "marginal", "probability", "all", "places"])
 
 
 def tagged(chain: Chain, labels: list[str]) -> tuple[list[str], list[float], float, list[float]]:

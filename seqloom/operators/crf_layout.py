@@ -7,30 +7,83 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from seqloom.operators.chain import stacked_sums
 
 PACKED = "seq string, y array<int>, sizes array<int>, aids array<int>, values array<double>"
 
 
-def pack(rows: DataFrame, attrs: DataFrame, labels: list[str]) -> DataFrame:
-    """One row per sequence (PACKED); unknown attributes are left out, unknown labels become len(labels)."""
-    place = F.array_position(F.array(*map(F.lit, labels)), F.col("label")) if labels else F.lit(0)
-    items = rows.select("seq", "pos", F.when(F.coalesce(place, F.lit(0)) > 0, place - 1).otherwise(len(labels)).cast("int").alias("y"))
-    long = rows.select("seq", "pos", F.explode("feats").alias("f")).select("seq", "pos", F.col("f.attr").alias("attr"), F.coalesce("f.value", F.lit(1.0)).alias("value"))
-    known = long.join(attrs, "attr").groupBy("seq", "pos").agg(F.array_sort(F.collect_list(F.struct(F.col("aid").cast("int").alias("aid"), "value"))).alias("fs"))
-    full = items.join(known, ["seq", "pos"], "left").withColumn("fs", F.coalesce("fs", F.array().cast("array<struct<aid:int,value:double>>")))
-    seqs = full.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("pos", "y", "fs"))).alias("i"))
-    flat = F.flatten(F.transform("i", lambda x: x["fs"]))
-    return seqs.select(
+#: Names of attributes up to which a worker holds all of them; more are joined.
+NAMES = 1 << 20
+FEATS = "array<struct<attr:string,value:double>>"
+
+
+def sequences_of(rows: DataFrame) -> DataFrame:
+    """``seq, items``: one row per sequence of (seq, pos, label, feats), its items (pos, label, feats) in order. Sequences are taken as they are."""
+    if rows.columns == ["seq", "items"]:
+        return rows
+    label = F.col("label") if "label" in rows.columns else F.lit(None).cast("string")
+    item = F.struct("pos", label.alias("label"), F.coalesce("feats", F.array().cast(FEATS)).alias("feats"))
+    return rows.groupBy("seq").agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+
+def pack(rows: DataFrame, attrs: DataFrame, labels: list[str], places: bool = False) -> DataFrame:
+    """One row per sequence (PACKED); unknown attributes are left out, unknown labels become len(labels). ``places`` adds what the items' pos and label are."""
+    named = F.array(*map(F.lit, labels)).cast("array<string>")
+    many = F.lit(len(labels))
+    seqs = sequences_of(rows).select(
         F.col("seq").cast("string").alias("seq"),
-        F.transform("i", lambda x: x["y"]).alias("y"),
-        F.transform("i", lambda x: F.size(x["fs"])).alias("sizes"),
-        F.transform(flat, lambda f: f["aid"]).alias("aids"),
-        F.transform(flat, lambda f: f["value"]).alias("values"),
+        F.transform("items", lambda x: F.coalesce(F.nullif(F.array_position(named, x["label"]), F.lit(0)) - 1, many).cast("int")).alias("y"),
+        F.transform("items", lambda x: F.size(x["feats"])).alias("sizes"),
+        F.flatten(F.transform("items", lambda x: x["feats"]["attr"])).alias("attrs"),
+        F.flatten(F.transform("items", lambda x: F.transform(x["feats"]["value"], lambda v: F.coalesce(v.cast("double"), F.lit(1.0))))).alias("values"),
+        *([F.transform("items", lambda x: F.struct(x["pos"].alias("pos"), x["label"].alias("label"))).alias("places")] if places else []),
     )
+    more = [f for f in seqs.schema.fields if f.name == "places"]
+    if attrs.count() <= NAMES:
+        names = attrs.orderBy("aid").select("attr").toArrow()["attr"].combine_chunks()
+        return _numbered(seqs, seqs.sparkSession.sparkContext.broadcast(names), more)
+    owner = F.flatten(F.transform("sizes", lambda n, k: F.array_repeat(k, n)))
+    long = seqs.select("seq", F.explode(F.arrays_zip(owner.alias("k"), F.col("attrs").alias("attr"), F.col("values").alias("value"))).alias("f")).select("seq", "f.*")
+    known = long.join(attrs, "attr").groupBy(F.col("seq").alias("of")).agg(F.collect_list(F.struct("k", F.col("aid").cast("int").alias("aid"), "value")).alias("fs"))
+    full = seqs.drop("attrs", "values").join(known, F.col("seq").eqNullSafe(F.col("of")), "left")
+    full = full.withColumn("fs", F.coalesce("fs", F.array().cast("array<struct<k:int,aid:int,value:double>>")))
+    return _numbered(full.select("seq", "y", "sizes", *(F.col("fs")[c].alias(n) for c, n in (("k", "owners"), ("aid", "aids"), ("value", "values"))), *(f.name for f in more)), None, more)
+
+
+def _numbered(seqs: DataFrame, names: Broadcast | None, more: list[StructField]) -> DataFrame:
+    """PACKED rows of sequences whose attributes are names yet, by the array of all names in the order of their numbers; or
+    whose attributes have come with their numbers and items in any order."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, values = batch.column("sizes"), batch.column("values").flatten().to_numpy()
+            cuts, items = _offsets(sizes), sizes.flatten().to_numpy()
+            if names is None:
+                aids = batch.column("aids").flatten().to_numpy()
+                at = batch.column("owners").flatten().to_numpy() + np.repeat(cuts[:-1], np.diff(_offsets(batch.column("owners"))))
+            else:
+                found = pc.index_in(batch.column("attrs").flatten(), value_set=names.value)
+                known = found.is_valid().to_numpy(zero_copy_only=False)
+                at, aids, values = np.repeat(np.arange(len(items)), items)[known], found.drop_null().to_numpy(), values[known]
+            order = np.lexsort((values, aids, at))
+            counts = np.bincount(at, minlength=len(items)).astype(np.int32)
+            ends = np.append(0, np.cumsum(counts))[cuts].astype(np.int32)
+            lists = {"sizes": (cuts, counts), "aids": (ends, aids[order].astype(np.int32)), "values": (ends, values[order])}
+            held = {c: batch.column(c) for c in ("seq", "y")} | {c: pa.ListArray.from_arrays(pa.array(e), pa.array(v)) for c, (e, v) in lists.items()}
+            yield pa.RecordBatch.from_pydict(held | {f.name: batch.column(f.name) for f in more})
+
+    return seqs.mapInArrow(work, StructType([*StructType.fromDDL(PACKED).fields, *more]))
+
+
+def _offsets(lists: pa.ListArray) -> np.ndarray:
+    """Where the lists of a column begin and end in its flat values."""
+    return (np.asarray(lists.offsets) - lists.offsets[0].as_py()).astype(np.int32)
 
 
 class Layout:
