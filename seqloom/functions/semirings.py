@@ -8,12 +8,19 @@ a constant of the plan. All results are null for no items.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Matrix = list[list[float]]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is worked out once, however often it stands there; a plain column may be put in place again."""
+    return F.transform(F.array(value), body)[0]
+
+
 class Ring:
     """Values of a label are columns of one type."""
 
@@ -43,8 +50,7 @@ class LogSum(Ring):
         return value + score
 
     def plus(self, values: Column) -> Column:
-        top = F.array_max(values)
-        return top + F.ln(F.aggregate(values, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+        return let(values, lambda held: let(F.array_max(held), lambda top: top + F.ln(F.aggregate(held, F.lit(0.0), lambda a, x: a + F.exp(x - top)))))
 
 
 class Best(LogSum):
@@ -85,9 +91,10 @@ def forward(states: Column, trans: Matrix, ring: Ring) -> Column:
         return F.array(*(ring.at(ring.times(v, scores[j]), j) for j, v in enumerate(into)))
 
     def step(rows: Column, scores: Column) -> Column:
-        last = F.element_at(rows, -1)
-        into = [ring.plus(F.array(*(ring.times(last[i], F.lit(float(trans[i][j]))) for i in labels))) for j in labels]
-        return F.concat(rows, F.array(row(into, scores)))
+        def into(last: Column) -> list[Column]:
+            return [ring.plus(F.array(*(ring.times(last[i], F.lit(float(trans[i][j]))) for i in labels))) for j in labels]
+
+        return F.concat(rows, F.array(let(F.element_at(rows, -1), lambda last: row(into(last), scores))))
 
     return F.when(F.size(states) > 0, F.aggregate(_rest(states), F.array(row([ring.start()] * len(trans), states[0])), step))
 
@@ -112,19 +119,18 @@ def backward(states: Column, trans: Matrix, ring: Ring) -> Column:
 
 def node_marginals(ahead: Column, behind: Column) -> Column:
     """(items, labels) of probabilities, by the rows of forward() and backward() over LogSum."""
-    whole = total(ahead, LogSum())
-    return F.zip_with(ahead, behind, lambda a, b: F.zip_with(a, b, lambda x, y: F.exp(x + y - whole)))
+    return let(total(ahead, LogSum()), lambda whole: F.zip_with(ahead, behind, lambda a, b: F.zip_with(a, b, lambda x, y: F.exp(x + y - whole))))
 
 
 def edge_marginals(states: Column, trans: Matrix, ahead: Column, behind: Column) -> Column:
     """(items - 1, from, to) of probabilities."""
-    whole, labels = total(ahead, LogSum()), range(len(trans))
+    labels = range(len(trans))
     rows = F.arrays_zip(F.slice(ahead, 1, F.size(ahead) - 1).alias("a"), _rest(states).alias("s"), _rest(behind).alias("b"))
 
-    def edges(r: Column) -> Column:
+    def edges(r: Column, whole: Column) -> Column:
         return F.array(*(F.array(*(F.exp(r["a"][i] + F.lit(float(trans[i][j])) + r["s"][j] + r["b"][j] - whole) for j in labels)) for i in labels))
 
-    return F.transform(rows, edges)
+    return let(total(ahead, LogSum()), lambda whole: F.transform(rows, lambda r: edges(r, whole)))
 
 
 def span_marginal(states: Column, trans: Matrix, ahead: Column, behind: Column, begin: Column, path: Column) -> Column:

@@ -54,3 +54,10 @@ def test_best_paths(lattices, k):
         assert [x["cost"] for x in r["b"]] == pytest.approx([c for c, _ in every])
         assert r["one"] == pytest.approx(-every[0][0]) and ",".join(map(str, r["b"][0]["path"][::-1])) == r["v"]["path"]
         assert len({tuple(x["path"]) for x in r["b"]}) == len(every)
+
+
+def test_sums_of_all_ways_stand_once_in_an_expression(lattices):
+    """The sum over a lattice is bound once, not worked out for each pair of labels; a sum finds its greatest term once."""
+    s, a, b = map(F.col, ("states", "ahead", "behind"))
+    for found, sums in ((semirings.edge_marginals(s, TRANS, a, b), 1), (semirings.node_marginals(a, b), 1), (semirings.forward(s, TRANS, semirings.LogSum()), 3)):
+        assert str(found).count("array_max") == sums
