@@ -64,8 +64,8 @@ def all_transitions(rows: DataFrame, seen: DataFrame, label: str = "label") -> D
 Template = tuple[tuple[str, int], ...]
 
 
-def template_features(rows: DataFrame, templates: list[Template], seq: str = "seq", pos: str = "pos") -> DataFrame:
-    """``seq, pos, feat``: ``field[offset]`` names and values joined by bars; none where a part lies outside the sequence."""
+def template_texts(rows: DataFrame, templates: list[Template], name: str, seq: str = "seq", pos: str = "pos") -> DataFrame:
+    """``rows`` with an array of the templates' features: ``field[offset]`` names and values joined by bars; none where a part lies outside the sequence."""
     w = Window.partitionBy(seq).orderBy(pos)
 
     def value(field: str, offset: int) -> Column:
@@ -73,7 +73,7 @@ def template_features(rows: DataFrame, templates: list[Template], seq: str = "se
 
     places = sorted({part for t in templates for part in t})
     named = {part: f"__p{k}" for k, part in enumerate(places)}
-    wide = rows.select(F.col(seq).alias("seq"), F.col(pos).alias("pos"), *(value(*part).alias(named[part]) for part in places))
+    wide = rows.select("*", *(value(*part).alias(named[part]) for part in places))
 
     def feature(t: Template) -> Column:
         name = "|".join(f"{f}[{o}]" for f, o in t)
@@ -83,8 +83,14 @@ def template_features(rows: DataFrame, templates: list[Template], seq: str = "se
             ok = ok & c
         return F.when(ok, F.concat(F.lit(f"{name}="), F.concat_ws("|", *(F.col(named[part]) for part in t))))
 
-    feats = F.array_compact(F.array(*(feature(t) for t in templates)))
-    return wide.select("seq", "pos", F.explode(feats).alias("feat"))
+    return wide.withColumn(name, F.array_compact(F.array(*(feature(t) for t in templates)).cast("array<string>"))).drop(*named.values())
+
+
+def template_features(rows: DataFrame, templates: list[Template], seq: str = "seq", pos: str = "pos") -> DataFrame:
+    """``seq, pos, feat``: the features of template_texts() in rows of their own."""
+    fields = sorted({field for t in templates for field, _ in t} - {seq, pos})
+    held = template_texts(rows.select(seq, pos, *fields), templates, "__feats", seq, pos)
+    return held.select(F.col(seq).alias("seq"), F.col(pos).alias("pos"), F.explode("__feats").alias("feat"))
 
 
 def macro_features(rows: DataFrame, macro: str, columns: list[str], seq: str = "seq", pos: str = "pos") -> DataFrame:

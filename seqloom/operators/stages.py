@@ -12,9 +12,10 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.functions.semirings import let
 from seqloom.operators import dictionary, sequences
 from seqloom.operators.ngrams import WILDCARD, array_ngrams
 from seqloom.sources.staging import staged
@@ -103,11 +104,13 @@ class InformationSelector(Estimator, _Selection, DefaultParamsReadable, DefaultP
 
     def _fit(self, dataset: DataFrame) -> InformationSelectorModel:
         get = self.getOrDefault
-        rows = dataset.select(F.col(get(self.labelCol)).alias("label"), F.col(get(self.inputCol)).alias("words"), F.monotonically_increasing_id().alias("row")).where("label is not null")
+        rows = dataset.select(F.col(get(self.labelCol)).alias("label"), F.col(get(self.inputCol)).alias("words")).where("label is not null")
         rows = staged(rows, "selection")
         top = staged(dictionary.top_features(dictionary.mutual_information(rows, "label"), get(self.keep)), "top")
-        found = rows.select("row", F.explode("words").alias("feat")).join(F.broadcast(top.select(F.col("tok").alias("feat"))), "feat", "left_semi")
-        scales = dictionary.scales(found.groupBy("row", "feat").agg(F.count(F.lit(1)).alias("cnt")))
+        names = top.agg(F.collect_list("tok").alias("names"))  # they are broadcast
+        own = rows.crossJoin(F.broadcast(names)).select("words", F.array_intersect("words", "names").alias("own")).where("size(own) > 0")
+        counts = own.select(F.explode(F.transform("own", lambda f: F.struct(f.alias("feat"), F.size(F.filter("words", lambda g: g == f)).cast("long").alias("cnt")))).alias("c"))
+        scales = dictionary.scales(counts.select("c.*"))
         selected = top.withColumnRenamed("tok", "feat").join(scales, "feat").withColumn("scale", F.col("scale").cast("double"))
         return self._copyValues(InformationSelectorModel(staged(selected.select("feat", "mi", "scale"), "selected")))
 
@@ -121,10 +124,17 @@ class InformationSelectorModel(Model, _Selection, InTables):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         get = self.getOrDefault
-        found = dataset.select("seq", "pos", F.explode(get(self.inputCol)).alias("feat")).join(F.broadcast(self.selected.select("feat", "scale")), "feat")
-        counts = found.groupBy("seq", "pos", "feat").agg((F.count(F.lit(1)) / F.first("scale")).alias("value"))
-        feats = counts.groupBy("seq", "pos").agg(F.array_sort(F.collect_list(F.struct(F.col("feat").alias("attr"), "value"))).alias("__f"))
-        return _joined(dataset, feats, F.col("__f"), get(self.outputCol))
+        grams = F.coalesce(F.col(get(self.inputCol)), F.array().cast("array<string>"))
+        held = self.selected.select("feat", "scale").agg(F.array_sort(F.collect_list(F.struct("feat", "scale"))).alias("__s"))  # they are broadcast
+        names, scales = F.col("__s")["feat"], F.col("__s")["scale"]
+
+        def value(feat: Column, hits: Column) -> Column:
+            many = F.size(F.filter(hits, lambda g: g == feat))
+            return F.struct(feat.alias("attr"), (many / F.get(scales, F.array_position(names, feat).cast("int") - 1)).alias("value"))
+
+        # the selected ones of an item, all their places, then a count of each
+        there = let(F.array_sort(F.array_intersect(grams, names)), lambda own: let(F.filter(grams, lambda g: F.array_contains(own, g)), lambda hits: F.transform(own, lambda f: value(f, hits))))
+        return dataset.crossJoin(F.broadcast(held)).withColumn(get(self.outputCol), F.when(F.size(F.array_intersect(grams, names)) > 0, there).otherwise(F.array().cast(FEATS))).drop("__s")
 
     def write_tables(self, path: str) -> None:
         self.selected.write.parquet(f"{path}/selected")
@@ -134,11 +144,6 @@ class InformationSelectorModel(Model, _Selection, InTables):
         return cls(spark.read.parquet(f"{path}/selected"))
 
 
-def _joined(dataset: DataFrame, feats: DataFrame, made, name: str) -> DataFrame:
-    """The items with an array that some of them have in another table; (seq, pos) are an item's own."""
-    return dataset.drop(name).join(feats, ["seq", "pos"], "left").withColumn(name, F.coalesce(made, F.array().cast(FEATS))).drop("__f")
-
-
 class SequenceTemplates(Transformer, _Columns, DefaultParamsReadable, DefaultParamsWritable):
     """Adds the features of templates, written ``field[offset]|field[offset]``, of value 1, behind those of ``inputCol``."""
 
@@ -159,9 +164,6 @@ class SequenceTemplates(Transformer, _Columns, DefaultParamsReadable, DefaultPar
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         get = self.getOrDefault
-        made = sequences.template_features(dataset, [*map(self.parsed, get(self.templates))])
-        feats = made.groupBy("seq", "pos").agg(F.array_sort(F.collect_list(F.struct(F.col("feat").alias("attr"), F.lit(1.0).alias("value")))).alias("__f"))
-        held = dataset.withColumnRenamed(get(self.inputCol), "__in")
-        both = F.concat(F.coalesce("__in", F.array().cast(FEATS)), F.coalesce("__f", F.array().cast(FEATS)))
-        out = _joined(held, feats, both, get(self.outputCol))
-        return out.drop("__in") if get(self.inputCol) == get(self.outputCol) else out.withColumnRenamed("__in", get(self.inputCol))
+        made = sequences.template_texts(dataset, [*map(self.parsed, get(self.templates))], "__f")
+        feats = F.transform(F.array_sort("__f"), lambda f: F.struct(f.alias("attr"), F.lit(1.0).alias("value")))
+        return made.withColumn(get(self.outputCol), F.concat(F.coalesce(get(self.inputCol), F.array().cast(FEATS)), feats)).drop("__f")
