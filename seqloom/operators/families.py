@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
-from itertools import product
+from itertools import chain, groupby, product, repeat
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
@@ -20,6 +21,12 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 from seqloom.operators.ngrams import WILDCARD
 
 
+#: Counts that are handed on at a time.
+PART = 1 << 13
+#: Partitions of keys that count_features() deals out.
+DEALS = 512
+
+
 def _analyzed(known: tuple[str, ...], rows: AnalyzeArgument, key: AnalyzeArgument | None = None, terms: AnalyzeArgument | None = None, **options: AnalyzeArgument) -> AnalyzeResult:
     """``key, feat, cnt``, the key of the table's own name and type; calls that do not fit are refused."""
     if not rows.isTable:
@@ -44,19 +51,30 @@ class FeatureFamily:
     def __init__(self):
         self.counts: Counter = Counter()
         self.key = None
+        self.out: list[tuple] = []
 
     def __init_subclass__(cls, **kwargs):
         super().__init_subclass__(**kwargs)
         cls.analyze = staticmethod(partial(_analyzed, tuple(cls.options)))
 
     def eval(self, rows: Row, key: str = "key", terms: str = "terms", **options) -> Iterator[tuple]:
-        self.key = rows[key]
+        """A partition has one key, or several in their order; what is counted goes on in large parts, as each costs by itself."""
+        if (now := rows[key]) != self.key and (now == now or self.key == self.key):
+            self._close()
+            self.key = now
         self.counts.update(self.features(rows[terms] or [], **{**self.options, **options}))
-        yield from ()
+        if len(self.out) >= PART:
+            yield from self.out
+            self.out = []
 
     def terminate(self) -> Iterator[tuple]:
-        for feat, n in self.counts.items():
-            yield self.key, feat, n
+        self._close()
+        yield from self.out
+
+    def _close(self) -> None:
+        key = self.key
+        self.out += [(key, feat, n) for feat, n in self.counts.items()]
+        self.counts.clear()
 
     def features(self, terms: list[str | None], **options) -> Iterator[str]:
         """Each feature of a block as often as it occurs."""
@@ -69,10 +87,9 @@ class WildcardNgrams(FeatureFamily):
     options = {"size": 2, "wildcard": WILDCARD}
 
     def features(self, terms: list[str | None], size: int, wildcard: str) -> Iterator[str]:
-        for k in range(len(terms) - size + 1):
-            gram = terms[k : k + size]
-            if None not in gram:
-                yield from map("_".join, product(*((t, wildcard) for t in gram[:-1]), gram[-1:]))
+        masks = [(*kept, True) for kept in product((True, False), repeat=size - 1)]
+        runs = [terms] if None not in terms else [[*run] for there, run in groupby(terms, lambda t: t is not None) if there]
+        return chain.from_iterable(map("_".join, zip(*(run[k:] if kept else repeat(wildcard) for k, kept in enumerate(mask)))) for run in runs for mask in masks)
 
 
 class SkipPairs(FeatureFamily):
@@ -92,7 +109,8 @@ def register(spark: SparkSession, name: str, family: type[FeatureFamily]) -> Non
 
 
 def count_features(blocks: DataFrame, name: str, key: str, terms: str, **options) -> DataFrame:
-    """``key, feat, cnt`` of a registered family over blocks (key, terms)."""
+    """``key, feat, cnt`` of a registered family over blocks (key, terms). Keys are dealt out many to a partition: one for each costs more than its counts."""
     spark = blocks.sparkSession
     named = "".join(f", {k} => {v!r}" for k, v in options.items())
-    return spark.sql(f"SELECT * FROM {name}(TABLE(SELECT `{key}`, `{terms}` FROM {{blocks}}) PARTITION BY `{key}`, key => '{key}', terms => '{terms}'{named})", blocks=blocks)
+    dealt = blocks.select(key, terms, F.pmod(F.xxhash64(key), F.lit(DEALS)).alias("deal" + "_" * sum(c.startswith("deal") for c in (key, terms))))
+    return spark.sql(f"SELECT * FROM {name}(TABLE(SELECT * FROM {{dealt}}) PARTITION BY `{dealt.columns[-1]}` ORDER BY `{key}`, key => '{key}', terms => '{terms}'{named})", dealt=dealt)

@@ -72,10 +72,11 @@ def idiom_size2_wild(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def idiom_size2_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As idiom_size2_wild, by a table function that SQL calls."""
+    """As idiom_size2_wild, by a table function that SQL calls. Lines are parted by null, which no n-gram holds."""
     families.register(spark, "wildcard_ngrams", families.WildcardNgrams)
-    lines = token_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return families.count_features(lines, "wildcard_ngrams", "doc_id", "words", size=2)
+    parts = F.filter(F.split(F.replace("text", F.lit("\n"), F.lit(" \n ")), " ", -1), lambda w: w != "")
+    held = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.transform(parts, lambda w: F.nullif(w, F.lit("\n"))).alias("words"))
+    return families.count_features(held, "wildcard_ngrams", "doc_id", "words", size=2)
 
 
 def idiom_size3_wild(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,3 +47,14 @@ def test_calls_are_checked(spark, blocks):
     for call, told in (("key => 'fun', terms => 'line'", "array of strings"), ("key => 'none', terms => 'words'", "lack"), ("key => 'fun', terms => 'words', big => 1", "no options")):
         with pytest.raises(Exception, match=told):
             spark.sql(f"SELECT * FROM wildcard_ngrams(TABLE(held_blocks) PARTITION BY fun, {call})").collect()
+
+
+def test_many_keys_share_a_partition(spark, monkeypatch):
+    """One call counts several keys, hands counts on in parts, and passes over what holds a null."""
+    monkeypatch.setattr(families, "PART", 3)
+    family, got = families.WildcardNgrams(), []
+    for key, terms in [(None, ["n", "m"]), (1, ["a", "b", None, "a", "b"]), (1, ["a", "b"]), (2, None), (3, ["c", "d"])]:
+        got.append([*family.eval({"key": key, "terms": terms})])
+    got.append([*family.terminate()])
+    assert [len(g) for g in got] == [0, 0, 0, 4, 0, 2]
+    assert sorted((x for g in got for x in g), key=repr) == sorted([(None, "n_m", 1), (None, "*_m", 1), (1, "a_b", 3), (1, "*_b", 3), (3, "c_d", 1), (3, "*_d", 1)], key=repr)
