@@ -504,6 +504,12 @@ class _Tags(Model, _Settings, InTables):
             F.col("marginal")[F.col("__i")].alias("marginal"), "probability", F.slice("all", F.col("__i") * n + 1, F.lit(n)).alias("marginals"),
         )
 
+    def beside(self, dataset: DataFrame) -> DataFrame:
+        """``pred, ref``: one row per sequence, its best labels and its own ones, null where the model does not know them."""
+        named = F.array(*map(F.lit, self.labels))
+        ref = F.transform("places", lambda p: F.when(F.array_contains(named, p["label"]), p["label"]))
+        return self._tag(pack(dataset, self.attrs, self.labels, places=True)).select("pred", ref.alias("ref"))
+
     def ranked(self, dataset: DataFrame, k: int) -> DataFrame:
         """``seq, pos, rank, label, marginal``: the k likeliest labels of every item, ties to the lower label."""
         marginals = self.transform(dataset).select("seq", "pos", F.posexplode("marginals").alias("lid", "marginal"))

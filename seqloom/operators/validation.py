@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from seqloom.operators import evaluation
 from seqloom.operators.crf import LinearChainCRF, LinearChainCRFModel
+from seqloom.operators.crf_layout import sequences_of
 from seqloom.operators.dictionary import dense_ids
+from seqloom.sources.staging import staged
 
 
 def round_robin(sequences: DataFrame, folds: int, key: str = "seq", seed: int = 0) -> DataFrame:
@@ -24,13 +26,13 @@ def split_by_group(rows: DataFrame, group: str, held: int) -> tuple[DataFrame, D
 def evaluate(model: LinearChainCRFModel, rows: DataFrame) -> DataFrame:
     """One row of evaluation.overall() of the model's tags of (seq, pos, label, feats)."""
     labels = rows.sparkSession.createDataFrame([(x,) for x in model.labels], "label string")
-    tagged = model.transform(rows).select("seq", "pos", "pred", F.when(F.col("label").isin(*model.labels), F.col("label")).alias("ref"))
-    return evaluation.overall(tagged, labels)
+    return evaluation.overall_of_sequences(model.beside(rows), labels)
 
 
 def with_holdout(trainer: LinearChainCRF, rows: DataFrame, held: DataFrame) -> tuple[LinearChainCRFModel, DataFrame]:
     """The model of ``rows``, and its evaluation on ``held`` after every iteration: ``iteration, loss`` and the measures."""
     found: list[tuple] = []
+    held = staged(sequences_of(held), "held")  # read after every iteration
 
     def listen(iteration: int, loss: float, model: LinearChainCRFModel) -> None:
         measures = evaluate(model, held)
@@ -48,7 +50,7 @@ def with_holdout(trainer: LinearChainCRF, rows: DataFrame, held: DataFrame) -> t
 
 def cross_validate(trainer: LinearChainCRF, rows: DataFrame, folds: DataFrame, count: int) -> DataFrame:
     """``fold`` and the measures of each fold's rows under the model of the others; folds is (seq, fold)."""
-    held = rows.join(folds, "seq")
+    held = staged(sequences_of(rows).join(folds, "seq"), "folds")
     out = None
     for k in range(count):
         learn, test = split_by_group(held, "fold", k)
