@@ -32,7 +32,8 @@ def segments(rows: DataFrame, seq: str = "seq", pos: str = "pos", label: str = "
 
 def segment_report(runs: DataFrame, labels: list[str]) -> DataFrame:
     """One row per run, a column per label with the run's cumulative count, 0 elsewhere."""
-    return runs.groupBy("seq", "start", "end").pivot("label", labels).agg(F.first("cum_count")).fillna(0, labels)
+    counts = (F.max(F.when(F.col("label") == x, F.col("cum_count")).otherwise(0)).alias(x) for x in labels)
+    return runs.groupBy("seq", "start", "end").agg(*counts)
 
 
 def chains(ids: DataFrame, key: str) -> DataFrame:

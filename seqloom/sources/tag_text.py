@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.functions.semirings import let
 from seqloom.functions.tokens import escape_attribute
 
 
@@ -76,11 +77,16 @@ def instance_lines(rows: DataFrame) -> DataFrame:
 def report_lines(report: DataFrame, labels: list[str]) -> DataFrame:
     """``seq, value``: the report of segments (seq, start, end and a column per label) as text, starts and ends in hex, with the
     columns of the labels that occur."""
-    there = [F.max(F.col(x) > 0).alias(x) for x in labels]
-    seen = report.groupBy("seq").agg(*there).select("seq", F.filter(F.array(*(F.when(F.col(x), F.lit(x)) for x in labels)), lambda x: x.isNotNull()).alias("seen"))
-    cells = F.map_from_arrays(F.array(*map(F.lit, labels)), F.array(*(F.col(x).cast("string") for x in labels)))
-    rows = report.select("seq", "start", "end", cells.alias("cells")).join(seen, "seq")
-    line = F.concat(F.lit("[0x"), F.lower(F.hex("start")), F.lit(" - 0x"), F.lower(F.hex("end")), F.lit("), "), F.array_join(F.transform("seen", lambda x: F.element_at("cells", x)), ", "))
-    text = rows.groupBy("seq", "seen").agg(F.array_sort(F.collect_list(F.struct("start", line.alias("line")))).alias("b"))
-    head = F.concat(F.lit("Address range, "), F.array_join("seen", ", "))
-    return text.select("seq", F.concat_ws("\n", head, F.array_join(F.transform("b", lambda x: x["line"]), "\n")).alias("value"))
+    cells = F.array(*(F.col(x).cast("string") for x in labels))
+    there = F.array(*(F.when(F.max(F.col(x) > 0), k) for k, x in enumerate(labels)))
+    held = report.groupBy("seq").agg(there.alias("there"), F.collect_list(F.struct("start", "end", cells.alias("cells"))).alias("rows"))
+
+    def line(row: Column, at: Column) -> Column:
+        text = F.concat(F.lit("[0x"), F.lower(F.hex(row["start"])), F.lit(" - 0x"), F.lower(F.hex(row["end"])), F.lit("), "), F.array_join(F.transform(at, lambda k: F.get(row["cells"], k)), ", "))
+        return F.struct(row["start"].alias("start"), text.alias("line"))
+
+    def whole(at: Column) -> Column:
+        head = F.concat(F.lit("Address range, "), F.array_join(F.transform(at, lambda k: F.get(F.array(*map(F.lit, labels)), k)), ", "))
+        return F.concat_ws("\n", head, F.array_join(F.transform(F.array_sort(F.transform("rows", lambda row: line(row, at))), lambda x: x["line"]), "\n"))
+
+    return held.select("seq", let(F.array_compact("there"), whole).alias("value"))
