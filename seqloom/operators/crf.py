@@ -505,10 +505,11 @@ class _Tags(Model, _Settings, InTables):
         )
 
     def beside(self, dataset: DataFrame) -> DataFrame:
-        """``pred, ref``: one row per sequence, its best labels and its own ones, null where the model does not know them."""
+        """``pred, ref``: one row per sequence, its best labels and its own ones, null where the model does not know them. Packed sequences with places are taken as they are."""
         named = F.array(*map(F.lit, self.labels))
         ref = F.transform("places", lambda p: F.when(F.array_contains(named, p["label"]), p["label"]))
-        return self._tag(pack(dataset, self.attrs, self.labels, places=True)).select("pred", ref.alias("ref"))
+        packed = dataset if "aids" in dataset.columns else pack(dataset, self.attrs, self.labels, places=True)
+        return self._tag(packed).select("pred", ref.alias("ref"))
 
     def ranked(self, dataset: DataFrame, k: int) -> DataFrame:
         """``seq, pos, rank, label, marginal``: the k likeliest labels of every item, ties to the lower label."""

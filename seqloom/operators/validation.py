@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators import evaluation
 from seqloom.operators.crf import LinearChainCRF, LinearChainCRFModel
-from seqloom.operators.crf_layout import sequences_of
+from seqloom.operators.crf_layout import pack, sequences_of
 from seqloom.operators.dictionary import dense_ids
 from seqloom.sources.staging import staged
 
@@ -32,10 +32,12 @@ def evaluate(model: LinearChainCRFModel, rows: DataFrame) -> DataFrame:
 def with_holdout(trainer: LinearChainCRF, rows: DataFrame, held: DataFrame) -> tuple[LinearChainCRFModel, DataFrame]:
     """The model of ``rows``, and its evaluation on ``held`` after every iteration: ``iteration, loss`` and the measures."""
     found: list[tuple] = []
-    held = staged(sequences_of(held), "held")  # read after every iteration
+    packed: list[DataFrame] = []
 
     def listen(iteration: int, loss: float, model: LinearChainCRFModel) -> None:
-        measures = evaluate(model, held)
+        if not packed:  # names and labels are those of all iterations
+            packed.append(staged(pack(held, model.attrs, model.labels, places=True), "held"))
+        measures = evaluate(model, packed[0])
         found.append((iteration, float(loss), *measures.first()))
         columns[:] = [f"{f.name} {f.dataType.simpleString()}" for f in measures.schema]
 
