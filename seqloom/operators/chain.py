@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import lru_cache
+from math import isqrt, log
 from operator import add
 
 import numpy as np
@@ -62,6 +63,87 @@ class Chain:
         return float(p)
 
 
+#: Labels up to which best_path() goes step by step without arrays: a call of numpy costs more than all sums of so few.
+FEW = 10
+#: Logarithm of the greatest quotient of numbers that are worked on without being scaled.
+SAFE = 700.0
+
+
+def chain_sums(state: np.ndarray, trans: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log norm, node marginals and the sum of edge marginals of one sequence.
+
+    With few labels it is worked on in pieces. Scores that lie too far apart for that are left to Chain.
+    """
+    n, labels = state.shape
+    if labels > FEW or not n:
+        return _one_by_one(state, trans)
+    most, least = np.maximum.reduce, np.minimum.reduce
+    top, shift = float(most(state, None)), float(most(trans, None))
+    span = top - float(least(state, None)) + shift - float(least(trans, None)) + log(labels)  # of the factor that an item adds
+    long = isqrt(n)
+    if not 2 * (long + 2) * span < SAFE:
+        return _one_by_one(state, trans)
+    m, scaled = np.exp(trans - shift), not n * span < SAFE
+    log_norm, alpha, ahead = _by_pieces(np.exp(state - top), m, long, scaled)
+    nodes = np.empty((n, labels))
+    np.dot(ahead[1:], m.T, nodes[:-1])
+    nodes[-1] = 1.0
+    nodes *= alpha
+    total = np.dot(nodes, np.ones((labels, 1)))
+    nodes /= total
+    edges = m * np.dot((alpha[:-1] / total[:-1]).T, ahead[1:])
+    return log_norm + n * top + (n - 1) * shift, nodes, edges
+
+
+def _one_by_one(state: np.ndarray, trans: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    chain = Chain(state, trans)
+    return chain.log_norm, chain.node_marginals(), chain.edge_marginals().sum(0)
+
+
+def _by_pieces(e: np.ndarray, m: np.ndarray, long: int, scaled: bool) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log norm, and vectors of all items in both directions but for a factor.
+
+    Item by item, all pieces of both directions go on at once, each from every label before it; then the pieces' vectors
+    are found one after another, and all items' from them. So there are calls of numpy for some two roots of the items.
+    """
+    n, labels = e.shape
+    many = -(-n // long)
+    items = np.ones((2, many * long, labels))  # what follows the sequence's end has no effect on it
+    items[0, :n], items[1, :n] = e, e[::-1]
+    both = np.zeros((2, labels, 2, labels))
+    both[0, :, 0], both[1, :, 1] = m.T, m
+    both = both.reshape(2 * labels, -1)
+    # by item of a piece, direction and label: pieces and the labels before them, of which the sequence's begin has none
+    factors = np.empty((long, 2, labels, many, labels))
+    factors[:] = items.reshape(2, many, long, labels).transpose(2, 0, 3, 1)[..., None]
+    ways = np.empty_like(factors)
+    first = ways[0]
+    first[0], first[1] = m.T[:, None], m[:, None]
+    first[:, :, 0] = 1.0
+    first *= factors[0]
+    dot, times = np.dot, np.multiply
+    flat = ways.reshape(long, 2 * labels, -1)
+    before = flat[0]
+    for now, factor in zip(flat[1:], factors.reshape(flat.shape)[1:]):
+        dot(both, before, now)
+        times(now, factor, now)
+        before = now
+    into = np.zeros((many, 2, labels, 1))
+    into[0, :, 0] = 1.0
+    start, log_scale = into[0], 0.0
+    for last, after in zip(np.ascontiguousarray(ways[-1].transpose(2, 0, 1, 3)), into[1:]):
+        start = np.matmul(last, start, after)
+        if scaled:
+            size = start.sum(1, keepdims=True)
+            start /= size
+            log_scale += log(size[0, 0, 0])
+    lines = (long, 2, labels, many * labels)
+    times(ways.reshape(lines), into.transpose(1, 3, 0, 2).reshape(2, 1, -1), factors.reshape(lines))
+    found = dot(factors.reshape(-1, labels), np.ones(labels)).reshape(long, 2, labels, many).transpose(1, 3, 0, 2).reshape(2, -1, labels)
+    alpha = found[0, :n]
+    return log(alpha[-1].sum()) + log_scale, alpha, found[1, n - 1 :: -1]
+
+
 def stacked_sums(state: np.ndarray, trans: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log norms (one per sequence), node marginals (item by item) and the sum of edge marginals of many sequences at once.
 
@@ -107,8 +189,6 @@ def stacked_sums(state: np.ndarray, trans: np.ndarray, sizes: np.ndarray) -> tup
     return log_norm, np.ascontiguousarray(nodes.T[to]), m * edges
 
 
-#: Labels up to which best_path() goes step by step without arrays: a call of numpy costs more than all sums of so few.
-FEW = 10
 #: Sums of ways that are held, where there are more, until it has been looked up where the best ones come from.
 HELD = 1 << 18
 

@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from seqloom.operators import blockvectors, crf_blocks
-from seqloom.operators.chain import Chain, best_path
+from seqloom.operators.chain import Chain, best_path, chain_sums
 from seqloom.operators.crf_blocks import tagged
-from seqloom.operators.crf_layout import Layout, batches_of, items_of, joined, likelihood, pack, sequences_of, stacked, stacks_of
+from seqloom.operators.crf_layout import Layout, batches_of, items_of, joined, likelihood, pack, sequences_of, spread_in_order, stacked, stacks_of
 from seqloom.operators.dictionary import dense_ids
 from seqloom.operators.optimize import Result, Settings, minimise
 from seqloom.operators.stages import InTables
@@ -172,20 +172,21 @@ def _sgd(layout: Layout, state: dict, item: dict, p: dict) -> float:
     eta = 1 / (p["lam"] * (p["t0"] + state["c"][0]))
     w, scale = state["w"], float(state["scale"][0])
     scores, moves = layout.scores(w, item)
-    chain = Chain(scale * scores, scale * moves)
+    log_norm, nodes, edges = chain_sums(scale * scores, scale * moves)
     decayed = scale * (1 - eta * p["lam"])
     if abs(decayed) < 1e-9:
         w *= decayed
         decayed = 1.0
     state["scale"][0] = decayed
     step = eta / decayed
-    layout.add_nodes(w, item, chain.node_marginals(), -step)
-    if len(scores) > 1:
-        np.add.at(w, layout.trans, -step * chain.edge_marginals().sum(0))
-    layout.add_path(w, item, item["y"], step)
+    own, seen = layout.gold(item)
+    gold = np.add.reduce(scores.ravel()[own]) + np.vdot(moves, seen)
+    nodes.ravel()[own] -= 1.0
+    layout.add_nodes(w, item, nodes, -step)
+    w[layout.trans] -= step * (edges - seen)  # each pair has a place of its own, but for the spare
     w[-1] = 0
     state["c"][0] += 1
-    return -chain.log_probability(item["y"])
+    return log_norm - scale * float(gold)
 
 
 STEPS = {"ap": _perceptron, "pa": _passive_aggressive, "arow": _arow, "l2sgd": _sgd}
@@ -201,13 +202,12 @@ def epoch(held: DataFrame, layout, algorithm: str, state: dict, params: dict, se
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = {k: v.copy() for k, v in start.value.items()}
-        order = np.random.default_rng(seed)
+        order, step = np.random.default_rng(seed), STEPS[algorithm]
         loss, many = 0.0, 0
         for items in batches_of(batches):
             many += len(items)
-            for k in order.permutation(len(items)):
-                loss += STEPS[algorithm](layout.value, mine, items[k], params)
-                items[k] = None
+            for item in spread_in_order(layout.value, items, order.permutation(len(items))):
+                loss += step(layout.value, mine, item, params)
         if "scale" in mine:
             mine["w"] *= mine["scale"][0]
             mine["scale"][0] = 1.0

@@ -97,37 +97,71 @@ class Layout:
         table = np.asarray(features, np.int64).reshape(-1, 4)
         state, move = table[table[:, 1] == 0], table[table[:, 1] == 1]
         state = state[np.argsort(state[:, 2], kind="stable")]
-        self.fids, self.lids = state[:, 0].astype(np.int32), state[:, 3].astype(np.int32)
+        self.fids, self.lids = state[:, 0].copy(), state[:, 3].copy()
         self.first = np.searchsorted(state[:, 2], np.arange(attrs + 1))
         # one spare entry, of weight 0, stands for pairs of labels without a feature
-        self.trans = np.full((labels, labels), self.size, np.int32)
+        self.trans = np.full((labels, labels), self.size, np.int64)
         self.trans[move[:, 2], move[:, 3]] = move[:, 0]
 
-    def spread(self, item: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The state features of a sequence's attributes, kept with it: their ids, labels, items and values."""
+    def spread(self, item: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The state features of a sequence's attributes, kept with it: their ids, places in the matrix of its scores, and values."""
         if "spread" not in item:
-            begin = self.first[item["aids"]]
-            sizes = self.first[item["aids"] + 1] - begin
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            k = np.arange(len(owner)) + np.repeat(begin - np.cumsum(sizes) + sizes, sizes)
-            item["spread"] = self.fids[k], self.lids[k], item["at"][owner], item["values"][owner]
+            self.spread_all([item])
         return item["spread"]
 
+    def spread_all(self, items: list[dict]) -> None:
+        """As spread(), of several sequences at once."""
+        aids, at, values = (np.concatenate([i[k] for i in items]) if len(items) > 1 else items[0][k] for k in ("aids", "at", "values"))
+        begin = self.first[aids]
+        sizes = self.first[aids + 1] - begin
+        ends = np.cumsum(sizes)
+        k = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + sizes, sizes)
+        fids, cells, values = self.fids[k], self.lids[k] + np.repeat(at * self.labels, sizes), np.repeat(values, sizes)
+        ends, a, c = np.append(0, ends).tolist(), 0, 0
+        for item in items:
+            b = a + len(item["aids"])
+            d = ends[b]
+            item["spread"] = fids[c:d], cells[c:d], values[c:d]
+            a, c = b, d
+
+    def gold(self, item: dict) -> tuple[np.ndarray, np.ndarray]:
+        """The places of a sequence's own, known labels in the matrix of its scores, and how often each pair of labels is there; kept with it."""
+        if "gold" not in item:
+            self.known_all([item])
+        return item["gold"]
+
+    def known_all(self, items: list[dict]) -> list[dict]:
+        """Several sequences with what spread() and gold() are of each."""
+        self.spread_all(items)
+        square = self.labels**2
+        y, lengths = np.concatenate([i["y"] for i in items]), np.array([len(i["y"]) for i in items])
+        ends = np.cumsum(lengths)
+        own = (np.arange(len(y)) - np.repeat(ends - lengths, lengths)) * self.labels + y
+        inner = np.ones(len(y), bool)
+        inner[(ends - lengths)[lengths > 0]] = False  # the first item of a sequence follows nothing
+        pairs = np.repeat(np.arange(len(items)) * square, lengths)[1:] + y[:-1] * self.labels + y[1:]
+        seen = np.bincount(pairs[inner[1:]], minlength=len(items) * square).reshape(-1, self.labels, self.labels).astype(np.float64)
+        for item, moves, a, b in zip(items, seen, (ends - lengths).tolist(), ends.tolist()):
+            item["gold"] = own[a:b], moves
+        return items
+
     def scores(self, w: np.ndarray, item: dict) -> tuple[np.ndarray, np.ndarray]:
         """State and transition scores of a sequence, for weights with the spare entry."""
-        fids, lids, at, values = self.spread(item)
-        state = np.bincount(at * self.labels + lids, w[fids] * values, len(item["sizes"]) * self.labels)
+        fids, cells, values = self.spread(item)
+        state = np.bincount(cells, w[fids] * values, len(item["sizes"]) * self.labels)
         return state.reshape(-1, self.labels), w[self.trans]
 
     def add_nodes(self, out: np.ndarray, item: dict, nodes: np.ndarray, sign: float) -> None:
         """Add the state features' values, weighted by (item, label), to a vector with the spare entry."""
-        fids, lids, at, values = self.spread(item)
-        np.add.at(out, fids, sign * nodes[at, lids] * values)
+        fids, cells, values = self.spread(item)
+        np.add.at(out, fids, (sign * nodes).ravel()[cells] * values)
 
     def on_path(self, item: dict, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and values of a path's state features."""
-        fids, lids, at, values = self.spread(item)
-        there = lids == path[at]
+        fids, cells, values = self.spread(item)
+        there = np.zeros((len(path), self.labels + 1), bool)  # unknown labels are the last
+        there[np.arange(len(path)), path] = True
+        there = there[:, : self.labels].ravel()[cells]
         return fids[there], values[there]
 
     def add_path(self, out: np.ndarray, item: dict, path: np.ndarray, sign: float) -> None:
@@ -137,6 +171,26 @@ class Layout:
         np.add.at(out, self.trans[path[:-1], path[1:]], sign)
 
 
+#: Values of state features that are spread at a time.
+SPREAD = 1 << 16
+
+
+def spread_in_order(layout: Layout, items: list[dict], order: np.ndarray) -> Iterator[dict]:
+    """Sequences of known labels in an order, with their state features spread for many at once; those that have been handed out are no longer held."""
+    some: list[dict] = []
+    values = 0
+    for k in order.tolist():
+        item, items[k] = items[k], None
+        more = len(item["aids"]) * layout.labels + layout.labels**2
+        if some and values + more > SPREAD:
+            yield from layout.known_all(some)
+            some, values = [], 0
+        some.append(item)
+        values += more
+    if some:
+        yield from layout.known_all(some)
+
+
 def items_of(frame: pd.DataFrame) -> Iterator[dict]:
     for row in frame.itertuples(index=False):
         sizes = np.asarray(row.sizes, np.int64)

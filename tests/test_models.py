@@ -217,3 +217,47 @@ def test_sequences_are_joined_once_for_all_evaluations(spark, toy):
     assert many[:-1] == pytest.approx(one[:-1], abs=1e-9)
     again = [i for batch in batches_of(joined(packed).toArrow().to_batches()) for i in batch]
     assert len(again) == len(items) and all((a[k] == b[k]).all() for a, b in zip(again, items) for k in ("y", "sizes", "at", "aids", "values"))
+
+
+@pytest.mark.parametrize("apart", [0.0, 0.3, 3.0, 20.0, 80.0])
+def test_sums_in_pieces_are_those_of_a_chain(monkeypatch, apart):
+    """Short and long sequences, few and many labels, scaled between pieces or not. Scores that are near each other need no step for each item."""
+    from seqloom.operators import chain
+
+    rng, taken = np.random.default_rng(7), []
+    monkeypatch.setattr(chain, "Chain", lambda *a: taken.append(len(a[0])) or Chain(*a))
+    for n, labels in itertools.product((1, 2, 3, 4, 5, 17, 67, 400), (1, 2, 5, 10, 11)):
+        state, trans = rng.normal(0, apart, (n, labels)), rng.normal(0, apart / 2, (labels, labels))
+        before = len(taken)
+        log_norm, nodes, edges = chain.chain_sums(state, trans)
+        assert labels > 10 or apart > 1 or len(taken) == before
+        plain = Chain(state, trans)
+        assert log_norm == pytest.approx(plain.log_norm, rel=1e-12, abs=1e-12)
+        assert nodes == pytest.approx(plain.node_marginals(), rel=1e-9, abs=1e-300) and edges == pytest.approx(plain.edge_marginals().sum(0), rel=1e-9, abs=1e-300)
+
+
+def test_sequences_in_groups_are_known_as_each_is(monkeypatch):
+    """In the order asked for, each with its own features, labels and pairs; an attribute may have no feature, an item no attribute."""
+    from seqloom.operators import crf_layout
+
+    monkeypatch.setattr(crf_layout, "SPREAD", 300)
+    rng = np.random.default_rng(9)
+    layout = Layout([(k, *f) for k, f in enumerate([(0, a, y) for a in (0, 2, 3) for y in range(a, 4)] + [(1, 0, 1), (1, 2, 2)])], 4, 4)
+    items = []
+    for n in (1, 1, 2, 90, *rng.integers(1, 20, 30)):
+        sizes = rng.integers(0, 3, n)
+        items.append({"y": rng.integers(0, 4, n), "sizes": sizes, "at": np.repeat(np.arange(n), sizes), "aids": rng.integers(0, 4, sizes.sum()), "values": rng.normal(size=sizes.sum())})
+    alone, order = [dict(i) for i in items], rng.permutation(len(items))
+    found = [*crf_layout.spread_in_order(layout, items, order)]
+    assert items == [None] * len(order) and len(found) == len(order)
+    w = np.append(rng.normal(size=layout.size), 0.0)
+    for item, k in zip(found, order):
+        one, y = alone[k], alone[k]["y"]
+        assert all(a.tolist() == b.tolist() for a, b in zip((*item["spread"], *item["gold"]), (*layout.spread(one), *layout.gold(one))))
+        state = np.zeros((len(y), 4))
+        for at, aid, value in zip(one["at"], one["aids"], one["values"]):
+            for fid, label in zip(layout.fids[layout.first[aid] : layout.first[aid + 1]], layout.lids[layout.first[aid] : layout.first[aid + 1]]):
+                state[at, label] += w[fid] * value
+        own, seen = item["gold"]
+        assert layout.scores(w, item)[0] == pytest.approx(state) and state.ravel()[own].tolist() == state[np.arange(len(y)), y].tolist()
+        assert all(seen[i, j] == sum((a, b) == (i, j) for a, b in itertools.pairwise(y.tolist())) for i in range(4) for j in range(4))
