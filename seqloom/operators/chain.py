@@ -144,8 +144,8 @@ def _by_pieces(e: np.ndarray, m: np.ndarray, long: int, scaled: bool) -> tuple[f
     return log(alpha[-1].sum()) + log_scale, alpha, found[1, n - 1 :: -1]
 
 
-def stacked_sums(state: np.ndarray, trans: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log norms (one per sequence), node marginals (item by item) and the sum of edge marginals of many sequences at once.
+def stacked_sums(state: np.ndarray, trans: np.ndarray, sizes: np.ndarray, apart: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log norms (one per sequence), node marginals (item by item) and the sum of edge marginals of many sequences at once, or (``apart``) of each.
 
     ``state`` holds the sequences' items one after another, ``sizes`` their lengths. Items are worked on place by
     place, those of the longer sequences first, so that nothing is padded: of a place's items the first go on.
@@ -175,18 +175,21 @@ def stacked_sums(state: np.ndarray, trans: np.ndarray, sizes: np.ndarray) -> tup
         total[total <= 0] = 1.0
         np.divide(1.0, total, out=scale[a:b])
         np.multiply(row, scale[a:b], out=alpha[:, a:b])
-    edges = np.zeros_like(m)
+    edges = np.zeros((*m.shape, many) if apart else m.shape)
     for t in range(len(cuts) - 1, -1, -1):
         a, b = cuts[t]
         beta[:, a:b] = scale[a:b]
         if t + 1 < len(cuts):
             c, d = cuts[t + 1]
             ahead = e[:, c:d] * beta[:, c:d]
-            edges += alpha[:, a : a + d - c] @ ahead.T
+            if apart:
+                edges[:, :, : d - c] += alpha[:, None, a : a + d - c] * ahead
+            else:
+                edges += alpha[:, a : a + d - c] @ ahead.T
             beta[:, a : a + d - c] *= m @ ahead
     log_norm = np.bincount(owner, top - np.log(scale[to]), many) + (sizes - 1) * shift
     nodes = alpha * beta / scale
-    return log_norm, np.ascontiguousarray(nodes.T[to]), m * edges
+    return log_norm, np.ascontiguousarray(nodes.T[to]), m * edges[:, :, rank].transpose(2, 0, 1) if apart else m * edges
 
 
 #: Sums of ways that are held, where there are more, until it has been looked up where the best ones come from.

@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 from seqloom.operators import blockvectors, crf_blocks
 from seqloom.operators.chain import Chain, best_path, chain_sums
 from seqloom.operators.crf_blocks import tagged
-from seqloom.operators.crf_layout import Layout, batches_of, items_of, joined, likelihood, pack, sequences_of, spread_in_order, stacked, stacks_of
+from seqloom.operators.crf_layout import Layout, batches_of, gradients, items_of, joined, likelihood, pack, sequences_of, spread_in_order, stacked, stacks_of
 from seqloom.operators.dictionary import dense_ids
 from seqloom.operators.optimize import Result, Settings, minimise
 from seqloom.operators.stages import InTables
@@ -106,6 +106,48 @@ def stacked_objective(held: DataFrame, layout: Layout, c2: float) -> Callable[[n
     return evaluate
 
 
+#: Features up to which the batch trainer begins with an estimate of the loss's curvature, and sequences for each feature that an estimate takes.
+CURVED, FOR_EACH = 512, 4
+
+
+def curvature(held: DataFrame, layout: Layout, c2: float) -> Callable[[np.ndarray], np.ndarray | None]:
+    """An estimate of the second derivatives of stacked_objective(): how the sequences' own gradients vary, with the norm's share. None where sequences are few.
+
+    Both are the same in expectation where the model is right, so quasi-Newton steps that begin with it are few; where they end does not hang on it.
+    """
+    context = held.sparkSession.sparkContext
+    shared = context.broadcast(layout)
+    in_groups = held.rdd.getNumPartitions() > 4 * GROUPS
+
+    def estimate(w: np.ndarray) -> np.ndarray | None:
+        weights = context.broadcast(np.append(w, 0.0))
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            many, sums, squares = 0, np.zeros(shared.value.size), np.zeros((shared.value.size,) * 2)
+            for item in stacks_of(batches):
+                for rows in gradients(shared.value, weights.value, item):
+                    many, sums = many + len(rows), sums + rows.sum(0)
+                    squares += rows.T @ rows
+            yield pa.RecordBatch.from_pydict({"k": pa.array([hash(float(squares[0, 0])) % GROUPS], pa.int32()), "n": pa.array([many]), "sums": pa.array([sums.tobytes()]), "squares": pa.array([squares.tobytes()])})
+
+        def total(frame: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"k": frame["k"][:1], "n": [frame["n"].sum()], **{c: [np.sum([np.frombuffer(v) for v in frame[c]], axis=0).tobytes()] for c in ("sums", "squares")}})
+
+        schema = "k int, n long, sums binary, squares binary"
+        found = held.mapInArrow(part, schema)
+        if in_groups:
+            found = found.groupBy("k").applyInPandas(total, schema)
+        rows = found.collect()
+        weights.destroy()
+        many, size = sum(r["n"] for r in rows), len(w)
+        if many < FOR_EACH * size:
+            return None
+        sums, squares = (np.sum([np.frombuffer(r[c]) for r in rows], axis=0) for c in ("sums", "squares"))
+        return squares.reshape(size, size) - np.outer(sums, sums) / many + 2 * c2 * np.eye(size)
+
+    return estimate
+
+
 # -- online trainers: each keeps named vectors that partitions hand on and the driver averages
 
 
@@ -380,7 +422,9 @@ class LinearChainCRF(Estimator, _Settings, DefaultParamsReadable, DefaultParamsW
         # the loss is a sum in which any deal over tasks will do, so all cores have a share
         tasks = max(get(self.partitions), packed.sparkSession.sparkContext.defaultParallelism)
         held = stacked(packed, layout.labels).repartition(tasks).persist()
-        self.result = minimise(stacked_objective(held, layout, get(self.c2)), np.zeros(layout.size), self._settings(), told, state)
+        # where the steps before decide the end, they stay as they are
+        curved = curvature(held, layout, get(self.c2)) if not get(self.period) and get(self.c2) > 0 and layout.size <= CURVED else None
+        self.result = minimise(stacked_objective(held, layout, get(self.c2)), np.zeros(layout.size), self._settings(), told, state, curved)
         held.unpersist()
         return self.result.x
 

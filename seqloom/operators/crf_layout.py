@@ -247,6 +247,39 @@ def likelihood(layout: Layout, w: np.ndarray, item: dict, grad: np.ndarray) -> f
     return float(log_norm.sum() - state[own].sum() - (trans * moves).sum())
 
 
+#: Entries of gradients, and values of state features, that are worked on at a time.
+GRADIENTS = 1 << 20
+
+
+def gradients(layout: Layout, w: np.ndarray, item: dict) -> Iterator[np.ndarray]:
+    """Of sequences joined to one that has kinds: rows of the gradient of each sequence's likelihood() alone, some sequences at a time. ``w`` has the spare entry."""
+    lengths, labels = item["lengths"], layout.labels
+    begin = layout.first[item["aids"]]
+    per_attr = layout.first[item["aids"] + 1] - begin
+    values_of = np.bincount(item["at"], per_attr, len(item["sizes"])).astype(np.int64)  # by kind
+    state, trans = layout.scores(w, item)
+    fids, cells, amounts = layout.spread(item)
+    first = np.cumsum(values_of) - values_of
+    ends, a = np.cumsum(lengths), 0
+    held = np.append(0, np.cumsum(values_of[item["kinds"]]))[np.append(0, ends)]  # values before each sequence
+    while a < len(lengths):
+        most = a + max(1, GRADIENTS // (layout.size + 1 + labels**2))
+        b = max(a + 1, min(most, len(lengths), int(np.searchsorted(held, held[a] + GRADIENTS, "right")) - 1))
+        kinds, y, many = item["kinds"][ends[a] - lengths[a] : ends[b - 1]], item["y"][ends[a] - lengths[a] : ends[b - 1]], b - a
+        _, nodes, edges = stacked_sums(state[kinds], trans, lengths[a:b], apart=True)
+        nodes[np.arange(len(y)), y] -= 1.0
+        owner = np.repeat(np.arange(many), lengths[a:b])
+        inner = owner[1:] == owner[:-1]
+        edges = edges.reshape(many, -1) - np.bincount((owner[1:] * labels**2 + y[:-1] * labels + y[1:])[inner], minlength=many * labels**2).reshape(many, -1)
+        counts = values_of[kinds]
+        k = np.arange(counts.sum()) + np.repeat(first[kinds] - np.cumsum(counts) + counts, counts)
+        at = np.repeat(np.arange(len(y)), counts)
+        out = np.bincount(owner[at] * (layout.size + 1) + fids[k], nodes[at, cells[k] % labels] * amounts[k], many * (layout.size + 1)).reshape(many, -1).astype(np.float64)  # without any they are counts
+        out[:, layout.trans.ravel()] += edges  # each pair has a place of its own, but for the spare
+        yield out[:, :-1]
+        a = b
+
+
 # -- sequences as rows of buffers, which tasks read without a loop over their items
 
 

@@ -22,6 +22,8 @@ class State(Protocol):
 
 #: Cosine of step and turn below which a pair tells nothing of the curvature.
 LEAST_TURN = 1e-12
+#: Share of a value below which its differences are lost in the rounding of large sums.
+ROUNDING = 1e-12
 SEARCHES = ("interpolation", "armijo", "wolfe", "strong_wolfe")
 
 
@@ -145,6 +147,12 @@ def secant(a: Trial, b: Trial) -> float:
     return a.step + (b.step - a.step) * a.slope / (a.slope - b.slope)
 
 
+def gained(value: float, slope: float, step: float, new: float, new_slope: float) -> float:
+    """By how much a step changes the value: where rounding hides that, what a parabola of the slopes at both ends says."""
+    lost, half = ROUNDING * abs(value), step * (slope + new_slope) / 2
+    return half if abs(new - value) <= lost and abs(half) <= lost else new - value
+
+
 #: Share of the way to the far end that a step within a bracket may go, and to which two rounds must shrink the bracket.
 CAP = 0.66
 
@@ -185,10 +193,10 @@ def interpolate(curve: Curve, value: float, slope: float, step: float, s: Settin
 
     In the first stage, until a step decreases the value enough and the slope there is nearly up, steps whose
     value is below the best but not enough so are judged by the function less its line of sufficient decrease.
-    A bracket that two rounds have not shrunk to CAP is halved.
+    A bracket that two rounds have not shrunk to CAP is halved. Values are held as gained() over the first.
     """
     line = s.armijo * slope
-    best = other = Trial(0.0, value, slope)
+    best = other = Trial(0.0, 0.0, slope)
     bracketed, first_stage = False, True
     widths = [2 * (s.max_step - s.min_step), s.max_step - s.min_step]
     while curve.trials < s.max_trials:
@@ -196,13 +204,14 @@ def interpolate(curve: Curve, value: float, slope: float, step: float, s: Settin
         step = min(max(step, s.min_step), s.max_step)
         if bracketed and (not low < step < high or high - low <= s.least_width * high):
             return None  # nothing is left between
-        at = Trial(step, *curve(step))
-        if not np.isfinite(at.value):
+        new, new_slope = curve(step)
+        if not np.isfinite(new):
             step = best.step + 0.5 * (step - best.step)
             continue
-        enough = at.value <= value + step * line
+        at = Trial(step, gained(value, slope, step, new, new_slope), new_slope)
+        enough = at.value <= step * line
         if enough and abs(at.slope) <= -s.curvature * slope:
-            return at.value
+            return new
         if step >= s.max_step and enough and at.slope <= line or step <= s.min_step and (not enough or at.slope >= line):
             return None
         if first_stage and enough and at.slope >= min(s.armijo, s.curvature) * slope:
@@ -226,15 +235,17 @@ def interpolate(curve: Curve, value: float, slope: float, step: float, s: Settin
     return None
 
 
-def _direction(g: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Minus the inverse-curvature estimate times the gradient, by the two loops over the stored pairs."""
+def _direction(g: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], first: np.ndarray | None = None) -> np.ndarray:
+    """Minus the inverse-curvature estimate times the gradient, by the two loops over the stored pairs. ``first`` is the estimate without pairs."""
     q = -g
     kept = []
     for s, y in reversed(pairs):
         a = (s @ q) / (y @ s)
         q = q - a * y
         kept.append(a)
-    if pairs:
+    if first is not None:
+        q = first @ q
+    elif pairs:
         s, y = pairs[-1]
         q = q * ((s @ y) / (y @ y))
     for (s, y), a in zip(pairs, reversed(kept)):
@@ -267,9 +278,10 @@ def ended(s: Settings, k: int, history: list[float], slope_norm: float, x_norm:
     return "max_iterations" if k >= s.max_iterations else None
 
 
-def minimise(f: Objective, x: np.ndarray, settings: Settings | None = None, report: Callable[[int, float, np.ndarray], None] | None = None, state: State | None = None) -> Result:
+def minimise(f: Objective, x: np.ndarray, settings: Settings | None = None, report: Callable[[int, float, np.ndarray], None] | None = None, state: State | None = None, curvature: Callable[[np.ndarray], np.ndarray | None] | None = None) -> Result:
     """Minimise f(x) + c1 |x|; ``report`` is told every step; ``state`` is written every ten steps and resumed from.
 
+    ``curvature`` estimates the matrix of second derivatives where the steps begin, if it can; without L1 only.
     A state of another length or other settings is not resumed. When no step can be found, the point before
     is the result.
     """
@@ -286,16 +298,18 @@ def minimise(f: Objective, x: np.ndarray, settings: Settings | None = None, repo
     trials = 1
     value += s.c1 * float(np.abs(x).sum())
     history = history or [value]
+    estimate = curvature(x) if curvature and not s.c1 else None
+    inverse = None if estimate is None else np.linalg.inv(estimate)
     while True:
         pg = pseudo_gradient(x, g, s.c1) if s.c1 else g
         if why := ended(s, k, history, float(np.linalg.norm(pg)), float(np.linalg.norm(x))):
             return Result(x, value, k, why, trials)
-        d = _direction(pg, pairs)
+        d = _direction(pg, pairs, inverse)
         if s.c1:
             d[d * pg > 0] = 0  # against the slope, keep out
         if d @ pg >= 0:
-            pairs, d = [], -pg
-        first = 1.0 if pairs else 1.0 / np.linalg.norm(d)
+            pairs, inverse, d = [], None, -pg
+        first = 1.0 if pairs or inverse is not None else 1.0 / np.linalg.norm(d)
         project = None
         if s.c1:
             orthant = np.where(x != 0, np.sign(x), -np.sign(pg))
