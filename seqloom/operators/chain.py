@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 from math import isqrt, log
-from operator import add
 
 import numpy as np
 
@@ -197,33 +196,32 @@ HELD = 1 << 18
 
 
 @lru_cache(maxsize=FEW)
-def _ahead(labels: int) -> Callable[[list, list], list]:
-    """The best scores of ways to each label, item by item, as a function with its sums for so many labels written out."""
+def _best(labels: int) -> Callable[[list, list], tuple[list, float]]:
+    """The best path, its last item first, and its score, as a function with its sums for so many labels written out."""
     every = range(labels)
     row = ", ".join(f"s{i}" for i in every) + ","
-    lines = ["def ahead(states, into):", f"    ({''.join('(' + ''.join(f't{i}_{j}, ' for i in every) + '), ' for j in every)}) = into", f"    {row} = states[0]", f"    held = [({row})]"]
-    lines.append(f"    for {''.join(f'e{j}, ' for j in every)} in states[1:]:")
+    lines = ["def best(states, into):", f"    ({''.join('(' + ''.join(f't{i}_{j}, ' for i in every) + '), ' for j in every)}) = into", f"    {row} = states[0]", "    held = []"]
+    lines += [f"    for {''.join(f'e{j}, ' for j in every)} in states[1:]:", f"        held.append(({row}))"]
     for j in every:
         lines.append(f"        n{j} = s0 + t0_{j}")
         for i in every[1:]:
             lines += [f"        x = s{i} + t{i}_{j}", f"        if x > n{j}:", f"            n{j} = x"]
-    lines += [*(f"        s{j} = n{j} + e{j}" for j in every), f"        held.append(({row}))", "    return held"]
+    lines += [*(f"        s{j} = n{j} + e{j}" for j in every), f"    last = ({row})", "    top = max(last)", "    y = last.index(top)", "    path = [y]", f"    for {row} in reversed(held):"]
+    for j in every:
+        lines += [f"        {'elif' if j else 'if'} y == {j}:", "            y = 0", f"            n = s0 + t0_{j}"]
+        for i in every[1:]:
+            lines += [f"            x = s{i} + t{i}_{j}", "            if x > n:", "                n = x", f"                y = {i}"]
+    lines += ["        path.append(y)", "    return path, top"]
     made: dict = {}
     exec("\n".join(lines), made)
-    return made["ahead"]
+    return made["best"]
 
 
 def best_path(state: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, float]:
     """The path of the greatest score; ties go to the lower label."""
     n, labels = state.shape
     if labels <= FEW:
-        into = trans.T.tolist()
-        *rows, last = _ahead(labels)(state.tolist(), into)
-        top = max(last)
-        path = [last.index(top)]
-        for row in reversed(rows):
-            ways = [*map(add, row, into[path[-1]])]
-            path.append(ways.index(max(ways)))
+        path, top = _best(labels)(state.tolist(), trans.T.tolist())
         return np.array(path[::-1]), float(top)
     into = np.ascontiguousarray(trans.T, np.float64)
     score, steps = state[0].astype(np.float64), max(1, HELD // labels**2)

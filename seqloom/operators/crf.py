@@ -151,17 +151,39 @@ def curvature(held: DataFrame, layout: Layout, c2: float) -> Callable[[np.ndarra
 # -- online trainers: each keeps named vectors that partitions hand on and the driver averages
 
 
+#: Features up to which the differences of all are summed up, rather than a sequence's own sorted out.
+SMALL = 1 << 13
+
+
+def _delta(layout: Layout, item: dict, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries in which the features of a sequence's own labels and of a path differ, and by how much."""
+    if layout.size <= SMALL:
+        (fids, cells, values), (own, seen) = layout.spread(item), layout.gold(item)
+        there = np.zeros(len(path) * layout.labels)
+        there[own] = 1.0
+        there[np.arange(0, there.size, layout.labels) + path] -= 1.0
+        delta = np.bincount(fids, there[cells] * values, layout.size + 1).astype(np.float64, copy=False)  # without any they are counts
+        # each pair has a place of its own, but for the spare
+        delta[layout.trans] += seen - np.bincount(path[:-1] * layout.labels + path[1:], minlength=seen.size).reshape(seen.shape)
+        used = delta[:-1].nonzero()[0]
+        return used, delta[used]
+    (right, more), (other, less) = layout.on_path(item, item["y"]), layout.on_path(item, path)
+    ids = np.concatenate([right, other, layout.trans[item["y"][:-1], item["y"][1:]], layout.trans[path[:-1], path[1:]]])
+    ones = np.ones(max(0, len(path) - 1))
+    used, inverse = np.unique(ids, return_inverse=True)
+    delta = np.bincount(inverse, np.concatenate([more, -less, ones, -ones]), len(used))
+    keep = (delta != 0) & (used < layout.size)
+    return used[keep], delta[keep]
+
+
 def _perceptron(layout: Layout, state: dict, item: dict, _: dict) -> float:
     """On a wrong path, move by the difference of the paths' features; ``sum`` keeps what averaging takes off."""
     path, _score = best_path(*layout.scores(state["w"], item))
     wrong = int((path != item["y"]).sum())
     if wrong:
-        ways = [(*layout.on_path(item, p), layout.trans[p[:-1], p[1:]], sign) for p, sign in ((item["y"], 1.0), (path, -1.0))]
-        for target, factor in (("w", 1.0), ("sum", float(state["c"][0]))):
-            for fids, values, moves, sign in ways:
-                np.add.at(state[target], fids, sign * factor * values)
-                np.add.at(state[target], moves, sign * factor)
-        state["w"][-1] = 0
+        ids, delta = _delta(layout, item, path)
+        state["w"][ids] += delta
+        state["sum"][ids] += float(state["c"][0]) * delta
     state["c"][0] += 1
     return wrong / len(path)
 
@@ -172,14 +194,7 @@ def _difference(layout: Layout, state: dict, item: dict) -> tuple[float, int, np
     path, top = best_path(*scores)
     wrong = int((path != item["y"]).sum())
     gold = scores[0][np.arange(len(path)), item["y"]].sum() + scores[1][item["y"][:-1], item["y"][1:]].sum()
-    (right, more), (other, less) = layout.on_path(item, item["y"]), layout.on_path(item, path)
-    ids = np.concatenate([right, other, layout.trans[item["y"][:-1], item["y"][1:]], layout.trans[path[:-1], path[1:]]])
-    ones = np.ones(max(0, len(path) - 1))
-    values = np.concatenate([more, -less, ones, -ones])
-    used, inverse = np.unique(ids, return_inverse=True)
-    delta = np.bincount(inverse, values, len(used))
-    keep = (delta != 0) & (used < layout.size)
-    return float(top - gold), wrong, used[keep], delta[keep]
+    return float(top - gold), wrong, *_delta(layout, item, path)
 
 
 def _passive_aggressive(layout: Layout, state: dict, item: dict, p: dict) -> float:
