@@ -9,6 +9,9 @@ a constant of the plan. All results are null for no items.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from math import exp
+from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,6 +42,10 @@ class Ring:
         """What an array of values comes to."""
         raise NotImplementedError
 
+    def onward(self, values: Column, matrix: Matrix) -> Column:
+        """For each row of a matrix: what an array's values come to, each with its score of the row along its way."""
+        return F.array(*(self.plus(F.array(*(self.times(values[i], F.lit(float(x))) for i, x in enumerate(row)))) for row in matrix))
+
 
 class LogSum(Ring):
     """Logs of sums of exponentials."""
@@ -53,6 +60,26 @@ class LogSum(Ring):
         return let(values, lambda held: let(F.array_max(held), lambda top: top + F.ln(F.aggregate(held, F.lit(0.0), lambda a, x: a + F.exp(x - top)))))
 
 
+#: How far scores of a matrix may lie apart so that their exponentials can be factors: any that are lost beside others then have no weight.
+FACTORS = 600.0
+
+
+class FactorSum(LogSum):
+    """As LogSum, a row of sums at once by factors."""
+
+    def onward(self, values: Column, matrix: Matrix) -> Column:
+        """An exponential of each value serves all rows, whose own ones are constants."""
+        most = max(max(row) for row in matrix)
+        if not most - min(min(row) for row in matrix) <= FACTORS:
+            return super().onward(values, matrix)
+        factors = [[exp(x - most) for x in row] for row in matrix]
+
+        def sums(held: Column, top: Column) -> Column:
+            return F.array(*(top + F.ln(reduce(add, (held[i] * F.lit(x) for i, x in enumerate(row)))) for row in factors))
+
+        return let(values, lambda held: let(F.array_max(held), lambda top: let(F.transform(held, lambda x: F.exp(x - top)), lambda parts: sums(parts, top + F.lit(most)))))
+
+
 class Best(LogSum):
     """The greatest score."""
 
@@ -91,10 +118,9 @@ def forward(states: Column, trans: Matrix, ring: Ring) -> Column:
         return F.array(*(ring.at(ring.times(v, scores[j]), j) for j, v in enumerate(into)))
 
     def step(rows: Column, scores: Column) -> Column:
-        def into(last: Column) -> list[Column]:
-            return [ring.plus(F.array(*(ring.times(last[i], F.lit(float(trans[i][j]))) for i in labels))) for j in labels]
-
-        return F.concat(rows, F.array(let(F.element_at(rows, -1), lambda last: row(into(last), scores))))
+        into = [[trans[i][j] for i in labels] for j in labels]
+        met = let(F.element_at(rows, -1), lambda last: ring.onward(last, into))
+        return F.concat(rows, F.array(let(met, lambda values: row([values[j] for j in labels], scores))))
 
     return F.when(F.size(states) > 0, F.aggregate(_rest(states), F.array(row([ring.start()] * len(trans), states[0])), step))
 
@@ -111,8 +137,8 @@ def backward(states: Column, trans: Matrix, ring: Ring) -> Column:
 
     def step(rows: Column, scores: Column) -> Column:
         first = rows[0]
-        onward = [ring.plus(F.array(*(ring.times(ring.times(first[j], scores[j]), F.lit(float(trans[i][j]))) for j in labels))) for i in labels]
-        return F.concat(F.array(F.array(*onward)), rows)
+        scored = F.array(*(ring.times(first[j], scores[j]) for j in labels))
+        return F.concat(F.array(let(scored, lambda values: ring.onward(values, trans))), rows)
 
     return F.when(F.size(states) > 0, F.aggregate(F.slice(F.reverse(states), 1, F.size(states) - 1), F.array(F.array(*([ring.start()] * n))), step))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import semirings
 from seqloom.operators import sequences, validation
 from seqloom.operators.crf import BlockCRFModel, LinearChainCRF, generate_features
+from seqloom.operators.crf_layout import sequences_of
 from seqloom.operators.stages import InformationSelector, SequenceTemplates, WildcardTerms
 from seqloom.plans.mining import EVENTS
 from seqloom.sources import attribute_source, tag_text
@@ -62,24 +63,30 @@ def crf_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
     The batch trainer runs until its gradient is small. What it ends with is judged without the trainer's
     arithmetic: scores by joins with the table of weights, probabilities by the lattice functions.
     """
-    rows = items(spark, sf_dir).select("seq", "pos", "label", "feats")
+    rows = staged(sequences_of(items(spark, sf_dir)), "optimum")
     c2 = 1.0
     model = LinearChainCRF(partitions=PARTITIONS, c2=c2, period=0).fit(rows)
     labels = model.labels
     weights = staged(model.dump(spark).select("type", "src", "dst", "weight"), "optimum")
     moves = {(r["src"], r["dst"]): r["weight"] for r in weights.where("type = 1").collect()}  # pairs of labels
     trans = [[moves.get((a, b), 0.0) for b in labels] for a in labels]
-    long = rows.select("seq", "pos", F.explode("feats").alias("f")).select("seq", "pos", F.col("f.attr").alias("src"), "f.value")
-    scores = long.join(weights.where("type = 0"), "src").groupBy("seq", "pos").agg(F.array(*(F.sum(F.when(F.col("dst") == y, F.col("weight") * F.col("value")).otherwise(0.0)) for y in labels)).alias("s"))
-    every = rows.select("seq", "pos").join(scores, ["seq", "pos"], "left").select("seq", "pos", F.coalesce("s", F.array(*(F.lit(0.0) for _ in labels))).alias("s"))
-    chains = every.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("i")).select("seq", F.transform("i", lambda x: x["s"]).alias("states"))
-    ring, states = semirings.LogSum(), F.col("states")
-    chains = staged(chains.select("seq", "states", semirings.forward(states, trans, ring).alias("ahead"), semirings.backward(states, trans, ring).alias("behind")), "optimum")
+    by_attr = weights.where("type = 0").groupBy("src").agg(*(F.sum(F.when(F.col("dst") == y, F.col("weight")).otherwise(0.0)).alias(f"w{k}") for k, y in enumerate(labels)))
+    # sequences are dealt out once, so that an item's scores and a sequence's items are put together where they are
+    long = rows.repartition("seq").select("seq", F.explode("items").alias("i")).select("seq", "i.pos", F.explode_outer("i.feats").alias("f")).select("seq", "pos", F.col("f.attr").alias("src"), "f.value")
+    scores = long.join(by_attr, "src", "left").groupBy("seq", "pos").agg(F.array(*(F.sum(F.coalesce(F.col(f"w{k}") * F.col("value"), F.lit(0.0))) for k in range(len(labels)))).alias("s"))
+    chains = scores.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("i")).select("seq", F.transform("i", lambda x: x["s"]).alias("states"))
+    ring, states = semirings.FactorSum(), F.col("states")
+    chains = chains.select("seq", "states", semirings.forward(states, trans, ring).alias("ahead"), semirings.backward(states, trans, ring).alias("behind"))
+    beside = rows.select(F.col("seq").alias("of"), F.transform("items", lambda x: x["feats"]).alias("feats"))
+    chains = staged(chains.join(beside, F.col("seq").eqNullSafe(F.col("of"))).select("states", "ahead", "behind", "feats"), "optimum")
     names = F.array(*map(F.lit, labels))
-    nodes = chains.select("seq", F.posexplode(semirings.node_marginals(F.col("ahead"), F.col("behind"))).alias("pos", "p")).select("seq", "pos", F.posexplode("p").alias("y", "p"))
-    states_seen = long.join(nodes, ["seq", "pos"]).groupBy(F.lit(0).alias("type"), "src", names[F.col("y")].alias("dst")).agg(F.sum(F.col("value") * F.col("p")).alias("expected"))
-    edges = chains.select(F.explode(semirings.edge_marginals(states, trans, F.col("ahead"), F.col("behind"))).alias("p")).select(F.posexplode("p").alias("y", "p")).select("y", F.posexplode("p").alias("z", "p"))
-    moves_seen = edges.groupBy(F.lit(1).alias("type"), names[F.col("y")].alias("src"), names[F.col("z")].alias("dst")).agg(F.sum("p").alias("expected"))
+    nodes = chains.select(F.explode(F.arrays_zip("feats", semirings.node_marginals(F.col("ahead"), F.col("behind")).alias("p"))).alias("n")).select(F.explode("n.feats").alias("f"), "n.p")
+    states_seen = nodes.groupBy(F.col("f.attr").alias("src")).agg(F.array(*(F.sum(F.col("f.value") * F.col("p")[k]) for k in range(len(labels)))).alias("p"))
+    states_seen = states_seen.select(F.lit(0).alias("type"), "src", F.posexplode("p").alias("y", "expected")).select("type", "src", names[F.col("y")].alias("dst"), "expected")
+    edges = F.transform(semirings.edge_marginals(states, trans, F.col("ahead"), F.col("behind")), F.flatten)
+    sums = F.aggregate(edges, F.array_repeat(F.lit(0.0), len(labels) ** 2), lambda total, e: F.zip_with(total, e, lambda x, y: x + y))  # a sequence's, of pairs of labels
+    moves_seen = chains.select(F.posexplode(sums).alias("k", "p")).groupBy("k").agg(F.sum("p").alias("expected"))
+    moves_seen = moves_seen.select(F.lit(1).alias("type"), names[F.floor(F.col("k") / len(labels)).cast("int")].alias("src"), names[F.col("k") % len(labels)].alias("dst"), "expected")
     both = generate_features(rows).join(states_seen.unionByName(moves_seen), ["type", "src", "dst"], "left").join(weights, ["type", "src", "dst"], "left")
     slope = F.coalesce("expected", F.lit(0.0)) - F.col("freq") + 2 * c2 * F.coalesce("weight", F.lit(0.0))
     return both.select("type", "src", "dst", F.round("freq", 6).alias("freq"), (F.abs(slope) < 1e-3).alias("balanced"))
