@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from seqloom.operators.dictionary import running_sums
 
@@ -46,9 +47,12 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 def _write_by_bin(rows: DataFrame, order: list[str], path: str) -> None:
     """``value`` lines of each ``bin`` in order; no binary is one task's alone."""
-    # a name that is never null keeps the writer from sorting by name once more
-    named = rows.withColumn("bin", F.coalesce(F.col("bin").cast("string"), F.lit("")))
-    named.orderBy("bin", *order).select("bin", "value").write.partitionBy("bin").text(path)
+    _named(rows).orderBy("bin", *order).select("bin", "value").write.partitionBy("bin").text(path)
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """A ``bin`` that is never null keeps the writer from sorting by it once more."""
+    return rows.withColumn("bin", F.coalesce(F.col("bin").cast("string"), F.lit("")))
 
 
 def write_numbered(rows: DataFrame, path: str, number: str, text: str) -> None:
@@ -82,11 +86,16 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_instances(counts: DataFrame, features: DataFrame, path: str) -> None:
-    """Lines of hex addresses with ``index:count`` by index, per binary in order of addresses."""
-    coded = counts.join(features, ["bin", "feat"])
+    """Lines of hex addresses with ``index:count`` by index, per binary in order of addresses.
+
+    Counts are dealt out in ranges once, in which lines are made and sorted; so lines are made once, and don't travel.
+    """
+    whole = isinstance(counts.schema["cnt"].dataType, (ByteType, ShortType, IntegerType, LongType))
+    coded = _named(counts.join(features, ["bin", "feat"])).select("bin", "addr", "idx", "cnt").repartitionByRange("bin", "addr")
     rows = coded.groupBy("bin", "addr").agg(F.array_sort(F.collect_list(F.struct("idx", "cnt"))).alias("f"))
-    shown = F.transform("f", lambda f: F.concat(f["idx"].cast("string"), F.lit(":"), three_places(f["cnt"])))
-    _write_by_bin(rows.select("bin", "addr", F.concat_ws(" ", F.lower(F.hex("addr")), F.array_join(shown, " ")).alias("value")), ["addr"], path)
+    shown = F.transform("f", lambda f: F.concat(f["idx"].cast("string"), F.lit(":"), F.concat(f["cnt"].cast("string"), F.lit(".000")) if whole else three_places(f["cnt"])))
+    lines = rows.select("bin", "addr", F.concat_ws(" ", F.lower(F.hex("addr")), F.array_join(shown, " ")).alias("value"))
+    lines.sortWithinPartitions("bin", "addr").select("bin", "value").write.partitionBy("bin").text(path)
 
 
 def read_instances(spark: SparkSession, path: str, features: DataFrame) -> DataFrame:
